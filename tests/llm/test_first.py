@@ -160,7 +160,7 @@ def test_mixing(spark):
         assert p.budget <= used[p.source] < p.budget + 10 * p.tokens and used[p.source] / p.tokens <= 1.5 * 1.2 + 3
     even = {p.source: p for p in mixing.mixing_plan(docs, entropy_share=0.9).collect()}
     h = -sum(p.weight * np.log(p.weight) for p in even.values()) / np.log(3)
-    assert 0.9 <= h < 0.91 and abs(sum(p.weight for p in even.values()) - 1) < 1e-9
+    assert 0.9 - 1e-5 < h < 0.91 and abs(sum(p.weight for p in even.values()) - 1) < 1e-9
     assert even["hot"].full_blocks == 0 and even["small"].full_blocks >= 1
     none = docs.where("false")
     assert mixing.mix(none, mixing.mixing_plan(none, entropy_share=0.9)).count() == 0
