@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import langid, mixing, packing, sharding, simhash
+from cuelake.llm import langid, mixing, packing, repeats, sharding, simhash, spans
 from cuelake.llm.common import table
 
 SHARDS, SLOTS, ENTROPY_SHARE, SEED = [f"shard-{k:02d}" for k in range(32)], 3203, 0.97, 17
@@ -29,6 +29,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source"), SHARDS, SLOTS).select("doc_id", "source", "slot", "shard", "shard_name")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + (x["last"] - x["first"]))
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spans.drop_repeated_spans(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words_removed", "n_pieces_removed", F.length("text").cast("bigint").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = mixing.mixing_plan(docs, entropy_share=ENTROPY_SHARE, seed=SEED)
@@ -101,6 +112,6 @@ select d.doc_id, d.source, cast(unnest(range(u.uses)) as integer) as block, d.ke
 from sized d join used u on u.source = d.source and u.key = d.key where u.uses > 0
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_simhash_dedup, op4_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_simhash_dedup, op4_sharding, op6_suffix_dedup, op7_span_dedup, op10_mixing)}
 
 ORACLES = {"op4_sharding": SHARDING_SQL, "op10_mixing": MIXING_SQL}
