@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import langid, mixing, packing, repeats, sharding, simhash, spans
+from cuelake.llm import htmltext, langid, mixing, nndescent, packing, repeats, sharding, simhash, spans, topk
 from cuelake.llm.common import table
 
 SHARDS, SLOTS, ENTROPY_SHARE, SEED = [f"shard-{k:02d}" for k in range(32)], 3203, 0.97, 17
@@ -29,6 +29,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source"), SHARDS, SLOTS).select("doc_id", "source", "slot", "shard", "shard_name")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + (x["last"] - x["first"]))
@@ -40,6 +44,15 @@ def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words_removed", "n_pieces_removed", F.length("text").cast("bigint").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.visible_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = mixing.mixing_plan(docs, entropy_share=ENTROPY_SHARE, seed=SEED)
@@ -112,6 +125,21 @@ select d.doc_id, d.source, cast(unnest(range(u.uses)) as integer) as block, d.ke
 from sized d join used u on u.source = d.source and u.key = d.key where u.uses > 0
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_simhash_dedup, op4_sharding, op6_suffix_dedup, op7_span_dedup, op10_mixing)}
+TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0
+), ranked as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_simhash_dedup, op4_sharding, op5_embedding_dedup, op6_suffix_dedup, op7_span_dedup, op8_html_text, op9_exact_topk, op10_mixing)}
 
-ORACLES = {"op4_sharding": SHARDING_SQL, "op10_mixing": MIXING_SQL}
+ORACLES = {"op4_sharding": SHARDING_SQL, "op9_exact_topk": TOPK_SQL, "op10_mixing": MIXING_SQL}

@@ -78,8 +78,8 @@ def test_repeats_against_windows(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_repeats_with_small_blocks_and_shards(spark, monkeypatch):
-    """A long text in several pieces, and an anchor that is sharded by its distance."""
+def test_windows_of_one_shard():
+    """Whole texts as the regions of one shard."""
     texts = make_texts(random.Random(8))
     want = brute_removed(list(enumerate(texts)))
     docs, starts, regions = [], [], []
@@ -98,8 +98,7 @@ def test_repeats_with_small_blocks_and_shards(spark, monkeypatch):
 def brute_spans(rows, run=3, longest=12, least=10):
     seen, out = {}, {}
     for doc_id, text in sorted({(d, t) for d, t in rows if d is not None and t is not None}):
-        units, unit, at = [], [], 0
-        pieces = [(w, "\n" in text[: text.find(w)]) for w in []]  # noqa: F841
+        units, unit = [], []
         words = []
         for line_no, line in enumerate(text.split("\n")):
             words += [(w, line_no) for w in line.encode().split()]
@@ -119,7 +118,6 @@ def brute_spans(rows, run=3, longest=12, least=10):
                 gone |= set(own)
             else:
                 seen[key] = doc_id
-            at += 1
         out[doc_id] = [w.decode() for k, (w, _) in enumerate(words) if k not in gone]
     return out
 
