@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from cuelake.llm.common import arrow_schema, batch_of, materialize
 
 LENGTH, END_ID, DIMS, BITS, FEATURES = 2048, 1, 3, 10, 64
 #: entries of a worker's cache of words; it starts anew when full
-CACHE_WORDS, ROWS_AT_ONCE, BYTES_AT_ONCE = 400_000, 2000, 8 << 20
+CACHE_WORDS, ROWS_AT_ONCE, BYTES_AT_ONCE = 1_000_000, 2000, 8 << 20
 SEQUENCES_A_RANGE = 1 << 40
 
 
@@ -33,31 +34,68 @@ def vocabulary() -> str:
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that never joins what a space or line feed parts.
+    """Ids of texts by a tokenizer that never joins what a space or line feed parts, nor a word and its stop.
 
-    Texts are split there in Arrow and each distinct word is encoded once, which gives the ids
-    of encoding the whole text at a small part of the time.
+    Texts are split at spaces in Arrow and each distinct chunk is encoded once, which gives the ids of
+    encoding the whole text at a small part of the time.  New words of letters alone are encoded many at
+    a time: each ends with the one id that carries the end-of-word mark.
     """
 
+    STOPS, WORDS_AT_ONCE = ".,!?", 1000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.coder, self.known, self.ids, self.starts = Tokenizer.from_file(path), {}, [], [0]
+        self.coder = Tokenizer.from_file(path)
         self.coder.no_padding()
         self.coder.no_truncation()
-        self.flat = np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """Place of each word in the cache."""
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known, self.ids, self.starts = {}, [], [0]
-        new = [w for w in words if w not in self.known]
-        if new:
-            for w, e in zip(new, self.coder.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        self.ends = np.zeros(self.coder.get_vocab_size(with_added_tokens=True), bool)
+        for token, k in self.coder.get_vocab(with_added_tokens=True).items():
+            self.ends[k] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.starts = array("I"), array("q", [0])
+
+    def _keep(self, word: str, ids) -> None:
+        self.known[word] = len(self.starts) - 1
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
+
+    def _ids(self, word: str) -> array:
+        k = self.known[word]
+        return self.flat[self.starts[k] : self.starts[k + 1]]
+
+    def _encode(self, words: list[str]) -> None:
+        letters, rest = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        for k in range(0, len(letters), self.WORDS_AT_ONCE):
+            part = letters[k : k + self.WORDS_AT_ONCE]
+            ids = np.array(self.coder.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            borders = np.flatnonzero(self.ends[ids]) + 1
+            if len(borders) != len(part) or borders[-1] != len(ids):  # a letter that becomes something else
+                rest += part
+                continue
+            for w, a, b in zip(part, [0, *borders[:-1].tolist()], borders.tolist(), strict=True):
+                self._keep(w, ids[a:b].tolist())
+        if rest:
+            for w, e in zip(rest, self.coder.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                self._keep(w, e.ids)
+
+    def _learn(self, chunks: list[str]) -> np.ndarray:
+        """Place of each distinct chunk in the cache."""
+        if len(self.known) + len(chunks) > CACHE_WORDS:
+            self._forget()
+        known = self.known
+        new = [w for w in chunks if w not in known]
+        split = [(w, c, w[len(c) :]) for w in new if len(c := w.rstrip(self.STOPS)) < len(w) and c.isalpha()]
+        parted = {w for w, _, _ in split}
+        wanted = dict.fromkeys([*(w for w in new if w not in parted), *(c for _, c, _ in split), *(stops for _, _, stops in split)])
+        self._encode([w for w in wanted if w not in known])
+        for w, core, stops in split:
+            self._keep(w, self._ids(core) + self._ids(stops))
+        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Token ids of each text; null and empty texts have none."""
@@ -66,15 +104,13 @@ class WordTokenizer:
         if not len(words):
             return [np.zeros(0, np.uint32)] * len(texts)
         place = self._learn(words.dictionary.to_pylist())
-        own = [self.ids[k] for k in place]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        begins = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.concatenate(own)
+        starts = np.array(self.starts, np.int64)
+        begins, sizes = starts[place], starts[place + 1] - starts[place]
         at = words.indices.to_numpy()
         n = sizes[at]
         ends = np.cumsum(n)
-        take = np.arange(ends[-1]) - np.repeat(ends - n - begins[at], n)
-        ids = flat[take]
+        take = np.arange(ends[-1]) + np.repeat(begins[at] - ends + n, n)
+        ids = np.array(self.flat, np.uint32)[take]
         borders = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return [ids[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
 
