@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from cuelake.operators import layout
 from cuelake.operators import words as W
 from cuelake.plans import bindings as B
-from cuelake.plans import cue_queries, stat_queries, stream_queries, text_queries
+from cuelake.plans import cue_queries, more_queries, stat_queries, stream_queries, text_queries
 
-QUERIES = {**cue_queries.QUERIES, **stat_queries.QUERIES, **text_queries.QUERIES, **stream_queries.QUERIES}
-ORACLES = {**cue_queries.ORACLES, **stat_queries.ORACLES, **text_queries.ORACLES, **stream_queries.ORACLES}
+QUERIES = {**cue_queries.QUERIES, **stat_queries.QUERIES, **text_queries.QUERIES, **stream_queries.QUERIES, **more_queries.QUERIES}
+ORACLES = {**cue_queries.ORACLES, **stat_queries.ORACLES, **text_queries.ORACLES, **stream_queries.ORACLES, **more_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
