@@ -22,11 +22,11 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm.common import arrow_schema, batch_of, materialize
-from cuelake.llm.spans import covered
 from cuelake.llm.suffix import END, SEPARATOR, SHIFT, permuted_prefixes, suffix_array
 
 LENGTH, ANCHOR = 100, 32
@@ -100,8 +100,12 @@ def _texts(batch):
 
 
 def all_segments(docs: DataFrame) -> DataFrame:
-    """(anchor, content, doc_id, start, windows, lead): every window of every text lies in one segment."""
-    schema = arrow_schema("anchor long,content long,doc_id long,start int,windows int,lead int")
+    """(anchor, content, doc_id, start, windows, lead, known): every window of every text lies in one segment.
+
+    Of equal segments of a block of texts only the first needs to meet those of other blocks: the rest are
+    ``known`` repeats and get an anchor of their own, so a very frequent string is dealt over all tasks.
+    """
+    schema = arrow_schema("anchor long,content long,doc_id long,start int,windows int,lead int,known boolean")
 
     def rows(batches):
         def flush(held):
@@ -109,7 +113,14 @@ def all_segments(docs: DataFrame) -> DataFrame:
             if found is not None:
                 number, start, windows, anchor, content, lead = found
                 ids, offsets = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-                yield batch_of(schema, anchor=anchor, content=content, doc_id=ids[number], start=start + offsets[number], windows=windows, lead=lead)
+                doc_id, start = ids[number], start + offsets[number]
+                order = np.lexsort((start, doc_id, windows, content, anchor))
+                doc_id, start, windows, anchor, content, lead = (x[order] for x in (doc_id, start, windows, anchor, content, lead))
+                opens = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (windows[1:] != windows[:-1])])
+                first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+                known = (doc_id != doc_id[first]) | (start != start[first])
+                own = _mix(doc_id.astype(np.uint64) * np.uint64(_BASE) + start.astype(np.uint64)).view(np.int64)
+                yield batch_of(schema, anchor=np.where(known, own, anchor), content=content, doc_id=doc_id, start=start, windows=windows, lead=lead, known=known)
 
         for b in batches:
             held, total = [], 0
@@ -122,7 +133,7 @@ def all_segments(docs: DataFrame) -> DataFrame:
             if held:
                 yield from flush(held)
 
-    return docs.mapInArrow(rows, "anchor bigint, content bigint, doc_id bigint, start int, windows int, lead int")
+    return docs.mapInArrow(rows, "anchor bigint, content bigint, doc_id bigint, start int, windows int, lead int, known boolean")
 
 
 def sort_out(segments_: DataFrame) -> DataFrame:
@@ -139,7 +150,7 @@ def sort_out(segments_: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            anchor, content, doc_id, start, windows, lead = (c.to_numpy() for c in b.columns)
+            anchor, content, doc_id, start, windows, lead, known = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             n = len(anchor)
             last = held or (None, None, None)
             same_anchor = np.concatenate([[last[0] == anchor[0]], anchor[1:] == anchor[:-1]])
@@ -162,7 +173,7 @@ def sort_out(segments_: DataFrame) -> DataFrame:
             lead_doc, lead_start = (np.append(x, y[leads])[kind] for x, y in ((opened[0], doc_id), (opened[1], start)))
             again = same & (doc_id == lead_doc) & (start == lead_start)
             opened = (lead_doc[-1], lead_start[-1])
-            same &= ~again
+            same = (same & ~again) | known
             take = same | shared
             if take.any():
                 yield batch_of(schema, anchor=anchor[take], doc_id=doc_id[take], start=start[take], windows=windows[take], lead=lead[take], repeat=same[take])
@@ -187,10 +198,10 @@ def earlier_windows(regions: list[bytes], doc_ids: np.ndarray, starts: np.ndarra
     t[begins[number] + inside] = np.frombuffer(b"".join(regions), np.uint8).astype(np.uint16) + SHIFT
     t[-1] = END
     sa = suffix_array(t)
-    prefixes = permuted_prefixes(t, sa, length)
     owner = np.full(len(t), -1, np.int32)
     whole = inside <= sizes[number] - length
     owner[(begins[number] + inside)[whole]] = number[whole]
+    prefixes = permuted_prefixes(t, sa, length, owner >= 0)
     joined = prefixes[sa] >= length
     group = np.cumsum(~joined)
     own = owner[sa]
@@ -279,6 +290,15 @@ def _fetch(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(rows, "anchor bigint, doc_id bigint, start int, lead int, bytes binary")
 
 
+def merged(firsts: np.ndarray, lasts: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Maximal runs of places that half-open spans cover, within a text of that size."""
+    order = np.argsort(firsts)
+    firsts, reach = firsts[order], np.maximum.accumulate(lasts[order])
+    opens = np.flatnonzero(np.concatenate([[True], firsts[1:] > reach[:-1]]))
+    stops = np.minimum(reach[np.append(opens[1:], len(firsts)) - 1], size)
+    return [(x, y) for x, y in zip(firsts[opens].tolist(), stops.tolist(), strict=True) if x < y]
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<first,last>>, kept binary), one row for each input row.
 
@@ -300,12 +320,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches):
         for b in batches:
             sizes, spans_, kept = [], [], []
-            for raw, x in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2), strict=True):
-                gone = covered(len(raw), [(s["first"], min(s["last"], len(raw))) for s in x.as_py() if s["first"] < len(raw)]) if x.is_valid else np.zeros(len(raw), bool)
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+            flat = b.column(2).flatten()
+            firsts, lasts = (flat.field(k).to_numpy() for k in (0, 1))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy())
+            for raw, p, q in zip(b.column(1).cast(pa.binary()).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 sizes.append(len(raw))
-                spans_.append([{"first": p, "last": q} for p, q in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+                if p == q:
+                    spans_.append([])
+                    kept.append(raw)
+                    continue
+                runs = merged(firsts[p:q], lasts[p:q], len(raw))
+                spans_.append([{"first": x, "last": y} for x, y in runs])
+                kept.append(b"".join(raw[x:y] for (_, x), (y, _) in zip([(0, 0), *runs], [*runs, (len(raw), 0)], strict=True)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans_, schema.field("spans").type), pa.array(kept, pa.binary())], schema=schema)
 
     return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, spans array<struct<first: int, last: int>>, kept binary")

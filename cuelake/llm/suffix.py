@@ -3,7 +3,7 @@
 At the top level (byte symbols) a bucket is handled as a few array operations: all suffixes
 that stand in a bucket induce their predecessors at once, those that fall in the same bucket
 form the next wave.  The string of sorted leftmost-smaller substrings has as many symbols as
-names, so the recursion scans it symbol by symbol.
+names; written in digits it is sorted by the same procedure, level by level.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 END, SEPARATOR, SHIFT = 0, 1, 2
+#: strings of fewer names are sorted faster name by name
+SCANNED = 40_000
 
 
 def smaller_type(t: np.ndarray) -> np.ndarray:
@@ -27,15 +29,18 @@ def leftmost_smaller(is_small: np.ndarray) -> np.ndarray:
 
 def _append(sa: np.ndarray, at: np.ndarray, symbols: np.ndarray, suffixes: np.ndarray, step: int) -> None:
     """Put suffixes, in order, at the ends ``at`` of their buckets, going right (step 1) or left (-1)."""
-    if not len(suffixes):
+    n = len(suffixes)
+    if n == 0:
         return
-    order = np.argsort(symbols, kind="stable")
+    order = symbols.argsort(kind="stable")
     s = symbols[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    sizes = np.diff(np.append(first, len(s)))
-    rank = np.arange(len(s)) - np.repeat(first, sizes)
-    sa[at[s] + step * rank] = suffixes[order]
-    at[s[first]] += step * sizes
+    first = np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1))
+    sizes = np.empty_like(first)
+    sizes[:-1] = first[1:] - first[:-1]
+    sizes[-1] = n - first[-1]
+    own = s[first]
+    sa[np.repeat(at[own] - step * first, sizes) + step * np.arange(n)] = suffixes[order]
+    at[own] += step * sizes
 
 
 def induce(t: np.ndarray, is_small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
@@ -45,7 +50,7 @@ def induce(t: np.ndarray, is_small: np.ndarray, lms: np.ndarray, symbols: int) -
     start = stop - sizes
     sa = np.full(len(t), -1, np.int32)
     tail = stop - 1
-    _append(sa, tail, t[lms][::-1].astype(np.int64), lms[::-1].astype(np.int32), -1)
+    _append(sa, tail, t[lms][::-1], lms[::-1].astype(np.int32), -1)
     head, seeds = start.copy(), tail + 1
     for c in range(symbols):  # larger ones, from the left
         if not sizes[c]:
@@ -63,7 +68,7 @@ def induce(t: np.ndarray, is_small: np.ndarray, lms: np.ndarray, symbols: int) -
             cur = sa[a:b]
             cur = cur[cur > 0] - 1
             cur = cur[~is_small[cur]]
-            _append(sa, head, t[cur].astype(np.int64), cur, 1)
+            _append(sa, head, t[cur], cur, 1)
             waves.append((before, head[c]))
     for c in range(symbols):  # the seeds go, they are placed again
         if seeds[c] < stop[c]:
@@ -88,7 +93,7 @@ def induce(t: np.ndarray, is_small: np.ndarray, lms: np.ndarray, symbols: int) -
             cur = block[::-1]
             cur = cur[cur > 0] - 1
             cur = cur[is_small[cur]]
-            _append(sa, tail, t[cur].astype(np.int64), cur, -1)
+            _append(sa, tail, t[cur], cur, -1)
             b = nxt
     # the end symbol's suffix has no larger neighbour that induces it
     sa[0] = len(t) - 1
@@ -192,18 +197,37 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if name[-1] + 1 < len(lms):
         names = np.zeros(len(t), np.int64)
         names[order] = name
-        order = lms[np.array(_scan(names[lms].tolist(), int(name[-1]) + 1))]
+        order = lms[_order_of(names[lms], int(name[-1]) + 1, len(t))]
     return induce(t, is_small, order, symbols)
 
 
-def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+def _order_of(names: np.ndarray, count: int, above: int) -> np.ndarray:
+    """Suffix order of the string of names: the same induced sorting, one level down.
+
+    Many names are written as two digits each, which keeps their order and the number of buckets small.
+    A short string, or one that would not get shorter by that, is scanned name by name.
+    """
+    m = len(names)
+    if count <= max(512, m // 400):
+        coded, step = names + 1, 1
+    else:
+        base = int(count**0.5) + 1
+        coded, step = np.stack([names // base, names % base], axis=1).ravel() + 1, 2
+    if m < SCANNED or step * m + 1 > 0.8 * above or coded.max() >= 1 << 16:
+        return np.array(_scan(names.tolist(), count))
+    sa = suffix_array(np.append(coded, END).astype(np.uint16))
+    sa = sa[(sa < step * m) & (sa % step == 0)]
+    return sa // step
+
+
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """In text order: the common prefix of each suffix with the one before it in the array, up to ``most``
-    (rounded up to a multiple of four)."""
+    (rounded up to a multiple of four); where ``wanted`` is given, 0 for suffixes it leaves out."""
     words = words_of(t)
     before = np.full(len(t), -1, np.int64)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(len(t), np.int32)
-    live, off = np.flatnonzero(before >= 0), 0
+    live, off = np.flatnonzero(before >= 0 if wanted is None else (before >= 0) & wanted), 0
     while off < most and len(live):
         x, y = live + off, before[live] + off
         inside = (x < len(t)) & (y < len(t))
