@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values that results must share.
 TRUE_WORDS, FALSE_WORDS, STYLES = ("true", "1", "yes", "on", "t", "y"), ("false", "0", "no", "off", "f", "n", "none", "null", ""), ("clean", "faithful")
@@ -140,3 +144,22 @@ def isolate_bidi(df: DataFrame, col: str) -> DataFrame:
     """Right-to-left lines within isolates, and each run of other letters or digits in them in its own."""
     runs = F.regexp_replace(col, r"([A-Za-z0-9][A-Za-z0-9.,:/+%$€₪°-]*(?: [A-Za-z0-9][A-Za-z0-9.,:/+%$€₪°-]*)*)", "⁦$1⁩")
     return df.withColumn(col, F.when(F.col(col).rlike(r"[\p{IsHebrew}\p{IsArabic}]"), F.concat(F.lit("⁧"), runs, F.lit("⁩"))).otherwise(F.col(col)))
+
+
+@F.pandas_udf(StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def mark_rtl(df: DataFrame, col: str) -> DataFrame:
+    """Legacy marks on right-to-left text: spaces folded, composed form, Arabic vowel signs and old marks gone, the text embedded
+    right to left, runs of two Latin letters or more left to right, and a mark before punctuation that ends a line.
+
+    Only rows with characters beyond ASCII go through Python, for the composed form.
+    """
+    raw = F.trim(F.regexp_replace(col, r"[ \t]+", " "))
+    text = F.when(raw.rlike(r"[^\x00-\x7F]"), _composed(raw)).otherwise(raw)
+    text = F.regexp_replace(text, "[\u064B-\u065F\u0670\u200E\u200F\u202A-\u202E\u2066-\u2069]", "")
+    latin = F.regexp_replace(text, r"([A-Za-z][A-Za-z0-9'.-]*[A-Za-z0-9])", "\u202A$1\u202C")
+    sticky = F.regexp_replace(latin, r"([.!?,;:]+)$", "\u200F$1")
+    return df.withColumn(col, F.when(text.rlike(r"[\p{IsHebrew}\p{IsArabic}]"), F.concat(F.lit("\u202B"), sticky, F.lit("\u202C"))).otherwise(text))

@@ -72,3 +72,91 @@ def _speed(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]
 def transfer_speed(transfer: DataFrame) -> DataFrame:
     """Speed of each transfer (task_id, ts, event_id, bytes), keyed state of three numbers a task."""
     return transfer.groupBy("task_id").applyInPandasWithState(_speed, "task_id bigint, event_id bigint, speed double", "last_ts double, last_bytes bigint, ema double", "append", "NoTimeout")
+
+
+def admit_requests(usage: DataFrame, width_s: int = 60, token_limit: int = 20_000, request_limit: int = 60) -> DataFrame:
+    """A request is admitted if it keeps within both limits of its window; a refused one uses nothing.
+
+    The state is three numbers a key (the window, and what was admitted in it), so it needs no timer; rows of a key
+    must come in order of time from batch to batch.
+    """
+
+    def run(key, frames, state):
+        window, used, n = state.get if state.exists else (-1, 0, 0)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        out = []
+        for ts, event_id, tokens in zip(rows["ts"], rows["event_id"], rows["tokens"], strict=True):
+            own = int(ts.timestamp() // width_s)
+            if own != window:
+                window, used, n = own, 0, 0
+            ok = used + tokens <= token_limit and n + 1 <= request_limit
+            if ok:
+                used, n = used + int(tokens), n + 1
+            out.append((key[0], event_id, ok))
+        state.update((window, used, n))
+        yield pd.DataFrame(out, columns=["task_id", "event_id", "admitted"])
+
+    return usage.groupBy("task_id").applyInPandasWithState(run, "task_id bigint, event_id bigint, admitted boolean", "window bigint, used bigint, n bigint", "append", "NoTimeout")
+
+
+def microbatches(segments: DataFrame, size: int = 20, idle_ms: int = 10_000) -> DataFrame:
+    """Full batches of ``size`` segments of a video as soon as they are there; the rest once the video has been idle.
+
+    Rows come with their pos, which restores the order; state holds less than ``size`` segments a video.
+    """
+
+    def run(key, frames, state):
+        held, sent = ([], 0) if not state.exists else (list(map(tuple, zip(state.get[0], state.get[1], strict=True))), state.get[2])
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], sent, int(p), t) for p, t in held], columns=["video_id", "batch", "pos", "text"])
+            return
+        rows = pd.concat(list(frames)).sort_values("pos")
+        held += list(zip(rows["pos"].tolist(), rows["text"].tolist(), strict=True))
+        out = []
+        while len(held) >= size:
+            out += [(key[0], sent, int(p), t) for p, t in held[:size]]
+            held, sent = held[size:], sent + 1
+        state.update(([int(p) for p, _ in held], [t for _, t in held], sent))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame(out, columns=["video_id", "batch", "pos", "text"])
+
+    timed = segments.withWatermark("ts", "10 minutes")
+    return timed.groupBy("video_id").applyInPandasWithState(run, "video_id bigint, batch bigint, pos bigint, text string", "pos array<bigint>, text array<string>, sent bigint", "append", "EventTimeTimeout")
+
+
+def spot(words: DataFrame, idle_ms: int = 10_000) -> DataFrame:
+    """Sentence groups of a word feed (video_id, pos, s_ms, e_ms, w, ts) once they are closed; an open one after a silence.
+
+    A group closes after a terminal word of at least 50 ms; state is the open group's first position, last one and start.
+    """
+    terminal = r"""[.!?]["'”’)\]]*$"""
+
+    def run(key, frames, state):
+        sent, first, last, start, end = state.get if state.exists else (0, -1, -1, 0, 0)
+        columns = ["video_id", "sent_id", "first_pos", "last_pos", "start_ms", "end_ms"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], sent, first, last, start, end)] if first >= 0 else [], columns=columns)
+            return
+        rows = pd.concat(list(frames)).sort_values(["s_ms", "pos"])
+        closes = rows["w"].str.contains(terminal) & (rows["e_ms"] - rows["s_ms"] >= 50)
+        out = []
+        for pos, s, e, c in zip(rows["pos"].tolist(), rows["s_ms"].tolist(), rows["e_ms"].tolist(), closes.tolist(), strict=True):
+            if first < 0:
+                first, start = pos, s
+            last, end = pos, e
+            if c:
+                out.append((key[0], sent, first, last, start, end))
+                sent, first = sent + 1, -1
+        state.update((sent, first, last, start, end))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame(out, columns=columns)
+
+    state = "sent bigint, first bigint, last bigint, start bigint, end bigint"
+    return words.withWatermark("ts", "10 minutes").groupBy("video_id").applyInPandasWithState(run, "video_id bigint, sent_id bigint, first_pos bigint, last_pos bigint, start_ms bigint, end_ms bigint", state, "append", "EventTimeTimeout")
+
+
+def retention(stats: DataFrame, days: int, now) -> DataFrame:
+    """Rows that the serving view still shows: those of the last ``days`` days before ``now``; sources are never deleted."""
+    return stats.where(F.col("created_at") >= now - F.expr(f"interval {days} days"))
