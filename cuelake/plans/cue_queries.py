@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cuelake.operators import gate, layout
 from cuelake.operators import words as W
 from cuelake.plans import bindings as B
+from cuelake.plans import spot_sql
 from cuelake.plans.bindings import with_ctes
 
 QUERIES, ORACLES = {}, {}
@@ -113,27 +114,27 @@ def split(spark, sf):
     return W.split_long(W.turn_groups(W.sentence_groups(B.words(spark, sf))))
 
 
-@query("w03_split_long")
+@query("w03_split_long", "words", f"with recursive {spot_sql.split_ctes(TURNS)} select video_id, first_pos, last_pos, start_ms, end_ms, chars, sentences, turn, dash from groups")
 def w03(spark, sf):
     return W.group_summaries(split(spark, sf)).select("video_id", "first_pos", "last_pos", "start_ms", "end_ms", "chars", "sentences", "turn", "dash")
 
 
-@query("w04_merge_short")
+@query("w04_merge_short", "words", f"with recursive {spot_sql.split_ctes(TURNS)}, {spot_sql.fold('shorts', 'groups', spot_sql.SHORT)} select {spot_sql.COLUMNS} from shorts")
 def w04(spark, sf):
     return W.merge_short(W.group_summaries(split(spark, sf)))
 
 
-@query("w05_merge_same_instant")
+@query("w05_merge_same_instant", "words", f"with recursive {spot_sql.split_ctes(TURNS)}, {spot_sql.fold('instants', 'groups', spot_sql.INSTANT)} select {spot_sql.COLUMNS} from instants")
 def w05(spark, sf):
     return W.merge_same_instant(W.group_summaries(split(spark, sf)))
 
 
-@query("w06_enforce_min_duration")
+@query("w06_enforce_min_duration", "words", f"with recursive {spot_sql.merged_ctes(TURNS)} select {spot_sql.COLUMNS} from floors")
 def w06(spark, sf):
     return W.enforce_min_duration(W.merge_same_instant(W.merge_short(W.group_summaries(split(spark, sf)))))
 
 
-@query("w10_spot_cues")
+@query("w10_spot_cues", "words videos", f"with recursive {spot_sql.spot_ctes(TURNS)}")
 def w10(spark, sf):
     return W.spot_cues(B.words(spark, sf), B.videos(spark, sf))
 
