@@ -280,7 +280,7 @@ def w16(spark, sf):
     return layout.request_bodies(layout.plan_chunks(B.cues(spark, sf)), B.cues(spark, sf))
 
 
-@query("p05_wrap_lines")
+@query("p05_wrap_lines", "segments", f"with {spot_sql.wrap_ctes('segments', 'video_id, pos')} select * from wrapped")
 def p05(spark, sf):
     return layout.wrap_lines(B.segments(spark, sf)).select("video_id", "pos", "wrapped")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelake.operators import batches, media, reflow
 from cuelake.plans import bindings as B
+from cuelake.plans import spot_sql
 from cuelake.plans.bindings import with_ctes
 from cuelake.sources import archive, tracks
 from cuelake.sources.streams import shared_folder
@@ -79,7 +80,16 @@ def k04(spark, sf):
     return reflow.choose_candidate(c).select("video_id", "pos", "choice", "fits")
 
 
-@query("k05_condensation_check")
+TOKENS = "list_filter(list_transform(regexp_split_to_array(trim(lower({0})), '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}'']', '', 'g')), lambda w: w <> '')"
+NEGATED = "len(list_filter({0}, lambda w: w in ('not', 'no', 'never', 'none', 'nobody', 'nothing') or w like '%n''t')) > 0"
+
+
+@query("k05_condensation_check", "segments", f"""
+with c as (select video_id, pos, text as a, case when pos % 5 = 0 then '' when pos % 5 = 1 then substr(text, 1, 25) else regexp_replace(text, '^\\S+\\s+', '') end as b from segments),
+w as (select *, {TOKENS.format("a")} as x, {TOKENS.format("b")} as y, regexp_extract(trim(a), '([.?!])["'')\\]]*$', 1) as ma, regexp_extract(trim(b), '([.?!])["'')\\]]*$', 1) as mb from c)
+select video_id, pos, case when trim(b) = '' then 'empty' when len(y) = 0 then 'no_words' when starts_with(a, '— ') and not starts_with(b, '— ') then 'lost_dash' when (ma = '?') <> (mb = '?') then 'changed_mark' when ma <> '' and mb = '' then 'lost_mark'
+  when len(list_filter(x, lambda t: regexp_matches(t, '[0-9]') and not list_contains(y, t))) > 0 then 'lost_number' when {NEGATED.format("x")} and not ({NEGATED.format("y")}) then 'lost_negation'
+  when y[-1] in ('the', 'a', 'an', 'of', 'to', 'and', 'or', 'but', 'in', 'on', 'at', 'for', 'with') then 'weak_end' end as reason from w""")
 def k05(spark, sf):
     c = B.segments(spark, sf).select("video_id", "pos", F.col("text").alias("original"), F.when(F.col("pos") % 5 == 0, "").when(F.col("pos") % 5 == 1, F.substring("text", 1, 25)).otherwise(F.regexp_replace("text", r"^\S+\s+", "")).alias("candidate"))
     return reflow.condensation_check(c).select("video_id", "pos", "reason")
@@ -283,7 +293,13 @@ def f04(spark, sf):
     return batches.measured(B.segments(spark, sf), level).select("video_id", "pos", "energy_db")
 
 
-@query("s10_write_ass_events")
+def ass_clock(ms: str) -> str:
+    cs = f"cast(round_even({ms} / 10.0::double, 0) as bigint)"
+    return f"printf('%d:%02d:%02d.%02d', {cs} // 360000, {cs} // 6000 % 60, {cs} // 100 % 60, {cs} % 100)"
+
+
+@query("s10_write_ass_events", "cues", f"""with {spot_sql.wrap_ctes("cues", "video_id, cue_id, start_ms, end_ms")}
+select video_id, cue_id, 'Dialogue: 0,' || {ass_clock("start_ms")} || ',' || {ass_clock("end_ms")} || ',Default,,0,0,0,,' || replace(translate(wrapped, '{{}}', '()'), chr(10), chr(92) || 'N') as line from wrapped""")
 def s10(spark, sf):
     from cuelake.operators.layout import wrap_lines
 

@@ -73,3 +73,18 @@ def spot_ctes(turns: str) -> str:
 ), led as (select *, greatest(least(greatest(e1, start_ms + 1200), coalesce(nxt, greatest(e1, start_ms + 1200))), start_ms + 40) as e2 from firsts)
 select l.video_id, l.cue_id, l.start_ms, case when duration_ms > 0 and e2 > duration_ms then greatest(duration_ms, l.start_ms + 40) else e2 end as end_ms, text, compromise, words, degenerate, degenerate_run, min_word_dur_ms
 from led l join stats using (video_id, cue_id) join videos using (video_id)"""
+
+
+def wrap_ctes(source: str, keys: str) -> str:
+    """CTE ``wrapped`` with the text of ``source`` in at most two scored lines, or wrapped greedily."""
+    top, bottom = "array_to_string(ws[1:i], ' ')", "array_to_string(ws[i + 1:], ' ')"
+    score = f"abs(length({top}) - length({bottom})) + case when length({top}) > length({bottom}) then 3 else 0 end - case when regexp_matches({top}, '[.?!]$') then 30 when regexp_matches({top}, '[,;:]$') then 12 else 0 end"
+    return f"""cut as (
+  select {keys}, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') as ws from {source}
+), joined as (select *, array_to_string(ws, ' ') as whole from cut
+), choice as (
+  select *, case when len(ws) > 1 and length(whole) <= 85 then list_min(list_filter(list_transform(range(1, len(ws)), lambda i: {{'score': {score}, 'i': i, 'top': {top}, 'bottom': {bottom}}}), lambda o: length(o.top) <= 42 and length(o.bottom) <= 42)) end as best from joined
+), wrapped as (
+  select {keys}, case when length(whole) <= 42 then whole when best is not null then best.top || chr(10) || best.bottom
+    else list_reduce(ws, lambda acc, w: acc || case when length(string_split(acc, chr(10))[-1]) + 1 + length(w) <= 42 then ' ' else chr(10) end || w) end as wrapped from choice
+)"""

@@ -38,7 +38,7 @@ def srt_plain_text(tracks: DataFrame) -> DataFrame:
 
 def write_ass_events(cues: DataFrame) -> DataFrame:
     """(video_id, cue_id, line): dialogue rows with braces neutralised and lines joined by ``\\N``; needs ``wrapped``."""
-    text = F.regexp_replace(F.translate("wrapped", "{}", "()"), r"\n", r"\\\\N")
+    text = F.regexp_replace(F.translate("wrapped", "{}", "()"), r"\n", r"\\N")
     line = F.concat(F.lit("Dialogue: 0,"), clock_ass(F.col("start_ms")), F.lit(","), clock_ass(F.col("end_ms")), F.lit(",Default,,0,0,0,,"), text)
     return cues.select("video_id", "cue_id", line.alias("line"))
 
