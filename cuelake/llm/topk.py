@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuelake.llm.common import arrow_schema, batch_of, materialize
-from cuelake.llm.vectors import matrix, packed, usable
+from cuelake.llm.vectors import packed, usable
 
 BUCKET, BLOCK, FOCUS, COORDINATES = 4096, 512, 4, 0.5
 SLACK = 1e-9
@@ -136,16 +136,12 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, bucket: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["dims", F.desc("norm2"), "vec_id"]
     ranged = candidates.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    packed_rows = materialize(_blocks(ranged, bucket), "buckets")
     by_length = Window.partitionBy("dims").orderBy(F.desc("longest"), "ids")
-    buckets = packed_rows.withColumn("number", F.row_number().over(by_length))
-    buckets = materialize(buckets, "buckets")
+    buckets = materialize(_blocks(ranged, bucket).withColumn("number", F.row_number().over(by_length)), "buckets")
     asked = materialize(_blocks(queries.repartitionByRange(parts, *order).sortWithinPartitions(*order), block), "queries")
-    none = F.col("ids")  # a floor of minus infinity for each query
-    first = buckets.where("number = 1").select("dims", F.col("ids").alias("ids"), "data")
-    q = asked.select("dims", F.col("longest").alias("q_longest"), none.alias("query_ids"), F.col("data").alias("queries"))
-    floors = _floors(q.join(first, "dims"), k)
-    floors = materialize(floors, "floors")
+    first = buckets.where("number = 1").select("dims", "ids", "data")
+    blocks = asked.select("dims", F.col("ids").alias("query_ids"), F.col("data").alias("queries"))
+    floors = materialize(_floors(blocks.join(first, "dims"), k), "floors")
     counts = buckets.groupBy("dims").agg(F.max("number").alias("n"))
     wanted = floors.join(counts, "dims").withColumn("number", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
     pairs = wanted.join(buckets.select("dims", "number", "longest", "ids", "data"), ["dims", "number"]).where(F.col("longest") >= F.col("need") - F.lit(SLACK))
@@ -156,6 +152,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, bucket: int =
 
 def _floors(pairs: DataFrame, k: int) -> DataFrame:
     """Query blocks with each query's k-th best score in the bucket of the longest, and the least length they need."""
+
     def run(batches):
         for b in batches:
             dims, q_ids_, q_, ids_, data_ = (b.column(x).to_pylist() for x in ("dims", "query_ids", "queries", "ids", "data"))
@@ -172,6 +169,3 @@ def _floors(pairs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([q_ids], pa.binary()), pa.array([q], pa.binary()), pa.array([floors.tobytes()], pa.binary()), pa.array([need], pa.float64())], names=["dims", "query_ids", "queries", "floors", "need"])
 
     return pairs.select("dims", "query_ids", "queries", "ids", "data").mapInArrow(run, "dims int, query_ids binary, queries binary, floors binary, need double")
-
-
-__all__ = ["integer_vectors", "matrix", "search", "top_k"]
