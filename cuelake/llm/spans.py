@@ -60,9 +60,26 @@ def runs_of(text: str, run: int = RUN, longest: int = LONGEST, min_words: int =
         yield (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), a, b
 
 
+def _block(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Runs of some texts; those that are not the first of their block are ``known`` repeats under a hash of their own."""
+    h1, h2, doc_id, first, last = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    order = np.lexsort((first, doc_id, h2, h1))
+    h1, h2, doc_id, first, last = (x[order] for x in (h1, h2, doc_id, first, last))
+    opens = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+    head = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+    known = (doc_id != doc_id[head]) | (first != first[head])
+    with np.errstate(over="ignore"):
+        own = (doc_id * np.int64(0x1E3779B97F4A7C15)) ^ (first * np.int64(0x3F58476D1CE4E5B9))
+    return batch_of(schema, h1=np.where(known, own, h1), h2=np.where(known, doc_id, h2), doc_id=doc_id, first=first, last=last, known=known)
+
+
 def spans(docs: DataFrame, run: int = RUN, longest: int = LONGEST, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h1, h2, doc_id, first, last): every run of every document, as word numbers first <= x < last."""
-    schema = arrow_schema("h1 long,h2 long,doc_id long,first int,last int")
+    """(h1, h2, doc_id, first, last, known): every run of every document, as word numbers first <= x < last.
+
+    Of equal runs in a block of texts only the first has to meet those of other blocks, so a run that a third of
+    the documents share is dealt over all tasks.
+    """
+    schema = arrow_schema("h1 long,h2 long,doc_id long,first int,last int,known boolean")
 
     def rows(batches):
         out: list[tuple] = []
@@ -71,12 +88,12 @@ def spans(docs: DataFrame, run: int = RUN, longest: int = LONGEST, min_words: in
                 for x in runs_of(text.as_py(), run, longest, min_words):
                     out.append((x[0], x[1], doc_id, x[2], x[3]))
                 if len(out) >= ROWS_OUT:
-                    yield batch_of(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
+                    yield _block(out, schema)
                     out = []
         if out:
-            yield batch_of(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
+            yield _block(out, schema)
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(rows, "h1 bigint, h2 bigint, doc_id bigint, first int, last int")
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(rows, "h1 bigint, h2 bigint, doc_id bigint, first int, last int, known boolean")
 
 
 def repeated(runs: DataFrame) -> DataFrame:
@@ -85,7 +102,7 @@ def repeated(runs: DataFrame) -> DataFrame:
     One shuffle by hash; equal places (a row that is there twice) share the first rank.
     """
     order = Window.partitionBy("h1", "h2").orderBy("doc_id", "first")
-    later = runs.withColumn("place", F.rank().over(order)).where("place > 1")
+    later = runs.withColumn("place", F.rank().over(order)).where("known or place > 1")
     return later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
