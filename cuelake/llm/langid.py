@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import arrow_schema, batch_of, slices
 
-BUCKETS, CHARS_AT_ONCE, MAX_MODEL_MB, UNKNOWN = 1 << 16, 1 << 20, 256, "und"
+BUCKETS, CHARS_AT_ONCE, MAX_MODEL_MB, UNKNOWN = 1 << 16, 1 << 18, 256, "und"
 #: n-grams that the posterior counts as at most; long texts would all score 1 otherwise
 EVIDENCE = 64
 
