@@ -12,9 +12,16 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def read_event_stream(spark: SparkSession, folder: str, schema: str = EVENTS, name: str = "events.parquet", files_per_batch: int = 1) -> DataFrame:
-    """A table of a folder as a stream of micro-batches; ``ts`` is event time."""
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(folder)
+def read_event_stream(spark: SparkSession, folder: str, schema: str = EVENTS, name: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
+    """A table of a folder, one file or a folder of part files, as a stream; ``ts`` is event time.
+
+    What is there at the start is one micro-batch, unless ``files_per_batch`` is given: files in no order of time, read
+    one after another, would leave rows behind the watermark.
+    """
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+    stream = source.parquet(f"{folder}/{name}*")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
