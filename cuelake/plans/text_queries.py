@@ -164,7 +164,7 @@ def p07(spark, sf):
 def hebrew(spark, sf):
     """Segments written in Hebrew letters, with quotes and marks put in by position."""
     t = F.translate(F.lower("text"), "abcdefghijklmnopqrstuv", "אבגדהוזחטיכלמנסעפצקרשת")
-    return B.segments(spark, sf).select("video_id", "pos", F.when(F.col("pos") % 3 == 0, F.concat(F.lit('"'), t, F.lit('" 12% OK'))).when(F.col("pos") % 3 == 1, F.concat(F.substring(t, 1, 2), F.lit('"'), F.substring(t, 3, 200))).otherwise(t).alias("text"))
+    return B.segments(spark, sf).select("video_id", "pos", F.when(F.col("pos") % 3 == 0, F.concat(F.lit('"'), t, F.lit('" 12% OK'))).when(F.col("pos") % 3 == 1, F.concat(F.substring(t, 1, 2), F.lit('"'), F.substr(t, F.lit(3)))).otherwise(t).alias("text"))
 
 
 @query("p08_mark_rtl")
