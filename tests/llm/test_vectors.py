@@ -1,8 +1,10 @@
 """Embedding near-dedup, exact top-k and HTML text against brute force and hand-made pages."""
 
+import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from cuelake.llm import htmltext, nndescent, topk
 from tests.llm.test_first import components
@@ -63,6 +65,25 @@ def test_topk_against_all_products(spark):
     assert topk.top_k(vectors.where("false"), vectors.where("false")).count() == 0
 
 
+def test_topk_of_large_values_and_repeated_rows(spark):
+    """Scores beyond 2**53 are exact, repeated rows count each, and scores beyond 64 bits are an error."""
+    r = random.Random(3)
+    rows = [(i, [r.randrange(-(1 << 30), 1 << 30) / 64.0 for _ in range(6)]) for i in range(150)]
+    rows += [rows[7], (300, rows[7][1]), (20, rows[9][1])]
+    frame = spark.createDataFrame([(i, v, 1, b"x") for i, v in rows], "vec_id long, embedding array<double>, dims int, vec binary")
+    vectors = topk.integer_vectors(frame)
+    got = topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=5, bucket=32, block=4).collect()
+    whole = [(i, [int(x * 64) for x in v]) for i, v in rows]
+    want = []
+    for i in {i for i, _ in whole if i % 20 == 0}:
+        scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for h, q in whole if h == i for j, v in whole if j != i)
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(scores[:5], 1)]
+    assert sorted(tuple(x) for x in got) == sorted(want)
+    huge = topk.integer_vectors(spark.createDataFrame([(0, [1e15]), (1, [1e15])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(huge, huge).collect()
+
+
 def test_html_layout():
     page = "<title>no</title><p>One<p>Two <b>bold</b>\n text<br>next<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><th>Name<th>Age<tr><td>Bo<td>3<tr><td>Longer name<td>44</table>tail<div style='display: none'>x</div><ol start=3><li>q<li>w</ol><pre> a\n  b</pre>&amp;&copy;<script>var a='</p>';</script><hr><blockquote>q<p>r</blockquote><dl><dt>t<dd>d</dl>"
     want = ["One", "", "Two bold text", "next", "", "- a", "- b", "", "  - c", "", "Name         Age", "Bo           3", "Longer name  44", "", "tail", "", "3. q", "4. w", "", " a", "  b", "", "&©", "---", "", "> q", ">", "> r", "", "t", "  d"]
