@@ -1,11 +1,19 @@
 """Words to cues: sentences, speaker turns, length splits, safe merges, lead-out.
 
-All steps keep one partitioning by ``video_id``; ordered merges fold over group summaries of one
-speech island (no pause of a merge's length inside), never over words, so arrays stay short.
+All steps keep one partitioning by ``video_id``.  Sentences and turns are windows; the length split is one pass
+over the words in order, and the ordered merges are one pass over group summaries, each linear, with one part
+or one group carried along.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import namedtuple
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,30 +79,68 @@ def turn_groups(sentences: DataFrame) -> DataFrame:
     return parts.withColumn("dash", opens_dash | after_dash).drop("__q", "__lagq", "__nextsent", "__nextpart")
 
 
-def split_long(parts: DataFrame, max_chars: int = MAX_CHARS, max_passes: int = 40) -> DataFrame:
+def cuts(ends: list[int], commas: list[int], opening: int, max_chars: int) -> list[tuple[int, str]]:
+    """(first word, path of halves) of each piece of a part; ``ends`` are running sums of characters with a space each."""
+    out, stack = [], [(0, len(ends), "")]
+    while stack:
+        low, high, path = stack.pop()
+        n = high - low
+        chars = ends[high - 1] - (ends[low - 1] if low else -opening) - 1
+        if n < 2 or chars <= max_chars:
+            out.append((low, path))
+            continue
+        middle = low + n // 2
+        k = bisect_right(commas, middle)
+        near = [c for c in commas[max(0, k - 1) : k + 1] if low <= c < high - 1]
+        at = min(near, key=lambda c: (abs(c - middle), c)) + 1 if near else middle
+        at = max(low + 1, min(at, high - 1))
+        stack += [(at, high, path + "b"), (low, at, path + "a")]
+    return out
+
+
+def split_long(parts: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """With group_id: parts over ``max_chars`` are halved at the comma nearest their middle word (the first on ties),
-    or at the middle, until none is; a single word stays.  Each pass is one set of windows over what the last one kept."""
-    was, df = None, parts.withColumn("group_id", F.col("part_id").cast("string"))
-    for _ in range(max_passes):
-        own = Window.partitionBy("video_id", "group_id")
-        order = own.orderBy("s_ms", "pos")
-        first_of_part = F.first("pos").over(Window.partitionBy("video_id", "part_id").orderBy("s_ms", "pos").rowsBetween(Window.unboundedPreceding, 0))
-        sized = df.withColumn("__i", F.row_number().over(order) - 1).withColumn("__n", F.count("*").over(own)).withColumn("__opening", F.min("pos").over(own) == first_of_part)
-        sized = sized.withColumn("__chars", F.sum(F.length("w") + 1).over(own) - 1 + F.when(F.col("dash") & F.col("__opening"), len(DASH)).otherwise(0))
-        middle = F.floor(F.col("__n") / 2)
-        comma = F.when(F.col("w").endswith(",") & (F.col("__i") < F.col("__n") - 1), F.struct(F.abs(F.col("__i") - middle).alias("far"), F.col("__i").alias("at")))
-        sized = sized.withColumn("__comma", F.min(comma).over(own))
-        cut = F.greatest(F.lit(1), F.least(F.coalesce(F.col("__comma.at") + 1, middle), F.col("__n") - 1))
-        long = (F.col("__n") > 1) & (F.col("__chars") > max_chars)
-        df = sized.withColumn("__long", long).withColumn("group_id", F.when(long, F.concat("group_id", F.when(F.col("__i") < cut, "a").otherwise("b"))).otherwise(F.col("group_id")))
-        df = df.drop("__i", "__n", "__opening", "__chars", "__comma").persist()
-        more = df.where("__long").count()
-        if was is not None:
-            was.unpersist()
-        was, df = df, df.drop("__long")
-        if not more:
-            return df
-    raise RuntimeError("a part did not split within the passes")
+    or at the middle, until none is; a single word stays.
+
+    One pass over the words of a video in order; only the words of the last part are carried from batch to batch.
+    """
+    sized = parts.withColumn("__n", F.length("w") + 1).withColumn("__comma", F.col("w").endswith(","))
+    ordered = sized.repartition("video_id").sortWithinPartitions("video_id", "s_ms", "pos")
+    video, part, dash, size, comma = (ordered.columns.index(x) for x in ("video_id", "part_id", "dash", "__n", "__comma"))
+
+    def named(t: pa.RecordBatch) -> pa.RecordBatch:
+        ids = t.column(part).to_numpy()
+        videos = t.column(video).dictionary_encode().indices.fill_null(-1).to_numpy()
+        opens = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (videos[1:] != videos[:-1])]))
+        sizes, commas, dashes = (t.column(k).to_numpy(zero_copy_only=False) for k in (size, comma, dash))
+        stops = np.append(opens[1:], len(ids))
+        names = ids.astype(str).astype(object)
+        opening = np.where(dashes[opens], len(DASH), 0)
+        for k in np.flatnonzero(np.add.reduceat(sizes, opens) - 1 + opening > max_chars):
+            p, q = opens[k], stops[k]
+            found = cuts(np.cumsum(sizes[p:q]).tolist(), np.flatnonzero(commas[p:q]).tolist(), int(opening[k]), max_chars)
+            for (low, path), high in zip(found, [x for x, _ in found[1:]] + [q - p], strict=True):
+                names[p + low : p + high] += path
+        return pa.RecordBatch.from_arrays([*t.columns[:-2], pa.array(names, pa.string())], names=[*t.schema.names[:-2], "group_id"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            ids, videos = b.column(part), b.column(video)
+            last = b.num_rows - 1
+            first = last
+            while first and ids[first - 1] == ids[last] and videos[first - 1] == videos[last]:
+                first -= 1
+            held = b.slice(first)
+            if first:
+                yield named(b.slice(0, first))
+        if held is not None:
+            yield named(held)
+
+    return ordered.mapInArrow(run, parts.withColumn("group_id", F.lit("")).schema)
 
 
 def group_summaries(words: DataFrame) -> DataFrame:
@@ -115,66 +161,101 @@ def group_summaries(words: DataFrame) -> DataFrame:
     return out.withColumn("chars", F.col("chars") + F.when(F.col("dash"), len(DASH)).otherwise(0))
 
 
-_FIELDS = ("start_ms", "end_ms", "chars", "sentences", "ends_q", "turn", "dash", "first_pos", "last_pos", "compromise")
+_FIELDS = ("video_id", "start_ms", "end_ms", "chars", "sentences", "ends_q", "turn", "dash", "first_pos", "last_pos", "compromise")
+Group = namedtuple("Group", _FIELDS)
 
 
-def _can_merge(prev: Column, g: Column, max_chars: int) -> Column:
-    gap = min(MERGE_GAP_MS, TURN_GAP_MS)
+def can_merge(prev: Group, g: Group, max_chars: int) -> bool:
+    """Whether a group may join the one before: size, duration, silence, no question before it, no turn, one sentence so far."""
     return (
-        (prev["chars"] + 1 + g["chars"] <= max_chars)
-        & (g["end_ms"] - prev["start_ms"] <= MAX_CUE_MS)
-        & (g["start_ms"] - prev["end_ms"] <= gap)
-        & ~prev["ends_q"]
-        & ~g["turn"]
-        & (prev["sentences"] < 2)
+        prev.chars + 1 + g.chars <= max_chars
+        and g.end_ms - prev.start_ms <= MAX_CUE_MS
+        and g.start_ms - prev.end_ms <= min(MERGE_GAP_MS, TURN_GAP_MS)
+        and not prev.ends_q
+        and not g.turn
+        and prev.sentences < 2
     )
 
 
-def _join(prev: Column, g: Column) -> Column:
-    chars = prev["chars"] + 1 + g["chars"] - F.when(g["dash"], len(DASH)).otherwise(0)
-    values = (prev["start_ms"], g["end_ms"], chars, prev["sentences"] + g["sentences"], g["ends_q"], prev["turn"], prev["dash"], prev["first_pos"], g["last_pos"], prev["compromise"])
-    return F.struct(*(v.alias(n) for v, n in zip(values, _FIELDS, strict=True)))
+def _join(prev: Group, g: Group) -> Group:
+    chars = prev.chars + 1 + g.chars - (len(DASH) if g.dash else 0)
+    return prev._replace(end_ms=g.end_ms, chars=chars, sentences=prev.sentences + g.sentences, ends_q=g.ends_q, last_pos=g.last_pos)
+
+
+def fold(groups: Iterator[Group], merges, crowds=None) -> Iterator[Group]:
+    """Groups in order, each joined to the last kept one of its video where ``merges(last, group)``.
+
+    A kept group that the next one ``crowds`` is a compromise.
+    """
+    last = None
+    for g in groups:
+        if last is not None and last.video_id == g.video_id:
+            if merges(last, g):
+                last = _join(last, g)
+                continue
+            if crowds is not None and crowds(last, g):
+                last = last._replace(compromise=True)
+        if last is not None:
+            yield last
+        last = g
+    if last is not None:
+        yield last
+
 
+def _folded(groups: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Groups after one fold for each rule, all in one pass over a video's groups in order."""
+    flagged = groups if "compromise" in groups.columns else groups.withColumn("compromise", F.lit(False))
+    ordered = flagged.select(*_FIELDS).repartition("video_id").sortWithinPartitions("video_id", "start_ms", "first_pos")
 
-def _flagged(x: Column, flag: Column) -> Column:
-    return F.struct(*(x[n].alias(n) if n != "compromise" else flag.alias(n) for n in _FIELDS))
+    def run(batches):
+        schema = None
 
+        def rows():
+            nonlocal schema
+            for b in batches:
+                schema = b.schema
+                yield from map(Group._make, zip(*(c.to_pylist() for c in b.columns), strict=True))
 
-def _fold(groups: DataFrame, merges, keeps=None) -> DataFrame:
-    """Fold the groups of each island in order: ``merges(last, g)`` joins g to the last kept group."""
-    order = _video().orderBy("start_ms", "first_pos")
-    # an island ends where neither a merge nor the floor can look back: a silence over the merge gap and over the cue floor
-    far = (F.col("start_ms") - F.lag("end_ms").over(order) > max(MERGE_GAP_MS, MIN_CUE_MS)) & (F.col("start_ms") - F.lag("start_ms").over(order) > MAX_CUE_MS)
-    with_flag = groups if "compromise" in groups.columns else groups.withColumn("compromise", F.lit(False))
-    islands = with_flag.withColumn("__far", F.coalesce(far, F.lit(False))).withColumn("__island", _running(F.col("__far"), order))
-    items = F.array_sort(F.collect_list(F.struct(F.col("start_ms").alias("k"), F.col("first_pos").alias("p"), F.struct(*_FIELDS).alias("g"))))
-    gathered = islands.groupBy("video_id", "__island").agg(items.alias("items"))
-    state = F.struct(F.slice("items", 1, 0).alias("done"), F.element_at("items", 1).alias("last"))
+        out = rows()
+        for rule in rules:
+            out = fold(out, *rule)
+        while part := list(islice(out, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
-    def step(acc: Column, x: Column) -> Column:
-        last, g = acc["last"]["g"], x["g"]
-        joined = F.struct(acc["last"]["k"].alias("k"), acc["last"]["p"].alias("p"), _join(last, g).alias("g"))
-        kept = acc["last"] if keeps is None else F.struct(acc["last"]["k"].alias("k"), acc["last"]["p"].alias("p"), _flagged(last, last["compromise"] | keeps(last, g)).alias("g"))
-        return F.when(merges(last, g), F.struct(acc["done"].alias("done"), joined.alias("last"))).otherwise(F.struct(F.concat(acc["done"], F.array(kept)).alias("done"), x.alias("last")))
+    return ordered.mapInArrow(run, ordered.schema)
 
-    folded = gathered.select("video_id", F.aggregate(F.slice("items", 2, 1_000_000_000), state, step, lambda acc: F.concat(acc["done"], F.array(acc["last"]))).alias("out"))
-    return folded.select("video_id", F.explode("out").alias("x")).select("video_id", *(F.col(f"x.g.{n}").alias(n) for n in _FIELDS))
+
+def _short(max_chars: int) -> tuple:
+    return (lambda p, g: g.end_ms - g.start_ms < MIN_CUE_MS and can_merge(p, g, max_chars),)
+
+
+def _instant() -> tuple:
+    return (lambda p, g: g.start_ms - p.start_ms < MIN_VISIBLE_MS,)
+
+
+def _floor(max_chars: int) -> tuple:
+    crowds = lambda p, g: g.start_ms - p.start_ms < MIN_CUE_MS
+    return (lambda p, g: crowds(p, g) and can_merge(p, g, max_chars), crowds)
 
 
 def merge_short(groups: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """A group under 1.2 s joins the one before where that is safe."""
-    return _fold(groups, lambda p, g: (g["end_ms"] - g["start_ms"] < MIN_CUE_MS) & _can_merge(p, g, max_chars))
+    return _folded(groups, [_short(max_chars)])
 
 
 def merge_same_instant(groups: DataFrame) -> DataFrame:
     """A group that starts under 40 ms after the start of the one before joins it."""
-    return _fold(groups, lambda p, g: g["start_ms"] - p["start_ms"] < MIN_VISIBLE_MS)
+    return _folded(groups, [_instant()])
 
 
 def enforce_min_duration(groups: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """A group that starts under 1.2 s after the one before joins it where that is safe; else that one is a ``compromise``."""
-    crowds = lambda p, g: g["start_ms"] - p["start_ms"] < MIN_CUE_MS
-    return _fold(groups, lambda p, g: crowds(p, g) & _can_merge(p, g, max_chars), crowds)
+    return _folded(groups, [_floor(max_chars)])
+
+
+def merge_groups(groups: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """The three merges in order, in one pass."""
+    return _folded(groups, [_short(max_chars), _instant(), _floor(max_chars)])
 
 
 def attach_words(words: DataFrame, groups: DataFrame) -> DataFrame:
@@ -226,6 +307,6 @@ def cues_of(words: DataFrame, dashed: bool = True) -> DataFrame:
 def spot_cues(words: DataFrame, videos: DataFrame | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
     """Words to timed cues: every step in order, then lead-out and the video's end."""
     split = split_long(turn_groups(sentence_groups(words)), max_chars)
-    groups = enforce_min_duration(merge_same_instant(merge_short(group_summaries(split), max_chars)), max_chars)
+    groups = merge_groups(group_summaries(split), max_chars)
     cues = lead_out(cues_of(attach_words(split, groups)))
     return cues if videos is None else clamp_to_end(cues, videos)
