@@ -13,21 +13,55 @@ def is_status(name: str) -> Column:
 
 
 def latest_per_task(stats: DataFrame) -> DataFrame:
-    """Keyed store: rows without a task go, the latest row of a task wins; adds ``date``."""
-    order = Window.partitionBy("task_id").orderBy(F.desc("created_at"))
-    kept = stats.where("task_id is not null").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """Keyed store: rows without a task go, the latest row of a task wins (ties: the greatest of its other values); adds ``date``.
+
+    A row without ``created_at`` is taken to be of now.
+    """
+    rest = sorted(c for c in stats.columns if c not in ("task_id", "created_at") and stats.schema[c].dataType.typeName() != "map")
+    order = Window.partitionBy("task_id").orderBy(F.desc("created_at"), *(F.desc(c) for c in rest))
+    kept = stats.withColumn("created_at", F.coalesce("created_at", F.current_timestamp().cast(stats.schema["created_at"].dataType))).where("task_id is not null").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
     return kept.withColumn("date", F.to_date("created_at"))
 
 
+def _added(acc: Column, x: Column) -> Column:
+    """Counts by name with one more entry added to its name's."""
+    known = F.exists(acc, lambda y: y["k"] == x["k"])
+    grown = F.transform(acc, lambda y: F.struct(y["k"].alias("k"), F.when(y["k"] == x["k"], y["n"] + x["n"]).otherwise(y["n"]).alias("n")))
+    return F.when(known, grown).otherwise(F.concat(acc, F.array(x)))
+
+
+def stats_by_task(stats: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Rows of the tasks in a table of task_id."""
+    return stats.join(tasks.select("task_id"), "task_id", "left_semi").select(stats.columns)
+
+
+def stats_by_date(stats: DataFrame, first: str, last: str) -> DataFrame:
+    """Rows of the days from first to last; on the keyed store only those days are read."""
+    date = F.col("date") if "date" in stats.columns else F.to_date("created_at")
+    return stats.where(date.between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
+
+
+def stats_by_model(stats: DataFrame, models: list[str], limit: int | None = None) -> DataFrame:
+    """Rows of some models, newest first; with a limit that many of each model, ties by task."""
+    own = stats.where(F.col("transcription_model").isin(*models))
+    if limit is None:
+        return own
+    order = Window.partitionBy("transcription_model").orderBy(F.desc("created_at"), "task_id")
+    return own.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
+
+
 def daily_summary(stats: DataFrame) -> DataFrame:
     """Per date: totals, cost, time, average over all rows, and counts by model and by service as maps (null model: unknown)."""
-    df = stats.withColumn("date", F.to_date("created_at")).withColumn("model", F.coalesce("transcription_model", F.lit("unknown")))
-    sums = df.groupBy("date").agg(
-        F.count("*").alias("total"), F.count_if(is_status("success")).alias("succeeded"), F.count_if(is_status("failure")).alias("failed"),
-        F.round(F.sum("translation_cost_usd"), 4).alias("cost_usd"), F.round(F.sum("total_duration"), 2).alias("total_time"), F.round(F.sum("total_duration") / F.count("*"), 2).alias("avg_time"),
+    df = stats.select(F.to_date("created_at").alias("date"), F.coalesce("transcription_model", F.lit("unknown")).alias("model"), "translation_service", "status", "translation_cost_usd", "total_duration")
+    parts = df.groupBy("date", "model", "translation_service").agg(
+        F.count("*").alias("n"), F.count_if(is_status("success")).alias("ok"), F.count_if(is_status("failure")).alias("bad"), F.sum("translation_cost_usd").alias("cost"), F.sum("total_duration").alias("time")
+    )  # one scan; a day has few of these
+    counts = lambda col: F.map_from_entries(F.array_sort(F.aggregate(F.collect_list(F.struct(F.col(col).alias("k"), "n")), F.expr("cast(array() as array<struct<k:string,n:bigint>>)"), _added)))
+    return parts.groupBy("date").agg(
+        F.sum("n").alias("total"), F.sum("ok").alias("succeeded"), F.sum("bad").alias("failed"),
+        F.round(F.sum("cost"), 4).alias("cost_usd"), F.round(F.sum("time"), 2).alias("total_time"), F.round(F.sum("time") / F.sum("n"), 2).alias("avg_time"),
+        counts("model").alias("by_model"), counts("translation_service").alias("by_translation_service"),
     )
-    counts = lambda col: df.groupBy("date", col).agg(F.count("*").alias("n")).groupBy("date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(col, "n")))).alias(f"by_{col}"))
-    return sums.join(counts("model"), "date").join(counts("translation_service"), "date")
 
 
 def model_performance(stats: DataFrame, days: int | None = None) -> DataFrame:
@@ -116,10 +150,10 @@ def concurrency(intervals: DataFrame, key: str) -> DataFrame:
 
 
 def redeem_tokens(issues: DataFrame, uses: DataFrame, life_s: int = 300) -> DataFrame:
-    """Each use's verdict: invalid (no such token), used (not the first use), expired (later than its life) or ok."""
-    order = Window.partitionBy("token").orderBy("ts", "use_id")
-    df = uses.withColumn("__n", F.row_number().over(order)).join(issues.select("token", F.col("ts").alias("issued")), "token", "left")
-    verdict = F.when(F.col("issued").isNull(), "invalid").when(F.col("__n") > 1, "used").when(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("issued").cast("timestamp")) > life_s * 1_000_000, "expired").otherwise("ok")
+    """Each use's verdict: invalid (no such token at the time), used (not the first use), expired (later than its life) or ok."""
+    df = uses.join(issues.select("token", F.col("ts").alias("issued")), "token", "left").withColumn("__live", F.coalesce(F.col("ts") >= F.col("issued"), F.lit(False)))
+    df = df.withColumn("__n", F.row_number().over(Window.partitionBy("token", "__live").orderBy("ts", "use_id")))
+    verdict = F.when(~F.col("__live"), "invalid").when(F.col("__n") > 1, "used").when(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("issued").cast("timestamp")) > life_s * 1_000_000, "expired").otherwise("ok")
     return df.select("use_id", "token", verdict.alias("verdict"))
 
 
@@ -129,9 +163,29 @@ def token_status(tokens: DataFrame, now: Column, life_s: int = 300) -> DataFrame
     return tokens.agg(F.count("*").alias("total"), F.count_if(old).alias("expired"), F.count_if(F.col("used") & ~old).alias("used"), F.count_if(~F.col("used") & ~old).alias("active"))
 
 
-def usage_rollup(calls: DataFrame) -> DataFrame:
-    """Tokens and requests by run, stage and model with subtotals; calls without a reply are counted apart."""
-    return calls.rollup("run_id", "stage", "model").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("requests"), F.count_if(F.col("error").isNotNull()).alias("unanswered"))
+def call_cost(rates: dict[str, tuple[float, float]], default: str) -> Column:
+    """Dollars of a call (model, prompt_tokens, completion_tokens) at rates per million tokens in and out; unknown models cost the default's."""
+    pairs = F.create_map(*(F.lit(x) for name, (a, b) in rates.items() for x in (name, F.array(F.lit(float(a)), F.lit(float(b))))))
+    rate = F.coalesce(F.try_element_at(pairs, F.coalesce("model", F.lit(default))), F.array(*(F.lit(float(x)) for x in rates[default])))
+    return F.coalesce("prompt_tokens", F.lit(0)) / 1_000_000 * rate[0] + F.coalesce("completion_tokens", F.lit(0)) / 1_000_000 * rate[1]
+
+
+def usage_rollup(calls: DataFrame, rates: dict[str, tuple[float, float]], default: str) -> DataFrame:
+    """Tokens in and out, requests and cost by run, stage and model with subtotals; calls without a reply are counted apart."""
+    priced = calls.withColumn("__cost", call_cost(rates, default))
+    return priced.rollup("run_id", "stage", "model").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.count("*").alias("requests"), F.count_if(F.col("error").isNotNull()).alias("unanswered"), F.round(F.sum(F.col("__cost").cast("decimal(20,10)")), 6).cast("double").alias("cost_usd"))
+
+
+def error_frequency(logs: DataFrame, now: Column, hours: int = 1, pattern: str = "ERROR|CRITICAL|Exception") -> DataFrame:
+    """(line, n) of the lines (ts, line) of the last hours before ``now`` that report an error."""
+    recent = (F.col("ts") > now - F.make_interval(hours=F.lit(hours))) & (F.col("ts") <= now)
+    return logs.where(recent & F.col("line").rlike(pattern)).groupBy("line").agg(F.count("*").alias("n"))
+
+
+def ranked(df: DataFrame, group: str, by: str, tie: str, most: int | None = None) -> DataFrame:
+    """``rank`` within the group by falling ``by``, ties by rising ``tie``; at most ``most`` of each: longest or newest first."""
+    out = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(by), tie)))
+    return out if most is None else out.where(F.col("rank") <= most)
 
 
 def budget_windows(usage: DataFrame, width: str = "1 minute", token_limit: int = 20_000, request_limit: int = 60) -> DataFrame:

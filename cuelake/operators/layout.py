@@ -103,7 +103,7 @@ def request_bodies(chunks: DataFrame, cues: DataFrame) -> DataFrame:
     return chunks.join(body, ["video_id", "chunk"]).select("video_id", "chunk", ids.alias("ids"), "body")
 
 
-def wrap_lines(cues: DataFrame, text_col: str = "text", limit: int = LINE_CHARS) -> DataFrame:
+def wrap_lines(cues: DataFrame, text_col: str = "text", limit: int | Column = LINE_CHARS) -> DataFrame:
     """``wrapped``: at most two lines, split where the score (imbalance, -30 after a stop, -12 after a comma, +3 top-heavy)
     is least, the first on ties; a text without a fitting split is wrapped greedily."""
     words = F.filter(F.split(F.trim(F.col(text_col)), r"\s+"), lambda x: x != "")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuelake.functions.timedtext import DASH
+
 # The bound prefixes of Hebrew and the limits of the move.
 PREFIXES, MAX_GAP_MS, MAX_CHARS = "ושהבלכמ", 1500, 84
 
@@ -38,34 +43,47 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor(F.regexp_count(text, F.lit(r"\S+")) * 13 / 10)
 
 
-def _halve(df: DataFrame, limit: int, passes: int) -> DataFrame:
-    """Batches (column ``path``) over the limit are halved, at most ``passes`` times."""
-    for _ in range(passes):
-        own = Window.partitionBy("video_id", "path")
-        sized = df.withColumn("__n", F.count("*").over(own)).withColumn("__sum", F.sum("tokens").over(own)).withColumn("__i", F.row_number().over(own.orderBy("pos")) - 1)
-        long = (F.col("__n") > 1) & (F.col("__sum") > limit)
-        df = sized.withColumn("path", F.when(long, F.concat("path", F.when(F.col("__i") < F.floor(F.col("__n") / 2), "a").otherwise("b"))).otherwise(F.col("path"))).drop("__n", "__sum", "__i")
-    return df
+def halves(tokens: list[int], low: int, high: int, limit: int) -> list[int]:
+    """Starts of the parts of tokens[low:high], halved while they hold more than one segment and more than the limit."""
+    sums = [0, *accumulate(tokens[low:high])]
+    out, stack = [], [(low, high)]
+    while stack:
+        a, b = stack.pop()
+        if b - a > 1 and sums[b - low] - sums[a - low] > limit:
+            middle = a + (b - a) // 2
+            stack += [(middle, b), (a, middle)]
+        else:
+            out.append(a)
+    return out
+
 
+def _batched(segments: DataFrame, limit: int, size: int | None) -> DataFrame:
+    """With tokens, batch and oversize; a video's numbers of tokens are gathered, never its texts."""
 
-def _numbered(df: DataFrame, limit: int) -> DataFrame:
-    order = Window.partitionBy("video_id").orderBy("pos")
-    opens = F.coalesce(F.lag("path").over(order) != F.col("path"), F.lit(True))
-    df = df.withColumn("__opens", opens.cast("int")).withColumn("batch", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return df.withColumn("oversize", F.col("tokens") > limit).drop("__opens", "path")
+    @F.pandas_udf("array<int>")
+    def numbers(lists: pd.Series) -> pd.Series:
+        out = []
+        for own in lists:
+            own = [int(x) for x in own]
+            starts = [k for low in range(0, len(own), size or max(1, len(own))) for k in halves(own, low, min(len(own), low + (size or len(own))), limit)]
+            out.append([k for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(own)], strict=True)) for _ in range(a, b)])
+        return pd.Series(out)
+
+    df = segments.withColumn("tokens", estimated_tokens(F.col("text")))
+    rows = df.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("rows"))
+    batch = rows.select("video_id", F.explode(F.arrays_zip(F.col("rows.pos").alias("pos"), numbers("rows.tokens").alias("batch"))).alias("x"))
+    named = batch.select("video_id", "x.pos", F.col("x.batch").cast("bigint").alias("batch"))
+    return df.join(named, ["video_id", "pos"]).withColumn("oversize", F.col("tokens") > limit)
 
 
 def batch_by_count(segments: DataFrame, size: int = 20, max_tokens: int = 5000) -> DataFrame:
     """``segments`` with tokens, batch and oversize: batches of ``size``, halved while over the token limit."""
-    order = Window.partitionBy("video_id").orderBy("pos")
-    df = segments.withColumn("tokens", estimated_tokens(F.col("text"))).withColumn("path", F.floor((F.row_number().over(order) - 1) / size).cast("string"))
-    return _numbered(_halve(df, max_tokens, max(1, (size - 1).bit_length())), max_tokens)
+    return _batched(segments, max_tokens, size)
 
 
-def batch_by_tokens(segments: DataFrame, max_tokens: int, passes: int = 14) -> DataFrame:
+def batch_by_tokens(segments: DataFrame, max_tokens: int) -> DataFrame:
     """The whole list of a video is halved until each part is within the limit (or one segment)."""
-    df = segments.withColumn("tokens", estimated_tokens(F.col("text"))).withColumn("path", F.lit("r"))
-    return _numbered(_halve(df, max_tokens, passes), max_tokens)
+    return _batched(segments, max_tokens, None)
 
 
 def choose_candidate(cues: DataFrame) -> DataFrame:
@@ -78,30 +96,73 @@ def choose_candidate(cues: DataFrame) -> DataFrame:
     return cues.withColumn("fits", F.coalesce(fitting["n"], shortest["n"]) <= F.col("limit")).withColumn("choice", F.coalesce(fitting["x"], shortest["x"]))
 
 
-# English words that a shortened line may not lose or end with.
-NEGATIONS, WEAK_ENDS = ("not", "no", "never", "none", "nobody", "nothing"), ("the", "a", "an", "of", "to", "and", "or", "but", "in", "on", "at", "for", "with")
+# Marks, and the words that a shortened line may lose, may never lose, or may not end with.
+STRIPPED, FINAL_MARKS, CLOSING_MARKS, POINTS = " \t\r\n.,!?;:…\"'()[]{}«»„“”‘’-–—״׳", ".?!…", ".?!…,:;", "[\u0591-\u05c7]"
+MAY_GO = tuple("""
+    אה אהה אמ המ הא נו ובכן טוב אוקיי אוקי הנה כאילו בעצם פשוט ממש מאוד די לגמרי
+    כמובן למעשה בכלל הרי בערך כמעט בעצם אז גם רק עוד כבר הכי יותר פחות כך ככה
+    היי הי אוי אויה וואו וואי אופס הופ יאללה אוף
+    זה זו זאת הזה הזאת הזו אלה האלה הללו
+    היה הייתה היתה היו יהיה תהיה
+    אני אתה את הוא היא אנחנו אתם אתן הם הן
+    אותי אותך אותו אותה אותנו אותם אותן
+    לי לך לו לה לנו להם להן
+    מזה בזה לזה כזה לכך בכך מכך
+    עליו עליה עליהם ממנו ממנה מהם אליו אליה אליהם בו בה בהם
+    ו ש כי אם אבל או אשר כדי של עם על אל מן כן נכון
+    uh um er ah oh hey well okay ok like you know i mean so right yeah
+    a an the is are was were that this it
+""".split())
+MUST_STAY = tuple("""
+    לא אין בלי ללא לעולם מעולם לאו אינו אינה אינם אינן
+    עצמי עצמך עצמו עצמה עצמנו עצמכם עצמכן עצמם עצמן
+    not no never none without
+""".split())
+WEAK_ENDS = tuple("""
+    של את עם על אל מן אצל בין מול תחת לפי לגבי בגלל למרות כמו אחרי לפני
+    כי אם אבל או אשר כדי כאשר ו ש הכי
+    of to in on at by for with from and or but that which the a an
+""".split())
+CONJUNCTION = "ו"
+
+
+def compared_words(text: Column) -> Column:
+    """Words of a text as they are compared: lower case, without Hebrew points and without marks at either end."""
+    bare = lambda w: F.lower(F.regexp_replace(F.btrim(w, F.lit(STRIPPED)), POINTS, ""))
+    return F.filter(F.transform(F.split(F.trim(text), r"(?U)\s+"), bare), lambda w: w != "")
+
+
+def _has(words: Column, word: Column) -> Column:
+    """Whether a word is among others, with or without the conjunction in front of either."""
+    joined = F.concat(F.lit(CONJUNCTION), word)
+    return F.exists(words, lambda w: (w == word) | (w == joined) | (F.concat(F.lit(CONJUNCTION), w) == word))
 
 
 def condensation_check(df: DataFrame, original: str = "original", candidate: str = "candidate") -> DataFrame:
-    """``reason``: the first rule a shortened text breaks (English rules), or null."""
-    words = lambda c: F.filter(F.transform(F.split(F.trim(F.lower(F.col(c))), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}']", "")), lambda w: w != "")
-    d = df.withColumn("__o", words(original)).withColumn("__c", words(candidate))
-    mark = lambda c: F.regexp_extract(F.trim(F.col(c)), r"([.?!])[\"')\]]*$", 1)
-    numbers = F.filter("__o", lambda w: w.rlike("[0-9]"))
-    lost = F.exists(numbers, lambda w: ~F.array_contains("__c", w))
-    negated = F.exists("__o", lambda w: w.isin(*NEGATIONS) | w.endswith("n't"))
-    still = F.exists("__c", lambda w: w.isin(*NEGATIONS) | w.endswith("n't"))
+    """``reason``: the first rule a shortened text breaks, or null.
+
+    In order: it is empty, has no words, lost the dash, ends with another final mark, lost its closing mark, lost the last
+    word that says something, lost a number, lost a negation or reflexive, ends on a word that can't end a line.
+    """
+    o, c = F.trim(F.coalesce(F.col(original), F.lit(""))), F.trim(F.coalesce(F.col(candidate), F.lit("")))
+    d = df.withColumn("__o", o).withColumn("__c", c).withColumn("__x", compared_words(F.col("__o"))).withColumn("__y", compared_words(F.col("__c")))
+    o, c, x, y = (F.col(k) for k in ("__o", "__c", "__x", "__y"))
+    end, own = F.right(o, F.lit(1)), F.right(c, F.lit(1))
+    of = lambda mark, marks: (mark != "") & F.lit(marks).contains(mark)
+    content = F.element_at(F.filter(x, lambda w: ~w.isin(*MAY_GO)), -1)
+    content = F.when(F.exists(x, lambda w: ~w.isin(*MAY_GO)), content)
+    lost = F.filter(x, lambda w: (w.isin(*MUST_STAY) | w.rlike(r"\p{Nd}")) & ~_has(y, w))
     reason = (
-        F.when(F.trim(F.coalesce(F.col(candidate), F.lit(""))) == "", "empty")
-        .when(F.size("__c") == 0, "no_words")
-        .when(F.col(original).startswith("— ") & ~F.col(candidate).startswith("— "), "lost_dash")
-        .when((mark(original) == "?") != (mark(candidate) == "?"), "changed_mark")
-        .when((mark(original) != "") & (mark(candidate) == ""), "lost_mark")
-        .when(lost, "lost_number")
-        .when(negated & ~still, "lost_negation")
-        .when(F.element_at("__c", -1).isin(*WEAK_ENDS), "weak_end")
+        F.when(c == "", "empty")
+        .when(F.size(y) == 0, "no_words")
+        .when(o.startswith(DASH) & ~c.startswith(DASH), "lost_dash")
+        .when(of(end, FINAL_MARKS) & (own != end) & ~((end == "…") & of(own, FINAL_MARKS)), "changed_mark")
+        .when(of(end, CLOSING_MARKS) & ~of(own, CLOSING_MARKS), "lost_mark")
+        .when(content.isNotNull() & ~_has(y, content), "lost_content")
+        .when(F.size(lost) > 0, F.when(F.get(lost, F.lit(0)).rlike(r"\p{Nd}"), "lost_number").otherwise("lost_negation"))
+        .when(F.element_at(y, -1).isin(*WEAK_ENDS), "weak_end")
     )
-    return d.withColumn("reason", reason).drop("__o", "__c")
+    return d.withColumn("reason", reason).drop("__o", "__c", "__x", "__y")
 
 
 def transfer_speed(transfer: DataFrame, alpha: float = 0.3, min_interval_us: int = 2_000_000) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 # Fixed values that results must share.
 TRUE_WORDS, FALSE_WORDS, STYLES = ("true", "1", "yes", "on", "t", "y"), ("false", "0", "no", "off", "f", "n", "none", "null", ""), ("clean", "faithful")
+PRIMERS = ("he", "en")
 LANGUAGES = [("en", "English", False), ("he", "Hebrew", True), ("ar", "Arabic", True), ("es", "Spanish", False), ("fr", "French", False), ("de", "German", False), ("it", "Italian", False), ("pt", "Portuguese", False), ("ru", "Russian", False), ("ja", "Japanese", False), ("ko", "Korean", False), ("zh", "Chinese", False), ("tr", "Turkish", False)]
 
 
@@ -85,9 +87,25 @@ def classify_errors(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("code", code).withColumn("reason", reason).withColumn("retryable", has("429", "5[0-9][0-9]", "timeout", "connection"))
 
 
+def base_code(code: Column) -> Column:
+    """The language of ``xx-YY`` or ``xx_YY``."""
+    return F.element_at(F.split(F.replace(F.lower(F.trim(code)), F.lit("_"), F.lit("-")), "-"), 1)
+
+
+def same_language(a: Column, b: Column) -> Column:
+    """Whether two codes name one known language; ``auto``, null and unknown codes match nothing."""
+    return F.coalesce((base_code(a) == base_code(b)) & base_code(a).isin(*(x for x, _, _ in LANGUAGES)), F.lit(False))
+
+
+def primer_language(code: Column) -> Column:
+    """The language of the punctuation primer: the code's own if there is one, else English."""
+    base = base_code(code)
+    return F.when(base.isin(*PRIMERS), base).otherwise("en")
+
+
 def language_profile(df: DataFrame, col: str) -> DataFrame:
     """Base code, English name and direction of a language code; unknown codes have no name and run left to right."""
-    base = F.element_at(F.split(F.replace(F.lower(F.trim(col)), F.lit("_"), F.lit("-")), "-"), 1)
+    base = base_code(F.col(col))
     names = df.sparkSession.createDataFrame(LANGUAGES, "base string, language string, rtl boolean")
     return df.withColumn("base", base).join(F.broadcast(names), "base", "left").withColumn("rtl", F.coalesce("rtl", F.lit(False)))
 
@@ -130,36 +148,81 @@ def punctuation_health(segments: DataFrame) -> DataFrame:
     return segments.groupBy("video_id").agg(n("[.!?]")("stops"), n(",")("commas"), n("[A-Z]")("capitals"), F.sum(F.length("text")).alias("chars")).withColumn("unpunctuated", F.col("stops") == 0)
 
 
+# The letters and marks of Hebrew typography and the shapes they act on.
+HEBREW, PREFIX_LETTERS, SOUND_LETTERS, ACRONYM_MARK, SOUND_MARK = "\u05d0-\u05ea\u05ef-\u05f2", "בהוכלמש", "גזצץ", "״", "׳"
+QUOTATION = rf'(?<![{HEBREW}\p{{L}}\p{{N}}_])([{PREFIX_LETTERS}]?)["{ACRONYM_MARK}]([^"{ACRONYM_MARK}\n]*[{HEBREW}][^"{ACRONYM_MARK}\n]*)["{ACRONYM_MARK}](?![{HEBREW}])'
+ACRONYM, SOUND = rf'(?<=[{HEBREW}])"(?=[{HEBREW}])', rf"(?<=[{SOUND_LETTERS}])['’]"
+
+
 def repair_typography(df: DataFrame, col: str) -> DataFrame:
-    """Hebrew typography: paired quotes round phrases, acronym marks between letters, foreign-sound marks; counts changes."""
-    he = "א-ת"
-    quoted = F.regexp_replace(col, f'(?<![{he}A-Za-z0-9])"([{he}][^"]*)"(?![{he}])', "“$1”")
-    acronym = F.regexp_replace(quoted, f'(?<=[{he}])"(?=[{he}])', "״")
-    sound = F.regexp_replace(acronym, f"(?<=[גזצת])'", "׳")
-    count = lambda a, mark: F.length(a) - F.length(F.replace(a, F.lit(mark), F.lit("")))
-    return df.withColumn("quotes", count(quoted, "“")).withColumn("acronyms", count(acronym, "״")).withColumn("sounds", count(sound, "׳")).withColumn(col, sound)
+    """Hebrew typography: the same mark at both ends of a quoted Hebrew phrase, acronym marks between two letters, marks of
+    foreign sounds; ``quotes``, ``acronyms`` and ``sounds`` count what each rule met."""
+    quoted = F.regexp_replace(col, QUOTATION, f"$1{ACRONYM_MARK}$2{ACRONYM_MARK}")
+    acronym = F.regexp_replace(quoted, ACRONYM, ACRONYM_MARK)
+    counts = {"quotes": F.regexp_count(col, F.lit(QUOTATION)), "acronyms": F.regexp_count(quoted, F.lit(ACRONYM)), "sounds": F.regexp_count(acronym, F.lit(SOUND))}
+    return df.withColumns({**counts, col: F.regexp_replace(acronym, SOUND, SOUND_MARK)})
 
 
-def isolate_bidi(df: DataFrame, col: str) -> DataFrame:
-    """Right-to-left lines within isolates, and each run of other letters or digits in them in its own."""
-    runs = F.regexp_replace(col, r"([A-Za-z0-9][A-Za-z0-9.,:/+%$€₪°-]*(?: [A-Za-z0-9][A-Za-z0-9.,:/+%$€₪°-]*)*)", "⁦$1⁩")
-    return df.withColumn(col, F.when(F.col(col).rlike(r"[\p{IsHebrew}\p{IsArabic}]"), F.concat(F.lit("⁧"), runs, F.lit("⁩"))).otherwise(F.col(col)))
+#: a run: numeric signs, then from a left-to-right letter or digit to the last one before a right-to-left letter, then numeric signs
+_RUN = re.compile("T*A(?:[^R]*A)?T*")
+_SYMBOLS = {"R": "R", "AL": "R", "L": "A", "EN": "A", "AN": "A", "ET": "T"}
+#: blocks that hold every right-to-left letter; which of a row's characters are is asked of the Unicode tables
+MAY_BE_RTL = "[\u0590-\u08ff\u200f\ufb1d-\ufdff\ufe70-\ufeff\\x{10800}-\\x{10fff}\\x{1e800}-\\x{1efff}]"
+
+
+def isolated(line: str) -> str:
+    """A line with a right-to-left letter within an isolate, and each left-to-right run of it in its own."""
+    kinds = "".join(_SYMBOLS.get(unicodedata.bidirectional(c), "N") for c in line)
+    if "R" not in kinds:
+        return line
+    out, at = [], 0
+    for m in _RUN.finditer(kinds):
+        out += [line[at : m.start()], "⁦", line[m.start() : m.end()], "⁩"]
+        at = m.end()
+    return f"⁧{''.join(out)}{line[at:]}⁩"
 
 
 @F.pandas_udf(StringType())
-def _composed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def _isolated(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else "\n".join(map(isolated, t.split("\n"))))
+
+
+def isolate_bidi(df: DataFrame, col: str) -> DataFrame:
+    """Each right-to-left line within isolates, and each maximal run of other letters or digits in it in its own.
+
+    Bidirectional categories are those of the Unicode tables; only texts that may hold such a letter go through Python.
+    """
+    maybe = F.col(col).rlike(MAY_BE_RTL)
+    return df.withColumn(col, F.when(maybe, _isolated(F.when(maybe, F.col(col)))).otherwise(F.col(col)))
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("rtl", BooleanType()), StructField("ltr", BooleanType())]))
+def _composed(text: pd.Series) -> pd.DataFrame:
+    """The composed form of each text, and whether it has strong letters of either direction."""
+    rows = []
+    for t in text:
+        kinds = set() if t is None else set(map(unicodedata.bidirectional, t))
+        rows.append((None if t is None else unicodedata.normalize("NFC", t), bool(kinds & {"R", "AL"}), "L" in kinds))
+    return pd.DataFrame(rows, columns=["text", "rtl", "ltr"])
 
 
 def mark_rtl(df: DataFrame, col: str) -> DataFrame:
-    """Legacy marks on right-to-left text: spaces folded, composed form, Arabic vowel signs and old marks gone, the text embedded
-    right to left, runs of two Latin letters or more left to right, and a mark before punctuation that ends a line.
+    """Legacy marks: white space folded, composed form, paired quotes as Hebrew marks, Arabic vowel signs and old marks gone.
 
-    Only rows with characters beyond ASCII go through Python, for the composed form.
+    A text with a right-to-left letter or mark is then embedded right to left; in one that also has left-to-right letters, runs
+    of two Latin letters or digits and more are embedded left to right; a mark goes between a Hebrew letter and the stop
+    behind it, and inside parentheses.  Only texts with characters beyond ASCII go through Python.
     """
-    raw = F.trim(F.regexp_replace(col, r"[ \t]+", " "))
-    text = F.when(raw.rlike(r"[^\x00-\x7F]"), _composed(raw)).otherwise(raw)
-    text = F.regexp_replace(text, "[\u064B-\u065F\u0670\u200E\u200F\u202A-\u202E\u2066-\u2069]", "")
-    latin = F.regexp_replace(text, r"([A-Za-z][A-Za-z0-9'.-]*[A-Za-z0-9])", "\u202A$1\u202C")
-    sticky = F.regexp_replace(latin, r"([.!?,;:]+)$", "\u200F$1")
-    return df.withColumn(col, F.when(text.rlike(r"[\p{IsHebrew}\p{IsArabic}]"), F.concat(F.lit("\u202B"), sticky, F.lit("\u202C"))).otherwise(text))
+    raw = F.trim(F.regexp_replace(col, r"(?U)[\s\x1c-\x1f]+", " "))
+    beyond = raw.rlike(r"[^\x00-\x7F]")
+    df = df.withColumn("__raw", raw).withColumn("__c", _composed(F.when(beyond, raw)))
+    text = F.when(F.col("__raw").rlike(r"[^\x00-\x7F]"), F.col("__c.text")).otherwise(F.col("__raw"))
+    paired = F.regexp_replace(F.regexp_replace(text, '"([^"]*)"', "״$1״"), "'([^']*)'", "׳$1׳")
+    bare = F.regexp_replace(paired, "[\u064b-\u0652\u202a-\u202e\u200e\u200f]", "")
+    rtl = F.coalesce(F.col("__c.rtl"), F.lit(False)) & bare.rlike(MAY_BE_RTL) | bare.rlike("[״׳]")
+    ltr = F.coalesce(F.col("__c.ltr"), F.lit(False)) | bare.rlike("[A-Za-z]")
+    runs = F.regexp_replace(bare, r"[a-zA-Z0-9][a-zA-Z0-9\s\-_.,]*[a-zA-Z0-9]", "\u202a$0\u202c\u200e")
+    whole = F.concat(F.lit("\u202b"), F.when(ltr, runs).otherwise(bare), F.lit("\u202c"))
+    sticky = F.regexp_replace(whole, "([א-ת])([.!?:;,])", "$1\u200f$2")
+    inside = F.regexp_replace(sticky, r"\(([^)]*)\)", "(\u200f$1\u200f)")
+    return df.withColumn(col, F.when(bare != "", F.when(rtl, inside).otherwise(bare)).otherwise(bare)).drop("__raw", "__c")

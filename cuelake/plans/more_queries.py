@@ -30,7 +30,7 @@ def folder(spark) -> str:
     return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
 
 
-DANGLING = "select video_id, cue_id, start_ms, end_ms, case when cue_id % 3 = 1 then substr(text, 1, 40) || ' ' || ['ו', 'ב-', 'x'][video_id % 3 + 1] else substr(text, 1, 60) end as text from cues"
+DANGLING = "select video_id, cue_id, start_ms, end_ms, case when cue_id % 3 = 1 then text || ' ' || ['ו', 'ב-', 'x'][video_id % 3 + 1] else text end as text from cues"
 
 
 @query("w12_reflow_connectors", "cues", f"""
@@ -43,7 +43,7 @@ g as (select *, lag(case when moved then full_ end) over (partition by video_id
 select video_id, cue_id, case when got is not null then got || ltrim(own) else own end as text, moved from g""")
 def w12(spark, sf):
     pick = F.element_at(F.array(F.lit("ו"), F.lit("ב-"), F.lit("x")), (F.col("video_id") % 3 + 1).cast("int"))
-    c = B.cues(spark, sf).withColumn("text", F.when(F.col("cue_id") % 3 == 1, F.concat(F.substring("text", 1, 40), F.lit(" "), pick)).otherwise(F.substring("text", 1, 60)))
+    c = B.cues(spark, sf).withColumn("text", F.when(F.col("cue_id") % 3 == 1, F.concat("text", F.lit(" "), pick)).otherwise(F.col("text")))
     return reflow.reflow_connectors(c).select("video_id", "cue_id", "text", "moved")
 
 
@@ -62,9 +62,9 @@ def w17(spark, sf):
     return reflow.batch_by_count(B.segments(spark, sf), 20, 300).select("video_id", "pos", "tokens", "batch", "oversize")
 
 
-@query("w18_batch_by_tokens", "segments", halved("'r'", 400, 10))
+@query("w18_batch_by_tokens", "segments", halved("'r'", 400, 14))
 def w18(spark, sf):
-    return reflow.batch_by_tokens(B.segments(spark, sf), 400, 10).select("video_id", "pos", "tokens", "batch", "oversize")
+    return reflow.batch_by_tokens(B.segments(spark, sf), 400).select("video_id", "pos", "tokens", "batch", "oversize")
 
 
 @query("k04_choose_candidate", "segments", """
@@ -80,18 +80,31 @@ def k04(spark, sf):
     return reflow.choose_candidate(c).select("video_id", "pos", "choice", "fits")
 
 
-TOKENS = "list_filter(list_transform(regexp_split_to_array(trim(lower({0})), '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}'']', '', 'g')), lambda w: w <> '')"
-NEGATED = "len(list_filter({0}, lambda w: w in ('not', 'no', 'never', 'none', 'nobody', 'nothing') or w like '%n''t')) > 0"
+def listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+STRIPPED = reflow.STRIPPED.replace("'", "''").replace("\t", "' || chr(9) || '").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '")
+COMPARED = f"list_filter(list_transform(regexp_split_to_array(trim(@text), '\\s+'), lambda w: lower(regexp_replace(trim(w, '{STRIPPED}'), '[\\x{{0591}}-\\x{{05c7}}]', '', 'g'))), lambda w: w <> '')"
+HAS = "(list_contains({0}, {1}) or list_contains({0}, 'ו' || {1}) or ({1} like 'ו%' and list_contains({0}, substr({1}, 2))))"
+ENDINGS = ["הם נחשבים קשוחים.", "לא הכינו את עצמכם?", "3 apples or 12%.", "he said: never!", "and then…", "it was the"]
+SHORTENED = ["והם נחשבים מאוד.", "הכינו את עצמכם?", "apples or 12%.", "he said: no!", "and then.", "it was the"]
 
 
 @query("k05_condensation_check", "segments", f"""
-with c as (select video_id, pos, text as a, case when pos % 5 = 0 then '' when pos % 5 = 1 then substr(text, 1, 25) else regexp_replace(text, '^\\S+\\s+', '') end as b from segments),
-w as (select *, {TOKENS.format("a")} as x, {TOKENS.format("b")} as y, regexp_extract(trim(a), '([.?!])["'')\\]]*$', 1) as ma, regexp_extract(trim(b), '([.?!])["'')\\]]*$', 1) as mb from c)
-select video_id, pos, case when trim(b) = '' then 'empty' when len(y) = 0 then 'no_words' when starts_with(a, '— ') and not starts_with(b, '— ') then 'lost_dash' when (ma = '?') <> (mb = '?') then 'changed_mark' when ma <> '' and mb = '' then 'lost_mark'
-  when len(list_filter(x, lambda t: regexp_matches(t, '[0-9]') and not list_contains(y, t))) > 0 then 'lost_number' when {NEGATED.format("x")} and not ({NEGATED.format("y")}) then 'lost_negation'
-  when y[-1] in ('the', 'a', 'an', 'of', 'to', 'and', 'or', 'but', 'in', 'on', 'at', 'for', 'with') then 'weak_end' end as reason from w""")
+with c as (select video_id, pos, text || ' ' || [{listed(ENDINGS)}][pos % 6 + 1] as a, text || ' ' || [{listed(SHORTENED)}][pos % 6 + 1] as b from segments),
+d as (select video_id, pos, case when pos % 8 = 7 then '— ' || a else a end as a, case when pos % 8 = 0 then ' ' when pos % 8 = 1 then '...' when pos % 8 = 2 then a when pos % 8 = 3 then regexp_replace(a, '^\\S+\\s+', '') when pos % 8 = 4 then regexp_replace(a, '\\s+\\S+$', '') else b end as b from c),
+t as (select video_id, pos, trim(a) as o, trim(b) as c, {COMPARED.replace("@text", "a")} as x, {COMPARED.replace("@text", "b")} as y, right(trim(a), 1) as e, right(trim(b), 1) as f from d),
+w as (select *, list_filter(x, lambda w: w not in ({listed(reflow.MAY_GO)}))[-1] as content, list_filter(x, lambda w: (w in ({listed(reflow.MUST_STAY)}) or regexp_matches(w, '\\p{{Nd}}')) and not {HAS.format("y", "w")}) as lost from t)
+select video_id, pos, case when c = '' then 'empty' when len(y) = 0 then 'no_words' when starts_with(o, '— ') and not starts_with(c, '— ') then 'lost_dash'
+  when e in ('.', '?', '!', '…') and f <> e and not (e = '…' and f in ('.', '?', '!', '…')) then 'changed_mark' when e in ('.', '?', '!', '…', ',', ':', ';') and f not in ('.', '?', '!', '…', ',', ':', ';') then 'lost_mark'
+  when content is not null and not {HAS.format("y", "content")} then 'lost_content' when len(lost) > 0 then case when regexp_matches(lost[1], '\\p{{Nd}}') then 'lost_number' else 'lost_negation' end
+  when y[-1] in ({listed(reflow.WEAK_ENDS)}) then 'weak_end' end as reason from w""")
 def k05(spark, sf):
-    c = B.segments(spark, sf).select("video_id", "pos", F.col("text").alias("original"), F.when(F.col("pos") % 5 == 0, "").when(F.col("pos") % 5 == 1, F.substring("text", 1, 25)).otherwise(F.regexp_replace("text", r"^\S+\s+", "")).alias("candidate"))
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("pos") % 6 + 1).cast("int"))
+    a, b, k = F.concat("text", F.lit(" "), pick(ENDINGS)), F.concat("text", F.lit(" "), pick(SHORTENED)), F.col("pos") % 8
+    shorter = F.when(k == 0, " ").when(k == 1, "...").when(k == 2, a).when(k == 3, F.regexp_replace(a, r"^\S+\s+", "")).when(k == 4, F.regexp_replace(a, r"\s+\S+$", "")).otherwise(b)
+    c = B.segments(spark, sf).select("video_id", "pos", F.when(k == 7, F.concat(F.lit("— "), a)).otherwise(a).alias("original"), shorter.alias("candidate"))
     return reflow.condensation_check(c).select("video_id", "pos", "reason")
 
 

@@ -35,10 +35,10 @@ def p09(spark, sf):
 
 @query("p11_language_profile", "", """
 with l(base, language, rtl) as (values ('en', 'English', false), ('fr', 'French', false), ('de', 'German', false), ('es', 'Spanish', false))
-select doc_id, lang as base, language, coalesce(rtl, false) as rtl from documents left join l on lang = base""")
+select doc_id, lang as base, language, coalesce(rtl, false) as rtl, coalesce(lang = 'de', false) as to_german, 'en' as primer from documents left join l on lang = base""")
 def p11(spark, sf):
     d = B.table(spark, sf, "documents").select("doc_id", F.concat(F.lit(" "), F.upper("lang"), F.when(F.col("doc_id") % 2 == 0, "_XX").otherwise("-yy")).alias("code"))
-    return T.language_profile(d, "code").select("doc_id", "base", "language", "rtl")
+    return T.language_profile(d, "code").select("doc_id", "base", "language", "rtl", T.same_language(F.col("code"), F.lit("de-AT")).alias("to_german"), T.primer_language(F.col("code")).alias("primer"))
 
 
 @query("p12_language_demand", "", """
@@ -119,25 +119,28 @@ def j08(spark, sf):
     return T.glossary_check(B.cues(spark, sf), terms)
 
 
+def stamp(s):
+    """MM:SS, from an hour on HH:MM:SS."""
+    return F.when(s < 3600, F.format_string("%02d:%02d", F.floor(s / 60), s % 60)).otherwise(F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60))
+
+
 @query("s06_ranged_transcripts", "segments", """
-select video_id, cast(row_number() over (partition by video_id order by pos) as integer) as entry, pos * 3 as start_s, pos * 3 + 2 as end_s, trim(text) as text from segments where pos % 5 <> 2 and pos < 1000""")
+select video_id, cast(row_number() over (partition by video_id order by pos) as integer) as entry, pos * 3 as start_s, pos * 3 + 2 as end_s, trim(text) as text from segments where pos % 5 <> 2""")
 def s06(spark, sf):
-    stamp = lambda s: F.format_string("%02d:%02d", F.floor(s / 60), s % 60)
-    s = B.segments(spark, sf).where("pos < 1000")
+    s = B.segments(spark, sf)
     line = F.when(F.col("pos") % 5 == 2, F.concat(F.lit("[bad] "), "text")).otherwise(F.concat(F.lit(" ["), stamp(F.col("pos") * 3), F.lit(" - "), stamp(F.col("pos") * 3 + 2), F.lit("] "), "text"))
     docs = s.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
     return tracks.read_ranged_transcripts(docs)[0]
 
 
 @query("s07_stamped_transcripts", "segments", """
-with m as (select video_id, pos, pos * 4 as start_s, trim(replace(text, '[', '(')) as text from segments where pos < 800), e as (
-  select *, row_number() over (partition by video_id order by pos) - 1 as k, coalesce(lead(start_s) over (partition by video_id order by pos), least(start_s + 5, 100000)) as end_s from m)
+with m as (select video_id, pos, pos * 4 as start_s, trim(replace(text, '[', '(')) as text from segments), e as (
+  select *, row_number() over (partition by video_id order by pos) - 1 as k, coalesce(lead(start_s) over (partition by video_id order by pos), least(start_s + 5, 1000000)) as end_s from m)
 select video_id, cast(k as integer) as pos, cast(start_s as bigint) as start_s, cast(end_s as bigint) as end_s, text from e""")
 def s07(spark, sf):
-    stamp = lambda s: F.format_string("%02d:%02d", F.floor(s / 60), s % 60)
     line = F.concat(F.lit("["), stamp(F.col("pos") * 4), F.lit("] "), F.trim(F.replace("text", F.lit("["), F.lit("("))))
-    docs = B.segments(spark, sf).where("pos < 800").groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-    return tracks.read_stamped_transcripts(docs.withColumn("duration_s", F.lit(100_000).cast("bigint")))
+    docs = B.segments(spark, sf).groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return tracks.read_stamped_transcripts(docs.withColumn("duration_s", F.lit(1_000_000).cast("bigint")))
 
 
 @query("j10_message_lookup", "", """

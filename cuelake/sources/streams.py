@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +37,25 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-stream-")
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def closing_marks(spark: SparkSession, like: DataFrame, **values) -> tuple[DataFrame, Callable[[int], None]]:
+    """A stream of marks with the columns of ``like``, and what puts the k-th one there: a row of ``values``, k + 1 days after 2100."""
+    folder = f"{shared_folder(spark)}/marks-{uuid.uuid4().hex}"
+    none = spark.createDataFrame([], like.schema)
+    none.coalesce(1).write.parquet(folder)
+
+    def put(k: int) -> None:
+        row = {**dict.fromkeys(like.columns), **values, "ts": datetime(2100, 1, k + 1, tzinfo=timezone.utc)}
+        spark.createDataFrame([tuple(row[c] for c in like.columns)], like.schema).coalesce(1).write.mode("append").parquet(folder)
+
+    return spark.readStream.schema(like.schema).option("pathGlobFilter", "*.parquet").parquet(folder), put
+
+
+def run_available(stream: DataFrame, mode: str = "append", close: Callable[[int], None] | None = None) -> DataFrame:
     """Run a stream over all that is there now and return every row it emitted, with its batch_id.
 
     Rows go to a table in the shared folder, not to the driver; a batch that is run again replaces its own rows.
+    With ``close`` the input is then closed: it is called twice to put marks far ahead in event time, after each of
+    which the stream runs on, so timers of all keys fire and what is held is emitted.
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -46,8 +63,11 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
-    run.awaitTermination()
+    for k in range(3 if close else 1):
+        if k:
+            close(k - 1)
+        run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
+        run.awaitTermination()
     schema = StructType([*stream.schema.fields, StructField("batch_id", IntegerType())])
     return spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuelake.functions.timedtext import clock_ass, clock_seconds, clock_srt
-from cuelake.operators.layout import measured_text
+from cuelake.operators.layout import measured_text, video_layout, wrap_lines
+from cuelake.operators.text import isolate_bidi, repair_typography
 
 
 def write_srt(cues: DataFrame, translated: bool = True) -> DataFrame:
@@ -36,14 +37,40 @@ def srt_plain_text(tracks: DataFrame) -> DataFrame:
     return tracks.select("video_id", F.array_join(F.transform(F.filter(F.split("body", "\n"), keep), F.trim), " ").alias("plain"))
 
 
-def write_ass_events(cues: DataFrame) -> DataFrame:
-    """(video_id, cue_id, line): dialogue rows with braces neutralised and lines joined by ``\\N``; needs ``wrapped``."""
-    text = F.regexp_replace(F.translate("wrapped", "{}", "()"), r"\n", r"\\N")
+def write_ass_events(cues: DataFrame, rtl: bool = False) -> DataFrame:
+    """(video_id, cue_id, line): dialogue rows with braces neutralised and lines joined by ``\\N``; needs ``wrapped``.
+
+    With ``rtl`` each line is isolated right to left.
+    """
+    plain = cues.withColumn("wrapped", F.translate("wrapped", "{}", "()"))
+    text = F.regexp_replace((isolate_bidi(plain, "wrapped") if rtl else plain)["wrapped"], r"\n", r"\\N")
     line = F.concat(F.lit("Dialogue: 0,"), clock_ass(F.col("start_ms")), F.lit(","), clock_ass(F.col("end_ms")), F.lit(",Default,,0,0,0,,"), text)
-    return cues.select("video_id", "cue_id", line.alias("line"))
+    return (isolate_bidi(plain, "wrapped") if rtl else plain).select("video_id", "cue_id", line.alias("line"))
+
+
+# The header that players read.
+SCRIPT = ("[Script Info]", "ScriptType: v4.00+", "PlayResX: %d", "PlayResY: %d", "WrapStyle: 2", "ScaledBorderAndShadow: yes", "")
+STYLES = ("[V4+ Styles]", "Format: Name, Fontname, Fontsize, Alignment, MarginL, MarginR, MarginV", "Style: Default,Noto Sans Hebrew,%d,2,%d,%d,%d", "")
+EVENTS = ("[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text", "")
+
+
+def write_ass(cues: DataFrame, videos: DataFrame, rtl: bool = False) -> DataFrame:
+    """(video_id, body): a script a video, sized by its own layout: header, then its dialogue rows in order of time.
+
+    Texts have Hebrew typography and are wrapped to the line budget of their video.
+    """
+    sizes = video_layout(videos).select("video_id", "width", "height", "font_px", "margin_h", "margin_v", "line_chars")
+    flat = cues.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    wrapped = wrap_lines(repair_typography(flat, "text").join(sizes.select("video_id", "line_chars"), "video_id"), limit=F.col("line_chars"))
+    rows = write_ass_events(wrapped, rtl).join(cues.select("video_id", "cue_id", "start_ms"), ["video_id", "cue_id"])
+    events = rows.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "cue_id", "line"))), lambda x: x["line"]), "\n").alias("events"))
+    header = F.format_string("\n".join(SCRIPT + STYLES + EVENTS), "width", "height", "font_px", "margin_h", "margin_h", "margin_v")
+    return events.join(sizes, "video_id").select("video_id", F.concat(header, "events", F.lit("\n")).alias("body"))
 
 
-RANGE = r"^\[(\d{1,2}:\d{2}(?::\d{2})?)\s*-\s*(\d{1,2}:\d{2}(?::\d{2})?)\]\s*(.+)"
+#: minutes and seconds, with hours in front where there are any
+CLOCK = r"\d{1,2}(?::\d{2}){1,2}"
+RANGE = rf"^\[({CLOCK})\s*-\s*({CLOCK})\]\s*(.+)"
 
 
 def read_ranged_transcripts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +83,9 @@ def read_ranged_transcripts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries, lines.where(~ok)
 
 
-MARK = r"\[(\d+:?\d*:?\d+)\]\s*([^\[]*)"
+#: digits in up to three parts, first and last a digit; clock_seconds decides what they mean
+STAMP = r"(?=\d[\d:]*\d\])\d*(?::\d*){0,2}"
+MARK = rf"\[({STAMP})\]\s*([^\[]*)"
 
 
 def read_stamped_transcripts(docs: DataFrame) -> DataFrame:

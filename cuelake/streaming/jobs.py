@@ -1,7 +1,7 @@
 """Streaming forms of the statistics, budget, status and transfer operators.
 
-State is bounded by watermarks (ten minutes by default; later rows are dropped and counted by Spark)
-or, for the moving average, by one small row a key.
+State is bounded by watermarks: rows later than the delay are dropped and counted by Spark, and the state of a key
+goes once event time has left it behind.  A key's rows of one micro-batch are sorted in memory.
 """
 
 from __future__ import annotations
@@ -27,12 +27,41 @@ def route_limits(requests: DataFrame, width: str = "1 hour", slide: str = "1 min
     return counts.where(F.col("requests") > limit).select("task_id", F.col("w.start").alias("start"), "requests")
 
 
-def latest_status(progress: DataFrame) -> DataFrame:
-    """Newest progress of each task and step whatever the order of arrival, in update mode; an error sticks."""
-    newest = progress.groupBy("task_id", "step_index").agg(F.max_by("progress", F.struct("ts", "event_id")).alias("progress"), F.max((F.col("message") == "error").cast("int")).alias("error"))
-    held = F.greatest(F.lit(0), F.least(F.lit(100), F.col("progress"))).cast("bigint")
-    status = F.when(F.col("error") == 1, "error").when(held == 0, "waiting").when(held == 100, "completed").otherwise("in_progress")
-    return newest.select("task_id", "step_index", held.alias("progress"), status.alias("status"))
+def _until(state, times: pd.Series, idle_ms: int) -> None:
+    """Let a key's state expire once event time has passed its last row by ``idle_ms``."""
+    state.setTimeoutTimestamp(max(int(times.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+
+
+DAY_MS = 86_400_000
+
+
+def latest_status(progress: DataFrame, delay: str = "1 day", idle_ms: int = 7 * DAY_MS) -> DataFrame:
+    """Newest progress of each task and step whatever the order of arrival, in update mode; an error sticks.
+
+    State is one small row a task and step; it goes after a week without news, by event time.
+    """
+    columns = ["task_id", "step_index", "progress", "status"]
+
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        at, event_id, value, error = state.get if state.exists else (-1, -1, 0, False)
+        last = None
+        for rows in frames:
+            micros = (rows["ts"].astype("int64") // (1 if rows["ts"].dtype.str.endswith("[us]") else 1000)).tolist()
+            at, event_id, value = max((at, event_id, value), *zip(micros, rows["event_id"].tolist(), rows["progress"].tolist(), strict=True))
+            error = bool(error or (rows["message"] == "error").any())
+            last = rows["ts"] if last is None or rows["ts"].max() > last.max() else last
+        state.update((at, event_id, value, error))
+        _until(state, last, idle_ms)
+        held = max(0, min(100, value))
+        status = "error" if error else "waiting" if held == 0 else "completed" if held == 100 else "in_progress"
+        yield pd.DataFrame([(*key, held, status)], columns=columns)
+
+    timed = progress.withWatermark("ts", delay)
+    return timed.groupBy("task_id", "step_index").applyInPandasWithState(run, "task_id bigint, step_index int, progress bigint, status string", "at bigint, event_id bigint, progress bigint, error boolean", "update", "EventTimeTimeout")
 
 
 def daily_summary(stats: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -42,16 +71,47 @@ def daily_summary(stats: DataFrame, delay: str = "1 day") -> DataFrame:
     return sums.select(F.to_date("w.start").alias("date"), "total", "succeeded", "failed", "total_time")
 
 
-def redeem_tokens(issues: DataFrame, uses: DataFrame, life: str = "300 seconds", delay: str = "10 minutes") -> DataFrame:
-    """First uses within a token's life: an interval join of two streams, one row a token."""
-    i = issues.withWatermark("issued", delay)
-    u = uses.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["token"])
-    joined = u.join(i.withColumnRenamed("token", "issue_token"), F.expr(f"token = issue_token and ts >= issued and ts <= issued + interval {life}"))
-    return joined.select("token", "use_id")
+def redeem_tokens(issues: DataFrame, uses: DataFrame, life_s: int = 300, delay: str = "10 minutes") -> DataFrame:
+    """Each use's verdict as in the batch form: ok, invalid, used or expired.
+
+    Issues (token, ts) and uses (use_id, token, ts) are one stream keyed by token and go by event time within a micro-batch;
+    state is the time of issue and whether the token was used, and goes when the token can't be valid any more and the
+    watermark has passed: a use that comes later still is invalid.
+    """
+    columns = ["use_id", "token", "verdict"]
+
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        issued, used = state.get if state.exists else (None, False)
+        rows = pd.concat(list(frames)).sort_values(["ts", "use_id"], na_position="first")
+        out = []
+        for ts, use_id in zip(rows["ts"], rows["use_id"], strict=True):
+            now = ts.timestamp()
+            if pd.isna(use_id):
+                issued = now if issued is None else issued
+            elif issued is None or now < issued:
+                out.append((int(use_id), key[0], "invalid"))
+            else:
+                out.append((int(use_id), key[0], "used" if used else "expired" if round((now - issued) * 1e6) > life_s * 1_000_000 else "ok"))
+                used = True
+        if issued is not None:
+            state.update((issued, used))
+            _until(state, rows["ts"], life_s * 1000)
+        yield pd.DataFrame(out, columns=columns).astype({"use_id": "int64", "token": "int64"})
+
+    both = issues.select(F.lit(None).cast("bigint").alias("use_id"), "token", "ts").unionByName(uses.select("use_id", "token", "ts"))
+    return both.withWatermark("ts", delay).groupBy("token").applyInPandasWithState(run, "use_id bigint, token bigint, verdict string", "issued double, used boolean", "append", "EventTimeTimeout")
 
 
 def _speed(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Moving average of the speed between accepted samples, at least two seconds apart, of growing byte counts."""
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([], columns=["task_id", "event_id", "speed"])
+        return
     last_ts, last_bytes, ema = state.get if state.exists else (None, None, None)
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     out = []
@@ -66,22 +126,27 @@ def _speed(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]
         last_ts, last_bytes = now, int(n)
     if last_ts is not None:
         state.update((last_ts, last_bytes, ema))
+        _until(state, rows["ts"], 7 * DAY_MS)
     yield pd.DataFrame(out, columns=["task_id", "event_id", "speed"]).astype({"task_id": "int64", "event_id": "int64", "speed": "float64"})
 
 
-def transfer_speed(transfer: DataFrame) -> DataFrame:
-    """Speed of each transfer (task_id, ts, event_id, bytes), keyed state of three numbers a task."""
-    return transfer.groupBy("task_id").applyInPandasWithState(_speed, "task_id bigint, event_id bigint, speed double", "last_ts double, last_bytes bigint, ema double", "append", "NoTimeout")
+def transfer_speed(transfer: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Speed of each transfer (task_id, ts, event_id, bytes), keyed state of three numbers a task, gone after a week of silence."""
+    return transfer.withWatermark("ts", delay).groupBy("task_id").applyInPandasWithState(_speed, "task_id bigint, event_id bigint, speed double", "last_ts double, last_bytes bigint, ema double", "append", "EventTimeTimeout")
 
 
-def admit_requests(usage: DataFrame, width_s: int = 60, token_limit: int = 20_000, request_limit: int = 60) -> DataFrame:
+def admit_requests(usage: DataFrame, width_s: int = 60, token_limit: int = 20_000, request_limit: int = 60, delay: str = "1 day") -> DataFrame:
     """A request is admitted if it keeps within both limits of its window; a refused one uses nothing.
 
-    The state is three numbers a key (the window, and what was admitted in it), so it needs no timer; rows of a key
-    must come in order of time from batch to batch.
+    The state is three numbers a key (the window, and what was admitted in it) and goes once the window and the watermark
+    have passed; rows of a key must come in order of time from batch to batch.
     """
 
     def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["task_id", "event_id", "admitted"])
+            return
         window, used, n = state.get if state.exists else (-1, 0, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
@@ -94,9 +159,10 @@ def admit_requests(usage: DataFrame, width_s: int = 60, token_limit: int = 20_00
                 used, n = used + int(tokens), n + 1
             out.append((key[0], event_id, ok))
         state.update((window, used, n))
+        _until(state, rows["ts"], width_s * 1000)
         yield pd.DataFrame(out, columns=["task_id", "event_id", "admitted"])
 
-    return usage.groupBy("task_id").applyInPandasWithState(run, "task_id bigint, event_id bigint, admitted boolean", "window bigint, used bigint, n bigint", "append", "NoTimeout")
+    return usage.withWatermark("ts", delay).groupBy("task_id").applyInPandasWithState(run, "task_id bigint, event_id bigint, admitted boolean", "window bigint, used bigint, n bigint", "append", "EventTimeTimeout")
 
 
 def microbatches(segments: DataFrame, size: int = 20, idle_ms: int = 10_000) -> DataFrame:
@@ -118,7 +184,7 @@ def microbatches(segments: DataFrame, size: int = 20, idle_ms: int = 10_000) ->
             out += [(key[0], sent, int(p), t) for p, t in held[:size]]
             held, sent = held[size:], sent + 1
         state.update(([int(p) for p, _ in held], [t for _, t in held], sent))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+        _until(state, rows["ts"], idle_ms)
         yield pd.DataFrame(out, columns=["video_id", "batch", "pos", "text"])
 
     timed = segments.withWatermark("ts", "10 minutes")
@@ -150,7 +216,7 @@ def spot(words: DataFrame, idle_ms: int = 10_000) -> DataFrame:
                 out.append((key[0], sent, first, last, start, end))
                 sent, first = sent + 1, -1
         state.update((sent, first, last, start, end))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+        _until(state, rows["ts"], idle_ms)
         yield pd.DataFrame(out, columns=columns)
 
     state = "sent bigint, first bigint, last bigint, start bigint, end bigint"
