@@ -198,10 +198,10 @@ def isolate_bidi(df: DataFrame, col: str) -> DataFrame:
 
 @F.pandas_udf(StructType([StructField("text", StringType()), StructField("rtl", BooleanType()), StructField("ltr", BooleanType())]))
 def _composed(text: pd.Series) -> pd.DataFrame:
-    """The composed form of each text, and whether it has strong letters of either direction."""
+    """The composed form of each text, and whether it has strong letters of either direction, old marks aside."""
     rows = []
     for t in text:
-        kinds = set() if t is None else set(map(unicodedata.bidirectional, t))
+        kinds = set() if t is None else {unicodedata.bidirectional(c) for c in t if not "\u202a" <= c <= "\u202e" and c not in "\u200e\u200f"}
         rows.append((None if t is None else unicodedata.normalize("NFC", t), bool(kinds & {"R", "AL"}), "L" in kinds))
     return pd.DataFrame(rows, columns=["text", "rtl", "ltr"])
 
@@ -219,7 +219,7 @@ def mark_rtl(df: DataFrame, col: str) -> DataFrame:
     text = F.when(F.col("__raw").rlike(r"[^\x00-\x7F]"), F.col("__c.text")).otherwise(F.col("__raw"))
     paired = F.regexp_replace(F.regexp_replace(text, '"([^"]*)"', "״$1״"), "'([^']*)'", "׳$1׳")
     bare = F.regexp_replace(paired, "[\u064b-\u0652\u202a-\u202e\u200e\u200f]", "")
-    rtl = F.coalesce(F.col("__c.rtl"), F.lit(False)) & bare.rlike(MAY_BE_RTL) | bare.rlike("[״׳]")
+    rtl = F.coalesce(F.col("__c.rtl"), F.lit(False)) | bare.rlike("[״׳]")
     ltr = F.coalesce(F.col("__c.ltr"), F.lit(False)) | bare.rlike("[A-Za-z]")
     runs = F.regexp_replace(bare, r"[a-zA-Z0-9][a-zA-Z0-9\s\-_.,]*[a-zA-Z0-9]", "\u202a$0\u202c\u200e")
     whole = F.concat(F.lit("\u202b"), F.when(ltr, runs).otherwise(bare), F.lit("\u202c"))

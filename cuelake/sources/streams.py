@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -27,14 +29,31 @@ def read_event_stream(spark: SparkSession, folder: str, schema: str = EVENTS, na
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+_folders: dict[str, str] = {}
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return
+    with contextlib.suppress(Exception):  # the session may be going down already
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    """This application's folder in the one that the cluster names in ``spark.checkpoint.dir``; a temporary one in local mode only.
+
+    Results are read from it as long as the application lives; it is removed when the driver ends.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _folders:
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{named.rstrip('/')}/{context.applicationId}-{uuid.uuid4().hex[:8]}" if named else "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        _folders[context.applicationId] = folder
+        atexit.register(_remove, spark, folder)
+    return _folders[context.applicationId]
 
 
 def closing_marks(spark: SparkSession, like: DataFrame, **values) -> tuple[DataFrame, Callable[[int], None]]:

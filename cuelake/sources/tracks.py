@@ -43,9 +43,9 @@ def write_ass_events(cues: DataFrame, rtl: bool = False) -> DataFrame:
     With ``rtl`` each line is isolated right to left.
     """
     plain = cues.withColumn("wrapped", F.translate("wrapped", "{}", "()"))
-    text = F.regexp_replace((isolate_bidi(plain, "wrapped") if rtl else plain)["wrapped"], r"\n", r"\\N")
-    line = F.concat(F.lit("Dialogue: 0,"), clock_ass(F.col("start_ms")), F.lit(","), clock_ass(F.col("end_ms")), F.lit(",Default,,0,0,0,,"), text)
-    return (isolate_bidi(plain, "wrapped") if rtl else plain).select("video_id", "cue_id", line.alias("line"))
+    shown = isolate_bidi(plain, "wrapped") if rtl else plain
+    line = F.concat(F.lit("Dialogue: 0,"), clock_ass(F.col("start_ms")), F.lit(","), clock_ass(F.col("end_ms")), F.lit(",Default,,0,0,0,,"), F.regexp_replace("wrapped", r"\n", r"\\N"))
+    return shown.select("video_id", "cue_id", line.alias("line"))
 
 
 # The header that players read.
