@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window
 
+from cuelake.operators.passes import ordered_pass
 
 
 def is_status(name: str) -> Column:
@@ -195,19 +197,21 @@ def budget_windows(usage: DataFrame, width: str = "1 minute", token_limit: int =
 
 
 def admit_requests(usage: DataFrame, width: str = "1 minute", token_limit: int = 20_000, request_limit: int = 60) -> DataFrame:
-    """In order within each window a request is admitted if it keeps within both limits; a refused one uses nothing.
-
-    The fold runs over one window of one key, which the limits keep short.
-    """
-    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", "tokens")))
-    gathered = usage.groupBy("task_id", F.window("ts", width).alias("w")).agg(rows.alias("rows"))
-    start = F.struct(F.lit(0).cast("bigint").alias("tokens"), F.lit(0).alias("n"), F.array().cast("array<struct<event_id:bigint,admitted:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = (acc["tokens"] + x["tokens"] <= token_limit) & (acc["n"] + 1 <= request_limit)
-        return F.struct((acc["tokens"] + F.when(ok, x["tokens"]).otherwise(0)).alias("tokens"), (acc["n"] + F.when(ok, 1).otherwise(0)).alias("n"), F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), ok.alias("admitted")))).alias("out"))
-
-    return gathered.select("task_id", F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("x")).select("task_id", "x.event_id", "x.admitted")
+    """In order within each window a request is admitted if it keeps within both limits; a refused one uses nothing."""
+
+    def admitted(rows):
+        key = used = n = None
+        for task_id, window, _, event_id, tokens in rows:
+            if key != (task_id, window):
+                key, used, n = (task_id, window), 0, 0
+            ok = used + tokens <= token_limit and n + 1 <= request_limit
+            if ok:
+                used, n = used + tokens, n + 1
+            yield task_id, event_id, ok
+
+    rows = usage.select("task_id", F.unix_micros(F.window("ts", width)["start"]).alias("window"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", "tokens")
+    schema = StructType([rows.schema["task_id"], rows.schema["event_id"], StructField("admitted", BooleanType())])
+    return ordered_pass(rows, ["task_id", "window"], ["t", "event_id"], admitted, schema)
 
 
 def route_limits(requests: DataFrame, width: str = "1 hour", slide: str = "1 minute", limit: int = 100) -> DataFrame:

@@ -7,9 +7,11 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from cuelake.functions.timedtext import DASH
+from cuelake.operators.passes import ordered_pass
 
 # The bound prefixes of Hebrew and the limits of the move.
 PREFIXES, MAX_GAP_MS, MAX_CHARS = "ושהבלכמ", 1500, 84
@@ -166,22 +168,21 @@ def condensation_check(df: DataFrame, original: str = "original", candidate: str
 
 
 def transfer_speed(transfer: DataFrame, alpha: float = 0.3, min_interval_us: int = 2_000_000) -> DataFrame:
-    """Batch form of the moving average: an ordered fold over the samples of one transfer.
+    """Batch form of the moving average: one pass over the samples of each transfer in order.
 
     A sample under two seconds after the last accepted one, or without growth, is skipped.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", "bytes")))
-    gathered = transfer.groupBy("task_id").agg(rows.alias("rows"))
-    first = F.element_at("rows", 1)
-    out_type = "array<struct<event_id:bigint,speed:double>>"
-    start = F.struct(first["t"].alias("t"), first["bytes"].alias("b"), F.lit(None).cast("double").alias("ema"), F.array().cast(out_type).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        skip = (x["t"] - acc["t"] < min_interval_us) | (x["bytes"] <= acc["b"])
-        speed = (x["bytes"] - acc["b"]) * 1e6 / (x["t"] - acc["t"])
-        ema = F.when(acc["ema"].isNull(), speed).otherwise(alpha * speed + (1 - alpha) * acc["ema"])
-        taken = F.struct(x["t"].alias("t"), x["bytes"].alias("b"), ema.alias("ema"), F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), ema.alias("speed")))).alias("out"))
-        return F.when(skip, acc).otherwise(taken)
-
-    folded = gathered.select("task_id", F.explode(F.aggregate(F.slice("rows", 2, 1_000_000_000), start, step, lambda a: a["out"])).alias("x"))
-    return folded.select("task_id", "x.event_id", "x.speed")
+
+    def speeds(rows):
+        task = at = size = ema = None
+        for task_id, t, event_id, n in rows:
+            if at is None or task_id != task:
+                task, at, size, ema = task_id, t, n, None
+            elif t - at >= min_interval_us and n > size:
+                speed = (n - size) * 1e6 / (t - at)
+                at, size, ema = t, n, speed if ema is None else alpha * speed + (1 - alpha) * ema
+                yield task_id, event_id, ema
+
+    rows = transfer.select("task_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", "bytes")
+    schema = StructType([rows.schema["task_id"], rows.schema["event_id"], StructField("speed", DoubleType())])
+    return ordered_pass(rows, ["task_id"], ["t", "event_id"], speeds, schema)

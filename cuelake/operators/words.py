@@ -10,7 +10,6 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import namedtuple
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuelake.functions.timedtext import CUE_LINES, DASH, DEGENERATE_MS, LEAD_OUT_MS, LINE_CHARS, MAX_CUE_MS, MERGE_GAP_MS, MIN_CUE_MS, MIN_GAP_MS, MIN_VISIBLE_MS, PAUSE_MS, TURN_GAP_MS, is_terminal
+from cuelake.operators.passes import ordered_pass
 
 MAX_CHARS = LINE_CHARS * CUE_LINES
 BEFORE = (Window.unboundedPreceding, -1)
@@ -205,24 +205,15 @@ def fold(groups: Iterator[Group], merges, crowds=None) -> Iterator[Group]:
 def _folded(groups: DataFrame, rules: list[tuple]) -> DataFrame:
     """Groups after one fold for each rule, all in one pass over a video's groups in order."""
     flagged = groups if "compromise" in groups.columns else groups.withColumn("compromise", F.lit(False))
-    ordered = flagged.select(*_FIELDS).repartition("video_id").sortWithinPartitions("video_id", "start_ms", "first_pos")
+    rows = flagged.select(*_FIELDS)
 
-    def run(batches):
-        schema = None
-
-        def rows():
-            nonlocal schema
-            for b in batches:
-                schema = b.schema
-                yield from map(Group._make, zip(*(c.to_pylist() for c in b.columns), strict=True))
-
-        out = rows()
-        for rule in rules:
-            out = fold(out, *rule)
-        while part := list(islice(out, 10_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+    def rule(tuples):
+        out = map(Group._make, tuples)
+        for x in rules:
+            out = fold(out, *x)
+        return out
 
-    return ordered.mapInArrow(run, ordered.schema)
+    return ordered_pass(rows, ["video_id"], ["start_ms", "first_pos"], rule, rows.schema)
 
 
 def _short(max_chars: int) -> tuple:
