@@ -57,8 +57,8 @@ def judge(cues: DataFrame, energy: DataFrame | None = None) -> DataFrame:
     return out.drop("__norm", "__judged", "__fast", "__run", "__impossible", "__db", "__own", "__repeat")
 
 
-def gate_cues(cues: DataFrame, windows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped): dropped rows carry cps, signals, energy_db, context_only and drop_reason."""
+def judged_cues(cues: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """All cues in one table, with ``dropped`` and, for those, signals, context_only and drop_reason; cps is rounded."""
     energy = None
     if windows is not None:
         fast = F.length(F.trim("text")) * 1000 > SOFT_CPS * (F.col("end_ms") - F.col("start_ms"))
@@ -66,28 +66,41 @@ def gate_cues(cues: DataFrame, windows: DataFrame | None = None) -> tuple[DataFr
     judged = judge(cues, energy)
     signals = F.concat("hard", "soft")
     reason = F.concat(F.when(F.size("hard") > 0, "hard signal: ").otherwise("corroborated signals: "), F.array_join(signals, ", "))
-    gone = judged.where("dropped").withColumn("signals", signals).withColumn("context_only", ~F.array_contains("hard", "duplicate_of_previous")).withColumn("drop_reason", reason).withColumn("cps", F.round("cps", 2))
-    return judged.where("not dropped").select(cues.columns), gone.drop("hard", "soft", "dropped")
+    gone = {"signals": signals, "context_only": ~F.array_contains("hard", "duplicate_of_previous"), "drop_reason": reason}
+    return judged.withColumns({k: F.when(F.col("dropped"), v) for k, v in gone.items()}).withColumn("cps", F.round("cps", 2)).drop("hard", "soft")
 
 
-def absorb_dropped_time(cues: DataFrame, dropped: DataFrame) -> DataFrame:
-    """As-of join: the last kept cue before a hole is held over it, at most 6 s and to 80 ms before the next cue."""
-    marks = cues.select("video_id", F.col("start_ms").alias("t"), F.lit(0).alias("kind"), "cue_id", F.lit(None).cast("bigint").alias("hole_end")).unionByName(
-        dropped.where("end_ms > start_ms").select("video_id", F.col("start_ms").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("cue_id"), F.col("end_ms").alias("hole_end"))
-    )
-    seen = Window.partitionBy("video_id").orderBy("t", "kind", "cue_id").rowsBetween(Window.unboundedPreceding, 0)
-    owned = marks.withColumn("cue_id", F.last("cue_id", ignorenulls=True).over(seen)).where("kind = 1 and cue_id is not null").groupBy("video_id", "cue_id").agg(F.max("hole_end").alias("__hole"))
-    df = cues.withColumn("__next", F.lead("start_ms").over(_order())).join(owned, ["video_id", "cue_id"], "left")
+def gate_cues(cues: DataFrame, windows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) of ``judged_cues``: two plans over the same rows; what needs both takes the one table."""
+    judged = judged_cues(cues, windows)
+    return judged.where("not dropped").select(cues.columns), judged.where("dropped").drop("dropped")
+
+
+def absorb(judged: DataFrame) -> DataFrame:
+    """As-of join within one table: the last kept cue before a hole is held over it, at most 6 s and to 80 ms before the next cue.
+
+    Windows of one partitioning find the owner of each dropped cue and the end of its hole; kept cues are returned.
+    """
+    own = Window.partitionBy("video_id").orderBy("start_ms", "dropped", "cue_id").rowsBetween(Window.unboundedPreceding, 0)
+    df = judged.withColumn("__owner", F.last(F.when(~F.col("dropped"), F.col("cue_id")), ignorenulls=True).over(own))
+    hole = F.max(F.when(F.col("dropped") & (F.col("end_ms") > F.col("start_ms")), F.col("end_ms"))).over(Window.partitionBy("video_id", "__owner"))
+    df = df.withColumn("__hole", hole).where(~F.col("dropped")).withColumn("__next", F.lead("start_ms").over(_order()))
     limit = F.least(F.col("__hole"), F.col("start_ms") + MAX_CUE_MS, F.coalesce(F.col("__next") - MIN_GAP_MS, F.col("start_ms") + MAX_CUE_MS))
-    return df.withColumn("end_ms", F.when(F.col("__hole").isNotNull() & (limit > F.col("end_ms")), limit).otherwise(F.col("end_ms"))).drop("__next", "__hole")
+    held = F.when(F.col("__hole").isNotNull() & (limit > F.col("end_ms")), limit).otherwise(F.col("end_ms"))
+    return df.withColumn("end_ms", held).drop("__owner", "__next", "__hole", "dropped")
+
+
+def absorb_dropped_time(cues: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``absorb`` of two tables."""
+    both = cues.withColumn("dropped", F.lit(False)).unionByName(dropped.select("video_id", "cue_id", "start_ms", "end_ms").withColumn("dropped", F.lit(True)), allowMissingColumns=True)
+    return absorb(both)
 
 
-def with_context_carriers(kept: DataFrame, dropped: DataFrame) -> DataFrame:
+def context_carriers(judged: DataFrame) -> DataFrame:
     """Kept cues and the readable dropped ones, marked context_only, numbered anew in time order."""
-    extra = dropped.where("context_only").select("video_id", "cue_id", "start_ms", "end_ms", "text", F.lit(True).alias("context_only"))
-    both = kept.select("video_id", "cue_id", "start_ms", "end_ms", "text").withColumn("context_only", F.lit(False)).unionByName(extra)
+    rows = judged.select("video_id", "cue_id", "start_ms", "end_ms", "text", "dropped", (F.col("dropped") & F.coalesce("context_only", F.lit(False))).alias("context_only"))
     order = Window.partitionBy("video_id").orderBy("start_ms", "context_only", "cue_id")
-    return both.withColumn("seq", F.row_number().over(order))
+    return rows.where("not dropped or context_only").drop("dropped").withColumn("seq", F.row_number().over(order))
 
 
 def gate_audit(dropped: DataFrame) -> DataFrame:

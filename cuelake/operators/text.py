@@ -122,6 +122,12 @@ def preferred_language(header: Column, supported: list[str], default: str = "en"
     return F.coalesce(found["code"], F.lit(default))
 
 
+def content_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(digest, copies, first_id) of contents that are there more than once; only digests are shuffled."""
+    digests = df.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("digest"))
+    return digests.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("first_id")).where("copies > 1")
+
+
 def glossary_check(cues: DataFrame, glossary: DataFrame) -> DataFrame:
     """Cues whose source holds a term but whose translation lacks its rendering.
 

@@ -197,23 +197,22 @@ def j01(spark, sf):
     return gate.energy_of(c, B.energy_windows(spark, sf))
 
 
-def gated(spark, sf):
-    return gate.gate_cues(B.cues(spark, sf), B.energy_windows(spark, sf))
+def judged(spark, sf):
+    return gate.judged_cues(B.cues(spark, sf), B.energy_windows(spark, sf))
 
 
 @query("w11_gate_cues", "cues energy_windows", f"""with {GATE}
 select video_id, cue_id, dropped, case when dropped then array_to_string(signals, ',') end as signals, case when dropped then not repeat end as context_only,
        case when dropped then round(cps, 2) end as cps from gated""")
 def w11(spark, sf):
-    kept, gone = gated(spark, sf)
-    shape = lambda df, dropped, *x: df.select("video_id", "cue_id", F.lit(dropped).alias("dropped"), *x)
-    return shape(kept, False, F.lit(None).cast("string").alias("signals"), F.lit(None).cast("boolean").alias("context_only"), F.lit(None).cast("double").alias("cps")).unionByName(shape(gone, True, F.array_join("signals", ",").alias("signals"), "context_only", "cps"))
+    cps = F.when(F.col("dropped"), F.col("cps"))
+    return judged(spark, sf).select("video_id", "cue_id", "dropped", F.array_join("signals", ",").alias("signals"), "context_only", cps.alias("cps"))
 
 
 @query("a13_gate_audit", "cues energy_windows", f"""with {GATE}
 select signal, context_only, count(*) as n from (select unnest(signals) as signal, not repeat as context_only from gated where dropped) group by cube (signal, context_only)""")
 def a13(spark, sf):
-    return gate.gate_audit(gated(spark, sf)[1])
+    return gate.gate_audit(judged(spark, sf).where("dropped"))
 
 
 @query("j02_absorb_dropped_time", "cues energy_windows", f"""with {GATE}, kept as (select video_id, cue_id, start_ms, end_ms, lead(start_ms) over (partition by video_id order by start_ms, cue_id) as nxt from gated where not dropped
@@ -222,13 +221,13 @@ def a13(spark, sf):
 ), lims as (select k.*, hole, least(hole, start_ms + 6000, coalesce(nxt - 80, start_ms + 6000)) as lim from kept k left join holes h using (video_id, cue_id))
 select video_id, cue_id, start_ms, case when hole is not null and lim > end_ms then lim else end_ms end as end_ms from lims""")
 def j02(spark, sf):
-    return gate.absorb_dropped_time(*gated(spark, sf)).select("video_id", "cue_id", "start_ms", "end_ms")
+    return gate.absorb(judged(spark, sf)).select("video_id", "cue_id", "start_ms", "end_ms")
 
 
 @query("u02_with_context_carriers", "cues energy_windows", f"""with {GATE}
 select video_id, cue_id, start_ms, end_ms, text, dropped as context_only, cast(row_number() over (partition by video_id order by start_ms, dropped, cue_id) as integer) as seq from gated where not dropped or not repeat""")
 def u02(spark, sf):
-    return gate.with_context_carriers(*gated(spark, sf))
+    return gate.context_carriers(judged(spark, sf))
 
 
 @query("w13_time_relief", "cues videos", f"""with {LAYOUT}, m as (

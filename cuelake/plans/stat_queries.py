@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuelake.operators import jobstats as J
 from cuelake.operators import replies as R
+from cuelake.operators.text import content_duplicates
 from cuelake.plans import bindings as B
 from cuelake.plans.bindings import with_ctes
 
@@ -247,8 +248,7 @@ def a18(spark, sf):
 with d as (select doc_id, sha256(text) as digest from documents)
 select digest, count(*) as copies, min(doc_id) as first_id from d group by 1 having count(*) > 1""")
 def a16(spark, sf):
-    d = B.table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    return d.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    return content_duplicates(B.table(spark, sf, "documents"), "doc_id", "text")
 
 
 REPLIES = """asked as (
