@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from cuelake.llm.common import materialize
 
-STEPS = 24
+STEPS, BITS_A_JOB = 24, 8
 
 
 def token_count(text: Column) -> Column:
@@ -32,18 +32,18 @@ def permutation_key(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
 
 
-def _holds(totals: DataFrame, alpha: float, entropy_share: float | None, max_repetition: float | None) -> bool:
-    """Whether the exponent satisfies the target; sources are summed by Spark, however many there are."""
-    p = F.pow(F.col("share"), F.lit(alpha))
-    z, zlog, sources, most = totals.agg(F.sum(p), F.sum(p * F.log("share")), F.count("*"), F.max(F.pow(F.col("share"), F.lit(alpha - 1.0)))).first()
+def _holds(totals: DataFrame, alphas: list[float], entropy_share: float | None, max_repetition: float | None) -> dict[float, bool]:
+    """Whether each exponent satisfies the target; sources are summed by Spark, however many there are, for all exponents in one job."""
+    rows = totals.select("share", F.explode(F.array(*map(F.lit, alphas))).alias("alpha"))
+    p, use = F.pow(F.col("share"), F.col("alpha")), F.pow(F.col("share"), F.col("alpha") - 1.0)
+    sums = rows.groupBy("alpha").agg(F.sum(p).alias("z"), F.sum(p * F.log("share")).alias("zlog"), F.count("*").alias("n"), F.max(use).alias("most"), F.min(use).alias("least")).collect()
     if entropy_share is not None:
-        return math.log(z) - alpha * zlog / z >= entropy_share * math.log(sources)
-    least = totals.agg(F.min(F.pow(F.col("share"), F.lit(alpha - 1.0)))).first()[0]
-    return most / least <= max_repetition
+        return {r.alpha: math.log(r.z) - r.alpha * r.zlog / r.z >= entropy_share * math.log(r.n) for r in sums}
+    return {r.alpha: r.most / r.least <= max_repetition for r in sums}
 
 
 def exponent(totals: DataFrame, entropy_share: float | None = None, max_repetition: float | None = None) -> float:
-    """Bisect the exponent, rounded to six places.
+    """Bisect the exponent to STEPS binary places, rounded to six decimal ones; a job settles BITS_A_JOB of them.
 
     With ``entropy_share``: the largest exponent whose weights have at least that share of the
     greatest possible entropy.  With ``max_repetition``: the smallest exponent at which no source
@@ -53,18 +53,23 @@ def exponent(totals: DataFrame, entropy_share: float | None = None, max_repetiti
         raise ValueError("give either entropy_share or max_repetition")
     if totals.isEmpty():
         return 1.0
-    low, high = 0.0, 1.0
-    if entropy_share is not None and _holds(totals, 1.0, entropy_share, None):
-        return 1.0
-    if max_repetition is not None and _holds(totals, 0.0, None, max_repetition):
-        return 0.0
-    for _ in range(STEPS):
-        mid = (low + high) / 2
-        if _holds(totals, mid, entropy_share, max_repetition) == (entropy_share is not None):
-            low = mid
-        else:
-            high = mid
-    return round(low if entropy_share is not None else high, 6)
+    low, width = 0.0, 1.0
+    for k in range(STEPS // BITS_A_JOB):
+        width /= 1 << BITS_A_JOB
+        inner = [low + i * width for i in range(1, 1 << BITS_A_JOB)]
+        ends = [] if k else [0.0, 1.0]
+        ok = _holds(totals, inner + ends, entropy_share, max_repetition)
+        if entropy_share is not None and not k and ok[1.0]:
+            return 1.0
+        if max_repetition is not None and not k and ok[0.0]:
+            return 0.0
+        below = (lambda x: ok[x]) if entropy_share is not None else (lambda x: not ok[x])  # noqa: B023
+        a, b = 0, 1 << BITS_A_JOB  # bisect among what the job has settled
+        while b - a > 1:
+            middle = (a + b) // 2
+            a, b = (middle, b) if below(inner[middle - 1]) else (a, middle)
+        low += a * width
+    return round(low if entropy_share is not None else low + width, 6)
 
 
 def mixing_plan(docs: DataFrame, entropy_share: float | None = None, max_repetition: float | None = None, budget: int | None = None, whole: bool = False, seed: int = 17, digits: int = 3) -> DataFrame:
