@@ -19,36 +19,54 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import arrow_schema, batch_of, slices
 
 BUCKETS, CHARS_AT_ONCE, MAX_MODEL_MB, UNKNOWN = 1 << 16, 1 << 18, 256, "und"
-#: n-grams that the posterior counts as at most; long texts would all score 1 otherwise
+#: n-grams of evidence that the reported posterior counts as at most, or all but the shortest texts would score 1; no label depends on it
 EVIDENCE = 64
 
 
 @functools.cache
-def _letters() -> np.ndarray:
-    """For each code point: the lower-case letter, or a space for all that isn't a letter or mark."""
-    out = np.full(0x110000, 32, np.uint32)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: the lower-case letter or the mark, or a space for all else; and whether it is a letter."""
+    out, letter = np.full(0x110000, 32, np.uint32), np.zeros(0x110000, bool)
     for c in range(0x110000):
         ch = chr(c)
-        if unicodedata.category(ch)[0] in "LM":
+        kind = unicodedata.category(ch)[0]
+        if kind in "LM":
             low = ch.lower()
             out[c] = ord(low) if len(low) == 1 else c
+            letter[c] = kind == "L"
+    return out, letter
+
+
+def _pieces(texts: list[str | None]) -> list[tuple[int, str, int, int]]:
+    """(row, text, from, to) of the batch; a very long text comes as several pieces that know a character of their neighbours."""
+    out = []
+    for i, t in enumerate(texts):
+        for k in range(0, len(t or ""), CHARS_AT_ONCE):
+            low = max(0, k - 1)
+            part = t[low : k + CHARS_AT_ONCE + 1]
+            out.append((i, part, k - low, min(len(part), k - low + CHARS_AT_ONCE)))
     return out
 
 
-def _pieces(texts: list[str | None]) -> list[tuple[int, str]]:
-    """(row, text) of the batch; a very long text comes as several pieces, cut as if by a space."""
-    return [(i, t[k : k + CHARS_AT_ONCE]) for i, t in enumerate(texts) if t for k in range(0, len(t), CHARS_AT_ONCE)]
-
-
 def ngrams(texts: list[str | None], buckets: int = BUCKETS):
-    """Yields (rows, starts, ids): the hashed 1- to 3-grams of letters, those of rows[i] from starts[i] on."""
+    """Yields (rows, starts, ids): the hashed 1- to 3-grams of letters, those of rows[i] from starts[i] on.
+
+    Each letter gives itself, the pair with what stands before it and the three with what stands after it,
+    where a mark stands for itself and all else for a space.
+    """
+    lower, letter = _letters()
     pieces = _pieces(texts)
-    for a, b in slices((t for _, t in pieces), CHARS_AT_ONCE):
+    for a, b in slices((t for _, t, _, _ in pieces), CHARS_AT_ONCE):
         part = pieces[a:b]
-        codes = np.frombuffer((" " + " ".join(t for _, t in part) + " ").encode("utf-32-le", "replace"), np.uint32)
-        codes = _letters()[codes].astype(np.uint32)
-        ends = np.cumsum([len(t) + 1 for _, t in part])
-        at = np.flatnonzero(codes != 32)
+        raw = np.frombuffer((" " + " ".join(t for _, t, _, _ in part) + " ").encode("utf-32-le", "replace"), np.uint32)
+        ends = np.cumsum([len(t) + 1 for _, t, _, _ in part])
+        counted = letter[raw]
+        for (_, t, first, last), end in zip(part, ends.tolist(), strict=True):
+            begin = end - len(t)
+            counted[begin : begin + first] = False
+            counted[begin + last : end] = False
+        codes = lower[raw]
+        at = np.flatnonzero(counted)
         if not len(at):
             continue
         one, before, after = codes[at], codes[at - 1], codes[at + 1]
@@ -115,7 +133,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
 
 
 def score_batch(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The likeliest language of each text and its posterior, the evidence tempered to EVIDENCE n-grams."""
+    """The likeliest language of each text, ties to the first by name, and its posterior on EVIDENCE n-grams at most."""
     buckets = logp.shape[1] - 1
     sums, grams = np.zeros((len(langs), len(texts))), np.zeros(len(texts))
     for rows, starts, ids in ngrams(texts, buckets):
@@ -125,9 +143,10 @@ def score_batch(texts: list[str | None], langs: list[str], logp: np.ndarray) ->
     known = grams > 0
     if not langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    best = (sums + logp[:, buckets:]).argmax(axis=0)
     logs = sums * (np.minimum(grams, EVIDENCE) / np.maximum(grams, 1)) + logp[:, buckets:]
-    best = logs.argmax(axis=0)
-    share = 1 / np.exp(logs - logs.max(axis=0)).sum(axis=0)
+    share = np.exp(logs - logs.max(axis=0))
+    share = share[best, np.arange(len(texts))] / share.sum(axis=0)
     return [langs[i] if ok else UNKNOWN for i, ok in zip(best, known, strict=True)], np.where(known, share, 0.0)
 
 

@@ -1,7 +1,10 @@
 """Language ID, packing, SimHash, sharding and mixing against brute force on small tables."""
 
 import itertools
+import math
 import random
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -95,6 +98,63 @@ def test_langid(spark):
     assert {x.lang_pred for x in langid.identify(odd.withColumn("lang", odd.lang.substr(9, 1).try_cast("int").cast("string"))).collect()} == {"und"}
 
 
+def plain_grams(text, buckets):
+    """Hashed 1- to 3-grams of one text, letter by letter."""
+    kind = lambda c: unicodedata.category(c)[0]
+    low = lambda c: (ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if kind(c) in "LM" else 32
+    m = 2**32
+    out = []
+    for k, c in enumerate(text):
+        if kind(c) == "L":
+            one, before, after = low(c), low(text[k - 1]) if k else 32, low(text[k + 1]) if k + 1 < len(text) else 32
+            for h in (one * 0x9E3779B1, before * 0x85EBCA6B % m ^ one * 0xC2B2AE35 % m, before * 0x27D4EB2F % m ^ one * 0x165667B1 % m ^ after * 0xD3A2646D % m):
+                h %= m
+                out.append((((h ^ h >> 15) * 0x2C1B3C6D % m) >> 12) % buckets)
+    return out
+
+
+def test_ngrams_of_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(langid, "CHARS_AT_ONCE", 7)
+    texts = ["Écoute la mer, कि 12 straße", None, "", "\u0301\u0301", "a", "abcdefg" * 3, "İstanbul"]
+    got = [[] for _ in texts]
+    for rows, starts, ids in langid.ngrams(texts):
+        for row, a, b in zip(rows, starts, [*starts[1:], len(ids)], strict=True):
+            got[row] += ids[a:b].tolist()
+    assert got == [plain_grams(t or "", langid.BUCKETS) for t in texts]
+
+
+def test_langid_against_plain_counts(spark):
+    """Labels and scores of every row, with marks, ties and repeated rows."""
+    r = random.Random(8)
+    words = {"aa": "der die das und ist", "bb": "the of and to in", "cc": "е́ в на не что", "dd": "the of and to in"}
+    rows = []
+    for i in range(160):
+        lang = r.choice(list(words))
+        rows.append((i, " ".join(r.choice(words[lang].split() + ["x1", "Éa", "कि"]) for _ in range(r.randrange(1, 60))), lang if i % 7 else None))
+    rows += [rows[0], rows[0], (500, "\u0301\u0301 \u0301", "aa"), (501, None, "bb"), (502, "12 3", None), (503, "q", None)]
+    got = Counter((x.doc_id, x.held_out, x.lang_pred, round(x.score, 6)) for x in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
+    counts, texts = {}, Counter()
+    for i, t, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 5:
+            counts.setdefault(lang, Counter()).update(plain_grams(t or "", langid.BUCKETS))
+            texts[lang] += 1
+    want = Counter()
+    for i, t, _ in rows:
+        own = plain_grams(t or "", langid.BUCKETS)
+        logs = {k: (sum(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * langid.BUCKETS)) for g in own), math.log(texts[k] / sum(texts.values()))) for k, c in sorted(counts.items())}
+        if own:
+            best = max(sorted(logs), key=lambda k: round(sum(logs[k]), 3))
+            p = {k: ll * min(1, langid.EVIDENCE / len(own)) + prior for k, (ll, prior) in logs.items()}
+            label, score = best, 1 / sum(math.exp(x - p[best]) for x in p.values())
+        else:
+            label, score = "und", 0.0
+        want[i, zlib.crc32(str(i).encode()) % 5 == 0, label, round(score, 6)] += 1
+    label = lambda c: Counter({(i, h, x): n for (i, h, x, _), n in c.items()})
+    assert label(got) == label(want)
+    score = lambda c: sorted((i, s) for i, _, _, s in c)
+    assert all(abs(x[1] - y[1]) < 1e-3 for x, y in zip(score(got), score(want), strict=True))
+
+
 def test_hilbert_is_a_walk():
     for dims, bits in ((2, 3), (3, 2)):
         cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
