@@ -1,14 +1,19 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends at ``.``, ``!``, ``?`` or a line feed; one of more than ``longest`` words is cut
-every ``longest`` words from its start.  Every run of ``run`` consecutive sentences with at least
-``min_words`` words is hashed (128 bits, case and white space folded).  A run that also stands
-earlier (smaller doc_id, or earlier in the document) is a repeat, and the sentences that a
-repeat covers are removed.  Runs are compared on the input, not on what is left.
+A sentence ends at a full stop of any script, with the quotes and brackets that close behind it, or at a line
+feed.  Long sentences are made of phrases: one opens at a word whose hash is the least of the seven
+around it, all in the sentence.  Words decide that, not places, so a passage that was put into the middle of another
+sentence, or holds no stop, falls into the same phrases in each document.  Every run of ``run`` consecutive sentences
+or phrases is hashed (128 bits, case and white space folded).  A run that also stands earlier (smaller doc_id, or
+earlier in the document) is a repeat, and the sentences and phrases that a repeat covers are removed.  Runs
+are compared on the input, not on what is left.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,45 +23,76 @@ from pyspark.sql.window import Window
 
 from cuelake.llm.common import arrow_schema, batch_of
 
-RUN, LONGEST, MIN_WORDS, ROWS_OUT = 3, 12, 10, 200_000
-_SPACE, _ENDS = np.zeros(256, bool), np.zeros(256, bool)
+RUN, HALF, ROWS_OUT = 4, 3, 200_000
+#: characters that end a sentence, those of scripts without spaces, and those that may follow
+STOPS, WIDE, CLOSERS = ".!?\u2026\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u3002\uff01\uff1f\uff61", "\u3002\uff01\uff1f\uff61", "\"')]}\u2019\u201d\u00bb\u203a\u300d\u300f\u3011\uff09"
+_SPACE, _ENDS, _CLOSES = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ENDS[list(b".!?")] = True
-
-
-def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets at which each word starts and ends; words are parted by ASCII white space."""
+_CLOSES[list(b"\"')]}")] = True
+_HAS_WIDE = re.compile(f"[{WIDE}]")
+_WIDE_WORD = re.compile(f"[^\t-\r {WIDE}]*[{WIDE}]+[{re.escape(CLOSERS)}]*|[^\t-\r {WIDE}]+")
+
+
+def word_places(text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets at which each word starts and ends; words are parted by ASCII white space and behind the stops of scripts without spaces."""
+    if _HAS_WIDE.search(text):
+        found = np.array([m.span() for m in _WIDE_WORD.finditer(text)], np.int64).reshape(-1, 2)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+        places = np.concatenate([[0], np.cumsum(sizes)])[found]
+        return places[:, 0], places[:, 1]
     space = np.concatenate([[True], _SPACE[np.frombuffer(raw, np.uint8)], [True]])
     turns = np.flatnonzero(space[1:] != space[:-1])
     return turns[::2], turns[1::2]
 
 
-def sentence_starts(raw: bytes, starts: np.ndarray, ends: np.ndarray, longest: int = LONGEST) -> np.ndarray:
-    """Numbers of the words that open a sentence or a cut of a long one, and the number of words."""
+def _closing(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each word ends a sentence by its last characters."""
+    a = np.frombuffer(raw, np.uint8)
+    at = ends - 1
+    for _ in range(4):
+        at = at - (_CLOSES[a[at]] & (at > starts))
+    out = _ENDS[a[at]]
+    for k in np.flatnonzero((a[at] >= 128) | _CLOSES[a[at]]):
+        last = raw[starts[k] : ends[k]].decode("utf-8", "replace").rstrip(CLOSERS)[-1:]
+        out[k] = last != "" and last in STOPS
+    return out
+
+
+def span_starts(raw: bytes, starts: np.ndarray, ends: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Numbers of the words that open a sentence or a phrase, and the number of words; ``words`` are case-folded."""
     n = len(starts)
     if not n:
         return np.zeros(1, np.int64)
-    a = np.frombuffer(raw, np.uint8)
-    lines = np.cumsum(a == 10)
-    closes = _ENDS[a[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1] - 1])
-    opens = np.concatenate([[True], closes])
-    own = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
-    return np.append(np.flatnonzero((np.arange(n) - own) % longest == 0), n)
-
-
-def runs_of(text: str, run: int = RUN, longest: int = LONGEST, min_words: int = MIN_WORDS):
-    """Yields (hash high, hash low, first word, end word) of each run of sentences of ``text``."""
-    raw = text.encode()
-    starts, ends = word_places(raw)
-    marks = sentence_starts(raw, starts, ends, longest)
+    lines = np.cumsum(np.frombuffer(raw, np.uint8) == 10)
+    opens = np.ones(n, bool)
+    opens[1:] = _closing(raw, starts[:-1], ends[:-1]) | (lines[starts[1:]] > lines[ends[:-1] - 1])
+    if n > 2 * HALF:
+        own = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+        hashes = np.fromiter(map(zlib.crc32, words), np.uint32, n) * np.uint32(0x9E3779B1)
+        near = np.lib.stride_tricks.sliding_window_view(hashes, 2 * HALF + 1)
+        middle = hashes[HALF : n - HALF]
+        least = (middle < near[:, :HALF].min(axis=1)) & (middle <= near[:, HALF + 1 :].min(axis=1))
+        opens[HALF : n - HALF] |= least & (own[: n - 2 * HALF] == own[2 * HALF :])
+    return np.append(np.flatnonzero(opens), n)
+
+
+def runs_of(text: str, run: int = RUN):
+    """Yields (hash high, hash low, first word, end word) of each run of sentences and phrases of ``text``."""
+    raw, folded = text.encode(), text.lower()
+    starts, ends = word_places(text, raw)
+    lower = folded.encode()
+    words = [lower[p:q] for p, q in zip(*(x.tolist() for x in word_places(folded, lower)), strict=True)]
+    marks = span_starts(raw, starts, ends, words)
     if len(marks) <= run:
         return
-    folded = b" ".join(text.lower().encode().split())
-    at, to = word_places(folded)
+    to = np.cumsum([len(w) + 1 for w in words])
+    line = b" ".join(words)
     first, end = marks[:-run], marks[run:]
-    enough = end - first >= min_words
-    for a, b, p, q in zip(first[enough].tolist(), end[enough].tolist(), at[first[enough]].tolist(), to[end[enough] - 1].tolist(), strict=True):
-        h = xxhash.xxh3_128_intdigest(folded[p:q])
+    begin = np.concatenate([[0], to])[first]
+    for a, b, p, q in zip(first.tolist(), end.tolist(), begin.tolist(), (to[end - 1] - 1).tolist(), strict=True):
+        h = xxhash.xxh3_128_intdigest(line[p:q])
         yield (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), a, b
 
 
@@ -73,7 +109,7 @@ def _block(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return batch_of(schema, h1=np.where(known, own, h1), h2=np.where(known, doc_id, h2), doc_id=doc_id, first=first, last=last, known=known)
 
 
-def spans(docs: DataFrame, run: int = RUN, longest: int = LONGEST, min_words: int = MIN_WORDS) -> DataFrame:
+def spans(docs: DataFrame, run: int = RUN) -> DataFrame:
     """(h1, h2, doc_id, first, last, known): every run of every document, as word numbers first <= x < last.
 
     Of equal runs in a block of texts only the first has to meet those of other blocks, so a run that a third of
@@ -85,7 +121,7 @@ def spans(docs: DataFrame, run: int = RUN, longest: int = LONGEST, min_words: in
         out: list[tuple] = []
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for x in runs_of(text.as_py(), run, longest, min_words):
+                for x in runs_of(text.as_py(), run):
                     out.append((x[0], x[1], doc_id, x[2], x[3]))
                 if len(out) >= ROWS_OUT:
                     yield _block(out, schema)
@@ -99,7 +135,8 @@ def spans(docs: DataFrame, run: int = RUN, longest: int = LONGEST, min_words: in
 def repeated(runs: DataFrame) -> DataFrame:
     """(doc_id, spans): the runs of each document that also stand earlier.
 
-    One shuffle by hash; equal places (a row that is there twice) share the first rank.
+    One shuffle by hash, in which a run has at most one row for each block of ``ROWS_OUT`` runs; equal places
+    (a row that is there twice) share the first rank.
     """
     order = Window.partitionBy("h1", "h2").orderBy("doc_id", "first")
     later = runs.withColumn("place", F.rank().over(order)).where("known or place > 1")
@@ -119,7 +156,7 @@ def covered(n: int, spans_: list[tuple[int, int]]) -> np.ndarray:
 def cut_words(text: str, spans_: list[tuple[int, int]]) -> tuple[str, int, int]:
     """The text without the words in the spans (each with the white space after it), words cut, and pieces cut."""
     raw = text.encode()
-    starts, ends = word_places(raw)
+    starts, _ = word_places(text, raw)
     gone = covered(len(starts), [(a, min(b, len(starts))) for a, b in spans_ if a < len(starts)])
     upto = np.append(starts[1:], len(raw))
     keep = np.ones(len(raw) + 1, bool)
@@ -130,7 +167,7 @@ def cut_words(text: str, spans_: list[tuple[int, int]]) -> tuple[str, int, int]:
     return kept, int(gone.sum()), len(turns) // 2
 
 
-def drop_repeated_spans(docs: DataFrame, run: int = RUN, longest: int = LONGEST, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
     """``docs`` with its text cut, and n_words_removed and n_pieces_removed (bigint; replaced if present).
 
     ``docs`` needs doc_id (bigint) and text; other columns are kept.  Rows without an id or a text are
@@ -138,7 +175,7 @@ def drop_repeated_spans(docs: DataFrame, run: int = RUN, longest: int = LONGEST,
     keep what it keeps.  A text of nothing but repeats becomes ''.
     """
     kept = docs.drop("n_words_removed", "n_pieces_removed", "__spans")
-    found = repeated(spans(kept, run, longest, min_words)).withColumnRenamed("doc_id", "__id").withColumnRenamed("spans", "__spans")
+    found = repeated(spans(kept, run)).withColumnRenamed("doc_id", "__id").withColumnRenamed("spans", "__spans")
     joined = kept.join(found, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     at = kept.columns.index("text")
 

@@ -8,7 +8,7 @@ import numpy as np
 import corpus_pipeline
 from cuelake.llm import langid, packing
 from tests.llm.test_first import components
-from tests.llm.test_repeats import brute_spans
+from tests.llm.test_repeats import brute_spans, plain_words
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,13 +50,15 @@ def plain_language(docs):
         n = sum(own.values())
         if not n:
             continue
-        logs = []
+        whole, logs = [], []
         for k in langs:
             total = sum(counts[k].values()) + 0.5 * langid.BUCKETS
             ll = sum(c * np.log((counts[k][g] + 0.5) / total) for g, c in own.items())
-            logs.append(ll * min(n, langid.EVIDENCE) / n + np.log(texts[k] / sum(texts.values())))
+            prior = np.log(texts[k] / sum(texts.values()))
+            whole.append(ll + prior)
+            logs.append(ll * min(n, langid.EVIDENCE) / n + prior)
         p = np.exp(np.array(logs) - max(logs))
-        if p.max() / p.sum() >= corpus_pipeline.MIN_SCORE:
+        if p[int(np.argmax(whole))] / p.sum() >= corpus_pipeline.MIN_SCORE:
             keep.add(d.doc_id)
     return keep
 
@@ -92,7 +94,7 @@ def test_stages(spark, tmp_path):
             assert len(after) < len(before) - 5
         elif k == 2:
             want = {i: w for i, w in brute_spans([(d.doc_id, d.text) for d in before]).items() if w}
-            assert {d.doc_id: [w.decode() for w in d.text.encode().split()] for d in after} == want
+            assert {d.doc_id: [w for w, _ in plain_words(d.text)] for d in after} == want
             assert sum(d.n_chars for d in after) < sum(len(d.text) for d in before) and all(d.n_chars == len(d.text) for d in after)
         elif k == 3:
             uses, once = Counter(d.doc_id for d in after), Counter(d.doc_id for d in before)
