@@ -12,8 +12,8 @@ equal windows have equal anchor hashes; consecutive windows of one anchor form a
    and marks every window that a run of the array shows to start earlier as well.
 3. Spans are gathered by document and joined to the texts.
 
-Windows with different distances to their anchor are never equal, so an anchor with very many
-segments is sharded by that distance.
+Equal windows have equal hashes and the same distance to their anchor, so only runs of windows that share both
+with another one are sorted, and the windows of an anchor with very many segments are dealt over all tasks.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,12 @@ from cuelake.llm.suffix import END, SEPARATOR, SHIFT, permuted_prefixes, suffix_
 
 LENGTH, ANCHOR = 100, 32
 BYTES_AT_ONCE, SHARD_BYTES = 1 << 19, 1 << 21
+#: an anchor with more distinct segments than this is cut into windows
+HOT_SEGMENTS = 10_000
 _BASE = 0x9E3779B97F4A7C15
 
 
-@functools.lru_cache(1)
+@functools.lru_cache(2)
 def _powers(n: int = 2 * BYTES_AT_ONCE + LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64, for one block of pieces."""
     out = []
@@ -216,13 +219,48 @@ def earlier_windows(regions: list[bytes], doc_ids: np.ndarray, starts: np.ndarra
     return own[later], at[later]
 
 
+def shared_runs(regions: list[bytes], anchors: np.ndarray, leads: np.ndarray, length: int = LENGTH):
+    """(region, first window, end window) of the runs of windows whose hash and distance another window of their anchor has.
+
+    Equal windows are never left out, so what is sorted afterwards holds them all.
+    """
+    sizes = np.array([len(x) for x in regions])
+    windows = sizes - length + 1
+    ends, begins = np.cumsum(sizes), np.cumsum(sizes) - sizes
+    own = np.repeat(np.arange(len(regions)), windows)
+    k = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = begins[own] + k
+    up, down = _powers(max(2 * BYTES_AT_ONCE + LENGTH, 1 << int(ends[-1]).bit_length()))
+    sums = np.zeros(ends[-1] + 1, np.uint64)
+    np.cumsum((np.frombuffer(b"".join(regions), np.uint8).astype(np.uint64) + np.uint64(1)) * up[: ends[-1]], out=sums[1:])
+    keys = _mix((sums[at + length] - sums[at]) * down[at])
+    keys ^= _mix((anchors.astype(np.uint64)[own] * np.uint64(_BASE)) ^ (leads[own] - k).astype(np.uint64))
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    shared = np.zeros(len(keys), bool)
+    shared[order[1:][same]] = shared[order[:-1][same]] = True
+    found = np.flatnonzero(shared)
+    if not len(found):
+        return found, found, found
+    opens = np.concatenate([[True], (np.diff(found) > 1) | (own[found[1:]] != own[found[:-1]])])
+    first, last = found[opens], found[np.append(opens[1:], True)]
+    return own[first], k[first], k[last] + 1
+
+
 def _marks(regions: DataFrame) -> DataFrame:
-    """(doc_id, first, last): spans of bytes in the repeated windows of regions (anchor, doc_id, start, lead, bytes)."""
+    """(doc_id, first, last): spans of bytes in the repeated windows of regions (anchor, doc_id, start, lead, bytes).
+
+    A region without bytes is a window that is known to repeat.
+    """
     schema = arrow_schema("doc_id long,first int,last int")
 
     def shard(rows):
-        docs, starts = np.array([x[1] for x in rows], np.int64), np.array([x[2] for x in rows], np.int64)
-        own, at = earlier_windows([x[4] for x in rows], docs, starts)
+        anchors, docs, starts, leads = (np.array([x[k] for x in rows], np.int64) for k in range(4))
+        region, low, high = shared_runs([x[4] for x in rows], anchors, leads)
+        if not len(region):
+            return
+        docs, starts = docs[region], starts[region] + low
+        own, at = earlier_windows([rows[r][4][p : q + LENGTH - 1] for r, p, q in zip(region.tolist(), low.tolist(), high.tolist(), strict=True)], docs, starts)
         if not len(own):
             return
         order = np.lexsort((at, own))
@@ -231,62 +269,72 @@ def _marks(regions: DataFrame) -> DataFrame:
         last = np.append(first[1:], len(own)) - 1
         yield batch_of(schema, doc_id=docs[own[first]], first=starts[own[first]] + at[first], last=starts[own[first]] + at[last] + LENGTH)
 
-    def by_distance(rows):
-        """An anchor of very many segments, cut by the distance from window to anchor."""
-        for distance in range(max(x[3] for x in rows) + 1):
-            own = []
-            for anchor, doc_id, start, lead, raw in rows:
-                k = lead - distance
-                if 0 <= k <= len(raw) - LENGTH:
-                    own.append((anchor, doc_id, start + k, distance, raw[k : k + LENGTH]))
-            if len(own) > 1:
-                yield from shard(own)
-
     def rows(batches):
-        held, held_bytes, group, group_bytes = [], 0, [], 0
-
-        def close():
-            nonlocal held, held_bytes, group, group_bytes
-            if group_bytes > SHARD_BYTES:
-                yield from by_distance(group)
-            else:
-                held, held_bytes = held + group, held_bytes + group_bytes
-                if held_bytes > SHARD_BYTES:
-                    yield from shard(held)
-                    held, held_bytes = [], 0
-            group, group_bytes = [], 0
-
+        held, held_bytes, group = [], 0, []
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            columns = [c.to_pylist() for c in b.columns]
+            known = [k for k, x in enumerate(columns[4]) if not x]
+            if known:
+                starts = np.array([columns[2][k] for k in known])
+                yield batch_of(schema, doc_id=[columns[1][k] for k in known], first=starts, last=starts + LENGTH)
+            for row in zip(*columns, strict=True):
+                if not row[4]:
+                    continue
                 if group and group[0][0] != row[0]:
-                    yield from close()
+                    held += group
+                    group = []
+                    if held_bytes > SHARD_BYTES:
+                        yield from shard(held)
+                        held, held_bytes = [], 0
                 group.append(row)
-                group_bytes += len(row[4])
-        yield from close()
-        if held:
-            yield from shard(held)
+                held_bytes += len(row[4])
+        if held or group:
+            yield from shard(held + group)
 
     ordered = regions.repartition("anchor").sortWithinPartitions("anchor")
     return ordered.select("anchor", "doc_id", "start", "lead", "bytes").mapInArrow(rows, "doc_id bigint, first int, last int")
 
 
 def _fetch(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The bytes of segments, from the texts of their documents."""
+    """The bytes of segments, from the texts of their documents.
+
+    The segments of an anchor that has very many are cut into windows, each under an anchor of its own that its bytes and
+    distance name, so they are dealt over all tasks.  Of equal windows of a batch only the first has to meet
+    those of other batches; the others are known to repeat and carry no bytes.
+    """
     schema = arrow_schema("anchor long,doc_id long,start int,lead int,bytes binary")
-    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "lead")).alias("wanted"))
+    crowds = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot"))
+    marked = firsts.join(crowds, "anchor", "left")
+    wanted = marked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "lead", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
 
     def rows(batches):
         for b in batches:
             out = {f.name: [] for f in schema}
+            hot = []
             for doc_id, text, parts in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2), strict=True):
                 for x in parts.as_py():
-                    for name, v in zip(out, (x["anchor"], doc_id, x["start"], x["lead"], text[x["start"] : x["start"] + x["windows"] + LENGTH - 1]), strict=True):
+                    start = x["start"]
+                    if x["hot"]:
+                        hot += [(text[start + k : start + k + LENGTH], doc_id, start + k, x["lead"] - k, x["anchor"]) for k in range(x["windows"])]
+                        continue
+                    for name, v in zip(out, (x["anchor"], doc_id, start, x["lead"], text[start : start + x["windows"] + LENGTH - 1]), strict=True):
                         out[name].append(v)
-                if len(out["bytes"]) > 20_000:
+                if len(out["bytes"]) > 20_000 or len(hot) > 100_000:
+                    yield from split(hot)
                     yield batch_of(schema, **out)
-                    out = {f.name: [] for f in schema}
+                    out, hot = {f.name: [] for f in schema}, []
+            yield from split(hot)
             yield batch_of(schema, **out)
 
+    def split(hot):
+        seen, found = {}, []
+        for raw, doc_id, start, lead, anchor in sorted(hot, key=lambda x: x[1:3]):
+            again = seen.setdefault(raw, (doc_id, start)) != (doc_id, start)
+            key = doc_id ^ start if again else xxhash.xxh3_64_intdigest(raw, (anchor ^ lead) & (1 << 64) - 1) - (1 << 63)
+            found.append((key, doc_id, start, lead, b"" if again else raw))
+        if found:
+            yield batch_of(schema, **dict(zip(schema.names, zip(*found, strict=True), strict=True)))
+
     return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(rows, "anchor bigint, doc_id bigint, start int, lead int, bytes binary")
 
 

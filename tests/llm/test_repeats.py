@@ -1,6 +1,8 @@
 """Suffix-array dedup and sentence-span dedup against brute force."""
 
 import random
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -78,6 +80,24 @@ def test_repeats_against_windows(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_crowded_anchors_long_texts_and_clashing_columns(spark, monkeypatch):
+    """Anchors with more segments than one task may hold, and a text of several blocks."""
+    monkeypatch.setattr(repeats, "HOT_SEGMENTS", 8)
+    r = random.Random(17)
+    noise = lambda n: "".join(r.choice("abcdefghé ") for _ in range(n))
+    common, longer = noise(60), noise(130)
+    texts = [noise(r.randrange(200)) + r.choice([common, longer, longer[10:]]) + noise(r.randrange(200)) for _ in range(120)]
+    texts += [noise(620_000) + texts[3] + noise(300) + texts[4] + longer, "q" * 3000, texts[7], None]
+    rows = [(2 * i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, spans int, anchor int").repartition(6)
+    want = brute_removed(rows)
+    for x in repeats.remove_repeats(frame).collect():
+        mine = np.zeros(x.n_bytes, bool)
+        for s in x.spans:
+            mine[s.first : s.last] = True
+        assert (mine == want[x.doc_id][1]).all(), x.doc_id
+
+
 def test_windows_of_one_shard():
     """Whole texts as the regions of one shard."""
     texts = make_texts(random.Random(8))
@@ -95,33 +115,91 @@ def test_windows_of_one_shard():
         assert (found.get(i, np.zeros(len(text), bool)) == gone).all()
 
 
-def brute_spans(rows, run=3, longest=12, least=10):
+STOPS, CLOSERS = ".!?…؟۔।॥։።፧。！？｡", "\"')]}’”»›」』】）"
+
+
+def plain_words(text):
+    """(word, line) of a text; a wide stop and what closes behind it end a word."""
+    out = []
+    for number, line in enumerate(text.split("\n")):
+        for w in re.split(r"[\t-\r ]+", line):
+            out += [(x, number) for x in re.findall(r"[^。！？｡]*[。！？｡]+[\"')\]}’”»›」』】）]*|[^。！？｡]+", w)]
+    return out
+
+
+def plain_units(words):
+    """Lists of word numbers: sentences, and phrases of long ones."""
+    sentences, unit = [], []
+    for k, (w, line) in enumerate(words):
+        unit.append(k)
+        bare = w.rstrip(CLOSERS)
+        if (bare and bare[-1] in STOPS) or k + 1 == len(words) or words[k + 1][1] != line:
+            sentences.append(unit)
+            unit = []
+    out = []
+    for unit in sentences:
+        h = [zlib.crc32(words[k][0].lower().encode()) * 0x9E3779B1 % 2**32 for k in unit]
+        begin = 0
+        for i in range(3, len(unit) - 3):
+            if h[i] < min(h[i - 3 : i]) and h[i] <= min(h[i + 1 : i + 4]):
+                out.append(unit[begin:i])
+                begin = i
+        out.append(unit[begin:])
+    return out
+
+
+def brute_spans(rows, run=4):
     seen, out = {}, {}
     for doc_id, text in sorted({(d, t) for d, t in rows if d is not None and t is not None}):
-        units, unit = [], []
-        words = []
-        for line_no, line in enumerate(text.split("\n")):
-            words += [(w, line_no) for w in line.encode().split()]
-        for k, (w, line) in enumerate(words):
-            unit.append(k)
-            ends = w[-1:] in b".!?" or k + 1 == len(words) or words[k + 1][1] != line
-            if ends or len(unit) == longest:
-                units.append(unit)
-                unit = []
+        words = plain_words(text)
+        units = plain_units(words)
         gone = set()
         for k in range(len(units) - run + 1):
             own = sum(units[k : k + run], [])
-            if len(own) < least:
-                continue
-            key = b" ".join(words[x][0] for x in own).decode().lower()
+            key = " ".join(words[x][0] for x in own).lower()
             if key in seen:
                 gone |= set(own)
             else:
                 seen[key] = doc_id
-        out[doc_id] = [w.decode() for k, (w, _) in enumerate(words) if k not in gone]
+        out[doc_id] = [w for k, (w, _) in enumerate(words) if k not in gone]
     return out
 
 
+def test_sentences():
+    text = 'He said "go now." Then "come back." And left. ¿Qué? «Oui.» 今日は。明日も！」 ok… (Done.) هل؟ end'
+    words = plain_words(text)
+    got = [" ".join(words[k][0] for k in u) for u in plain_units(words)]
+    assert got == ['He said "go now."', 'Then "come back."', "And left.", "¿Qué?", "«Oui.»", "今日は。", "明日も！」", "ok…", "(Done.)", "هل؟", "end"]
+    starts, ends = spans.word_places(text, text.encode())
+    assert [text.encode()[p:q].decode() for p, q in zip(starts, ends)] == [w for w, _ in words]
+    marks = spans.span_starts(text.encode(), starts, ends, [w.lower().encode() for w, _ in words])
+    assert marks.tolist() == [u[0] for u in plain_units(words)] + [len(words)]
+    odd = ")" * 50_000 + " x."  # nothing but closers
+    places = spans.word_places(odd, odd.encode())
+    assert spans.span_starts(odd.encode(), *places, [b"a", b"b"]).tolist() == [0, 2]
+
+
+def test_passages_at_random_places(spark):
+    """Passages of 51 to 80 words, with and without stops, put into the middle of other texts."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8)))
+    rows, wanted = [], {}
+    for k in range(60):
+        passage = [word() + ("." if k % 2 and r.random() < 0.1 else "") for _ in range(r.randrange(51, 80))]
+        for copy in range(2):
+            host = [word() + ("." if r.random() < 0.1 else "") for _ in range(200)]
+            at = r.randrange(200)
+            rows.append((2 * k + copy, " ".join(host[:at] + passage + host[at:])))
+            if copy:
+                wanted[2 * k + 1] = (len(passage), host)
+    got = {x.doc_id: x for x in spans.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_words_removed == 0 for i in range(0, 120, 2))
+    share = [got[i].n_words_removed / n for i, (n, _) in wanted.items()]
+    assert sum(x >= 0.5 for x in share) >= 56 and sum(share) / len(share) > 0.75
+    for i, (_, host) in wanted.items():
+        assert not set(host) - set(got[i].text.split())  # no word of the host is lost
+
+
 def test_spans_against_brute_force(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefgé") for _ in range(r.randrange(2, 8)))
