@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import htmltext, langid, mixing, nndescent, packing, repeats, sharding, simhash, spans, topk
+from cuelake.llm import htmltext, kmeans, langid, mixing, nndescent, packing, repeats, sharding, simhash, spans, spelling, topk
 from cuelake.llm.common import table
 
 SHARDS, SLOTS, ENTROPY_SHARE, SEED = [f"shard-{k:02d}" for k in range(32)], 3203, 0.97, 17
+CLUSTERS, DIMS, ROUNDS = 16, 64, 3
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, plan, seed=SEED).select("doc_id", "source", "block", mixing.permutation_key(F.col("doc_id"), SEED).alias("permutation_key"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"), CLUSTERS, DIMS, ROUNDS).drop("n_scans")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), every=31).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 SHARDING_SQL = f"""
 with recursive names as (
   select cast(k as integer) as shard, 'shard-' || lpad(cast(k as varchar), 2, '0') as shard_name from range({len(SHARDS)}) r(k)
@@ -140,6 +149,87 @@ with v as (
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_simhash_dedup, op4_sharding, op5_embedding_dedup, op6_suffix_dedup, op7_span_dedup, op8_html_text, op9_exact_topk, op10_mixing)}
+def _nearest(r: int) -> str:
+    """Vectors assigned to the centroids of round ``r``, and what these become."""
+    return f"""
+), a{r} as materialized (
+  select r, vec_id, v, c, d from (
+    select v.*, c.c, d, row_number() over (partition by v.r order by d, c.c) as k
+    from v, c{r} c, lateral (select cast(list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d) x
+  ) where k = 1"""
+
+
+def _moved(r: int) -> str:
+    return f"""
+), s{r} as (
+  select c, i, cast(sum(x) as bigint) as total, count(*) as n from (select c, unnest(v) as x, unnest(range({DIMS})) as i from a{r}) group by c, i
+), c{r + 1} as materialized (
+  select c.c, coalesce(m.v, c.v) as v from c{r} c
+  left join (select c, list((total - ((total % n) + n) % n) // n order by i) as v from s{r} group by c) m on m.c = c.c"""
+
+
+CLUSTER_SQL = (
+    f"""
+with v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(embedding) = {DIMS} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as materialized (
+  select cast(row_number() over (order by h, v) - 1 as integer) as c, v
+  from (select v, sha256('1:' || cast(vec_id as varchar)) as h from v order by h, v limit {CLUSTERS})"""
+    + "".join(_nearest(r) + _moved(r) for r in range(ROUNDS))
+    + _nearest(ROUNDS)
+    + f"""
+)
+select a.vec_id, a.c as cluster, a.d as distance, cast(sum(a.d) over (partition by a.c) as bigint) as cluster_inertia,
+       cast(sum(a.d) over () as bigint) as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from a{ROUNDS} a join c{ROUNDS} c on c.c = a.c
+"""
+)
+
+#: the checksum is taken byte by byte over a table of 256 numbers, which is made here by its rule
+SPELLING_SQL = """
+with recursive bits as (
+  select cast(i as bigint) as i, cast(i as bigint) as x, 0 as step from range(256) t(i)
+  union all
+  select i, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, step + 1 from bits where step < 8
+), crc as (
+  select list(x order by i) as t from bits where step = 8
+), runs as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents
+), counted as (
+  select coalesce(cast(doc_id as varchar), '') || ':' || run as line, run, count(*) as n from runs where length(run) >= 7 group by all
+), hashed as (
+  select run, n, xor(list_reduce(list_transform(range(octet_length(encode(line))), lambda i: cast('0x' || hex(encode(line))[2 * i + 1 : 2 * i + 2] as bigint)),
+                                 lambda acc, b: xor(acc >> 8, t[(xor(acc, b) & 255) + 1]), cast(4294967295 as bigint)), 4294967295) as h
+  from counted, crc
+), spelt as (
+  select case when h % 31 = 0 then substr(run, 1, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) as bigint) + 2) else run end as word, n from hashed
+), words as materialized (
+  select word, cast(sum(n) as bigint) as n from spelt where length(word) >= 7 group by word having sum(n) >= 2
+), cut as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from words, lateral (select unnest(range(length(word))) as i) x
+), near as (
+  select a.word, b.word as near, b.n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union
+  select a.word, b.word, b.n from cut a join words b on a.rest = b.word
+  union
+  select b.word, a.word, a.n from cut a join words b on a.rest = b.word
+), best as (
+  select word, count(*) as n_near, first(near order by n desc, encode(near)) as near, max(n) as near_n from near group by word
+), formed as materialized (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.near_n >= 10 * w.n then b.near end as form, case when b.near_n >= 10 * w.n then b.near_n end as form_n
+  from words w left join best b on b.word = w.word
+), chain as (
+  select word, word as here, 0 as step from formed
+  union all
+  select c.word, f.form, step + 1 from chain c join formed f on f.word = c.here where f.form is not null
+)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n
+from formed f join (select word, arg_max(here, step) as root from chain group by word) r on r.word = f.word
+"""
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_simhash_dedup, op4_sharding, op5_embedding_dedup, op6_suffix_dedup, op7_span_dedup, op8_html_text, op9_exact_topk, op10_mixing, op11_centroid_clusters, op12_spelling_variants)}
 
-ORACLES = {"op4_sharding": SHARDING_SQL, "op9_exact_topk": TOPK_SQL, "op10_mixing": MIXING_SQL}
+ORACLES = {"op4_sharding": SHARDING_SQL, "op9_exact_topk": TOPK_SQL, "op10_mixing": MIXING_SQL, "op11_centroid_clusters": CLUSTER_SQL, "op12_spelling_variants": SPELLING_SQL}
