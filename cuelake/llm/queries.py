@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import htmltext, kmeans, langid, mixing, nndescent, packing, repeats, sharding, simhash, spans, spelling, topk
+from cuelake.llm import htmltext, kmeans, langid, mixing, nndescent, packing, pii, repeats, sharding, simhash, spans, spelling, topk
 from cuelake.llm.common import table
 
 SHARDS, SLOTS, ENTROPY_SHARE, SEED = [f"shard-{k:02d}" for k in range(32)], 3203, 0.97, 17
@@ -68,6 +68,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), every=31).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 SHARDING_SQL = f"""
 with recursive names as (
   select cast(k as integer) as shard, 'shard-' || lpad(cast(k as varchar), 2, '0') as shard_name from range({len(SHARDS)}) r(k)
@@ -230,6 +234,6 @@ select f.word, f.form, r.root, f.n, f.n_near, f.form_n
 from formed f join (select word, arg_max(here, step) as root from chain group by word) r on r.word = f.word
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_simhash_dedup, op4_sharding, op5_embedding_dedup, op6_suffix_dedup, op7_span_dedup, op8_html_text, op9_exact_topk, op10_mixing, op11_centroid_clusters, op12_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_simhash_dedup, op4_sharding, op5_embedding_dedup, op6_suffix_dedup, op7_span_dedup, op8_html_text, op9_exact_topk, op10_mixing, op11_centroid_clusters, op12_spelling_variants, op13_personal_data)}
 
 ORACLES = {"op4_sharding": SHARDING_SQL, "op9_exact_topk": TOPK_SQL, "op10_mixing": MIXING_SQL, "op11_centroid_clusters": CLUSTER_SQL, "op12_spelling_variants": SPELLING_SQL}
