@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import arrow_schema, batch_of, discard, materialize
 
-GROUPS, SUBTRIE, LEAF, SLICE, HELD = 16, 10_000, 24, 65_536, 200_000
+GROUPS, SUBTRIE, LEAF, SLICE, HELD = 16, 3_000, 24, 65_536, 200_000
 #: letters in falling frequency in the languages written in this script; a letter's group is its place here modulo the number of groups
 FREQUENT = "eainrtoslducmpghbvfyqwxkjzéèàóíäüñçêöáßú"
 
