@@ -10,6 +10,7 @@ their text.  Pages are independent: the operator is a map over them, with no shu
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -100,29 +101,32 @@ def build(html: str) -> Node:
     """
     root = Node("html")
     stack, at, tag = [root], 0, TAG
-    open_names: dict[str, int] = {"html": 1}
+    places: dict[str, list[int]] = {"html": [0]}  # where on the stack each name is open, outermost first
 
     def pop(k: int) -> None:
         for node in stack[k:]:
-            open_names[node.name] -= 1
+            places[node.name].pop()
         del stack[k:]
 
     def push(node: Node) -> None:
         stack[-1].children.append(node)
+        places.setdefault(node.name, []).append(len(stack))
         stack.append(node)
-        open_names[node.name] = open_names.get(node.name, 0) + 1
+
+    def innermost(names: set[str]) -> int:
+        return max((own[-1] for n in names if (own := places.get(n))), default=0)
 
     def close(names: set[str], borders: set[str]) -> None:
-        if not any(open_names.get(n) for n in names):
+        """End all that is open from the outermost of ``names`` within the innermost border."""
+        if not any(places.get(n) for n in names):
             return
-        cut = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                cut = k
-            elif stack[k].name in borders:
-                break
-        if cut is not None:
-            pop(cut)
+        border, cut = innermost(borders - names), len(stack)
+        for n in names:
+            own = places.get(n, [])
+            first = bisect_right(own, border)
+            if first < len(own):
+                cut = min(cut, own[first])
+        pop(cut)
 
     def say(text: str) -> None:
         if stack[-1].name == "head" and text.strip():
@@ -155,31 +159,25 @@ def build(html: str) -> Node:
             continue
         name = m[1].lower()
         if m.re is END_TAG:
-            if open_names.get(name) and name != "html":
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        pop(k)
-                        break
-                    if stack[k].name == "table" and name not in TABLE_PARTS and name != "table":
-                        break
+            if places.get(name) and name != "html":
+                k = places[name][-1]
+                if name in TABLE_PARTS or k >= innermost({"table"}):
+                    pop(k)
             elif name == "br":
                 stack[-1].children.append(Node("br"))
             continue
         if name == "html":
             continue
-        if open_names.get("head") and name not in IN_HEAD:
+        if places.get("head") and name not in IN_HEAD:
             close({"head"}, {"html"})
         if name in IMPLIED:
             close(*IMPLIED[name])
         if name in ENDS_P:
             close({"p"}, P_BORDERS)
-        if name in HOLDERS and open_names.get("table"):  # what stands between a table's parts ends
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in HOLDERS[name]:
-                    pop(k + 1)
-                    break
-                if stack[k].name in CELLS:
-                    break
+        if name in HOLDERS and places.get("table"):  # what stands between a table's parts ends
+            k = innermost(HOLDERS[name])
+            if k and k >= innermost(CELLS):
+                pop(k + 1)
             if name in CELLS and stack[-1].name in HOLDERS["tr"]:
                 push(Node("tr"))
         attributes = {}
