@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import arrow_schema, batch_of, slices
 
 BUCKETS, CHARS_AT_ONCE, MAX_MODEL_MB, UNKNOWN = 1 << 16, 1 << 18, 256, "und"
-#: n-grams of evidence that the reported posterior counts as at most, or all but the shortest texts would score 1; no label depends on it
-EVIDENCE = 64
 
 
 @functools.cache
@@ -133,7 +131,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
 
 
 def score_batch(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The likeliest language of each text, ties to the first by name, and its posterior on EVIDENCE n-grams at most."""
+    """The likeliest language of each text, ties to the first by name, and its posterior."""
     buckets = logp.shape[1] - 1
     sums, grams = np.zeros((len(langs), len(texts))), np.zeros(len(texts))
     for rows, starts, ids in ngrams(texts, buckets):
@@ -143,15 +141,15 @@ def score_batch(texts: list[str | None], langs: list[str], logp: np.ndarray) ->
     known = grams > 0
     if not langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    best = (sums + logp[:, buckets:]).argmax(axis=0)
-    logs = sums * (np.minimum(grams, EVIDENCE) / np.maximum(grams, 1)) + logp[:, buckets:]
+    logs = sums + logp[:, buckets:]
+    best = logs.argmax(axis=0)
     share = np.exp(logs - logs.max(axis=0))
     share = share[best, np.arange(len(texts))] / share.sum(axis=0)
     return [langs[i] if ok else UNKNOWN for i, ok in zip(best, known, strict=True)], np.where(known, share, 0.0)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score (columns of these names are replaced).
+    """``docs`` with lang_pred and lang_score, its posterior given the whole text (columns of these names are replaced).
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if no language was learned.
     Whole texts are scored; only ``text_col`` is looked at.

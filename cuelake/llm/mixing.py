@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cuelake.llm.common import materialize
+from cuelake.llm.common import as_row, materialize
 
 STEPS, BITS_A_JOB = 24, 8
 
@@ -104,14 +104,17 @@ def mixing_plan(docs: DataFrame, entropy_share: float | None = None, max_repetit
     return materialize(out, "mix")
 
 
-def mix(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
-    """``docs`` with a column ``block``: one row for each use of a document under ``plan``.
+def mix(docs: DataFrame, plan: DataFrame, seed: int = 17, block_col: str = "block") -> DataFrame:
+    """``docs`` with a column ``block_col`` (replaced if present): one row for each use of a document under ``plan``.
 
-    Sorting by (block, permutation_key) gives the order of the block permutations.  All columns of
-    ``docs`` are kept; a null source is a source like others.  Rows without an id share one place in
+    Sorting by (block, permutation_key) gives the order of the block permutations.  All other columns of
+    ``docs`` are kept, whatever their names; a null source is a source like others.  Rows without an id share one place in
     the permutation, as do rows of equal id.
     """
-    p = plan.select(F.col("source").alias("__source"), "full_blocks", "cut_key")
-    uses = F.col("full_blocks") + F.when(permutation_key(F.col("doc_id"), seed) <= F.col("cut_key"), 1).otherwise(0)
-    joined = docs.join(p, docs["source"].eqNullSafe(F.col("__source")), "inner").withColumn("__uses", uses).where("__uses > 0")
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(0), F.col("__uses") - 1)).alias("block"))
+    key = permutation_key(F.col("doc_id"), seed)
+    rows = docs.select(as_row(docs).alias("row"), F.col("source").alias("source"), key.alias("key"))
+    p = plan.select(F.col("source").alias("of"), "full_blocks", "cut_key")
+    uses = F.col("full_blocks") + F.when(F.col("key") <= F.col("cut_key"), 1).otherwise(0)
+    joined = rows.join(p, F.col("source").eqNullSafe(F.col("of")), "inner").withColumn("uses", uses).where("uses > 0")
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c != block_col]
+    return joined.select(*kept, F.explode(F.sequence(F.lit(0), F.col("uses") - 1)).alias(block_col))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cuelake.llm import langid, mixing, packing, sharding, simhash
 from cuelake.llm.graph import connected_components
@@ -144,7 +145,7 @@ def test_langid_against_plain_counts(spark):
         logs = {k: (sum(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * langid.BUCKETS)) for g in own), math.log(texts[k] / sum(texts.values()))) for k, c in sorted(counts.items())}
         if own:
             best = max(sorted(logs), key=lambda k: round(sum(logs[k]), 3))
-            p = {k: ll * min(1, langid.EVIDENCE / len(own)) + prior for k, (ll, prior) in logs.items()}
+            p = {k: ll + prior for k, (ll, prior) in logs.items()}
             label, score = best, 1 / sum(math.exp(x - p[best]) for x in p.values())
         else:
             label, score = "und", 0.0
@@ -224,3 +225,15 @@ def test_mixing(spark):
     assert even["hot"].full_blocks == 0 and even["small"].full_blocks >= 1
     none = docs.where("false")
     assert mixing.mix(none, mixing.mixing_plan(none, entropy_share=0.9)).count() == 0
+
+
+def test_mixing_takes_columns_of_any_name(spark):
+    rows = [(i, f"s{i % 3}", "w " * (i + 1), i, -i, "k", 7) for i in range(40)] + [(None, None, None, 0, 0, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, full_blocks int, cut_key int, __uses string, block int").withColumns({"__source": F.lit(1), "row": F.lit(2), "key": F.lit(3), "of": F.lit(4), "a.b": F.lit(5)})
+    plan = mixing.mixing_plan(df, entropy_share=0.9)
+    got = mixing.mix(df, plan).collect()
+    want = mixing.mix(df.select("doc_id", "source", "text"), plan).collect()
+    assert sorted((x.doc_id, x.block) for x in got) == sorted((x.doc_id, x.block) for x in want)
+    assert all((x.full_blocks, x.cut_key, x["__uses"], x["__source"], x.row, x.key, x.of, x["a.b"]) == (x.doc_id, -x.doc_id, "k", 1, 2, 3, 4, 5) for x in got)
+    kept = mixing.mix(df, plan, block_col="use").collect()
+    assert all(x.block == 7 for x in kept) and len(kept) == len(got)
