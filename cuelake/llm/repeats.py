@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import arrow_schema, batch_of, materialize
+from cuelake.llm.common import arrow_schema, batch_of, materialize, with_variant
 from cuelake.llm.suffix import END, SEPARATOR, SHIFT, permuted_prefixes, suffix_array
 
 LENGTH, ANCHOR = 100, 32
@@ -95,35 +95,46 @@ def segments(block: bytes, sizes: np.ndarray, length: int = LENGTH, anchor: int
 
 
 def _texts(batch):
-    """(doc_id, offset, bytes) of pieces that share ``length - 1`` bytes with the next, so each window is in one."""
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+    """(doc_id, offset, bytes, variant) of pieces that share ``length - 1`` bytes with the next, so each window is in one."""
+    for doc_id, text, variant in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
         raw = text.as_py()
         for k in range(0, max(1, len(raw) - LENGTH + 1), BYTES_AT_ONCE):
-            yield doc_id, k, raw[k : k + BYTES_AT_ONCE + LENGTH - 1]
+            yield doc_id, k, raw[k : k + BYTES_AT_ONCE + LENGTH - 1], variant
+
+
+def _turns(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it in any of the columns; the first does."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _heads(turns: np.ndarray) -> np.ndarray:
+    """For each row the place of the last turn."""
+    return np.flatnonzero(turns)[np.cumsum(turns) - 1]
 
 
 def all_segments(docs: DataFrame) -> DataFrame:
-    """(anchor, content, doc_id, start, windows, lead, known): every window of every text lies in one segment.
+    """(anchor, content, doc_id, variant, start, windows, lead, known): every window of every text lies in one segment.
 
     Of equal segments of a block of texts only the first needs to meet those of other blocks: the rest are
     ``known`` repeats and get an anchor of their own, so a very frequent string is dealt over all tasks.
     """
-    schema = arrow_schema("anchor long,content long,doc_id long,start int,windows int,lead int,known boolean")
+    schema = arrow_schema("anchor long,content long,doc_id long,variant long,start int,windows int,lead int,known boolean")
 
     def rows(batches):
         def flush(held):
             found = segments(b"".join(x[2] for x in held), np.array([len(x[2]) for x in held]))
             if found is not None:
                 number, start, windows, anchor, content, lead = found
-                ids, offsets = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-                doc_id, start = ids[number], start + offsets[number]
-                order = np.lexsort((start, doc_id, windows, content, anchor))
-                doc_id, start, windows, anchor, content, lead = (x[order] for x in (doc_id, start, windows, anchor, content, lead))
-                opens = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (windows[1:] != windows[:-1])])
-                first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-                known = (doc_id != doc_id[first]) | (start != start[first])
-                own = _mix(doc_id.astype(np.uint64) * np.uint64(_BASE) + start.astype(np.uint64)).view(np.int64)
-                yield batch_of(schema, anchor=np.where(known, own, anchor), content=content, doc_id=doc_id, start=start, windows=windows, lead=lead, known=known)
+                ids, offsets, variants = (np.array([x[k] for x in held], np.int64) for k in (0, 1, 3))
+                doc_id, start, variant = ids[number], start + offsets[number], variants[number]
+                order = np.lexsort((start, variant, doc_id, windows, content, anchor))
+                doc_id, variant, start, windows, anchor, content, lead = (x[order] for x in (doc_id, variant, start, windows, anchor, content, lead))
+                opens = _turns(anchor, content, windows)
+                known = (doc_id != doc_id[_heads(opens)]) | (start != start[_heads(opens | _turns(doc_id, variant))])
+                own = _mix(doc_id.astype(np.uint64) * np.uint64(_BASE) + start.astype(np.uint64) + variant.view(np.uint64)).view(np.int64)
+                yield batch_of(schema, anchor=np.where(known, own, anchor), content=content, doc_id=doc_id, variant=variant, start=start, windows=windows, lead=lead, known=known)
 
         for b in batches:
             held, total = [], 0
@@ -136,24 +147,25 @@ def all_segments(docs: DataFrame) -> DataFrame:
             if held:
                 yield from flush(held)
 
-    return docs.mapInArrow(rows, "anchor bigint, content bigint, doc_id bigint, start int, windows int, lead int, known boolean")
+    return docs.select("doc_id", "text", "variant").mapInArrow(rows, "anchor bigint, content bigint, doc_id bigint, variant bigint, start int, windows int, lead int, known boolean")
 
 
 def sort_out(segments_: DataFrame) -> DataFrame:
     """Of segments sorted by anchor, content and place: later copies (repeat) and firsts of shared anchors.
 
-    Only the current anchor and the first segment of it are carried from batch to batch.
+    A copy is later if its content stands in a smaller doc_id, or before it in its own text; texts of one id are not earlier
+    than one another.  Only the current anchor and the first segment of it are carried from batch to batch.
     """
-    schema = arrow_schema("anchor long,doc_id long,start int,windows int,lead int,repeat boolean")
+    schema = arrow_schema("anchor long,doc_id long,variant long,start int,windows int,lead int,repeat boolean")
 
     def rows(batches):
         held = None  # the last row, and the first of its anchor while that is alone
         alone = None
-        opened = (0, 0)  # place of the first segment of the current content
+        opened = (0, 0, 0, 0)  # doc_id of the first segment of the current content; doc_id, variant and start of the first of its current text
         for b in batches:
             if not b.num_rows:
                 continue
-            anchor, content, doc_id, start, windows, lead, known = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            anchor, content, doc_id, variant, start, windows, lead, known = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             n = len(anchor)
             last = held or (None, None, None)
             same_anchor = np.concatenate([[last[0] == anchor[0]], anchor[1:] == anchor[:-1]])
@@ -170,29 +182,30 @@ def sort_out(segments_: DataFrame) -> DataFrame:
                 alone = None
             elif group[0] == 1:
                 alone = None
-            # rows of the same place as the first of their content are that first again, not copies of it
-            kind = np.cumsum(firsts)
-            leads = np.flatnonzero(firsts)
-            lead_doc, lead_start = (np.append(x, y[leads])[kind] for x, y in ((opened[0], doc_id), (opened[1], start)))
-            again = same & (doc_id == lead_doc) & (start == lead_start)
-            opened = (lead_doc[-1], lead_start[-1])
-            same = (same & ~again) | known
-            take = same | shared
+            # rows of the same place as the first of their text are that first again, not copies of it; the first in another text of
+            # the same id is a first too, and goes on whether or not its anchor is shared
+            texts = np.concatenate([[not same[0] or (doc_id[0], variant[0]) != opened[1:3]], firsts[1:] | (doc_id[1:] != doc_id[:-1]) | (variant[1:] != variant[:-1])])
+            lead_doc = np.append(opened[0], doc_id[firsts])[np.cumsum(firsts)]
+            text_start = np.append(opened[3], start[texts])[np.cumsum(texts)]
+            opened = (lead_doc[-1], doc_id[-1], variant[-1], text_start[-1])
+            later = same & ((doc_id != lead_doc) | (start != text_start)) | known
+            take = later | shared | (same & texts & ~later)
             if take.any():
-                yield batch_of(schema, anchor=anchor[take], doc_id=doc_id[take], start=start[take], windows=windows[take], lead=lead[take], repeat=same[take])
+                yield batch_of(schema, anchor=anchor[take], doc_id=doc_id[take], variant=variant[take], start=start[take], windows=windows[take], lead=lead[take], repeat=later[take])
             if group[-1] > 0 and kinds[group[-1]] == 1:
                 k = int(np.flatnonzero(firsts & (group == group[-1]))[0])
-                alone = {"anchor": anchor[k], "doc_id": doc_id[k], "start": start[k], "windows": windows[k], "lead": lead[k]}
+                alone = {"anchor": anchor[k], "doc_id": doc_id[k], "variant": variant[k], "start": start[k], "windows": windows[k], "lead": lead[k]}
             elif group[-1] > 0:
                 alone = None
             held = (anchor[n - 1], content[n - 1], windows[n - 1])
 
-    ordered = segments_.repartition("anchor").sortWithinPartitions("anchor", "content", "windows", "doc_id", "start")
-    return ordered.mapInArrow(rows, "anchor bigint, doc_id bigint, start int, windows int, lead int, repeat boolean")
+    ordered = segments_.repartition("anchor").sortWithinPartitions("anchor", "content", "windows", "doc_id", "variant", "start")
+    return ordered.mapInArrow(rows, "anchor bigint, doc_id bigint, variant bigint, start int, windows int, lead int, repeat boolean")
 
 
-def earlier_windows(regions: list[bytes], doc_ids: np.ndarray, starts: np.ndarray, length: int = LENGTH):
-    """(region, window) of each window of a region that also starts at an earlier (doc_id, start)."""
+def earlier_windows(regions: list[bytes], doc_ids: np.ndarray, starts: np.ndarray, length: int = LENGTH, variants: np.ndarray | None = None):
+    """(region, window) of each window of a region that also starts in a smaller doc_id, or earlier in its own text."""
+    variants = np.zeros(len(doc_ids), np.int64) if variants is None else variants
     sizes = np.array([len(x) for x in regions])
     begins = np.cumsum(sizes + 1) - sizes - 1
     t = np.full(int(begins[-1] + sizes[-1]) + 2, SEPARATOR, np.uint16)
@@ -211,11 +224,12 @@ def earlier_windows(regions: list[bytes], doc_ids: np.ndarray, starts: np.ndarra
     keep = own >= 0
     group, own, at = group[keep], own[keep], sa[keep] - begins[own[keep]]
     place = starts[own] + at
-    order = np.lexsort((place, doc_ids[own], group))
+    if not len(group):
+        return own, at
+    order = np.lexsort((place, variants[own], doc_ids[own], group))
     group, own, at, place = group[order], own[order], at[order], place[order]
-    opens = np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]
-    first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-    later = (doc_ids[own] != doc_ids[own[first]]) | (place != place[first])
+    opens = _turns(group)
+    later = (doc_ids[own] != doc_ids[own[_heads(opens)]]) | (place != place[_heads(opens | _turns(doc_ids[own], variants[own]))])
     return own[later], at[later]
 
 
@@ -248,37 +262,37 @@ def shared_runs(regions: list[bytes], anchors: np.ndarray, leads: np.ndarray, le
 
 
 def _marks(regions: DataFrame) -> DataFrame:
-    """(doc_id, first, last): spans of bytes in the repeated windows of regions (anchor, doc_id, start, lead, bytes).
+    """(doc_id, variant, first, last): spans of bytes in the repeated windows of regions (anchor, doc_id, variant, start, lead, bytes).
 
     A region without bytes is a window that is known to repeat.
     """
-    schema = arrow_schema("doc_id long,first int,last int")
+    schema = arrow_schema("doc_id long,variant long,first int,last int")
 
     def shard(rows):
-        anchors, docs, starts, leads = (np.array([x[k] for x in rows], np.int64) for k in range(4))
-        region, low, high = shared_runs([x[4] for x in rows], anchors, leads)
+        anchors, docs, variants, starts, leads = (np.array([x[k] for x in rows], np.int64) for k in range(5))
+        region, low, high = shared_runs([x[5] for x in rows], anchors, leads)
         if not len(region):
             return
-        docs, starts = docs[region], starts[region] + low
-        own, at = earlier_windows([rows[r][4][p : q + LENGTH - 1] for r, p, q in zip(region.tolist(), low.tolist(), high.tolist(), strict=True)], docs, starts)
+        docs, variants, starts = docs[region], variants[region], starts[region] + low
+        own, at = earlier_windows([rows[r][5][p : q + LENGTH - 1] for r, p, q in zip(region.tolist(), low.tolist(), high.tolist(), strict=True)], docs, starts, LENGTH, variants)
         if not len(own):
             return
         order = np.lexsort((at, own))
         own, at = own[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
         last = np.append(first[1:], len(own)) - 1
-        yield batch_of(schema, doc_id=docs[own[first]], first=starts[own[first]] + at[first], last=starts[own[first]] + at[last] + LENGTH)
+        yield batch_of(schema, doc_id=docs[own[first]], variant=variants[own[first]], first=starts[own[first]] + at[first], last=starts[own[first]] + at[last] + LENGTH)
 
     def rows(batches):
         held, held_bytes, group = [], 0, []
         for b in batches:
             columns = [c.to_pylist() for c in b.columns]
-            known = [k for k, x in enumerate(columns[4]) if not x]
+            known = [k for k, x in enumerate(columns[5]) if not x]
             if known:
-                starts = np.array([columns[2][k] for k in known])
-                yield batch_of(schema, doc_id=[columns[1][k] for k in known], first=starts, last=starts + LENGTH)
+                starts = np.array([columns[3][k] for k in known])
+                yield batch_of(schema, doc_id=[columns[1][k] for k in known], variant=[columns[2][k] for k in known], first=starts, last=starts + LENGTH)
             for row in zip(*columns, strict=True):
-                if not row[4]:
+                if not row[5]:
                     continue
                 if group and group[0][0] != row[0]:
                     held += group
@@ -287,12 +301,12 @@ def _marks(regions: DataFrame) -> DataFrame:
                         yield from shard(held)
                         held, held_bytes = [], 0
                 group.append(row)
-                held_bytes += len(row[4])
+                held_bytes += len(row[5])
         if held or group:
             yield from shard(held + group)
 
     ordered = regions.repartition("anchor").sortWithinPartitions("anchor")
-    return ordered.select("anchor", "doc_id", "start", "lead", "bytes").mapInArrow(rows, "doc_id bigint, first int, last int")
+    return ordered.select("anchor", "doc_id", "variant", "start", "lead", "bytes").mapInArrow(rows, "doc_id bigint, variant bigint, first int, last int")
 
 
 def _fetch(docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -302,22 +316,22 @@ def _fetch(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     distance name, so they are dealt over all tasks.  Of equal windows of a batch only the first has to meet
     those of other batches; the others are known to repeat and carry no bytes.
     """
-    schema = arrow_schema("anchor long,doc_id long,start int,lead int,bytes binary")
+    schema = arrow_schema("anchor long,doc_id long,variant long,start int,lead int,bytes binary")
     crowds = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot"))
     marked = firsts.join(crowds, "anchor", "left")
-    wanted = marked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "lead", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
+    wanted = marked.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("anchor", "start", "windows", "lead", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
 
     def rows(batches):
         for b in batches:
             out = {f.name: [] for f in schema}
             hot = []
-            for doc_id, text, parts in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2), strict=True):
+            for doc_id, variant, text, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3), strict=True):
                 for x in parts.as_py():
                     start = x["start"]
                     if x["hot"]:
-                        hot += [(text[start + k : start + k + LENGTH], doc_id, start + k, x["lead"] - k, x["anchor"]) for k in range(x["windows"])]
+                        hot += [(text[start + k : start + k + LENGTH], doc_id, variant, start + k, x["lead"] - k, x["anchor"]) for k in range(x["windows"])]
                         continue
-                    for name, v in zip(out, (x["anchor"], doc_id, start, x["lead"], text[start : start + x["windows"] + LENGTH - 1]), strict=True):
+                    for name, v in zip(out, (x["anchor"], doc_id, variant, start, x["lead"], text[start : start + x["windows"] + LENGTH - 1]), strict=True):
                         out[name].append(v)
                 if len(out["bytes"]) > 20_000 or len(hot) > 100_000:
                     yield from split(hot)
@@ -327,15 +341,15 @@ def _fetch(docs: DataFrame, firsts: DataFrame) -> DataFrame:
             yield batch_of(schema, **out)
 
     def split(hot):
-        seen, found = {}, []
-        for raw, doc_id, start, lead, anchor in sorted(hot, key=lambda x: x[1:3]):
-            again = seen.setdefault(raw, (doc_id, start)) != (doc_id, start)
+        seen, own, found = {}, {}, []
+        for raw, doc_id, variant, start, lead, anchor in sorted(hot, key=lambda x: x[1:4]):
+            again = seen.setdefault(raw, doc_id) != doc_id or own.setdefault((raw, variant), start) != start
             key = doc_id ^ start if again else xxhash.xxh3_64_intdigest(raw, (anchor ^ lead) & (1 << 64) - 1) - (1 << 63)
-            found.append((key, doc_id, start, lead, b"" if again else raw))
+            found.append((key, doc_id, variant, start, lead, b"" if again else raw))
         if found:
             yield batch_of(schema, **dict(zip(schema.names, zip(*found, strict=True), strict=True)))
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(rows, "anchor bigint, doc_id bigint, start int, lead int, bytes binary")
+    return docs.join(wanted, ["doc_id", "variant"]).select("doc_id", "variant", "text", "wanted").mapInArrow(rows, "anchor bigint, doc_id bigint, variant bigint, start int, lead int, bytes binary")
 
 
 def merged(firsts: np.ndarray, lasts: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -352,16 +366,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``spans`` are the maximal removed runs of bytes, half open; ``kept`` is the rest.  A null text is
     empty.  A row without an id keeps its text and is nobody's earlier occurrence.  Rows of equal id are
-    taken for one document: repeats among them are not removed, and all are cut at the same places.
+    documents of their own, none earlier than another: each loses what stands under a smaller id or earlier in itself.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = with_variant(rows)
     named = rows.where("doc_id is not null")
     parts = all_segments(named)
     found = materialize(sort_out(parts), "segments")
-    whole = found.where("repeat").select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("last"))
+    whole = found.where("repeat").select("doc_id", "variant", F.col("start").alias("first"), (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("last"))
     marked = _marks(_fetch(named, found.where("not repeat")))
-    spans = whole.unionByName(marked).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    joined = rows.join(spans.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "found")
+    spans = whole.unionByName(marked).groupBy("doc_id", "variant").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    joined = rows.join(spans, ["doc_id", "variant"], "left").select("doc_id", "text", "found")
     pair = pa.struct([("first", pa.int32()), ("last", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pair)), ("kept", pa.binary())])
 

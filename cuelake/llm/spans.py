@@ -19,9 +19,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from cuelake.llm.common import arrow_schema, batch_of
+from cuelake.llm.common import arrow_schema, as_row, batch_of, with_variant
 
 RUN, HALF, ROWS_OUT = 4, 3, 200_000
 #: characters that end a sentence, those of scripts without spaces, and those that may follow
@@ -98,49 +99,50 @@ def runs_of(text: str, run: int = RUN):
 
 def _block(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     """Runs of some texts; those that are not the first of their block are ``known`` repeats under a hash of their own."""
-    h1, h2, doc_id, first, last = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-    order = np.lexsort((first, doc_id, h2, h1))
-    h1, h2, doc_id, first, last = (x[order] for x in (h1, h2, doc_id, first, last))
+    h1, h2, doc_id, variant, first, last = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    order = np.lexsort((first, variant, doc_id, h2, h1))
+    h1, h2, doc_id, variant, first, last = (x[order] for x in (h1, h2, doc_id, variant, first, last))
     opens = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-    head = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-    known = (doc_id != doc_id[head]) | (first != first[head])
+    texts = opens | np.concatenate([[True], (doc_id[1:] != doc_id[:-1]) | (variant[1:] != variant[:-1])])
+    head, own_head = (np.flatnonzero(x)[np.cumsum(x) - 1] for x in (opens, texts))
+    known = (doc_id != doc_id[head]) | (first != first[own_head])
     with np.errstate(over="ignore"):
-        own = (doc_id * np.int64(0x1E3779B97F4A7C15)) ^ (first * np.int64(0x3F58476D1CE4E5B9))
-    return batch_of(schema, h1=np.where(known, own, h1), h2=np.where(known, doc_id, h2), doc_id=doc_id, first=first, last=last, known=known)
+        own = (doc_id * np.int64(0x1E3779B97F4A7C15)) ^ (first * np.int64(0x3F58476D1CE4E5B9)) ^ variant
+    return batch_of(schema, h1=np.where(known, own, h1), h2=np.where(known, doc_id, h2), doc_id=doc_id, variant=variant, first=first, last=last, known=known)
 
 
 def spans(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(h1, h2, doc_id, first, last, known): every run of every document, as word numbers first <= x < last.
+    """(h1, h2, doc_id, variant, first, last, known): every run of every document, as word numbers first <= x < last.
 
-    Of equal runs in a block of texts only the first has to meet those of other blocks, so a run that a third of
-    the documents share is dealt over all tasks.
+    ``docs`` needs doc_id, text and variant.  Of equal runs in a block of texts only the first has to meet those of other
+    blocks, so a run that a third of the documents share is dealt over all tasks.
     """
-    schema = arrow_schema("h1 long,h2 long,doc_id long,first int,last int,known boolean")
+    schema = arrow_schema("h1 long,h2 long,doc_id long,variant long,first int,last int,known boolean")
 
     def rows(batches):
         out: list[tuple] = []
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc_id, text, variant in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 for x in runs_of(text.as_py(), run):
-                    out.append((x[0], x[1], doc_id, x[2], x[3]))
+                    out.append((x[0], x[1], doc_id, variant, x[2], x[3]))
                 if len(out) >= ROWS_OUT:
                     yield _block(out, schema)
                     out = []
         if out:
             yield _block(out, schema)
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(rows, "h1 bigint, h2 bigint, doc_id bigint, first int, last int, known boolean")
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text", "variant").mapInArrow(rows, "h1 bigint, h2 bigint, doc_id bigint, variant bigint, first int, last int, known boolean")
 
 
 def repeated(runs: DataFrame) -> DataFrame:
-    """(doc_id, spans): the runs of each document that also stand earlier.
+    """(doc_id, variant, spans): the runs of each text that also stand under a smaller doc_id, or earlier in the text itself.
 
-    One shuffle by hash, in which a run has at most one row for each block of ``ROWS_OUT`` runs; equal places
-    (a row that is there twice) share the first rank.
+    One shuffle by hash, in which a run has at most one row for each block of ``ROWS_OUT`` runs and text of its smallest id.
     """
-    order = Window.partitionBy("h1", "h2").orderBy("doc_id", "first")
-    later = runs.withColumn("place", F.rank().over(order)).where("known or place > 1")
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    order = Window.partitionBy("h1", "h2").orderBy("doc_id", "variant", "first")
+    own = Window.partitionBy("h1", "h2", "doc_id", "variant").orderBy("first")
+    placed = runs.withColumn("lead", F.first("doc_id").over(order)).withColumn("own", F.first("first").over(own))
+    return placed.where("known or doc_id > lead or first > own").groupBy("doc_id", "variant").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def covered(n: int, spans_: list[tuple[int, int]]) -> np.ndarray:
@@ -170,29 +172,29 @@ def cut_words(text: str, spans_: list[tuple[int, int]]) -> tuple[str, int, int]:
 def drop_repeated_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
     """``docs`` with its text cut, and n_words_removed and n_pieces_removed (bigint; replaced if present).
 
-    ``docs`` needs doc_id (bigint) and text; other columns are kept.  Rows without an id or a text are
-    returned as they are and are nobody's first.  Rows of equal id are taken for the same document: all
-    keep what it keeps.  A text of nothing but repeats becomes ''.
+    ``docs`` needs doc_id (bigint) and text; other columns are kept, whatever their names.  Rows without an id or a text are
+    returned as they are and are nobody's first.  Rows of equal id are documents of their own, none earlier than another:
+    each loses what stands under a smaller id or earlier in itself.  A text of nothing but repeats becomes ''.
     """
-    kept = docs.drop("n_words_removed", "n_pieces_removed", "__spans")
-    found = repeated(spans(kept, run)).withColumnRenamed("doc_id", "__id").withColumnRenamed("spans", "__spans")
-    joined = kept.join(found, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    at = kept.columns.index("text")
+    new = ("n_words_removed", "n_pieces_removed")
+    kept = [c for c in docs.columns if c not in new]
+    rows = with_variant(docs.select(as_row(docs.select(*(docs[f"`{c}`"] for c in kept))).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")))
+    joined = rows.join(repeated(spans(rows, run)), ["doc_id", "variant"], "left").select("row", "text", "spans")
+    types = dict(zip(joined.columns, joined.schema, strict=True))
 
     def cut(batches):
         for b in batches:
             texts, words, pieces = [], [], []
-            for text, found_ in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
-                if text.is_valid and found_.is_valid:
-                    t, w, p = cut_words(text.as_py(), [(x["first"], x["last"]) for x in found_.as_py()])
+            for text, found in zip(b.column(1), b.column(2), strict=True):
+                if text.is_valid and found.is_valid:
+                    t, w, p = cut_words(text.as_py(), [(x["first"], x["last"]) for x in found.as_py()])
                 else:
                     t, w, p = text.as_py(), 0, 0
                 texts.append(t)
                 words.append(w)
                 pieces.append(p)
-            columns = list(b.columns[:-1])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(pieces, pa.int64())], names=[*b.schema.names[:-1], "n_words_removed", "n_pieces_removed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(words, pa.int64()), pa.array(pieces, pa.int64())], names=["row", "text", *new])
 
-    schema = kept.selectExpr("*", "cast(0 as bigint) n_words_removed", "cast(0 as bigint) n_pieces_removed").schema
-    return joined.mapInArrow(cut, schema)
+    schema = StructType([types["row"], StructField("text", StringType()), *(StructField(c, LongType()) for c in new)])
+    out = joined.mapInArrow(cut, schema)
+    return out.select(*((F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in kept), *new)

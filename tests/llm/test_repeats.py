@@ -26,19 +26,42 @@ def test_suffix_array_against_sorting():
 
 
 def brute_removed(rows, length=100):
-    """Covered bytes of each document, by remembering every window in order."""
-    seen, out = set(), {}
-    for doc_id, text in sorted({(d, (t or "").encode()) for d, t in rows if d is not None}):
-        gone = np.zeros(len(text), bool)
-        for k in range(len(text) - length + 1):
-            w = text[k : k + length]
-            if w in seen:
-                gone[k : k + length] = True
-            seen.add(w)
-        out[doc_id] = (text, gone)
+    """Covered bytes of each (id, text), by remembering every window under smaller ids and in the text itself."""
+    smaller, out = set(), {}
+    texts = {}
+    for d, t in rows:
+        if d is not None:
+            texts.setdefault(d, set()).add((t or "").encode())
+    for doc_id in sorted(texts):
+        fresh = set()
+        for text in texts[doc_id]:
+            gone, own = np.zeros(len(text), bool), set()
+            for k in range(len(text) - length + 1):
+                w = text[k : k + length]
+                if w in smaller or w in own:
+                    gone[k : k + length] = True
+                own.add(w)
+            fresh |= own
+            out[doc_id, text] = gone
+        smaller |= fresh
     return out
 
 
+def expected(rows, want):
+    """(doc_id, bytes, spans, kept) of every row."""
+    out = Counter()
+    for d, t in rows:
+        text = (t or "").encode()
+        gone = want[d, text] if d is not None else np.zeros(len(text), bool)
+        turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        out[d, len(text), tuple(map(int, turns)), np.frombuffer(text, np.uint8)[~gone].tobytes()] += 1
+    return out
+
+
+def found(rows):
+    return Counter((x.doc_id, x.n_bytes, tuple(v for s in x.spans for v in (s.first, s.last)), bytes(x.kept)) for x in rows)
+
+
 def make_texts(r):
     word = lambda: "".join(r.choice("abcdefgé") for _ in range(r.randrange(2, 8)))
     text = lambda n: " ".join(word() for _ in range(n))
@@ -56,20 +79,7 @@ def make_texts(r):
 
 def check_repeats(spark, rows):
     frame = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, kept string").repartition(5)
-    want = brute_removed(rows)
-    got = repeats.remove_repeats(frame).collect()
-    assert Counter(x.doc_id for x in got) == Counter(d for d, _ in rows)
-    for x in got:
-        if x.doc_id is None:
-            assert not x.spans
-            continue
-        text, gone = want[x.doc_id]
-        mine = np.zeros(len(text), bool)
-        for s in x.spans:
-            assert not mine[max(0, s.first - 1) : s.last + 1].any()
-            mine[s.first : s.last] = True
-        assert x.n_bytes == len(text) and (mine == gone).all(), x.doc_id
-        assert bytes(x.kept) == np.frombuffer(text, np.uint8)[~gone].tobytes()
+    assert found(repeats.remove_repeats(frame).collect()) == expected(rows, brute_removed(rows))
 
 
 def test_repeats_against_windows(spark):
@@ -77,6 +87,7 @@ def test_repeats_against_windows(spark):
     rows = [(3 * i - 20, t) for i, t in enumerate(texts)]
     rows += [rows[2], rows[50], (None, texts[1]), (None, None)]
     check_repeats(spark, rows)
+    check_repeats(spark, rows + [(rows[9][0], texts[3]), (rows[9][0], texts[9] + texts[3]), (rows[9][0], texts[12]), (rows[30][0], None), (rows[30][0], texts[31])])
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -90,29 +101,42 @@ def test_crowded_anchors_long_texts_and_clashing_columns(spark, monkeypatch):
     texts += [noise(620_000) + texts[3] + noise(300) + texts[4] + longer, "q" * 3000, texts[7], None]
     rows = [(2 * i, t) for i, t in enumerate(texts)]
     frame = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, spans int, anchor int").repartition(6)
-    want = brute_removed(rows)
-    for x in repeats.remove_repeats(frame).collect():
-        mine = np.zeros(x.n_bytes, bool)
-        for s in x.spans:
-            mine[s.first : s.last] = True
-        assert (mine == want[x.doc_id][1]).all(), x.doc_id
+    assert found(repeats.remove_repeats(frame).collect()) == expected(rows, brute_removed(rows))
+    same = [(5, t) for _, t in rows] + [(1, longer), (9, texts[4])]
+    frame = spark.createDataFrame([(d, t, 1) for d, t in same], "doc_id long, text string, variant int").repartition(6)
+    assert found(repeats.remove_repeats(frame).collect()) == expected(same, brute_removed(same))
+
+
+def test_an_unrelated_text_of_the_same_id_stays(spark):
+    r = random.Random(2)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    x, b = noise(300), noise(400)
+    rows = [(1, x), (2, x + noise(50)), (2, b), (2, b)]
+    got = {(y.n_bytes, len(y.kept)) for y in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(300, 300), (350, 50), (400, 400)}
+    words = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) + r.choice(["", "", "."]) for _ in range(60))
+    x, b = words(), words()
+    rows = [(1, x), (2, x + " tail."), (2, b), (2, b)]
+    df = spark.createDataFrame([(d, t, 1, 2, "v", 3) for d, t in rows], "doc_id long, text string, __id int, __spans int, variant string, row int")
+    got = spans.drop_repeated_spans(df).collect()
+    assert sum(y.text == b for y in got) == 2 and all((y["__id"], y["__spans"], y.variant, y.row) == (1, 2, "v", 3) for y in got)
 
 
 def test_windows_of_one_shard():
     """Whole texts as the regions of one shard."""
     texts = make_texts(random.Random(8))
-    want = brute_removed(list(enumerate(texts)))
+    want = {d: (t, gone) for (d, t), gone in brute_removed(list(enumerate(texts))).items()}
     docs, starts, regions = [], [], []
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         if len(raw) >= 100:
             docs.append(i), starts.append(0), regions.append(raw)
     own, at = repeats.earlier_windows(regions, np.array(docs), np.array(starts))
-    found = {}
+    marked = {}
     for k, p in zip(own, at, strict=True):
-        found.setdefault(docs[k], np.zeros(len(regions[k]), bool))[p : p + 100] = True
+        marked.setdefault(docs[k], np.zeros(len(regions[k]), bool))[p : p + 100] = True
     for i, (text, gone) in want.items():
-        assert (found.get(i, np.zeros(len(text), bool)) == gone).all()
+        assert (marked.get(i, np.zeros(len(text), bool)) == gone).all()
 
 
 STOPS, CLOSERS = ".!?…؟۔।॥։።፧。！？｡", "\"')]}’”»›」』】）"
@@ -149,19 +173,26 @@ def plain_units(words):
 
 
 def brute_spans(rows, run=4):
-    seen, out = {}, {}
-    for doc_id, text in sorted({(d, t) for d, t in rows if d is not None and t is not None}):
-        words = plain_words(text)
-        units = plain_units(words)
-        gone = set()
-        for k in range(len(units) - run + 1):
-            own = sum(units[k : k + run], [])
-            key = " ".join(words[x][0] for x in own).lower()
-            if key in seen:
-                gone |= set(own)
-            else:
-                seen[key] = doc_id
-        out[doc_id] = [w for k, (w, _) in enumerate(words) if k not in gone]
+    """Words that each (id, text) keeps."""
+    smaller, out, texts = set(), {}, {}
+    for d, t in rows:
+        if d is not None and t is not None:
+            texts.setdefault(d, set()).add(t)
+    for doc_id in sorted(texts):
+        fresh = set()
+        for text in texts[doc_id]:
+            words = plain_words(text)
+            units = plain_units(words)
+            gone, seen = set(), set()
+            for k in range(len(units) - run + 1):
+                own = sum(units[k : k + run], [])
+                key = " ".join(words[x][0] for x in own).lower()
+                if key in smaller or key in seen:
+                    gone |= set(own)
+                seen.add(key)
+            fresh |= seen
+            out[doc_id, text] = [w for k, (w, _) in enumerate(words) if k not in gone]
+        smaller |= fresh
     return out
 
 
@@ -214,16 +245,17 @@ def test_spans_against_brute_force(spark):
     texts += texts[:4] + [None, "", " ", "One. Two. Three.", "again. " * 40]
     rows = [(5 * i, t) for i, t in enumerate(texts)]
     rows += [rows[0], rows[7], (None, texts[0]), (None, None)]
-    want = brute_spans(rows)
-    frame = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, spans int")
-    got = spans.drop_repeated_spans(frame.repartition(4)).collect()
-    assert Counter(x.doc_id for x in got) == Counter(d for d, _ in rows) and all(x.spans == 1 for x in got)
-    cut = 0
-    for x in got:
-        if x.doc_id is not None and x.text is not None:
-            assert [w.decode() for w in x.text.encode().split()] == want[x.doc_id]
-            cut += x.n_words_removed
-        else:
-            assert x.n_words_removed == 0
-    assert cut > 1000
+    for more in ([], [(rows[3][0], texts[8]), (rows[3][0], texts[3] + texts[9]), (rows[40][0], texts[12])]):
+        want = brute_spans(rows + more)
+        frame = spark.createDataFrame([(d, t, 1, t) for d, t in rows + more], "doc_id long, text string, spans int, was string")
+        got = spans.drop_repeated_spans(frame.repartition(4)).collect()
+        assert Counter(x.doc_id for x in got) == Counter(d for d, _ in rows + more) and all(x.spans == 1 for x in got)
+        cut = 0
+        for x in got:
+            if x.doc_id is not None and x.text is not None:
+                assert [w.decode() for w in x.text.encode().split()] == want[x.doc_id, x.was]
+                cut += x.n_words_removed
+            else:
+                assert x.n_words_removed == 0
+        assert cut > 1000
     assert spans.drop_repeated_spans(frame.where("false")).count() == 0
