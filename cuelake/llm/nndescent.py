@@ -20,6 +20,8 @@ anew; if it never gets there, the operator raises an error.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -284,8 +286,8 @@ def _linked(graph: DataFrame, vectors: DataFrame, threshold: float, k: int) -> t
     return materialize(out, "components"), materialize(counts, "counts")
 
 
-def audit(counts: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, most: int = AUDIT) -> tuple[float, int]:
-    """Mean share of the true links that ``counts`` (rep, n) gives to sampled vectors that have any, and their number."""
+def audit(counts: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, most: int = AUDIT) -> tuple[float, int, list[str]]:
+    """Mean share of the true links that ``counts`` (rep, n) gives to sampled vectors that have any, their number, and the labels below ``RECALL``."""
     n = vectors.count()
     rows = vectors.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, n // most))) == 0).select("rep", "label", "vec").limit(2 * most).collect()
     asked = vectors.sparkSession.sparkContext.broadcast([(r.rep, r.label, bytes(r.vec)) for r in rows])
@@ -305,20 +307,63 @@ def audit(counts: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, m
                     yield batch_of(schema, rep=ids, n=(near @ mults[at]).astype(np.int64))
 
     true = vectors.select("rep", "label", "mult", "vec").mapInArrow(compare, "rep bigint, n bigint").groupBy("rep").agg(F.sum("n").alias("truth")).where("truth > 0")
-    share, linked = true.join(counts, "rep", "left").agg(F.avg(F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / F.col("truth"))), F.count("*")).first()
+    share = F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / F.col("truth"))
+    labelled = true.join(counts, "rep", "left").join(vectors.select("rep", "label"), "rep").groupBy("label").agg(F.sum(share).alias("share"), F.count("*").alias("n"))
+    found = labelled.collect()  # no more labels than sampled vectors
     asked.unpersist()
+    linked = sum(r.n for r in found)
     if linked < LINKED and most == AUDIT and n > 2 * most:
         return audit(counts, vectors, threshold, 4 * most)
-    return (1.0 if share is None else share), linked
+    return (sum(r.share for r in found) / linked if linked else 1.0), linked, [r.label for r in found if r.share < RECALL * r.n]
+
+
+def _joined(near: np.ndarray) -> np.ndarray:
+    """For each vertex of a symmetric graph the least one that it reaches."""
+    least = np.arange(len(near))
+    while True:
+        new = np.minimum(least, np.where(near, least[None, :], len(near)).min(axis=1, initial=len(near)))
+        if (new == least).all():
+            return least
+        least = new
+
+
+def exact_links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(node, component) and (rep, n) of ``vectors`` (rep, label, mult, vec) by comparing all blocks of a label, dealt over all tasks.
+
+    Its work grows with the square of a label, so it is kept for labels on which NN-descent falls short.  A pair of blocks gives a row
+    a member, with its links and one member of those it is joined to, however many links there are.
+    """
+    rows = vectors.select("label", F.octet_length("vec").alias("size"), "rep", "mult", "vec")
+    sizes = rows.groupBy("label", "size").agg(F.ceil(F.count("*") / COMPONENT_BLOCK).cast("int").alias("parts"))
+    placed = rows.join(sizes, ["label", "size"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = placed.select("label", "size", F.least("part", "beside").alias("i"), F.greatest("part", "beside").alias("j"), "part", "rep", "mult", "vec")
+    schema = arrow_schema("rep long,n long,other long")
+
+    def compare(t: pa.Table) -> pa.Table:
+        own, rep, mult = (t[x].to_numpy() for x in ("part", "rep", "mult"))
+        x = _unit(t["vec"].to_pylist())
+        near = x @ x.T >= threshold
+        if t["i"][0].as_py() == t["j"][0].as_py():
+            np.fill_diagonal(near, False)
+        else:
+            near &= own[:, None] != own[None, :]
+        if not near.any():
+            return schema.empty_table()
+        return pa.table([rep, (near @ mult).astype(np.int64), rep[_joined(near)]], schema=schema)
+
+    found = materialize(dealt.groupBy("label", "size", "i", "j").applyInArrow(compare, "rep bigint, n bigint, other bigint").where("n > 0"), "exact")
+    return connected_components(found, "rep", "other"), found.groupBy("rep").agg(F.sum("n").alias("n"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row for each input row.
+    """(vec_id, n_links, component_id, kept, audited_recall), one row for each input row.
 
     Rows are compared only within a label (or all together, if ``label_col`` is None) and only with
     vectors of equal dimensions.  A row whose label or vector is null, whose vector is empty, zero or
     holds a null or non-finite component links with nothing.  Rows of equal id are vectors of their own.
     A null id has no component and is not kept.  Other columns, whatever their names, are not read.
+    ``audited_recall`` is the mean share of true links found for a sample of vectors.  Labels on which it still is below ``RECALL``
+    after ``MOST_ORDERS`` orders are compared in full by blocks.
     """
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), label.alias("label"), F.col(vector_col).alias("v"))
@@ -330,15 +375,25 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     while True:
         graph = _grown(graph, vectors.select("rep", "label", "vec"), first, k)
         components, counts = _linked(graph, vectors, threshold, k)
-        recall, linked = audit(counts, vectors, threshold)
-        if recall >= RECALL:
-            break
+        recall, _, short = audit(counts, vectors, threshold)
         first += ORDERS
-        if first >= MOST_ORDERS:
-            raise RuntimeError(f"audited recall is {recall:.3f} over {linked} linked vectors after {first} orders; raise NEIGHBOURS or MOST_ORDERS")
+        if recall >= RECALL or first >= MOST_ORDERS:
+            break
     discard(graph)
-    known = vectors.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
-    known = known.select("label", "vec", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    links = [(vectors, components, counts)]
+    if recall < RECALL:
+        marked = F.broadcast(df.sparkSession.createDataFrame([(x,) for x in short], "label string"))  # of a sample of fixed size
+        poor = vectors.join(marked, "label", "left_semi")
+        exact_components, exact_counts = (materialize(x, "exact") for x in exact_links(poor, threshold))
+        links = [(vectors.join(marked, "label", "left_anti"), components, counts), (poor, exact_components, exact_counts)]
+        recall = audit(counts.join(poor, "rep", "left_anti").unionByName(exact_counts), vectors, threshold)[0]
+
+    def known_links(own: DataFrame, components: DataFrame, counts: DataFrame) -> DataFrame:
+        both = own.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
+        return both.select("label", "vec", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+
+    known = functools.reduce(DataFrame.unionByName, (known_links(*x) for x in links))
     found = cells.join(known, ["label", "vec"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     alone = rows.where(~there | ~F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False)))
-    return found.unionByName(alone.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept")))
+    every = found.unionByName(alone.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept")))
+    return every.withColumn("audited_recall", F.lit(float(recall)))

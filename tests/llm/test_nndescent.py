@@ -64,8 +64,22 @@ def test_nested_groups_hubs_and_blocks(spark, monkeypatch, block):
     assert found.sum() >= 0.999 * n.sum() and same.mean() > 0.999 and n.max() > 200
 
 
-def test_shortfall_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(nndescent, "audit", lambda *_: (0.5, 99))
-    with pytest.raises(RuntimeError, match="recall"):
-        monkeypatch.setattr(nndescent, "MOST_ORDERS", 12)
-        nndescent.near_duplicates(spark.createDataFrame([(1, [1.0, 2.0], 1)], "vec_id long, embedding array<double>, label int"))
+def test_labels_that_fall_short_are_compared_in_full(spark, monkeypatch):
+    """The audit is told that nothing was found in label 1, and gets the exact counts afterwards."""
+    monkeypatch.setattr(nndescent, "COMPONENT_BLOCK", 40)
+    monkeypatch.setattr(nndescent, "MOST_ORDERS", nndescent.ORDERS)
+    true, calls = nndescent.audit, []
+
+    def told(counts, vectors, threshold):
+        calls.append(1)
+        return (0.5, 99, ["1"]) if len(calls) == 1 else true(counts, vectors, threshold)
+
+    monkeypatch.setattr(nndescent, "audit", told)
+    r = np.random.default_rng(4)
+    x = np.vstack([around(r, r.standard_normal(16), int(r.integers(2, 60)), float(r.uniform(0.05, 0.25))) for _ in range(14)])
+    label = np.arange(len(x)) % 2
+    found, n, same = check(spark, x, label)
+    assert (found == n).all() and same.all() and len(calls) == 2
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))]
+    out = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert {y.audited_recall for y in out.collect()} == {1.0}

@@ -50,15 +50,14 @@ def plain_language(docs):
         n = sum(own.values())
         if not n:
             continue
-        whole, logs = [], []
+        logs = []
         for k in langs:
             total = sum(counts[k].values()) + 0.5 * langid.BUCKETS
             ll = sum(c * np.log((counts[k][g] + 0.5) / total) for g, c in own.items())
             prior = np.log(texts[k] / sum(texts.values()))
-            whole.append(ll + prior)
-            logs.append(ll * min(n, langid.EVIDENCE) / n + prior)
+            logs.append(ll + prior)
         p = np.exp(np.array(logs) - max(logs))
-        if p[int(np.argmax(whole))] / p.sum() >= corpus_pipeline.MIN_SCORE:
+        if p[int(np.argmax(logs))] / p.sum() >= corpus_pipeline.MIN_SCORE:
             keep.add(d.doc_id)
     return keep
 
@@ -93,7 +92,7 @@ def test_stages(spark, tmp_path):
             assert Counter(d.doc_id for d in after) == Counter(d.doc_id for d in before if group[d.doc_id] == d.doc_id)
             assert len(after) < len(before) - 5
         elif k == 2:
-            want = {i: w for i, w in brute_spans([(d.doc_id, d.text) for d in before]).items() if w}
+            want = {i: w for (i, _), w in brute_spans([(d.doc_id, d.text) for d in before]).items() if w}
             assert {d.doc_id: [w for w, _ in plain_words(d.text)] for d in after} == want
             assert sum(d.n_chars for d in after) < sum(len(d.text) for d in before) and all(d.n_chars == len(d.text) for d in after)
         elif k == 3:
