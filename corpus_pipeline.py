@@ -15,7 +15,7 @@ from cuelake.llm import langid, mixing, neardup, packing, spans
 from cuelake.llm.common import table
 from cuelake.sources.streams import shared_folder
 
-#: a document stays if its likeliest language has at least this posterior on bounded evidence
+#: a document stays if its likeliest language has at least this posterior
 MIN_SCORE = 0.5
 #: no source is used more often than this for each use of the least repeated one
 MAX_REPETITION = 1.25
@@ -41,7 +41,7 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Flatten the sources within the repetition limit; every document is used at least once."""
     plan = mixing.mixing_plan(docs, max_repetition=MAX_REPETITION, whole=True)
-    return mixing.mix(docs, plan).select(docs.columns)
+    return mixing.mix(docs, plan, block_col="__use").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
