@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,17 +13,30 @@ from pyspark.sql import functions as F
 TRANSIENT = ("429", "502", "503", "504", "timeout", "timed out", "connection", "network")
 
 
-def with_retry(fn: Callable[[list[str]], list[str]], attempts: int = 3, wait_s: float = 1.0, sleep: Callable[[float], None] | None = None):
-    """``fn`` wrapped: transient errors are tried again after a doubling wait; returns (result, attempts, seconds waited)."""
+class Call(NamedTuple):
+    """What a service may want to know of the batch it is given: a service of two parameters gets it as the second."""
+
+    video_id: int
+    batch: int
+    attempt: int
+    service: str | None
+
+
+def with_retry(fn: Callable[[list[str], int], list[str]], attempts: int = 3, wait_s: float = 1.0, sleep: Callable[[float], None] | None = None):
+    """``fn(texts, attempt)`` wrapped: transient errors are tried again after a doubling wait; returns (result, attempts, seconds waited).
+
+    Nothing is remembered from one call to the next, so the result does not depend on what else a task has seen.
+    """
     import time
 
     def call(texts: list[str]):
         waited = 0.0
         for k in range(1, attempts + 1):
             try:
-                return fn(texts), k, waited
+                return fn(texts, k), k, waited
             except Exception as e:
                 if k == attempts or not any(t in str(e).lower() for t in TRANSIENT):
+                    e.attempts, e.waited_s = k, waited  # for a caller that goes on without this batch
                     raise
                 pause = wait_s * 2 ** (k - 1)
                 (sleep or time.sleep)(pause)
@@ -31,24 +46,43 @@ def with_retry(fn: Callable[[list[str]], list[str]], attempts: int = 3, wait_s:
     return call
 
 
-def map_batches(rows: DataFrame, fn: Callable[[list[str]], list[str]], out_col: str = "result", concurrency: int | None = None, attempts: int = 3, wait_s: float = 1.0) -> DataFrame:
-    """One call of ``fn`` for each (video_id, batch), its texts in order of ``pos``; at most ``concurrency`` calls at once.
+def map_batches(
+    rows: DataFrame, fn: Callable | None = None, out_col: str = "result", concurrency: int | None = None, attempts: int = 3, wait_s: float = 1.0,
+    services: dict[str, Callable] | None = None, default: str | None = None, service_col: str = "service", keep_failed: bool = False,
+) -> DataFrame:
+    """One call for each (video_id, batch), its texts in order of ``pos``; at most ``concurrency`` calls at once.
 
-    ``fn`` must return as many texts as it is given.
+    The function is ``fn``, or that of ``services`` which the batch names in ``service_col``; an unknown or null name calls
+    ``default``.  It takes the texts, and a ``Call`` if it has a second parameter, and must return as many texts.  ``attempts``
+    and ``waited_s`` say how often a batch was tried and how long it waited in between.  A batch that fails for good raises,
+    or with ``keep_failed`` keeps its source texts, ``failed`` being true, and costs no other batch.
     """
-    call = with_retry(fn, attempts, wait_s)
+    if (fn is None) == (services is None) or (services is not None and default not in services):
+        raise ValueError("give either fn, or services and the name of the default one")
+    given = ["video_id", "batch", "pos", "text"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        texts, tries, _ = call(pdf["text"].tolist())
-        if len(texts) != len(pdf):
-            raise ValueError(f"{len(texts)} results for {len(pdf)} texts")
-        return pdf.assign(**{out_col: texts, "attempts": tries})
-
-    dealt = rows.select("video_id", "batch", "pos", "text")
+        name = None if services is None else pdf[service_col].iloc[0]
+        name = name if services is None or name in services else default
+        own = fn if services is None else services[name]
+        told = len(inspect.signature(own).parameters) > 1
+        video, batch = int(pdf["video_id"].iloc[0]), int(pdf["batch"].iloc[0])
+        source, failed = pdf["text"].tolist(), False
+        try:
+            texts, tries, waited = with_retry(lambda t, k: own(t, Call(video, batch, k, name)) if told else own(t), attempts, wait_s)(source)
+            if len(texts) != len(pdf):
+                raise ValueError(f"{len(texts)} results for {len(pdf)} texts")
+        except Exception as e:
+            if not keep_failed:
+                raise
+            texts, failed, tries, waited = source, True, getattr(e, "attempts", 1), getattr(e, "waited_s", 0.0)
+        return pdf[given].assign(**{out_col: texts, "attempts": tries, "waited_s": waited, "failed": failed})
+
+    dealt = rows.select(*given, *([service_col] if services is not None else []))
     if concurrency:
         dealt = dealt.repartition(concurrency, "video_id", "batch")
-    return dealt.groupBy("video_id", "batch").applyInPandas(one, f"video_id bigint, batch bigint, pos int, text string, {out_col} string, attempts int")
+    return dealt.groupBy("video_id", "batch").applyInPandas(one, f"video_id bigint, batch bigint, pos int, text string, {out_col} string, attempts int, waited_s double, failed boolean")
 
 
 def measured(rows: DataFrame, fn: Callable[[float, float], float | None], out_col: str = "energy_db") -> DataFrame:

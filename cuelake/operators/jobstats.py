@@ -25,13 +25,6 @@ def latest_per_task(stats: DataFrame) -> DataFrame:
     return kept.withColumn("date", F.to_date("created_at"))
 
 
-def _added(acc: Column, x: Column) -> Column:
-    """Counts by name with one more entry added to its name's."""
-    known = F.exists(acc, lambda y: y["k"] == x["k"])
-    grown = F.transform(acc, lambda y: F.struct(y["k"].alias("k"), F.when(y["k"] == x["k"], y["n"] + x["n"]).otherwise(y["n"]).alias("n")))
-    return F.when(known, grown).otherwise(F.concat(acc, F.array(x)))
-
-
 def stats_by_task(stats: DataFrame, tasks: DataFrame) -> DataFrame:
     """Rows of the tasks in a table of task_id."""
     return stats.join(tasks.select("task_id"), "task_id", "left_semi").select(stats.columns)
@@ -52,18 +45,49 @@ def stats_by_model(stats: DataFrame, models: list[str], limit: int | None = None
     return own.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
 
 
-def daily_summary(stats: DataFrame) -> DataFrame:
-    """Per date: totals, cost, time, average over all rows, and counts by model and by service as maps (null model: unknown)."""
-    df = stats.select(F.to_date("created_at").alias("date"), F.coalesce("transcription_model", F.lit("unknown")).alias("model"), "translation_service", "status", "translation_cost_usd", "total_duration")
-    parts = df.groupBy("date", "model", "translation_service").agg(
+def daily_partials(stats: DataFrame) -> DataFrame:
+    """Mergeable sums of each (date, model, service), null names being ``unknown``: rows of several calls may be put together."""
+    named = [F.coalesce(c, F.lit("unknown")).alias(n) for c, n in (("transcription_model", "model"), ("translation_service", "service"))]
+    df = stats.select(F.to_date("created_at").alias("date"), *named, "status", "translation_cost_usd", "total_duration")
+    return df.groupBy("date", "model", "service").agg(
         F.count("*").alias("n"), F.count_if(is_status("success")).alias("ok"), F.count_if(is_status("failure")).alias("bad"), F.sum("translation_cost_usd").alias("cost"), F.sum("total_duration").alias("time")
-    )  # one scan; a day has few of these
-    counts = lambda col: F.map_from_entries(F.array_sort(F.aggregate(F.collect_list(F.struct(F.col(col).alias("k"), "n")), F.expr("cast(array() as array<struct<k:string,n:bigint>>)"), _added)))
-    return parts.groupBy("date").agg(
-        F.sum("n").alias("total"), F.sum("ok").alias("succeeded"), F.sum("bad").alias("failed"),
-        F.round(F.sum("cost"), 4).alias("cost_usd"), F.round(F.sum("time"), 2).alias("total_time"), F.round(F.sum("time") / F.sum("n"), 2).alias("avg_time"),
-        counts("model").alias("by_model"), counts("translation_service").alias("by_translation_service"),
+    )
+
+
+def merged_days(partials: DataFrame) -> DataFrame:
+    """``daily_partials`` that were made in parts, put together."""
+    return partials.groupBy("date", "model", "service").agg(*(F.sum(c).alias(c) for c in ("n", "ok", "bad", "cost", "time")))
+
+
+def days_of(partials: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """The daily summary of ``daily_partials``, by grouping sets over few rows a day; ``dates`` (column date) are what is asked for.
+
+    A date that was asked for and has no rows gives a zero row without an average.
+    """
+    date, model, service = F.col("date"), F.col("model"), F.col("service")
+    sums = [F.sum(c).alias(c) for c in ("n", "ok", "bad", "cost", "time")]
+    sets = partials.groupingSets([[date], [date, model], [date, service]], date, model, service).agg(F.grouping_id().alias("level"), *sums)
+    whole = lambda c: F.max(F.when(F.col("level") == 3, F.col(c)))
+    counts = lambda level, c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("level") == level, F.struct(F.col(c).alias("k"), "n")))))
+    out = sets.groupBy("date").agg(
+        whole("n").alias("total"), whole("ok").alias("succeeded"), whole("bad").alias("failed"), F.round(whole("cost"), 4).alias("cost_usd"),
+        F.round(whole("time"), 2).alias("total_time"), F.round(whole("time") / whole("n"), 2).alias("avg_time"), counts(1, "model").alias("by_model"), counts(2, "service").alias("by_translation_service"),
     )
+    if dates is None:
+        return out
+    none = F.create_map().cast("map<string,bigint>")
+    asked = dates.select("date").where("date is not null").distinct().join(out, "date", "left")
+    zeros = {"total": 0, "succeeded": 0, "failed": 0, "cost_usd": 0.0, "total_time": 0.0}
+    filled = [F.coalesce(c, F.lit(v)).alias(c) for c, v in zeros.items()]
+    return asked.select("date", *filled, "avg_time", *(F.coalesce(c, none).alias(c) for c in ("by_model", "by_translation_service")))
+
+
+def daily_summary(stats: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """Per date: totals, cost, time, average over all rows, and counts by model and by service as maps (null: unknown).
+
+    With ``dates`` (column date) one row for each of them, zeros for those without jobs.
+    """
+    return days_of(daily_partials(stats), dates)
 
 
 def model_performance(stats: DataFrame, days: int | None = None) -> DataFrame:

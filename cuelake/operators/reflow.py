@@ -59,22 +59,31 @@ def halves(tokens: list[int], low: int, high: int, limit: int) -> list[int]:
     return out
 
 
-def _batched(segments: DataFrame, limit: int, size: int | None) -> DataFrame:
-    """With tokens, batch and oversize; a video's numbers of tokens are gathered, never its texts."""
+def _numbers(limit: int):
+    """For a list of token numbers, the number of the part that each is in: halved until within the limit."""
 
     @F.pandas_udf("array<int>")
     def numbers(lists: pd.Series) -> pd.Series:
         out = []
         for own in lists:
             own = [int(x) for x in own]
-            starts = [k for low in range(0, len(own), size or max(1, len(own))) for k in halves(own, low, min(len(own), low + (size or len(own))), limit)]
+            starts = halves(own, 0, len(own), limit)
             out.append([k for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(own)], strict=True)) for _ in range(a, b)])
         return pd.Series(out)
 
+    return numbers
+
+
+def _batched(segments: DataFrame, limit: int, size: int | None) -> DataFrame:
+    """With tokens, batch and oversize.  Texts are never gathered; with a size, no more than that many token numbers are in a row."""
     df = segments.withColumn("tokens", estimated_tokens(F.col("text")))
-    rows = df.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("rows"))
-    batch = rows.select("video_id", F.explode(F.arrays_zip(F.col("rows.pos").alias("pos"), numbers("rows.tokens").alias("batch"))).alias("x"))
-    named = batch.select("video_id", "x.pos", F.col("x.batch").cast("bigint").alias("batch"))
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy("pos")) - 1
+    bucket = F.floor(number / size) if size else F.lit(0).cast("bigint")
+    rows = df.select("video_id", "pos", "tokens", bucket.alias("bucket")).groupBy("video_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("rows"))
+    parts = rows.withColumn("part", _numbers(limit)("rows.tokens"))
+    before = F.sum(F.array_max("part") + 1).over(Window.partitionBy("video_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    batch = parts.withColumn("before", F.coalesce(before, F.lit(0))).select("video_id", "before", F.explode(F.arrays_zip(F.col("rows.pos").alias("pos"), F.col("part").alias("part"))).alias("x"))
+    named = batch.select("video_id", "x.pos", (F.col("before") + F.col("x.part")).cast("bigint").alias("batch"))
     return df.join(named, ["video_id", "pos"]).withColumn("oversize", F.col("tokens") > limit)
 
 

@@ -290,28 +290,28 @@ def a15(spark, sf):
     return archive.retention_report(archive.file_inventory(spark, sf, "*.parquet"), 0)
 
 
-@query("f01_map_batches", "segments", "select video_id, pos, upper(replace(text, 'ß', 's')) as result from segments")
+@query("f01_map_batches", "segments", "select video_id, pos, case when video_id % 3 = 1 then lower(text) else upper(replace(text, 'ß', 's')) end as result from segments")
 def f01(spark, sf):
+    """Services by name; every third video names one that is not there and gets the default."""
     rows = reflow.batch_by_count(B.segments(spark, sf), 20, 5000)
-    return batches.map_batches(rows, lambda texts: [t.replace("ß", "s").upper() for t in texts], concurrency=8).select("video_id", "pos", "result")
+    named = rows.withColumn("service", F.element_at(F.array(F.lit("upper"), F.lit("lower"), F.lit("none such")), (F.pmod("video_id", F.lit(3)) + 1).cast("int")))
+    services = {"upper": lambda texts: [t.replace("ß", "s").upper() for t in texts], "lower": lambda texts: [t.lower() for t in texts]}
+    return batches.map_batches(named, concurrency=8, services=services, default="upper").select("video_id", "pos", "result")
 
 
 @query("f02_retry", "segments", """
-with b as (select *, (row_number() over (partition by video_id order by pos) - 1) // 20 as batch from segments), h as (select video_id, batch, length(arg_min(text, pos)) % 3 as failures from b group by all)
-select video_id, pos, upper(replace(text, 'ß', 's')) as result, cast(failures + 1 as integer) as attempts from b join h using (video_id, batch)""")
+with b as (select *, (row_number() over (partition by video_id order by pos) - 1) // 20 as batch from segments), h as (select video_id, batch, length(arg_min(text, pos)) % 4 as failures from b group by all)
+select video_id, pos, case when failures < 3 then upper(replace(text, 'ß', 's')) else text end as result, cast(least(failures + 1, 3) as integer) as attempts,
+       case failures when 0 then 0 when 1 then 0.001 else 0.003 end::double as waited_s, failures = 3 as failed from b join h using (video_id, batch)""")
 def f02(spark, sf):
-    failed: dict[tuple, int] = {}
-
-    def flaky(texts):
+    def flaky(texts, call):
         """Fails as often as the length of its first text says, each time with an error that may pass."""
-        n = failed.get(tuple(texts), 0)
-        if n < len(texts[0]) % 3:
-            failed[tuple(texts)] = n + 1
-            raise RuntimeError("HTTP 503" if n else "read timed out")
+        if call.attempt <= len(texts[0]) % 4:
+            raise RuntimeError("HTTP 503" if call.attempt > 1 else "read timed out")
         return [t.replace("ß", "s").upper() for t in texts]
 
     rows = reflow.batch_by_count(B.segments(spark, sf).where("text is not null"), 20, 1 << 40)
-    return batches.map_batches(rows, flaky, attempts=3, wait_s=0.0).select("video_id", "pos", "result", "attempts")
+    return batches.map_batches(rows, flaky, attempts=3, wait_s=0.001, keep_failed=True).select("video_id", "pos", "result", "attempts", F.round("waited_s", 6).alias("waited_s"), "failed")
 
 
 @query("f04_measured", "segments", "select video_id, pos, case when start_ms % 9000 <> 0 then -start_ms / 1000.0::double end as energy_db from segments")

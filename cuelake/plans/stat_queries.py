@@ -34,18 +34,33 @@ def s03(spark, sf):
     return read_stats(spark, path).select("task_id", "created_at", "status", "total_duration", "date")
 
 
-@query("a01_daily_summary", "job_stats", """
-with d as (select *, cast(created_at as date) as date, coalesce(transcription_model, 'unknown') as model from job_stats),
+DAYS = """
+with d as (select *, cast(created_at as date) as date, coalesce(transcription_model, 'unknown') as model, coalesce(translation_service, 'unknown') as service from job_stats),
 m as (select date, list(model || '=' || n order by model) as l from (select date, model, count(*) as n from d group by all) group by date),
-s as (select date, list(translation_service || '=' || n order by translation_service) as l from (select date, translation_service, count(*) as n from d group by all) group by date)
+s as (select date, list(service || '=' || n order by service) as l from (select date, service, count(*) as n from d group by all) group by date)
 select date, count(*) as total, count(*) filter (status = 'success') as succeeded, count(*) filter (status = 'failure') as failed, round(sum(translation_cost_usd), 4) as cost_usd,
        round(sum(total_duration), 2) as total_time, round(sum(total_duration) / count(*), 2) as avg_time, array_to_string(any_value(m.l), ',') as models, array_to_string(any_value(s.l), ',') as services
-from d join m using (date) join s using (date) group by date""")
+from d join m using (date) join s using (date) group by date"""
+
+
+@query("a01_daily_summary", "job_stats", DAYS)
 def a01(spark, sf):
     flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return J.daily_summary(B.job_stats(spark, sf)).select("date", "total", "succeeded", "failed", "cost_usd", "total_time", "avg_time", flat("by_model").alias("models"), flat("by_translation_service").alias("services"))
 
 
+@query("a01_days_asked_for", "job_stats", """
+with asked as (select distinct cast(o_orderdate as date) as date from orders union select date '2024-01-05'), d as (select cast(created_at as date) as date, * exclude (created_at) from job_stats)
+select a.date, count(d.date) as total, count(*) filter (status = 'success') as succeeded, count(*) filter (status = 'failure') as failed, coalesce(round(sum(translation_cost_usd), 4), 0) as cost_usd,
+       coalesce(round(sum(total_duration), 2), 0) as total_time, round(sum(total_duration) / nullif(count(d.date), 0), 2) as avg_time, count(distinct coalesce(transcription_model, 'unknown')) filter (d.date is not null) as models
+from asked a left join d on d.date = a.date group by a.date""")
+def a01_asked(spark, sf):
+    """Days of orders, most of which have no jobs."""
+    asked = B.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")).union(spark.sql("select date'2024-01-05'"))
+    days = J.daily_summary(B.job_stats(spark, sf), asked)
+    return days.select("date", "total", "succeeded", "failed", "cost_usd", "total_time", "avg_time", F.size("by_model").cast("bigint").alias("models"))
+
+
 @query("a02_model_performance", "job_stats", """
 with r as (select *, case when status = 'success' and transcription_speed_ratio > 0 then transcription_speed_ratio end as ratio from job_stats where cast(created_at as date) >= (select max(cast(created_at as date)) - 9 from job_stats))
 select coalesce(transcription_model, 'unknown') as model, count(*) as total, count(*) filter (status = 'success') as succeeded, round(avg(total_duration) filter (status = 'success'), 4) as avg_time,

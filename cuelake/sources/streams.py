@@ -69,26 +69,37 @@ def closing_marks(spark: SparkSession, like: DataFrame, **values) -> tuple[DataF
     return spark.readStream.schema(like.schema).option("pathGlobFilter", "*.parquet").parquet(folder), put
 
 
-def run_available(stream: DataFrame, mode: str = "append", close: Callable[[int], None] | None = None) -> DataFrame:
+def into_table(base: str, each: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch``: rows (after ``each``) go to the batch's own part of a table, so a batch that comes twice is there once."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    return put
+
+
+def table_of(spark: SparkSession, base: str, schema: StructType) -> DataFrame:
+    """The table that ``into_table`` wrote, with batch_id."""
+    whole = StructType([*schema.fields, StructField("batch_id", IntegerType())])
+    return spark.read.schema(whole).option("basePath", f"{base}/out").parquet(f"{base}/out")
+
+
+def run_available(stream: DataFrame, mode: str = "append", close: Callable[[int], None] | None = None, base: str | None = None, each: Callable[[DataFrame], DataFrame] | None = None, schema: StructType | None = None) -> DataFrame:
     """Run a stream over all that is there now and return every row it emitted, with its batch_id.
 
     Rows go to a table in the shared folder, not to the driver; a batch that is run again replaces its own rows.
     With ``close`` the input is then closed: it is called twice to put marks far ahead in event time, after each of
-    which the stream runs on, so timers of all keys fire and what is held is emitted.
+    which the stream runs on, so timers of all keys fire and what is held is emitted.  A ``base`` folder that was used before goes on
+    from its checkpoint.  ``each`` turns a micro-batch into the rows that are kept, of ``schema``.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
-
+    base = base or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     for k in range(3 if close else 1):
         if k:
             close(k - 1)
-        run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
+        run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(into_table(base, each)).start()
         run.awaitTermination()
-    schema = StructType([*stream.schema.fields, StructField("batch_id", IntegerType())])
-    return spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    return table_of(spark, base, schema or stream.schema)
 
 
 def latest(emitted: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,18 +1,17 @@
-"""Streaming forms of the statistics, budget, status and transfer operators.
+"""Streaming forms of the statistics, budget and status operators; those that depend on order are in ``stateful``.
 
 State is bounded by watermarks: rows later than the delay are dropped and counted by Spark, and the state of a key
-goes once event time has left it behind.  A key's rows of one micro-batch are sorted in memory.
+goes once event time has left it behind.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ALPHA, MIN_INTERVAL_S = 0.3, 2.0
+from cuelake.operators import jobstats
+from cuelake.sources.streams import run_available
 
 
 def budget_windows(usage: DataFrame, width: str = "1 minute", delay: str = "10 minutes", token_limit: int = 20_000, request_limit: int = 60) -> DataFrame:
@@ -64,165 +63,12 @@ def latest_status(progress: DataFrame, delay: str = "1 day", idle_ms: int = 7 *
     return timed.groupBy("task_id", "step_index").applyInPandasWithState(run, "task_id bigint, step_index int, progress bigint, status string", "at bigint, event_id bigint, progress bigint, error boolean", "update", "EventTimeTimeout")
 
 
-def daily_summary(stats: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Totals of each day so far, in update mode."""
-    days = stats.withWatermark("created_at", delay).groupBy(F.window("created_at", "1 day").alias("w"))
-    sums = days.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("succeeded"), F.count_if(F.col("status") == "failure").alias("failed"), F.round(F.sum("total_duration"), 2).alias("total_time"))
-    return sums.select(F.to_date("w.start").alias("date"), "total", "succeeded", "failed", "total_time")
-
-
-def redeem_tokens(issues: DataFrame, uses: DataFrame, life_s: int = 300, delay: str = "10 minutes") -> DataFrame:
-    """Each use's verdict as in the batch form: ok, invalid, used or expired.
-
-    Issues (token, ts) and uses (use_id, token, ts) are one stream keyed by token and go by event time within a micro-batch;
-    state is the time of issue and whether the token was used, and goes when the token can't be valid any more and the
-    watermark has passed: a use that comes later still is invalid.
-    """
-    columns = ["use_id", "token", "verdict"]
-
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=columns)
-            return
-        issued, used = state.get if state.exists else (None, False)
-        rows = pd.concat(list(frames)).sort_values(["ts", "use_id"], na_position="first")
-        out = []
-        for ts, use_id in zip(rows["ts"], rows["use_id"], strict=True):
-            now = ts.timestamp()
-            if pd.isna(use_id):
-                issued = now if issued is None else issued
-            elif issued is None or now < issued:
-                out.append((int(use_id), key[0], "invalid"))
-            else:
-                out.append((int(use_id), key[0], "used" if used else "expired" if round((now - issued) * 1e6) > life_s * 1_000_000 else "ok"))
-                used = True
-        if issued is not None:
-            state.update((issued, used))
-            _until(state, rows["ts"], life_s * 1000)
-        yield pd.DataFrame(out, columns=columns).astype({"use_id": "int64", "token": "int64"})
-
-    both = issues.select(F.lit(None).cast("bigint").alias("use_id"), "token", "ts").unionByName(uses.select("use_id", "token", "ts"))
-    return both.withWatermark("ts", delay).groupBy("token").applyInPandasWithState(run, "use_id bigint, token bigint, verdict string", "issued double, used boolean", "append", "EventTimeTimeout")
-
-
-def _speed(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Moving average of the speed between accepted samples, at least two seconds apart, of growing byte counts."""
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([], columns=["task_id", "event_id", "speed"])
-        return
-    last_ts, last_bytes, ema = state.get if state.exists else (None, None, None)
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    out = []
-    for ts, event_id, n in zip(rows["ts"], rows["event_id"], rows["bytes"], strict=True):
-        now = ts.timestamp()
-        if last_ts is not None:
-            if now - last_ts < MIN_INTERVAL_S or n <= last_bytes:
-                continue
-            speed = (n - last_bytes) / (now - last_ts)
-            ema = speed if ema is None else ALPHA * speed + (1 - ALPHA) * ema
-            out.append((key[0], event_id, ema))
-        last_ts, last_bytes = now, int(n)
-    if last_ts is not None:
-        state.update((last_ts, last_bytes, ema))
-        _until(state, rows["ts"], 7 * DAY_MS)
-    yield pd.DataFrame(out, columns=["task_id", "event_id", "speed"]).astype({"task_id": "int64", "event_id": "int64", "speed": "float64"})
-
-
-def transfer_speed(transfer: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Speed of each transfer (task_id, ts, event_id, bytes), keyed state of three numbers a task, gone after a week of silence."""
-    return transfer.withWatermark("ts", delay).groupBy("task_id").applyInPandasWithState(_speed, "task_id bigint, event_id bigint, speed double", "last_ts double, last_bytes bigint, ema double", "append", "EventTimeTimeout")
-
-
-def admit_requests(usage: DataFrame, width_s: int = 60, token_limit: int = 20_000, request_limit: int = 60, delay: str = "1 day") -> DataFrame:
-    """A request is admitted if it keeps within both limits of its window; a refused one uses nothing.
-
-    The state is three numbers a key (the window, and what was admitted in it) and goes once the window and the watermark
-    have passed; rows of a key must come in order of time from batch to batch.
-    """
+def daily_summary(stats: DataFrame, base: str | None = None, dates: DataFrame | None = None) -> DataFrame:
+    """The batch form's daily summary of all that a stream has brought so far.
 
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=["task_id", "event_id", "admitted"])
-            return
-        window, used, n = state.get if state.exists else (-1, 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for ts, event_id, tokens in zip(rows["ts"], rows["event_id"], rows["tokens"], strict=True):
-            own = int(ts.timestamp() // width_s)
-            if own != window:
-                window, used, n = own, 0, 0
-            ok = used + tokens <= token_limit and n + 1 <= request_limit
-            if ok:
-                used, n = used + int(tokens), n + 1
-            out.append((key[0], event_id, ok))
-        state.update((window, used, n))
-        _until(state, rows["ts"], width_s * 1000)
-        yield pd.DataFrame(out, columns=["task_id", "event_id", "admitted"])
-
-    return usage.withWatermark("ts", delay).groupBy("task_id").applyInPandasWithState(run, "task_id bigint, event_id bigint, admitted boolean", "window bigint, used bigint, n bigint", "append", "EventTimeTimeout")
-
-
-def microbatches(segments: DataFrame, size: int = 20, idle_ms: int = 10_000) -> DataFrame:
-    """Full batches of ``size`` segments of a video as soon as they are there; the rest once the video has been idle.
-
-    Rows come with their pos, which restores the order; state holds less than ``size`` segments a video.
+    Each micro-batch is added up by date, model and service and put into its own part of a serving table, so a batch that comes
+    twice counts once and a late row counts too; the parts are merged on reading.  ``base`` is the folder of table and checkpoint.
     """
-
-    def run(key, frames, state):
-        held, sent = ([], 0) if not state.exists else (list(map(tuple, zip(state.get[0], state.get[1], strict=True))), state.get[2])
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], sent, int(p), t) for p, t in held], columns=["video_id", "batch", "pos", "text"])
-            return
-        rows = pd.concat(list(frames)).sort_values("pos")
-        held += list(zip(rows["pos"].tolist(), rows["text"].tolist(), strict=True))
-        out = []
-        while len(held) >= size:
-            out += [(key[0], sent, int(p), t) for p, t in held[:size]]
-            held, sent = held[size:], sent + 1
-        state.update(([int(p) for p, _ in held], [t for _, t in held], sent))
-        _until(state, rows["ts"], idle_ms)
-        yield pd.DataFrame(out, columns=["video_id", "batch", "pos", "text"])
-
-    timed = segments.withWatermark("ts", "10 minutes")
-    return timed.groupBy("video_id").applyInPandasWithState(run, "video_id bigint, batch bigint, pos bigint, text string", "pos array<bigint>, text array<string>, sent bigint", "append", "EventTimeTimeout")
-
-
-def spot(words: DataFrame, idle_ms: int = 10_000) -> DataFrame:
-    """Sentence groups of a word feed (video_id, pos, s_ms, e_ms, w, ts) once they are closed; an open one after a silence.
-
-    A group closes after a terminal word of at least 50 ms; state is the open group's first position, last one and start.
-    """
-    terminal = r"""[.!?]["'”’)\]]*$"""
-
-    def run(key, frames, state):
-        sent, first, last, start, end = state.get if state.exists else (0, -1, -1, 0, 0)
-        columns = ["video_id", "sent_id", "first_pos", "last_pos", "start_ms", "end_ms"]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], sent, first, last, start, end)] if first >= 0 else [], columns=columns)
-            return
-        rows = pd.concat(list(frames)).sort_values(["s_ms", "pos"])
-        closes = rows["w"].str.contains(terminal) & (rows["e_ms"] - rows["s_ms"] >= 50)
-        out = []
-        for pos, s, e, c in zip(rows["pos"].tolist(), rows["s_ms"].tolist(), rows["e_ms"].tolist(), closes.tolist(), strict=True):
-            if first < 0:
-                first, start = pos, s
-            last, end = pos, e
-            if c:
-                out.append((key[0], sent, first, last, start, end))
-                sent, first = sent + 1, -1
-        state.update((sent, first, last, start, end))
-        _until(state, rows["ts"], idle_ms)
-        yield pd.DataFrame(out, columns=columns)
-
-    state = "sent bigint, first bigint, last bigint, start bigint, end bigint"
-    return words.withWatermark("ts", "10 minutes").groupBy("video_id").applyInPandasWithState(run, "video_id bigint, sent_id bigint, first_pos bigint, last_pos bigint, start_ms bigint, end_ms bigint", state, "append", "EventTimeTimeout")
-
-
-def retention(stats: DataFrame, days: int, now) -> DataFrame:
-    """Rows that the serving view still shows: those of the last ``days`` days before ``now``; sources are never deleted."""
-    return stats.where(F.col("created_at") >= now - F.expr(f"interval {days} days"))
+    schema = jobstats.daily_partials(stats).schema
+    parts = run_available(stats, base=base, each=jobstats.daily_partials, schema=schema)
+    return jobstats.days_of(jobstats.merged_days(parts), dates)

@@ -27,15 +27,29 @@ def test_stream_equals_batch(spark):
 
 
 def test_retry_waits_and_gives_up():
-    calls, waits = [], []
+    waits = []
 
-    def fails_twice(texts):
-        calls.append(1)
-        if len(calls) < 3:
+    def fails_twice(texts, attempt):
+        if attempt < 3:
             raise RuntimeError("503 try later")
         return texts
 
     assert batches.with_retry(fails_twice, 3, 1.0, waits.append)(["a"]) == (["a"], 3, 3.0) and waits == [1.0, 2.0]
+    assert batches.with_retry(fails_twice, 3, 1.0, waits.append)(["a"]) == (["a"], 3, 3.0)  # nothing is remembered
+
+
+def test_failed_batches_cost_no_other(spark):
+    rows = spark.createDataFrame([(1, b, k, f"t{b}{k}") for b in range(6) for k in range(3)], "video_id long, batch long, pos int, text string").withColumn("service", F.when(F.col("batch") > 3, "shout"))
+
+    def odd(texts, call):
+        if call.batch % 2:
+            raise ValueError("not transient") if call.batch == 1 else RuntimeError("HTTP 503")
+        return [f"{call.attempt}{t}" for t in texts]
+
+    got = {(x.batch, x.pos): x for x in batches.map_batches(rows, services={"plain": odd, "shout": lambda ts: [t.upper() for t in ts]}, default="plain", wait_s=0.001, keep_failed=True).collect()}
+    assert got[0, 1].result == "1t01" and got[5, 2].result == "T52" and not got[4, 0].failed
+    assert (got[1, 0].result, got[1, 0].failed, got[1, 0].attempts, got[1, 0].waited_s) == ("t10", True, 1, 0.0)
+    assert (got[3, 0].failed, got[3, 0].attempts, round(got[3, 0].waited_s, 6)) == (True, 3, 0.003)
 
 
 def test_map_batches(spark):
