@@ -1,8 +1,7 @@
 """Words to cues: sentences, speaker turns, length splits, safe merges, lead-out.
 
-All steps keep one partitioning by ``video_id``.  Sentences and turns are windows; the length split is one pass
-over the words in order, and the ordered merges are one pass over group summaries, each linear, with one part
-or one group carried along.
+Sentences and turns are windows by ``video_id``; all that follows is one pass over the words in order without
+another shuffle, linear, with one part and one group carried along.  Each step also stands by itself.
 """
 
 from __future__ import annotations
@@ -10,15 +9,19 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import namedtuple
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from cuelake.functions.timedtext import CUE_LINES, DASH, DEGENERATE_MS, LEAD_OUT_MS, LINE_CHARS, MAX_CUE_MS, MERGE_GAP_MS, MIN_CUE_MS, MIN_GAP_MS, MIN_VISIBLE_MS, PAUSE_MS, TURN_GAP_MS, is_terminal
-from cuelake.operators.passes import ordered_pass
+from cuelake.operators.passes import ROWS_OUT, ordered_pass
 
 MAX_CHARS = LINE_CHARS * CUE_LINES
 BEFORE = (Window.unboundedPreceding, -1)
@@ -177,8 +180,14 @@ def can_merge(prev: Group, g: Group, max_chars: int) -> bool:
     )
 
 
-def _join(prev: Group, g: Group) -> Group:
+Piece = namedtuple("Piece", (*_FIELDS, "texts", "durations"))  # a group with its words
+
+
+def _join(prev: Group | Piece, g: Group | Piece) -> Group | Piece:
     chars = prev.chars + 1 + g.chars - (len(DASH) if g.dash else 0)
+    if isinstance(prev, Piece):  # lists that belong to the group alone
+        prev.texts.extend(g.texts)
+        prev.durations.extend(g.durations)
     return prev._replace(end_ms=g.end_ms, chars=chars, sentences=prev.sentences + g.sentences, ends_q=g.ends_q, last_pos=g.last_pos)
 
 
@@ -295,9 +304,110 @@ def cues_of(words: DataFrame, dashed: bool = True) -> DataFrame:
     return cues.join(stats, ["video_id", "cue_id"])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], max_chars: int) -> Iterator[Piece]:
+    """The groups after the length split, from words in order; only the words of the last part are carried from batch to batch."""
+    held = None
+    for b in (*_nonempty(batches), None):
+        if b is None:
+            if held is None:
+                return
+            whole, end = held, held.num_rows
+        else:
+            whole = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            end = None
+        video, part, pos, s, e, text, turn, dash, closes = whole.columns
+        ids, names = part.to_numpy(), video.dictionary_encode().indices.fill_null(-1).to_numpy()
+        opens = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])]))
+        if end is None:
+            end = int(opens[-1])
+            held, opens = whole.slice(end), opens[:-1]
+        if not end:
+            continue
+        sizes = pc.utf8_length(text).to_numpy()[:end].astype(np.int64) + 1
+        turns, dashes, terminal = (c.to_numpy(zero_copy_only=False)[:end] for c in (turn, dash, closes))
+        starts, ends, texts = s.to_numpy()[:end], e.to_numpy()[:end], text.slice(0, end).to_pylist()
+        commas, stops = np.fromiter((t.endswith(",") for t in texts), bool, end), np.append(opens[1:], end)
+        opening = np.where(dashes[opens], len(DASH), 0)
+        first = [opens]
+        for k in np.flatnonzero(np.add.reduceat(sizes, opens) - 1 + opening > max_chars).tolist():
+            p, q = opens[k], stops[k]
+            found = cuts(np.cumsum(sizes[p:q]).tolist(), np.flatnonzero(commas[p:q]).tolist(), int(opening[k]), max_chars)
+            first.append(p + np.array([low for low, _ in found[1:]], np.int64))
+        at = np.sort(np.concatenate(first))
+        upto = np.append(at[1:], end)
+        whole_part = np.isin(at, opens)  # turn and dash belong to the first group of a part
+        own_dash = dashes[at] & whole_part
+        chars = np.add.reduceat(sizes, at) - 1 + np.where(own_dash, len(DASH), 0)
+        counted = np.add.reduceat(terminal.astype(np.int64), at)
+        lasting, places, videos = (ends - starts).tolist(), pos.to_numpy()[:end], video.slice(0, end).take(pa.array(at)).to_pylist()
+        for v, p, q, begin, stop, n, sentences, t, d, low, high in zip(
+            videos, at.tolist(), upto.tolist(), starts[at].tolist(), ends[upto - 1].tolist(), chars.tolist(), counted.tolist(), (turns[at] & whole_part).tolist(), own_dash.tolist(), places[at].tolist(), places[upto - 1].tolist(), strict=True
+        ):
+            yield Piece(v, begin, stop, n, sentences, texts[q - 1].endswith("?"), t, d, low, high, False, texts[p:q], lasting[p:q])
+
+
+def _nonempty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b for b in batches if b.num_rows)
+
+
+def _led_out(start: int, end: int, after: int | None) -> int:
+    """``lead_out`` of one cue before one that starts at ``after``."""
+    limit = end + LEAD_OUT_MS if after is None else min(after - MIN_GAP_MS, end + LEAD_OUT_MS)
+    grown = max(limit, start + MIN_CUE_MS) if limit < end else min(limit, start + MAX_CUE_MS)
+    floored = max(grown, start + MIN_CUE_MS)
+    return max(floored if after is None else min(floored, after), start + MIN_VISIBLE_MS)
+
+
+def _finished(pieces: Iterator[Piece]) -> Iterator[tuple]:
+    """Rows of cues with their word statistics, each once the next cue's start is known."""
+
+    def row(p: Piece, number: int, after: int | None) -> tuple:
+        run = longest = short = 0
+        for d in p.durations:
+            run = run + 1 if d < DEGENERATE_MS else 0
+            short += run > 0
+            longest = max(longest, run)
+        end = _led_out(p.start_ms, max(p.end_ms, p.start_ms), after)
+        return p.video_id, number, p.start_ms, end, (DASH if p.dash else "") + " ".join(p.texts), p.compromise, len(p.texts), short, longest, min(p.durations)
+
+    last, number = None, 0
+    for p in pieces:
+        same = last is not None and last.video_id == p.video_id
+        if last is not None:
+            yield row(last, number, p.start_ms if same else None)
+        last, number = p, number + 1 if same else 1
+    if last is not None:
+        yield row(last, number, None)
+
+
+_CUES = "cue_id bigint, start_ms bigint, end_ms bigint, text string, compromise boolean, words bigint, degenerate bigint, degenerate_run bigint, min_word_dur_ms bigint"
+
+
+def cues_in_one_pass(parts: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """Length split, the three merges, word statistics and lead-out of ``turn_groups``, in one pass over a video's words in order.
+
+    The windows behind ``parts`` have dealt the words by video, so nothing is shuffled here; a part and a group are held at a time.
+    """
+    rows = parts.select("video_id", "part_id", "pos", "s_ms", "e_ms", "w", "turn", "dash", is_terminal(F.col("w")).alias("closes")).sortWithinPartitions("video_id", "s_ms", "pos")
+    schema = StructType([parts.schema["video_id"], *StructType.fromDDL(_CUES).fields])
+    out = to_arrow_schema(schema)
+
+    def run(batches):
+        pieces: Iterator[Piece] = _pieces(batches, max_chars)
+        for rule in (_short(max_chars), _instant(), _floor(max_chars)):
+            pieces = fold(pieces, *rule)
+        made = _finished(pieces)
+        while some := list(islice(made, ROWS_OUT)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), out, strict=True)], schema=out)
+
+    return rows.mapInArrow(run, schema)
+
+
 def spot_cues(words: DataFrame, videos: DataFrame | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Words to timed cues: every step in order, then lead-out and the video's end."""
-    split = split_long(turn_groups(sentence_groups(words)), max_chars)
-    groups = merge_groups(group_summaries(split), max_chars)
-    cues = lead_out(cues_of(attach_words(split, groups)))
+    """Words to timed cues: every step in order, then lead-out and the video's end.
+
+    Words are shuffled once, by video.  A video's words are in order in one task, so its length in words bounds what is sorted there;
+    that is meant for videos up to some millions of words.
+    """
+    cues = cues_in_one_pass(turn_groups(sentence_groups(words)), max_chars)
     return cues if videos is None else clamp_to_end(cues, videos)

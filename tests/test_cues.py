@@ -188,3 +188,23 @@ def test_budget_admits_in_order(spark):
     frame = spark.createDataFrame(rows, "task_id long, event_id long, ts string, tokens long").selectExpr("task_id", "event_id", "timestamp(ts) as ts", "tokens")
     got = jobstats.admit_requests(frame, "1 minute", 100, 3).orderBy("event_id").collect()
     assert [x.admitted for x in got] == [True, False, True, True]
+
+
+def test_words_are_shuffled_once(spark):
+    """The plan deals the words by video and never again; videos and cues meet in a join of their own."""
+    words = spark.createDataFrame([(v, k, 300 * k, 300 * k + 250, "word" + "." * (k % 7 == 6)) for v in range(3) for k in range(50)], "video_id bigint, pos int, s_ms bigint, e_ms bigint, w string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = W.spot_cues(words)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1
+    small = W.spot_cues(words)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = sorted(map(tuple, small.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # parts and groups cross the edges of batches
+    try:
+        assert sorted(map(tuple, W.spot_cues(words).collect())) == whole and len(whole) > 9
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
