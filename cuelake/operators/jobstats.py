@@ -31,7 +31,7 @@ def stats_by_task(stats: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def stats_by_date(stats: DataFrame, first: str, last: str) -> DataFrame:
-    """Rows of the days from first to last; on the keyed store only those days are read."""
+    """Rows of the days from first to last; a read of the keyed store takes the same edges and opens only those days."""
     date = F.col("date") if "date" in stats.columns else F.to_date("created_at")
     return stats.where(date.between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
 
@@ -168,11 +168,20 @@ def log_tail(progress: DataFrame, n: int = 50) -> DataFrame:
     return last.groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "message"))), lambda x: x["message"]), ",").alias("tail"))
 
 
-def concurrency(intervals: DataFrame, key: str) -> DataFrame:
-    """Per key: the most intervals [start, stop) open at once, by a sweep over their ends."""
+def concurrency(intervals: DataFrame, key: str, slot: int = 86_400_000_000) -> DataFrame:
+    """Per key: the most intervals [start, stop) open at once, by a sweep over their ends; start and stop are bigint.
+
+    Running sums have two levels: over the sums of slots of time, then inside each slot from what was open before it.  So a key
+    that holds a third of all intervals is dealt over its slots; only its sums by slot, a row each, are in one window.
+    """
     edges = intervals.select(key, F.col("start").alias("t"), F.lit(1).alias("d")).unionByName(intervals.select(key, F.col("stop").alias("t"), F.lit(-1).alias("d")))
-    open_now = F.sum("d").over(Window.partitionBy(key).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0))
-    return edges.withColumn("open", open_now).groupBy(key).agg(F.max("open").alias("most_open"))
+    placed = edges.withColumn("slot", F.floor(F.col("t") / slot))
+    sums = placed.groupBy(key, "slot").agg(F.sum("d").alias("d"))
+    before = F.coalesce(F.sum("d").over(Window.partitionBy(key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    opened = sums.select(F.col(key).alias("__of"), F.col("slot").alias("__slot"), before.alias("before"))
+    inside = F.sum("d").over(Window.partitionBy(key, "slot").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0))
+    peaks = placed.withColumn("inside", inside).groupBy(key, "slot").agg(F.max("inside").alias("peak"))
+    return peaks.join(opened, F.col(key).eqNullSafe(F.col("__of")) & F.col("slot").eqNullSafe(F.col("__slot"))).groupBy(key).agg(F.max(F.col("before") + F.col("peak")).alias("most_open"))
 
 
 def redeem_tokens(issues: DataFrame, uses: DataFrame, life_s: int = 300) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 # Fixed values that results must share.
@@ -128,17 +131,53 @@ def content_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return digests.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("first_id")).where("copies > 1")
 
 
-def glossary_check(cues: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Cues whose source holds a term but whose translation lacks its rendering.
+#: terms that one automaton holds; a larger glossary is dealt over several, each with a pass over the cues
+MOST_TERMS = 50_000
 
-    The glossary (at most 40 terms a video in use) is joined by word, not by a scan of all pairs: a term is found
-    by its first word, then verified.
+
+def _found_terms(cues: DataFrame, terms: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(video_id, cue_id, term, rendering) of the terms (folded term, folded rendering, term, rendering) that a cue holds and its translation does not render."""
+    shared = cues.sparkSession.sparkContext.broadcast(terms)
+    schema = StructType([cues.schema["video_id"], cues.schema["cue_id"], StructField("term", StringType()), StructField("rendering", StringType())])
+    out = to_arrow_schema(schema)
+
+    def run(batches):
+        import ahocorasick
+
+        by_key: dict[str, list] = {}
+        for key, need, term, rendering in shared.value:
+            by_key.setdefault(key, []).append((need, term, rendering))
+        automaton = ahocorasick.Automaton()
+        for key in by_key:
+            automaton.add_word(key, key)
+        automaton.make_automaton()
+        for b in batches:
+            rows = []
+            for k, (text, said) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if by_key and text and said is not None:
+                    for key in {key for _, key in automaton.iter(text)}:
+                        rows += [(k, term, rendering) for need, term, rendering in by_key[key] if need not in said]
+            at = pa.array([k for k, _, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([t for _, t, _ in rows], pa.string()), pa.array([r for _, _, r in rows], pa.string())], schema=out)
+
+    return cues.select("video_id", "cue_id", F.lower("text").alias("t"), F.lower("translated_text").alias("s")).mapInArrow(run, schema)
+
+
+def glossary_check(cues: DataFrame, glossary: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """(video_id, cue_id, term, rendering): cues whose source holds a term, inside words too, but whose translation lacks its rendering.
+
+    Case is folded.  Terms (term, rendering) that are null or empty, and cues without a text or a translation, give nothing.  An Aho-Corasick automaton,
+    built once a task from a broadcast of bounded size, finds all terms in one walk over a text; cues are not shuffled.
     """
-    first = F.element_at(F.split(F.lower("term"), " "), 1)
-    terms = glossary.withColumn("__first", first)
-    words = cues.withColumn("__first", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))))
-    hit = words.join(terms, "__first").where(F.lower("text").contains(F.lower("term")))
-    return hit.where(~F.lower("translated_text").contains(F.lower("rendering"))).select("video_id", "cue_id", "term", "rendering")
+    terms = glossary.select(F.lower("term").alias("key"), F.lower("rendering").alias("need"), "term", "rendering").where("key <> '' and need is not null").distinct()
+    blocks = max(1, -(-terms.count() // most))
+    found = []
+    for k in range(blocks):
+        own = terms.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).limit(4 * most + 1).collect()
+        if len(own) > 4 * most:
+            raise ValueError("too many renderings of one term for a broadcast")
+        found.append(_found_terms(cues, [tuple(r) for r in own]))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def token_estimates(df: DataFrame, col: str, rate: float = 0.15) -> DataFrame:

@@ -23,15 +23,34 @@ def query(name: str, ctes: str = "", sql: str | None = None):
     return add
 
 
-@query("s03_save_stats", "job_stats", "select task_id, created_at, status, total_duration, cast(created_at as date) as date from job_stats qualify row_number() over (partition by task_id order by created_at desc) = 1")
-def s03(spark, sf):
+LATEST = "select * from job_stats qualify row_number() over (partition by task_id order by created_at desc) = 1"
+
+
+def saved(spark, sf):
+    """A store after two upserts, with many tasks in both."""
     from cuelake.plans.more_queries import folder
-    from cuelake.sources.archive import read_stats, save_stats
+    from cuelake.sources.store import save_stats
 
     path, stats = folder(spark), B.job_stats(spark, sf)
-    for half in (stats.where("total_duration >= 50"), stats.where("total_duration < 50")):  # two upserts, many tasks in both
+    for half in (stats.where("total_duration >= 50"), stats.where("total_duration < 50")):
         save_stats(half, path)
-    return read_stats(spark, path).select("task_id", "created_at", "status", "total_duration", "date")
+    return path
+
+
+@query("s03_save_stats", "job_stats", f"select task_id, created_at, status, total_duration, cast(created_at as date) as date from ({LATEST})")
+def s03(spark, sf):
+    from cuelake.sources.store import read_stats
+
+    return read_stats(spark, saved(spark, sf)).select("task_id", "created_at", "status", "total_duration", "date")
+
+
+@query("s03_read_indexed", "job_stats", f"select task_id, created_at, status, transcription_model, translation_service from ({LATEST}) where cast(created_at as date) between date '2024-01-05' and date '2024-01-12' and transcription_model = 'tiny' and status in ('failure', 'running')")
+def s03_indexed(spark, sf):
+    """Days, models and statuses are looked up in the manifest; other days are not opened."""
+    from cuelake.sources.store import read_stats
+
+    rows = read_stats(spark, saved(spark, sf), "2024-01-05", "2024-01-12", models=["tiny"], statuses=["failure", "running"])
+    return rows.select("task_id", "created_at", "status", "transcription_model", "translation_service")
 
 
 DAYS = """

@@ -111,12 +111,17 @@ def a11(spark, sf):
 
 
 @query("j08_glossary_check", "cues", """
-with g as (select p_partkey, string_split(p_name, ' ')[1] as term from part), t as (values ('the', 'DER'), ('of the', 'VON'), ('und', 'AND'), ('la', 'THE')), terms(term, rendering) as (select * from t)
-select distinct video_id, cue_id, term, rendering from cues, terms
-where contains(lower(text), term) and list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), string_split(term, ' ')[1]) and not contains(lower(translated_text), lower(rendering))""")
+with terms as (
+  select distinct substr(string_split(p_name, ' ')[1], 1, 3) as term, upper(reverse(substr(string_split(p_name, ' ')[1], 1, 3))) as rendering from part
+  union select * from (values ('the', 'DER'), ('of the', 'VON'), ('UND', 'and'), ('la', 'THE'), ('é', 'E'), ('.', '.'), ('zzz', 'y')) t(term, rendering)
+)
+select distinct video_id, cue_id, term, rendering from cues, terms where contains(lower(text), lower(term)) and not contains(lower(translated_text), lower(rendering))""")
 def j08(spark, sf):
-    terms = spark.createDataFrame([("the", "DER"), ("of the", "VON"), ("und", "AND"), ("la", "THE")], "term string, rendering string")
-    return T.glossary_check(B.cues(spark, sf), terms)
+    """Terms from names of parts, whole words, parts of words and marks."""
+    term = F.substring(F.split("p_name", " ")[0], 1, 3)
+    parts = B.table(spark, sf, "part").select(term.alias("term"), F.upper(F.reverse(term)).alias("rendering"))
+    fixed = spark.createDataFrame([("the", "DER"), ("of the", "VON"), ("UND", "and"), ("la", "THE"), ("é", "E"), (".", "."), ("zzz", "y")], "term string, rendering string")
+    return T.glossary_check(B.cues(spark, sf), parts.union(fixed))
 
 
 def stamp(s):

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.operators.jobstats import latest_per_task
-
 STATS = "task_id string, created_at timestamp, timestamp timestamp, status string, transcription_model string, translation_service string, total_duration double, video_duration double, translation_tokens bigint, translation_cost_usd double, cps_over_budget int"
 
 
@@ -26,37 +22,6 @@ def append_stats(df: DataFrame, path: str) -> None:
     stamped.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
-def save_stats(df: DataFrame, path: str) -> None:
-    """Upsert into the keyed store: days that hold a task of ``df``, old or new, are written anew, all others are kept as they are.
-
-    ``df`` may have several rows a task; the latest of old and new wins.  The store is partitioned by date, so a query
-    on days reads those days.
-    """
-    spark = df.sparkSession
-    new = latest_per_task(df)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        new.write.partitionBy("date").parquet(path)
-        return
-    old = spark.read.parquet(path)
-    tasks = new.select("task_id")
-    held = old.join(tasks, "task_id", "left_semi")
-    days = held.select("date").union(new.select("date")).distinct()
-    now = old.join(days, "date", "left_semi").select(df.columns).unionByName(new.select(df.columns))
-    merged = latest_per_task(now)
-    staged = f"{path}-new-{uuid.uuid4().hex}"  # read in full before the old days go
-    # a day that only held rows of moved tasks keeps no row and so is not written: its rows lose by the newer row on reading
-    merged.write.partitionBy("date").parquet(staged)
-    spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def read_stats(spark: SparkSession, path: str) -> DataFrame:
-    """The keyed store: one row a task."""
-    return latest_per_task(spark.read.parquet(path).drop("date"))
-
-
 def stats_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(file, size, entries) of the files of a folder of JSON lines."""
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")

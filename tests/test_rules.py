@@ -122,19 +122,6 @@ def test_condensation(spark):
     assert [x.reason for x in reflow.condensation_check(d).collect()] == [c[2] for c in cases]
 
 
-def test_keyed_store(spark, tmp_path):
-    day = lambda n, h=0: dt.datetime(2024, 1, n, h)
-    schema = "task_id string, created_at timestamp, status string, transcription_model string"
-    path = str(tmp_path / "store")
-    archive.save_stats(spark.createDataFrame([("a", day(1), "old", "m"), ("b", day(1), "b1", None), (None, day(1), "x", "m"), ("a", day(1, 2), "new", "m")], schema), path)
-    archive.save_stats(spark.createDataFrame([("a", day(3), "moved", "m"), ("c", day(2), "c", "n"), ("b", day(1), "b0", None)], schema), path)
-    own = archive.read_stats(spark, path)
-    assert {(x.task_id, x.status) for x in own.collect()} == {("a", "moved"), ("b", "b1"), ("c", "c")}
-    assert {x.task_id for x in jobstats.stats_by_date(own, "2024-01-02", "2024-01-03").collect()} == {"a", "c"}
-    assert [x.task_id for x in jobstats.stats_by_model(own, ["m", "n"], 1).orderBy("task_id").collect()] == ["a", "c"]
-    assert jobstats.latest_per_task(spark.createDataFrame([("q", None, "s", None)], schema)).first().date is not None
-
-
 def test_files_and_retention(spark, tmp_path):
     for name, size in (("a.txt", 3), ("sub/b.txt", 5)):
         (tmp_path / name).parent.mkdir(exist_ok=True)
