@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -251,3 +253,10 @@ def route_limits(requests: DataFrame, width: str = "1 hour", slide: str = "1 min
     """Sliding windows of a key that hold more requests than the limit."""
     counts = requests.groupBy("task_id", F.window("ts", width, slide).alias("w")).agg(F.count("*").alias("requests"))
     return counts.where(F.col("requests") > limit).select("task_id", F.col("w.start").alias("start"), "requests")
+
+
+def route_budgets(requests: DataFrame, limits: dict[str, int], slide: str = "1 minute", exempt: list[str] = (), route_col: str = "route") -> DataFrame:
+    """(width, task_id, start, requests): windows of each width that pass their limit; requests of exempt routes don't count."""
+    counted = requests.where(~F.coalesce(F.col(route_col).isin(*exempt), F.lit(False))) if exempt else requests
+    found = [route_limits(counted, width, slide, limit).withColumn("width", F.lit(width)) for width, limit in limits.items()]
+    return functools.reduce(DataFrame.unionByName, found)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,13 +55,20 @@ def normalize_glossary(df: DataFrame, col: str = "glossary", most: int = 40) ->
     return df.withColumn("terms", F.map_from_entries(F.slice(F.coalesce(kept, F.array().cast("array<struct<key:string,value:string>>")), 1, most)))
 
 
+def safe_description(text) -> Column:
+    """The first 200 characters without marks other than plain punctuation, with dots if there was more; null is empty."""
+    cut = F.regexp_replace(F.substring(text, 1, 200), r"[^\p{L}\p{N}_\s\p{Z}\-.,!?():]", "")
+    return F.coalesce(F.when(F.length(text) > 200, F.concat(cut, F.lit("..."))).otherwise(cut), F.lit(""))
+
+
 def performance_flags(df: DataFrame) -> DataFrame:
-    """Warnings of a job's figures as an array of names, in a fixed order."""
-    c = F.col
+    """Warnings of a job's figures as an array of names, in a fixed order; use of memory and disk in percent may be absent."""
+    c = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("double")
     flags = F.array(
         F.when(c("download_mb_s") < 0.5, "download_critical").when(c("download_mb_s") < 2.0, "download_slow"),
         F.when(c("rtf") > 1.0, "slower_than_real_time"), F.when(c("render_ratio") < 2.0, "render_slow"), F.when(c("move_s") > 5.0, "move_slow"),
         F.when(c("cost_usd") >= 0.10, "cost_warning").when(c("cost_usd") >= 0.01, "cost_info"),
+        F.when(c("memory_percent") > 85, "memory_high"), F.when(c("disk_percent") > 90, "disk_high"),
     )
     return df.withColumn("flags", F.array_compact(flags))
 

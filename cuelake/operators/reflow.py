@@ -7,7 +7,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from cuelake.functions.timedtext import DASH
@@ -179,19 +179,26 @@ def condensation_check(df: DataFrame, original: str = "original", candidate: str
 def transfer_speed(transfer: DataFrame, alpha: float = 0.3, min_interval_us: int = 2_000_000) -> DataFrame:
     """Batch form of the moving average: one pass over the samples of each transfer in order.
 
-    A sample under two seconds after the last accepted one, or without growth, is skipped.
+    A sample under two seconds after the last accepted one, or without growth, is skipped.  With a column ``total_bytes``
+    accepted samples also have ``percent`` (to 100) and ``eta_s``, null where the total is unknown.
     """
+    sized = "total_bytes" in transfer.columns
 
     def speeds(rows):
         task = at = size = ema = None
-        for task_id, t, event_id, n in rows:
+        for task_id, t, event_id, n, total in rows:
             if at is None or task_id != task:
                 task, at, size, ema = task_id, t, n, None
             elif t - at >= min_interval_us and n > size:
                 speed = (n - size) * 1e6 / (t - at)
                 at, size, ema = t, n, speed if ema is None else alpha * speed + (1 - alpha) * ema
-                yield task_id, event_id, ema
-
-    rows = transfer.select("task_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", "bytes")
-    schema = StructType([rows.schema["task_id"], rows.schema["event_id"], StructField("speed", DoubleType())])
-    return ordered_pass(rows, ["task_id"], ["t", "event_id"], speeds, schema)
+                yield task_id, event_id, ema, n, total
+
+    total = F.col("total_bytes").cast("bigint") if sized else F.lit(None).cast("bigint")
+    rows = transfer.select("task_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", F.col("bytes").cast("bigint").alias("bytes"), total.alias("total"))
+    schema = StructType([rows.schema["task_id"], rows.schema["event_id"], StructField("speed", DoubleType()), StructField("bytes", LongType()), StructField("total", LongType())])
+    out = ordered_pass(rows, ["task_id"], ["t", "event_id"], speeds, schema)
+    if not sized:
+        return out.drop("bytes", "total")
+    known = F.col("total") > 0
+    return out.withColumn("percent", F.when(known, F.least(F.lit(100.0), 100.0 * F.col("bytes") / F.col("total")))).withColumn("eta_s", F.when(known, F.greatest(F.lit(0.0), (F.col("total") - F.col("bytes")) / F.col("speed")))).drop("bytes", "total")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ITEM = "array<struct<id:string,t:string,text:string,translation:string>>"
 
@@ -41,12 +42,31 @@ def missing_reply_worklist(requests: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def fill_or_fail(requests: DataFrame, items: DataFrame, strict: bool = False) -> DataFrame:
-    """Every requested id with its reply, else its source text; ``strict`` raises and names a missing id instead."""
+    """Every requested id with its reply, else its source text; ``strict`` raises instead and names all unanswered ids of a chunk."""
     keys = ["video_id", "chunk", "id"]
     last = items.groupBy(*keys).agg(F.max_by("text", "ord").alias("reply"))
-    df = requests.join(last, keys, "left")
-    fallback = F.raise_error(F.concat(F.lit("no reply to id "), F.col("id").cast("string"), F.lit(" of video "), F.col("video_id").cast("string"))).cast("string") if strict else F.col("text")
-    return df.withColumn("filled", F.col("reply").isNull()).withColumn("reply", F.when(F.col("reply").isNull(), fallback).otherwise(F.col("reply")))
+    df = requests.join(last, keys, "left").withColumn("filled", F.col("reply").isNull())
+    if strict:
+        gone = df.where("filled").groupBy("video_id", "chunk").agg(F.array_sort(F.collect_list("id")).alias("__gone"))
+        df = df.join(gone, ["video_id", "chunk"], "left")
+        told = F.concat(F.lit("no reply to ids "), F.array_join(F.col("__gone").cast("array<string>"), ", "), F.lit(" of video "), F.col("video_id").cast("string"), F.lit(", chunk "), F.col("chunk").cast("string"))
+        return df.withColumn("reply", F.when(F.col("filled"), F.raise_error(told).cast("string")).otherwise(F.col("reply"))).drop("__gone")
+    return df.withColumn("reply", F.coalesce("reply", "text"))
+
+
+def fill_by_position(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """Requests (video_id, chunk, id, text) with the replies of a service that answers by position: (video_id, chunk, texts array).
+
+    Replies in excess are trimmed, a shortage is padded with source texts, a chunk without a reply keeps them all.  ``excess`` and
+    ``shortage`` tell by how many the chunk's reply was off.
+    """
+    chunk = Window.partitionBy("video_id", "chunk")
+    numbered = requests.withColumn("__at", F.row_number().over(chunk.orderBy("id")) - 1).withColumn("__n", F.count("*").over(chunk))
+    df = numbered.join(replies.select("video_id", "chunk", F.col("texts").alias("__texts")), ["video_id", "chunk"], "left")
+    got = F.when(F.col("__texts").isNull(), 0).otherwise(F.size("__texts"))
+    reply = F.get(F.col("__texts"), F.col("__at"))
+    out = df.withColumn("filled", F.col("__at") >= got).withColumn("excess", F.greatest(F.lit(0), got - F.col("__n")).cast("bigint")).withColumn("shortage", F.greatest(F.lit(0), F.col("__n") - got).cast("bigint"))
+    return out.withColumn("reply", F.when(F.col("filled"), F.col("text")).otherwise(reply)).drop("__at", "__n", "__texts")
 
 
 def id_differences(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -25,20 +25,36 @@ def parse_flag(value: Column, default: bool = False) -> Column:
     return F.when(v.isin(*TRUE_WORDS), True).when(v.isin(*FALSE_WORDS), False).otherwise(default)
 
 
-def normalise_flags(meta: DataFrame, flags: list[str], style: str | None = None) -> DataFrame:
-    """``meta`` with its flags as booleans and its style as a known one, and ``unparsed``: how many weren't understood."""
+def _unparsed(flag: str) -> Column:
+    return F.coalesce(~F.lower(F.trim(flag)).isin(*TRUE_WORDS, *FALSE_WORDS), F.lit(False))
+
+
+def normalise_flags(meta: DataFrame, flags: list[str], style: str | None = None, numbers: dict[str, float] | None = None) -> DataFrame:
+    """``meta`` with its flags as booleans, its style as a known one, its ``numbers`` (with their defaults) as doubles, and ``unparsed``: how many flags weren't understood."""
     bad = F.lit(0)
     for f in flags:
-        bad = bad + F.coalesce(~F.lower(F.trim(f)).isin(*TRUE_WORDS, *FALSE_WORDS), F.lit(False)).cast("int")
+        bad = bad + _unparsed(f).cast("int")
     out = meta.withColumn("unparsed", bad)
     for f in flags:
         out = out.withColumn(f, parse_flag(F.col(f)))
+    for n, default in (numbers or {}).items():
+        out = out.withColumn(n, F.coalesce(F.trim(n).try_cast("double"), F.lit(float(default))))
     if style:
         s = F.lower(F.trim(style))
         out = out.withColumn(style, F.when(s.isin(*STYLES), s).otherwise(STYLES[0]))
     return out
 
 
+def unparsed_by_flag(meta: DataFrame, flags: list[str], style: str | None = None, numbers: list[str] = ()) -> DataFrame:
+    """(flag, given, unparsed): how many values of each column are there, and how many of them fall back to the default."""
+    bad = {f: _unparsed(f) for f in flags}
+    bad |= {n: (F.trim(n) != "") & F.trim(n).try_cast("double").isNull() for n in numbers}
+    if style:
+        bad[style] = (F.trim(style) != "") & ~F.lower(F.trim(style)).isin(*STYLES)
+    counts = meta.agg(*(F.struct(F.count(c).alias("given"), F.count_if(x).alias("unparsed")).alias(c) for c, x in bad.items()))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("flag"), F.col(f"{c}.given").alias("given"), F.col(f"{c}.unparsed").alias("unparsed")) for c in bad))).alias("x")).select("x.*")
+
+
 def range_check(df: DataFrame, col: str, default: int, low: int, high: int) -> DataFrame:
     """Integer of a text column and its error; what is out of range becomes the default, not the bound."""
     v = F.trim(col).try_cast("int")
@@ -47,16 +63,43 @@ def range_check(df: DataFrame, col: str, default: int, low: int, high: int) -> D
     return df.withColumn("value", F.when(v.isNull() | low_ | high_, default).otherwise(v)).withColumn("error", error)
 
 
-def parse_clock(df: DataFrame, col: str) -> DataFrame:
-    """Seconds of SS, MM:SS or HH:MM:SS with parts of 0 to 59 after the first, else null and a reason."""
+def range_report(df: DataFrame, rules: list[tuple[str, int, int]]) -> DataFrame:
+    """(rule, given, not_integer, below, above) of each rule (column, low, high), in one pass; a null is not given."""
+    made = []
+    for name, low, high in rules:
+        v = F.trim(name).try_cast("int")
+        made.append(F.struct(F.count(name).alias("given"), F.count_if(F.col(name).isNotNull() & v.isNull()).alias("not_integer"), F.count_if(v < low).alias("below"), F.count_if(v > high).alias("above")).alias(name))
+    cells = [F.struct(F.lit(f"{n} in {low}..{high}").alias("rule"), F.col(n)["given"].alias("given"), F.col(n)["not_integer"].alias("not_integer"), F.col(n)["below"].alias("below"), F.col(n)["above"].alias("above")) for n, low, high in rules]
+    return df.agg(*made).select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def _clock(col: str, lenient: bool) -> tuple[Column, Column]:
+    """(seconds, reason) of a clock column."""
     text = F.trim(col)
-    parts = F.transform(F.split(text, ":"), lambda x: x.try_cast("int"))
-    n = F.size(parts)
+    parts = F.transform(F.split(text, ":"), lambda x: F.trim(x).try_cast("double" if lenient else "int"))
     broken = F.exists(parts, lambda x: x.isNull())
-    late = F.exists(F.slice(parts, 2, 2), lambda x: x > 59)
-    reason = F.when(F.coalesce(text, F.lit("")) == "", "empty").when(n > 3, "format").when(broken, "number").when(late, "range")
-    seconds = F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, x: s * 60 + x)
-    return df.withColumn("reason", reason).withColumn("seconds", F.when(reason.isNull(), seconds))
+    late = F.lit(False) if lenient else F.exists(F.slice(parts, 2, 2), lambda x: x > 59)
+    reason = F.when(F.coalesce(text, F.lit("")) == "", "empty").when(F.size(parts) > 3, "format").when(broken, "number").when(late, "range")
+    seconds = F.aggregate(parts, F.lit(0).cast("double" if lenient else "bigint"), lambda s, x: s * 60 + x)
+    return F.when(reason.isNull(), seconds), reason
+
+
+def parse_clock(df: DataFrame, col: str, lenient: bool = False) -> DataFrame:
+    """Seconds of SS, MM:SS or HH:MM:SS with parts of 0 to 59 after the first, else null and a reason.
+
+    ``lenient``: parts may be fractions and of any size, and seconds are a double.
+    """
+    seconds, reason = _clock(col, lenient)
+    return df.withColumn("reason", reason).withColumn("seconds", seconds)
+
+
+def parse_clock_columns(df: DataFrame, key: str, cols: list[str], lenient: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(values, rejects): ``df`` with its clock columns in seconds, null where they are none; and (key, column, value, reason) of those."""
+    read = {c: _clock(c, lenient) for c in cols}
+    values = df.select(*(read[c][0].alias(c) if c in read else F.col(c) for c in df.columns))
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), read[c][1].alias("reason")) for c in cols]
+    rejects = df.select(F.col(key).alias("key"), F.explode(F.array(*cells)).alias("x")).where("x.reason is not null")
+    return values, rejects.select("key", "x.*")
 
 
 def clean_key(name: Column) -> Column:
@@ -65,20 +108,39 @@ def clean_key(name: Column) -> Column:
     return F.when(s == "", "video").otherwise(F.rtrim(F.substring(s, 1, 100), F.lit("_")))
 
 
-def key_collisions(df: DataFrame, col: str) -> DataFrame:
-    """Keys that several names share: the key, how many names, and the smallest."""
-    keyed = df.select(F.col(col).alias("name")).distinct().withColumn("key", clean_key(F.col("name")))
+MOST_NAME = 255
+
+
+def safe_file_name(name: Column) -> Column:
+    """The second policy: unsafe characters become ``_``, dots and blanks at the ends go, at most 255 characters with the extension kept."""
+    s = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*]', "_"), r"^[. ]+|[. ]+$", "")
+    dot = F.length(s) - F.instr(F.reverse(s), F.lit(".")) + 1  # place of the last dot, past the end if there is none
+    stem, extension = F.substring(s, F.lit(1), dot - 1), F.substring(s, dot + 1, F.lit(MOST_NAME * 1000))
+    room = MOST_NAME - F.length(extension) - 1
+    cut = F.concat(F.substring(stem, F.lit(1), F.when(room >= 0, room).otherwise(F.greatest(F.lit(0), F.length(stem) + room))), F.lit("."), extension)
+    return F.when(F.length(s) <= MOST_NAME, s).when(F.instr(s, ".") == 0, F.substring(s, 1, MOST_NAME)).otherwise(cut)
+
+
+def allowed_extension(name: Column, allowed: list[str]) -> Column:
+    """Whether what follows the last dot, in lower case, is one of ``allowed``; a name without a dot has none."""
+    return F.coalesce((F.instr(name, ".") > 0) & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*allowed), F.lit(False))
+
+
+def key_collisions(df: DataFrame, col: str, policy=clean_key) -> DataFrame:
+    """Keys that several names share under a policy: the key, how many names, and the smallest."""
+    keyed = df.select(F.col(col).alias("name")).distinct().withColumn("key", policy(F.col("name")))
     return keyed.groupBy("key").agg(F.count("*").alias("names"), F.min("name").alias("first_name")).where("names > 1")
 
 
 def check_urls(df: DataFrame, allowed: list[str], watch_hosts: list[str], short_hosts: list[str]) -> DataFrame:
-    """Verdict on an address by its host and path, and its cache key (the ``v`` parameter, or the last path part)."""
+    """Verdict on an address by its host and path, its cache key (the ``v`` parameter, or the last path part), and which video of a playlist it means."""
     host = F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
     path = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
     v = F.regexp_extract("url", r"[?&]v=([^&#]*)", 1)
     ok = F.when(~host.isin(*allowed), False).when(host.isin(*watch_hosts), path.contains("/watch") | (v != "") | path.contains("/shorts/")).when(host.isin(*short_hosts), F.length(path) >= 2).otherwise(True)
     key = F.when(host.isin(*short_hosts), F.element_at(F.split(path, "/"), -1)).when(v != "", v).otherwise(F.col("url"))
-    return df.withColumn("host", host).withColumn("allowed", ok).withColumn("cache_key", key)
+    playlist = F.when(F.col("url").contains("list=") & F.col("url").contains("&index="), "selected").when(F.col("url").contains("list="), "one")
+    return df.withColumn("host", host).withColumn("allowed", ok).withColumn("cache_key", key).withColumn("playlist", playlist)
 
 
 def classify_errors(df: DataFrame, col: str) -> DataFrame:

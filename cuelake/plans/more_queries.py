@@ -183,10 +183,10 @@ def a19(spark, sf):
 @query("p18_performance_flags", "", """
 with f as (select event_id, event_id % 50 / 10.0::double as dl, event_id % 30 / 20.0::double as rtf, event_id % 7 as rr, event_id % 11 as mv, event_id % 13 / 100.0::double as cost from events)
 select event_id, array_to_string(list_filter([case when dl < 0.5 then 'download_critical' when dl < 2 then 'download_slow' end, case when rtf > 1 then 'slower_than_real_time' end, case when rr < 2 then 'render_slow' end, case when mv > 5 then 'move_slow' end,
-  case when cost >= 0.1 then 'cost_warning' when cost >= 0.01 then 'cost_info' end], lambda x: x is not null), ',') as flags from f""")
+  case when cost >= 0.1 then 'cost_warning' when cost >= 0.01 then 'cost_info' end, case when event_id % 101 > 85 then 'memory_high' end, case when event_id % 97 > 90 then 'disk_high' end], lambda x: x is not null), ',') as flags from f""")
 def p18(spark, sf):
     e = F.col("event_id")
-    f = B.table(spark, sf, "events").select("event_id", (e % 50 / 10).alias("download_mb_s"), (e % 30 / 20).alias("rtf"), (e % 7).alias("render_ratio"), (e % 11).alias("move_s"), (e % 13 / 100).alias("cost_usd"))
+    f = B.table(spark, sf, "events").select("event_id", (e % 50 / 10).alias("download_mb_s"), (e % 30 / 20).alias("rtf"), (e % 7).alias("render_ratio"), (e % 11).alias("move_s"), (e % 13 / 100).alias("cost_usd"), (e % 101).alias("memory_percent"), (e % 97).alias("disk_percent"))
     return media.performance_flags(f).select("event_id", F.array_join("flags", ",").alias("flags"))
 
 
@@ -341,3 +341,26 @@ def s10(spark, sf):
 select video_id, string_agg(coalesce(nullif(trim(translated_text), ''), trim(text)), ' ' order by cue_id) filter (not regexp_matches(coalesce(nullif(trim(translated_text), ''), trim(text)), '^\\d+$') and not contains(coalesce(nullif(trim(translated_text), ''), trim(text)), '-->')) as plain from cues group by 1""")
 def s08b(spark, sf):
     return tracks.srt_plain_text(tracks.write_srt(B.cues(spark, sf)))
+
+
+@query("p19_safe_descriptions", "", r"""
+select doc_id, coalesce(regexp_replace(substr(text, 1, 200), '[^\p{L}\p{N}_\s\p{Z}\-.,!?():]', '', 'g') || case when length(text) > 200 then '...' else '' end, '') as description from documents""")
+def p19_descriptions(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", media.safe_description(F.col("text")).alias("description"))
+
+
+@query("w19_transfer_progress", "", """
+with recursive q as (
+  select user_id as task_id, event_id, epoch_us(ts) / 1000000.0::double as t, row_number() over (partition by user_id order by ts, event_id) as i, cast(floor(value * 100) as bigint) as bytes, case when user_id % 4 <> 0 then 8000 + user_id % 9 * 100 end as total from events
+), f as (
+  select task_id, event_id, i, t as last_t, bytes as last_b, cast(null as double) as ema, false as hit, total from q where i = 1
+  union all
+  select q.task_id, q.event_id, q.i, case when q.t - last_t < 2 or bytes <= last_b then last_t else q.t end, case when q.t - last_t < 2 or bytes <= last_b then last_b else bytes end,
+         case when q.t - last_t < 2 or bytes <= last_b then ema when ema is null then (bytes - last_b) / (q.t - last_t) else 0.3::double * ((bytes - last_b) / (q.t - last_t)) + 0.7::double * ema end, not (q.t - last_t < 2 or bytes <= last_b), q.total
+  from f join q on q.task_id = f.task_id and q.i = f.i + 1
+)
+select task_id, event_id, case when total is not null then round(least(100.0::double, 100.0::double * last_b / total), 6) end as percent, case when total is not null then round(greatest(0.0::double, (total - last_b) / ema), 3) end as eta_s from f where hit""")
+def w19_progress(spark, sf):
+    u = F.col("user_id")
+    moved = B.table(spark, sf, "events").select(u.alias("task_id"), "ts", "event_id", F.floor(F.col("value") * 100).cast("bigint").alias("bytes"), F.when(u % 4 != 0, 8000 + u % 9 * 100).alias("total_bytes"))
+    return reflow.transfer_speed(moved).select("task_id", "event_id", F.round("percent", 6).alias("percent"), F.round("eta_s", 3).alias("eta_s"))

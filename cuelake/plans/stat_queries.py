@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from cuelake.operators import jobstats as J
@@ -269,7 +271,7 @@ def a17(spark, sf):
 
 @query("a18_run_metrics", "", """
 with l as (select user_id % 5 as test, 'batch took ' || round(value, 2) || 's on worker-' || user_id % 4 || ' in flight ' || event_id % 9 as line from events)
-select test, round(avg(cast(regexp_extract(line, 'took ([0-9.]+)s', 1) as double)), 4) as avg_s, min(cast(regexp_extract(line, 'took ([0-9.]+)s', 1) as double)) as min_s, max(cast(regexp_extract(line, 'took ([0-9.]+)s', 1) as double)) as max_s,
+select test, round(sum(cast(regexp_extract(line, 'took ([0-9.]+)s', 1) as double)), 2) as total_s, round(avg(cast(regexp_extract(line, 'took ([0-9.]+)s', 1) as double)), 4) as avg_s, min(cast(regexp_extract(line, 'took ([0-9.]+)s', 1) as double)) as min_s, max(cast(regexp_extract(line, 'took ([0-9.]+)s', 1) as double)) as max_s,
        count(distinct regexp_extract(line, 'worker-([0-9]+)', 1)) as workers, max(cast(regexp_extract(line, 'in flight ([0-9]+)', 1) as integer)) as in_flight from l group by 1""")
 def a18(spark, sf):
     from cuelake.sources.logs import read_worker_logs, run_metrics
@@ -278,6 +280,33 @@ def a18(spark, sf):
     return run_metrics(read_worker_logs(B.table(spark, sf, "events").select((F.col("user_id") % 5).alias("test"), line.alias("line"))))
 
 
+@query("a18_sketched_metrics", "", """
+select user_id % 5 as test, count(*) as batches, round(sum(round(value, 2)), 2) as total_s, min(round(value, 2)) as min_s, max(round(value, 2)) as max_s, count(distinct user_id % 4) as workers, true as near from events group by 1""")
+def a18_sketched(spark, sf):
+    """Stored sketches of each day, merged; ``near``: the true rank of each quantile is within 4 % of its share."""
+    from cuelake.plans.more_queries import folder
+    from cuelake.sources.logs import merged_metrics, metric_sketches
+
+    shares, path = (0.5, 0.9, 0.99), folder(spark)
+    rows = B.table(spark, sf, "events").select((F.col("user_id") % 5).alias("test"), F.to_date("ts").alias("date"), F.round("value", 2).alias("batch_s"), (F.col("user_id") % 4).cast("string").alias("worker"))
+    metric_sketches(rows).write.partitionBy("date").parquet(path)
+    merged = merged_metrics(spark.read.parquet(path), shares)
+    ranks = rows.join(F.broadcast(merged.select("test", "quantiles")), "test").groupBy("test").agg(*(F.avg((F.col("batch_s") <= F.col("quantiles")[k]).cast("double")).alias(f"r{k}") for k in range(len(shares))))
+    near = functools.reduce(lambda a, b: a & b, (F.abs(F.col(f"r{k}") - s) < 0.04 for k, s in enumerate(shares)))
+    return merged.join(ranks, "test").select("test", "batches", "total_s", "min_s", "max_s", F.col("workers").cast("bigint").alias("workers"), near.alias("near"))
+
+
+@query("t03_route_budgets", "progress_events", """
+with e as (select * from progress_events where message <> 'view'), w as (
+  select '1 day' as width, task_id, time_bucket(interval '6 hours', ts) - interval '6 hours' * k as start from e, range(4) r(k) union all
+  select '12 hours', task_id, time_bucket(interval '6 hours', ts) - interval '6 hours' * k from e, range(2) r(k))
+select width, task_id, start, count(*) as requests from w group by all having count(*) > case width when '1 day' then 4 else 2 end""")
+def t03_budgets(spark, sf):
+    """Two limits at once; polling routes are exempt."""
+    rows = B.progress_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return J.route_budgets(rows, {"1 day": 4, "12 hours": 2}, "6 hours", ["view"], "message").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("a16_content_duplicates", "", """
 with d as (select doc_id, sha256(text) as digest from documents)
 select digest, count(*) as copies, min(doc_id) as first_id from d group by 1 having count(*) > 1""")
@@ -327,6 +356,20 @@ def j05(spark, sf):
     return R.fill_or_fail(requests(spark, sf), parsed(spark, sf)).select("video_id", "chunk", "id", "reply", "filled")
 
 
+@query("j05_fill_by_position", "cues", """
+with asked as (select video_id, cast((cue_id - 1) // 10 as integer) as chunk, cue_id as id, text, (cue_id - 1) % 10 as i from cues), n as (select video_id, chunk, count(*) as n from asked group by all),
+g as (select *, case (video_id + chunk) % 4 when 0 then n when 1 then n - 2 when 2 then n + 3 else null end as given from n)
+select a.video_id, a.chunk, a.id, case when i < greatest(0, coalesce(given, 0)) then 'r' || i else text end as reply, i >= greatest(0, coalesce(given, 0)) as filled, greatest(0, coalesce(given, 0) - n) as excess, n - least(n, greatest(0, coalesce(given, 0))) as shortage
+from asked a join g using (video_id, chunk)""")
+def j05_position(spark, sf):
+    asked = B.cues(spark, sf).select("video_id", F.floor((F.col("cue_id") - 1) / 10).cast("int").alias("chunk"), F.col("cue_id").alias("id"), "text")
+    n, k = F.count("*"), F.pmod(F.col("video_id") + F.col("chunk"), F.lit(4))
+    given = F.when(k == 0, F.col("n")).when(k == 1, F.greatest(F.lit(0), F.col("n") - 2)).when(k == 2, F.col("n") + 3)
+    counts = asked.groupBy("video_id", "chunk").agg(n.alias("n")).withColumn("given", given)
+    texts = F.when(F.col("given") > 0, F.transform(F.sequence(F.lit(0), F.col("given") - 1), lambda i: F.concat(F.lit("r"), i.cast("string")))).when(F.col("given") == 0, F.array().cast("array<string>"))
+    return R.fill_by_position(asked, counts.select("video_id", "chunk", texts.alias("texts"))).select("video_id", "chunk", "id", "reply", "filled", "excess", "shortage")
+
+
 @query("u01_id_differences", "cues", f"""with {REPLIES}, e as (select video_id, chunk, id from asked), f as (select video_id, chunk, id from items)
 select *, 'missing' as side from (select * from e except select * from f) union all select *, 'extra' from (select * from f except select * from e)""")
 def u01(spark, sf):

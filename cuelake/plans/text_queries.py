@@ -83,7 +83,7 @@ with u as (select page_id, url, lower(regexp_extract(url, '^https?://([^/?#]+)',
 select page_id, host, case when host not in ('tionsh.example.net', 'www.thering.example.org', 'therha.example.net') then false when host = 'tionsh.example.net' then path like '%/watch%' or regexp_extract(url, '[?&]v=([^&#]*)', 1) <> '' or path like '%/shorts/%' when host = 'therha.example.net' then length(path) >= 2 else true end as allowed,
        case when host = 'therha.example.net' then string_split(path, '/')[-1] when regexp_extract(url, '[?&]v=([^&#]*)', 1) <> '' then regexp_extract(url, '[?&]v=([^&#]*)', 1) else url end as cache_key from u""")
 def p16(spark, sf):
-    return T.check_urls(B.table(spark, sf, "pages").select("page_id", "url"), ["tionsh.example.net", "www.thering.example.org", "therha.example.net"], ["tionsh.example.net"], ["therha.example.net"]).drop("url")
+    return T.check_urls(B.table(spark, sf, "pages").select("page_id", "url"), ["tionsh.example.net", "www.thering.example.org", "therha.example.net"], ["tionsh.example.net"], ["therha.example.net"]).drop("url", "playlist")
 
 
 @query("p17_classify_errors", "", """
@@ -178,3 +178,69 @@ def hebrew(spark, sf):
 @query("p08_mark_rtl")
 def p08(spark, sf):
     return T.mark_rtl(hebrew(spark, sf), "text")
+
+
+WORDS_TRUE, WORDS_FALSE = "'true', '1', 'yes', 'on', 't', 'y'", "'false', '0', 'no', 'off', 'f', 'n', 'none', 'null', ''"
+
+
+@query("p09_unparsed_by_flag", "", f"""
+with m as (select ['TRUE', ' yes', 'off', 'maybe', '', null, '1', 'None'][event_id % 8 + 1] as spotting, ['clean', 'Faithful ', 'odd', null][event_id % 4 + 1] as style, case when event_id % 5 = 0 then 'fast' when event_id % 7 = 0 then '' else cast(value as varchar) end as speed from events)
+select 'spotting' as flag, count(spotting) as given, count(*) filter (lower(trim(spotting)) not in ({WORDS_TRUE}, {WORDS_FALSE})) as unparsed from m
+union all select 'speed', count(speed), count(*) filter (trim(speed) <> '' and try_cast(trim(speed) as double) is null) from m
+union all select 'style', count(style), count(*) filter (trim(style) <> '' and lower(trim(style)) not in ('clean', 'faithful')) from m""")
+def p09_counts(spark, sf):
+    pick = lambda xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.col("event_id") % len(xs) + 1).cast("int"))
+    speed = F.when(F.col("event_id") % 5 == 0, "fast").when(F.col("event_id") % 7 == 0, "").otherwise(F.col("value").cast("string"))
+    m = B.table(spark, sf, "events").select(pick(["TRUE", " yes", "off", "maybe", "", None, "1", "None"]).alias("spotting"), pick(["clean", "Faithful ", "odd", None]).alias("style"), speed.alias("speed"))
+    return T.unparsed_by_flag(m, ["spotting"], "style", ["speed"])
+
+
+@query("p13_range_report", "", """
+with v as (select case when l_linenumber = 3 then 'many' when l_linenumber = 5 then null else cast(cast(l_quantity as integer) as varchar) end as q, cast(l_linenumber as varchar) as n from lineitem)
+select 'q in 5..40' as rule, count(q) as given, count(*) filter (q is not null and try_cast(q as integer) is null) as not_integer, count(*) filter (try_cast(q as integer) < 5) as below, count(*) filter (try_cast(q as integer) > 40) as above from v
+union all select 'n in 2..6', count(n), 0, count(*) filter (cast(n as integer) < 2), count(*) filter (cast(n as integer) > 6) from v""")
+def p13_report(spark, sf):
+    q = F.when(F.col("l_linenumber") == 3, "many").when(F.col("l_linenumber") != 5, F.col("l_quantity").cast("int").cast("string"))
+    return T.range_report(B.table(spark, sf, "lineitem").select(q.alias("q"), F.col("l_linenumber").cast("string").alias("n")), [("q", 5, 40), ("n", 2, 6)])
+
+
+CLOCKS = """select event_id, case event_id % 5 when 0 then (event_id % 90) || '.5' when 1 then (event_id % 90) || ':' || (event_id % 70) || '.25' when 2 then '1:2:3:4' when 3 then ' ' else '1:x' end as a, cast(event_id % 70 as varchar) as b from events"""
+
+
+def clocks(spark, sf):
+    e = F.col("event_id")
+    s = lambda n: (e % n).cast("string")
+    a = F.when(e % 5 == 0, F.concat(s(90), F.lit(".5"))).when(e % 5 == 1, F.concat(s(90), F.lit(":"), s(70), F.lit(".25"))).when(e % 5 == 2, "1:2:3:4").when(e % 5 == 3, " ").otherwise("1:x")
+    return B.table(spark, sf, "events").select("event_id", a.alias("a"), s(70).alias("b"))
+
+
+@query("p14_lenient_clocks", "", f"""with c as ({CLOCKS})
+select event_id, case event_id % 5 when 0 then event_id % 90 + 0.5::double when 1 then 60.0::double * (event_id % 90) + event_id % 70 + 0.25::double end as a, cast(event_id % 70 as double) as b from c""")
+def p14_lenient(spark, sf):
+    return T.parse_clock_columns(clocks(spark, sf), "event_id", ["a", "b"], lenient=True)[0]
+
+
+@query("p14_clock_rejects", "", f"""with c as ({CLOCKS})
+select event_id as key, 'a' as "column", a as value, case event_id % 5 when 2 then 'format' when 3 then 'empty' else 'number' end as reason from c""")
+def p14_rejects(spark, sf):
+    """The strict form takes no fractions, so each of these is one."""
+    return T.parse_clock_columns(clocks(spark, sf), "event_id", ["a", "b"])[1]
+
+
+@query("p15_safe_file_names", "", r"""
+with n as (select p_partkey, case p_partkey % 4 when 0 then ' ..' || p_name || '?.MP4' when 1 then p_name || repeat('x', 300) || '.mkv' when 2 then 'a/b:' || p_name || '. ' else repeat('y', 260) || p_partkey end as name from part),
+s as (select *, regexp_replace(regexp_replace(name, '[<>:"/\|?*]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') as safe from n)
+select p_partkey, case when length(safe) <= 255 then safe when position('.' in safe) = 0 then substr(safe, 1, 255) else substr(safe, 1, 251) || '.mkv' end as safe, lower(string_split(name, '.')[-1]) in ('mp4', 'mkv') and contains(name, '.') as allowed from s""")
+def p15_safe(spark, sf):
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit(" .."), "p_name", F.lit("?.MP4"))).when(k % 4 == 1, F.concat("p_name", F.lit("x" * 300 + ".mkv"))).when(k % 4 == 2, F.concat(F.lit("a/b:"), "p_name", F.lit(". "))).otherwise(F.concat(F.lit("y" * 260), k.cast("string")))
+    return B.table(spark, sf, "part").select("p_partkey", T.safe_file_name(name).alias("safe"), T.allowed_extension(name, ["mp4", "mkv"]).alias("allowed"))
+
+
+@query("p16_playlists", "", """
+with u as (select page_id, url || case page_id % 3 when 0 then '?list=a&index=2' when 1 then '?list=b' else '' end as url from pages)
+select page_id, case when contains(url, 'list=') and contains(url, '&index=') then 'selected' when contains(url, 'list=') then 'one' end as playlist from u""")
+def p16_lists(spark, sf):
+    k = F.col("page_id") % 3
+    url = F.concat("url", F.when(k == 0, "?list=a&index=2").when(k == 1, "?list=b").otherwise(""))
+    return T.check_urls(B.table(spark, sf, "pages").select("page_id", url.alias("url")), [], [], []).select("page_id", "playlist")

@@ -29,6 +29,31 @@ def read_event_stream(spark: SparkSession, folder: str, schema: str = EVENTS, na
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: the streams of the engine, each with event time ``ts``
+STREAMS = {
+    "progress": "task_id string, ts timestamp, step_index int, weight double, status string, progress bigint, message string",
+    "transfer": "task_id string, ts timestamp, downloaded_bytes bigint, total_bytes bigint",
+    "usage": "key string, ts timestamp, tokens bigint",
+    "token": "token string, ts timestamp, action string, filename string",
+}
+
+
+def read_stream(spark: SparkSession, kind: str, folder: str, form: str = "json", files_per_batch: int | None = None) -> DataFrame:
+    """One of ``STREAMS`` from a folder of files of JSON lines or Parquet, in which files appear whole and don't change.
+
+    Each file is read once, restarts included.  A line that is no JSON is left out; a field that is missing or of another type is null.
+    """
+    if form not in ("json", "parquet"):
+        raise ValueError(f"no such form: {form}")
+    source = spark.readStream.schema(STREAMS[kind] + (", _bad string" if form == "json" else "")).format(form)
+    if form == "json":
+        source = source.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+    rows = source.load(folder)
+    return rows.where("not (_bad is not null and ts is null)").drop("_bad") if form == "json" else rows
+
+
 _folders: dict[str, str] = {}
 
 
