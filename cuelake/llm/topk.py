@@ -27,7 +27,7 @@ BUCKET, BLOCK, FOCUS, COORDINATES = 4096, 512, 4, 0.5
 #: bounds are loosened by this share, far beyond the rounding of doubles
 SLACK = 1e-9
 EXACT = float(1 << 53)
-BROADCAST_MB, SALTS = 64, 32
+BROADCAST_MB, SALTS, BLOCKS_A_COPY = 64, 32, 16
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -155,21 +155,35 @@ def search(query_ids, queries, floors, ids, data, k):
     return out
 
 
-def _search_blocks(pairs: DataFrame, k: int) -> DataFrame:
-    """Rows (query_ids, queries, floors, ids, data) to (query_id, vec_id, score)."""
+def _search_blocks(wanted: DataFrame, blocks: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the wanted (dims, asked, number) from query blocks and buckets.
+
+    Blocks, which are small, go to the tasks of the buckets that they meet.  A bucket that many meet has a copy for every
+    ``BLOCKS_A_COPY`` of them, so the longest one, which all meet, is dealt too.
+    """
+    copies = wanted.groupBy("dims", "number").agg(F.ceil(F.count("*") / BLOCKS_A_COPY).cast("int").alias("copies"))
+    nothing = F.lit(None).cast("binary")
+    there = buckets.join(copies, ["dims", "number"]).select("dims", "number", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("role"), "ids", "data", nothing.alias("floors"))
+    asking = wanted.join(copies, ["dims", "number"]).join(blocks, ["dims", "asked"]).select("dims", "number", F.pmod(F.xxhash64("asked"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("role"), F.col("query_ids").alias("ids"), F.col("queries").alias("data"), "floors")
+    keys = ["dims", "number", "copy"]
+    dealt = there.unionByName(asking).repartition(*keys).sortWithinPartitions(*keys, "role")
     schema = arrow_schema("query_id long,vec_id long,score long")
 
     def run(batches):
+        ids = data = None
         for b in batches:
-            for q_ids, q, floors, ids, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                q_ids, ids, floors = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(floors, np.float64)
-                queries, rows = np.frombuffer(q, np.float64).reshape(len(q_ids), -1), np.frombuffer(data, np.float64).reshape(len(ids), -1)
-                found = search(q_ids, queries, floors, ids, rows, k)
+            for role, own, values, floors in zip(*(b.column(c).to_pylist() for c in ("role", "ids", "data", "floors")), strict=True):
+                own = np.frombuffer(own, np.int64)
+                values = np.frombuffer(values, np.float64).reshape(len(own), -1)
+                if role == 0:
+                    ids, data = own, values
+                    continue
+                found = search(own, values, np.frombuffer(floors, np.float64), ids, data, k)
                 if found:
                     at, got, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield batch_of(schema, query_id=q_ids[at], vec_id=got, score=scores)
+                    yield batch_of(schema, query_id=own[at], vec_id=got, score=scores)
 
-    return pairs.select("query_ids", "queries", "floors", "ids", "data").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    return dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
 
 def _reaches(longest: Column, need: Column) -> Column:
@@ -191,9 +205,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, bucket: int =
     floors = materialize(_floors(blocks.join(F.broadcast(first) if small else first, "dims"), k), "floors")
     sizes = buckets.select("dims", "number", "longest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     wanted = floors.select("dims", "asked", "need", F.pmod(F.col("asked"), F.lit(SALTS)).cast("int").alias("salt")).join(sizes, ["dims", "salt"]).where(_reaches(F.col("longest"), F.col("need"))).select("dims", "asked", "number")
-    pairs = wanted.join(floors.drop("need"), ["dims", "asked"]).join(buckets.select("dims", "number", "ids", "data"), ["dims", "number"])
+    wanted = materialize(wanted, "wanted")
     ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return _search_blocks(pairs, k).withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _search_blocks(wanted, floors.drop("need"), buckets.select("dims", "number", "ids", "data"), k).withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _floors(pairs: DataFrame, k: int) -> DataFrame:
