@@ -58,9 +58,10 @@ def sentence_groups(words: DataFrame) -> DataFrame:
     In a video of eight words or more without any terminal, it ends before a pause of 350 ms.
     """
     order = _video().orderBy("s_ms", "pos")
-    terminal = is_terminal(F.col("w"))
-    marked = words.withColumn("__t", terminal).withColumn("__n", F.count("*").over(_video())).withColumn("__terminals", F.sum(F.col("__t").cast("int")).over(_video())).withColumn("__pause", F.lead("s_ms").over(order) - F.col("e_ms"))
-    ends = (F.col("__t") & (F.col("e_ms") - F.col("s_ms") >= DEGENERATE_MS)) | ((F.col("__n") >= 8) & (F.col("__terminals") == 0) & F.coalesce(F.col("__pause") >= PAUSE_MS, F.lit(False)))
+    timed = words.withColumn("__t", is_terminal(F.col("w"))).withColumn("__pause", F.lead("s_ms").over(order) - F.col("e_ms"))
+    # the windows over whole videos come behind the ordered one, whose order they keep, so words are sorted once
+    marked = timed.select("*", F.count("*").over(_video()).alias("__n"), F.max("__t").over(_video()).alias("__terminals"))
+    ends = (F.col("__t") & (F.col("e_ms") - F.col("s_ms") >= DEGENERATE_MS)) | ((F.col("__n") >= 8) & ~F.col("__terminals") & F.coalesce(F.col("__pause") >= PAUSE_MS, F.lit(False)))
     return marked.withColumn("__end", ends).withColumn("sent_id", _running(F.col("__end"), order, BEFORE)).drop("__t", "__n", "__terminals", "__pause", "__end")
 
 
