@@ -7,6 +7,7 @@ lost executor costs a re-read, not a re-run of the lineage above it.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -40,6 +41,12 @@ def discard(df: DataFrame | None) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; what came of them is in the shared folder."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def slices(texts: Iterable, limit: int, size=len) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive items whose sizes add up to about ``limit``."""
     start, total, n = 0, 0, 0

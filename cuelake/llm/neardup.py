@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import arrow_schema, batch_of, discard, materialize
+from cuelake.llm.common import arrow_schema, batch_of, discard, materialize, release
 from cuelake.llm.graph import connected_components
 from cuelake.llm.simhash import fingerprint_links, majority, shingle_hashes, signed
 
@@ -210,6 +210,10 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, similarity: float
     own = F.struct("fp", "n", "bits", "prefix")
     texts = prints.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min_by(own, F.struct("h1", "h2")).alias("own"))
     texts = materialize(texts.select("rep", "own.*"), "texts")
+    wide, prints = prints, materialize(prints.select("doc_id", "h1", "h2"), "names")  # prefixes are in ``texts`` alone from here on
+    discard(wide)
+    spark = docs.sparkSession
+    release(spark)
 
     def links_of(pairs: DataFrame) -> DataFrame:
         pairs = materialize(within(pairs, texts, similarity), "pairs")
@@ -219,10 +223,13 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, similarity: float
         out = materialize(verified(pairs, sets, similarity), "links")
         discard(sets)
         discard(pairs)
+        release(spark)
         return out
 
     met = materialize(crowded(buckets(texts)), "buckets")
+    release(spark)
     first = materialize(simhash_pairs(texts).union(heads(met, similarity)).distinct(), "pairs")
+    release(spark)
     links = links_of(first)
     groups = materialize(connected_components(links), "groups")
     rest = materialize(other_candidates(met, texts, groups, first, similarity), "pairs")
@@ -230,6 +237,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, similarity: float
         groups = connected_components(links.unionByName(links_of(rest)))
     for x in (met, first, rest, texts):
         discard(x)
+    release(spark)
     named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("group_id"))
     return prints.join(named, ["h1", "h2"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 
