@@ -73,17 +73,26 @@ def md5_number(text: Column, digits: int = 12) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("bigint")
 
 
+def _digest(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def clashing_ids(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """(__of): the ids that rows of different texts share; None if there are none."""
+    digest = _digest(text_col)
+    clashes = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__of")).agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high").select("__of")
+    return None if clashes.isEmpty() else materialize(clashes, "clashes")
+
+
 def with_variant(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "variant") -> DataFrame:
     """``rows`` and a bigint that tells texts of one id apart: 0 where an id has one text, else the text's 64-bit hash.
 
     (id, variant) so names a text, whenever and wherever the row is read; rows that are equal in both share it.
     """
-    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    clashes = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__of")).agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high").select("__of")
-    if clashes.isEmpty():
-        return rows.withColumn(out, F.lit(0).cast("bigint"))
-    known = materialize(clashes, "clashes")
-    return rows.join(known, F.col(id_col) == F.col("__of"), "left").withColumn(out, F.when(F.col("__of").isNotNull(), digest).otherwise(F.lit(0).cast("bigint"))).drop("__of")
+    known, none = clashing_ids(rows, id_col, text_col), F.lit(0).cast("bigint")
+    if known is None:
+        return rows.withColumn(out, none)
+    return rows.join(known, F.col(id_col) == F.col("__of"), "left").withColumn(out, F.when(F.col("__of").isNotNull(), _digest(text_col)).otherwise(none)).drop("__of")
 
 
 def as_row(df: DataFrame) -> Column:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import arrow_schema, batch_of, discard, materialize, release
+from cuelake.llm.common import arrow_schema, as_row, batch_of, clashing_ids, discard, materialize, release
 from cuelake.llm.graph import connected_components
 from cuelake.llm.simhash import fingerprint_links, majority, shingle_hashes, signed
 
@@ -203,7 +203,8 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, similarity: float
     """(doc_id, group_id), one row for each distinct non-null id: the smallest id of its group.
 
     Texts equal but for case of A-Z and white space are one class from the start (null, empty and blank
-    texts too), so copies are never expanded.  Rows of equal id are taken for one document.
+    texts too), so copies are never expanded.  Rows of equal id are taken for one document (``keep_one`` tells
+    their texts apart).
     """
     prints = materialize(word_prints(docs.where("doc_id is not null"), width, similarity), "words")
     classes = materialize(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
@@ -252,8 +253,19 @@ def simhash_pairs(texts: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without those whose group holds a smaller id; rows without an id stay.
 
-    Of rows that share an id all stay or go.
+    Rows of one id and different texts are documents of their own: each goes by its own text's group, and if that holds several of
+    one smallest id, one of them stays.  Rows of equal id and text stay or go together.  Other columns may have any name.
     """
-    groups = near_duplicate_groups(docs, width, similarity)
-    gone = materialize(groups.where("group_id < doc_id").select("doc_id"), "gone")  # its size is known when the join is planned
-    return docs.join(gone, "doc_id", "left_anti")
+    doc_id = F.col("doc_id").cast("bigint")
+    clashes = clashing_ids(docs.select(doc_id.alias("doc_id"), "text"))
+    if clashes is None:
+        groups = near_duplicate_groups(docs, width, similarity)
+        gone = materialize(groups.where("group_id < doc_id").select("doc_id"), "gone")  # its size is known when the join is planned
+        return docs.join(gone, "doc_id", "left_anti")
+    rows = docs.select(as_row(docs).alias("row"), doc_id.alias("doc_id"), "text").join(clashes, F.col("doc_id") == F.col("__of"), "left")
+    rows = rows.withColumn("node", F.when(F.col("__of").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))).drop("__of")
+    groups = near_duplicate_groups(rows.select(F.col("node").alias("doc_id"), "text"), width, similarity).withColumnRenamed("doc_id", "node")
+    members = materialize(rows.where("node is not null").select("node", "doc_id").distinct().join(groups, "node"), "members")
+    first = members.groupBy("group_id").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    gone = materialize(members.join(first, "group_id").where("node <> first.node").select("node"), "gone")
+    return rows.join(gone, "node", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -52,3 +52,16 @@ def test_cut_and_lengthened_copies(spark):
         cut = [20, 38, 39, 60][k % 4]
         texts += [own, own[:-cut], own + other[:cut], other[: cut // 2] + own]
     assert check(spark, [" ".join(t) for t in texts]) >= 80
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    r = random.Random(23)
+    x, b, c = (words(r, 100) for _ in range(3))
+    texts = [(1, x), (2, changed(r, x, 2)), (2, b), (3, changed(r, b, 2)), (4, c), (4, changed(r, c, 1)), (5, changed(r, c, 2)), (6, c), (6, c), (None, x), (7, None), (7, words(r, 9))]
+    rows = [(i, None if t is None else " ".join(t), k, "v") for k, (i, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node int, row string")
+    kept = neardup.keep_one(df).collect()
+    assert sorted(y.node for y in kept if y.doc_id != 4) == [0, 2, 9, 10, 11]
+    assert sum(y.doc_id == 4 for y in kept) == 1 and kept[0].row == "v"
+    plain = neardup.keep_one(df.where("node not in (1, 5, 10)")).collect()
+    assert sorted(y.node for y in plain) == [0, 2, 4, 9, 11]
