@@ -296,11 +296,14 @@ def a18_sketched(spark, sf):
     return merged.join(ranks, "test").select("test", "batches", "total_s", "min_s", "max_s", F.col("workers").cast("bigint").alias("workers"), near.alias("near"))
 
 
-@query("t03_route_budgets", "progress_events", """
+BUDGETS = """
 with e as (select * from progress_events where message <> 'view'), w as (
   select '1 day' as width, task_id, time_bucket(interval '6 hours', ts) - interval '6 hours' * k as start from e, range(4) r(k) union all
   select '12 hours', task_id, time_bucket(interval '6 hours', ts) - interval '6 hours' * k from e, range(2) r(k))
-select width, task_id, start, count(*) as requests from w group by all having count(*) > case width when '1 day' then 4 else 2 end""")
+select width, task_id, start, count(*) as requests from w group by all having count(*) > case width when '1 day' then 4 else 2 end"""
+
+
+@query("t03_route_budgets", "progress_events", BUDGETS)
 def t03_budgets(spark, sf):
     """Two limits at once; polling routes are exempt."""
     rows = B.progress_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))

@@ -26,6 +26,12 @@ def route_limits(requests: DataFrame, width: str = "1 hour", slide: str = "1 min
     return counts.where(F.col("requests") > limit).select("task_id", F.col("w.start").alias("start"), "requests")
 
 
+def route_budgets(requests: DataFrame, limits: dict[str, int], slide: str = "1 minute", delay: str = "10 minutes", exempt: list[str] = (), route_col: str = "route") -> dict[str, DataFrame]:
+    """``route_limits`` for each width, a stream each, as windows of several widths can't share one aggregation; exempt routes don't count."""
+    counted = requests.where(~F.coalesce(F.col(route_col).isin(*exempt), F.lit(False))) if exempt else requests
+    return {width: route_limits(counted, width, slide, delay, limit) for width, limit in limits.items()}
+
+
 def _until(state, times: pd.Series, idle_ms: int) -> None:
     """Let a key's state expire once event time has passed its last row by ``idle_ms``."""
     state.setTimeoutTimestamp(max(int(times.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
