@@ -17,8 +17,9 @@ A map over the documents without a shuffle; the model (some 20,000 numbers) trav
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -321,23 +322,18 @@ def all_spans(tagger: bilstm.Tagger, texts: list[str], every: bool = False) -> l
         base = base_spans(text)
         added: list[tuple[int, int, int]] = []
         if tags.any():
-            known = sorted((s, e) for s, _, e in base)
+            starts, reach = [s for s, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
             for found in tagged_spans(tags):
                 span = confirmed(text, *found)
-                if span and not any(s < span[2] and span[0] < e for s, e in _near(known, span)) and (not added or added[-1][2] <= span[0]):
+                if span is None or (added and added[-1][2] > span[0]):
+                    continue
+                before = bisect_left(starts, span[2])  # spans of the rules that begin before it ends
+                if not before or reach[before - 1] <= span[0]:
                     added.append(span)
         out.append((base, added))
     return out
 
 
-def _near(known: list[tuple[int, int]], span: tuple[int, int, int]) -> list[tuple[int, int]]:
-    """Known spans that may meet ``span``; a rule's span lies inside one line of numbers or one address, so few precede it."""
-    from bisect import bisect_left
-
-    at = bisect_left(known, (span[2],))
-    return [x for x in known[:at] if x[1] > span[0]] if at <= 8 else [x for x in known[:at][::-1] if x[1] > span[0]][:8]
-
-
 # --- operators ---------------------------------------------------------------------------------------------------
 
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
