@@ -151,7 +151,7 @@ def test_replies(spark):
     asked = spark.createDataFrame([(1, 0, k, "src") for k in (1, 2, 4)], "video_id long, chunk int, id int, text string")
     status = {x.id: x.status for x in replies.merge_replies_by_id(asked, items.where("chunk = 0")).collect()}
     assert status == {1: "ok", 2: "ok", 4: "missing"}
-    with pytest.raises(Exception, match="no reply to id 4"):
+    with pytest.raises(Exception, match="no reply to ids 4"):
         replies.fill_or_fail(asked, items, strict=True).collect()
 
 
