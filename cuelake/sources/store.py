@@ -13,6 +13,7 @@ file system (HDFS and local disks do that).
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -147,3 +148,30 @@ def save_stats(df: DataFrame, path: str) -> int:
     staged, fs = _path(spark, f"{path}/staged/{commit}")
     fs.delete(staged, True)
     return state["version"] + 1
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2, min_age_s: int = 86_400) -> int:
+    """Delete all but the last ``keep`` versions, and folders that none of those names, failed commits' too; returns how many folders went.
+
+    Folders of commits younger than ``min_age_s`` stay, as their writer may still be at work; so should readers of old versions be done by then.
+    """
+    kept = versions(spark, path)[-max(1, keep) :]
+    live: set[str] = set()
+    for number in kept:
+        state = manifest(spark, path, number)
+        live |= {x["folder"] for x in state["days"].values()} | set(state["index"].values())
+    for number in set(versions(spark, path)) - set(kept):  # before the folders that they name
+        file, fs = _path(spark, f"{path}/manifest/{number:010d}.json")
+        fs.delete(file, False)
+    gone, oldest = 0, time.time() * 1000 - min_age_s * 1000
+    for kind in ("data", "index", "staged"):
+        root, fs = _path(spark, f"{path}/{kind}")
+        for commit in fs.listStatus(root) if fs.exists(root) else []:
+            if commit.getModificationTime() > oldest:
+                continue
+            name = commit.getPath().getName()
+            parts = [x.getPath() for x in fs.listStatus(commit.getPath()) if x.isDirectory()]
+            unused = [x for x in parts if f"{kind}/{name}/{x.getName()}" not in live]
+            for folder in [commit.getPath()] if len(unused) == len(parts) else unused:
+                gone += bool(fs.delete(folder, True))
+    return gone

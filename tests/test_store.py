@@ -103,3 +103,18 @@ def test_sweep_over_slots(spark):
             now += d
             most = max(most, now)
         assert got[k] == most
+
+
+def test_old_versions_go(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    for n in range(1, 5):
+        save(spark, path, [("a", day(n), f"s{n}", "m", "x"), (f"b{n}", day(1), "b", "m", "x")])
+    monkeypatch.setattr(store, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        save(spark, path, [("z", day(9), "z", "m", "x")])
+    want = sorted(map(tuple, store.read_stats(spark, path).collect()))
+    assert store.vacuum(spark, path) == 0 and len(store.versions(spark, path)) == 2
+    assert store.vacuum(spark, path, keep=1, min_age_s=-5) > 4
+    assert store.versions(spark, path) == [4] and sorted(map(tuple, store.read_stats(spark, path).collect())) == want
+    folders = {f.rsplit("/", 2)[1] for f in store.read_stats(spark, path).inputFiles()}
+    assert folders == {p.name for p in (tmp_path / "store" / "data").glob("commit=*/date=*")}
