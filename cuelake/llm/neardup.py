@@ -129,10 +129,14 @@ def buckets(texts: DataFrame) -> DataFrame:
 def crowded(rows: DataFrame) -> DataFrame:
     """(shingle, own, head) of the buckets that hold more than one text.
 
+    Most shingles of a prefix are in one text only, so shingles alone are counted first, and only rows of shared ones go on.
     Heads are a grouped minimum joined back, so a bucket of very many texts is neither sorted nor gathered.
     """
-    first = rows.groupBy("shingle").agg(F.min("own").alias("head"), F.count("*").alias("n")).where("n > 1").select("shingle", "head")
-    return rows.join(first, "shingle")
+    shared = materialize(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "shared")
+    release(rows.sparkSession)
+    inside = materialize(rows.join(shared, "shingle", "left_semi"), "inside")
+    release(rows.sparkSession)
+    return inside.join(inside.groupBy("shingle").agg(F.min("own").alias("head")), "shingle")
 
 
 def heads(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -181,16 +185,14 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
     def run(batches):
         for b in batches:
-            a_ids, b_ids, left, right = (c.to_pylist() for c in b.columns)
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch_of(schema, a=[x for x, k in zip(a_ids, keep, strict=True) if k], b=[x for x, k in zip(b_ids, keep, strict=True) if k])
+            keep = np.zeros(b.num_rows, bool)
+            for k, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):  # a pair at a time, as texts may be long
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[k] = both >= similarity * (len(x) + len(y) - both)
+            good = pa.array(keep)
+            yield batch_of(schema, a=b.column(0).filter(good), b=b.column(1).filter(good))
 
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_PART).cast("int").alias("parts"))  # a text may be the head of very many
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
