@@ -6,12 +6,12 @@ goes once event time has left it behind.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.operators import jobstats
 from cuelake.sources.streams import run_available
+from cuelake.streaming import stateful
 
 
 def budget_windows(usage: DataFrame, width: str = "1 minute", delay: str = "10 minutes", token_limit: int = 20_000, request_limit: int = 60) -> DataFrame:
@@ -32,11 +32,6 @@ def route_budgets(requests: DataFrame, limits: dict[str, int], slide: str = "1 m
     return {width: route_limits(counted, width, slide, delay, limit) for width, limit in limits.items()}
 
 
-def _until(state, times: pd.Series, idle_ms: int) -> None:
-    """Let a key's state expire once event time has passed its last row by ``idle_ms``."""
-    state.setTimeoutTimestamp(max(int(times.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-
-
 DAY_MS = 86_400_000
 
 
@@ -45,28 +40,12 @@ def latest_status(progress: DataFrame, delay: str = "1 day", idle_ms: int = 7 *
 
     State is one small row a task and step; it goes after a week without news, by event time.
     """
-    columns = ["task_id", "step_index", "progress", "status"]
-
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=columns)
-            return
-        at, event_id, value, error = state.get if state.exists else (-1, -1, 0, False)
-        last = None
-        for rows in frames:
-            micros = (rows["ts"].astype("int64") // (1 if rows["ts"].dtype.str.endswith("[us]") else 1000)).tolist()
-            at, event_id, value = max((at, event_id, value), *zip(micros, rows["event_id"].tolist(), rows["progress"].tolist(), strict=True))
-            error = bool(error or (rows["message"] == "error").any())
-            last = rows["ts"] if last is None or rows["ts"].max() > last.max() else last
-        state.update((at, event_id, value, error))
-        _until(state, last, idle_ms)
-        held = max(0, min(100, value))
-        status = "error" if error else "waiting" if held == 0 else "completed" if held == 100 else "in_progress"
-        yield pd.DataFrame([(*key, held, status)], columns=columns)
-
-    timed = progress.withWatermark("ts", delay)
-    return timed.groupBy("task_id", "step_index").applyInPandasWithState(run, "task_id bigint, step_index int, progress bigint, status string", "at bigint, event_id bigint, progress bigint, error boolean", "update", "EventTimeTimeout")
+    rows = progress.select("task_id", "step_index", "ts", "event_id", "progress", F.coalesce(F.col("message") == "error", F.lit(False)).alias("error"))
+    newest = stateful.Newest("task_id bigint, step_index int", "event_id bigint, progress bigint, error boolean", idle_ms, sticky=("error",), every=True)
+    found = stateful.bucketed(rows, ["task_id", "step_index"], newest, "task_id bigint, step_index int, at bigint, event_id bigint, progress bigint, error boolean", delay, "Update")
+    held = F.when(F.col("progress").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.col("progress")))).cast("bigint")
+    status = F.when(F.col("error"), "error").when(held == 0, "waiting").when(held == 100, "completed").otherwise("in_progress")
+    return found.select("task_id", "step_index", held.alias("progress"), status.alias("status"))
 
 
 def daily_summary(stats: DataFrame, base: str | None = None, dates: DataFrame | None = None) -> DataFrame:
