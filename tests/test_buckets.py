@@ -22,3 +22,14 @@ def test_redemption_of_tokens_that_share_a_bucket(spark, tmp_path, monkeypatch):
     assert dealt(stream)
     got = {x.use_id: x.verdict for x in run_available(stream).where(f"token <> {END}").collect()}
     assert got == {u: "invalid" if t == 40 else "used" if u % 100 else "expired" if t % 2 else "ok" for u, t, _ in uses}
+
+
+def test_spotter_of_videos_that_share_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 1)
+    rows = [(v, k, 600 * k, 600 * k + 100, "end." if k % 4 == v % 4 else "so", T0 + dt.timedelta(milliseconds=600 * k)) for v in range(30) for k in range(9)]
+    batches = closed([rows[::2], rows[1::2]], lambda d: (END, 0, 0, 1, "", T0 + d))
+    stream = stateful.spot(stream_of(spark, str(tmp_path / "s"), batches, "video_id long, pos long, s_ms long, e_ms long, w string, ts timestamp"))
+    assert dealt(stream)
+    got = sorted((x.video_id, x.first_pos, x.last_pos) for x in run_available(stream).where(f"video_id <> {END}").collect())
+    ends = {v: [k for k in range(9) if k % 4 == v % 4 or k == 8] for v in range(30)}
+    assert got == sorted((v, a, b) for v in range(30) for a, b in zip([0, *(k + 1 for k in ends[v])], ends[v]))
