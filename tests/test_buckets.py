@@ -33,3 +33,13 @@ def test_spotter_of_videos_that_share_a_bucket(spark, tmp_path, monkeypatch):
     got = sorted((x.video_id, x.first_pos, x.last_pos) for x in run_available(stream).where(f"video_id <> {END}").collect())
     ends = {v: [k for k in range(9) if k % 4 == v % 4 or k == 8] for v in range(30)}
     assert got == sorted((v, a, b) for v in range(30) for a, b in zip([0, *(k + 1 for k in ends[v])], ends[v]))
+
+
+def test_view_of_keys_that_share_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 1)
+    day = lambda d: T0 + dt.timedelta(days=d)
+    batches = [[(k, day(k % 20), float(k)) for k in range(100)], [(k, day(k % 20 - 1), -1.0) for k in range(100)], [(200, day(25), 2.0)]]
+    stream = stateful.retention(stream_of(spark, str(tmp_path / "s"), batches, "event_id long, created_at timestamp, value double"), "event_id", 10)
+    assert dealt(stream)
+    got = {x.event_id: x.value for x in stateful.shown(run_available(stream), "event_id").collect()}
+    assert got == {k: float(k) for k in range(100) if k % 20 > 14} | {200: 2.0}
