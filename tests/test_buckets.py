@@ -43,3 +43,13 @@ def test_view_of_keys_that_share_a_bucket(spark, tmp_path, monkeypatch):
     assert dealt(stream)
     got = {x.event_id: x.value for x in stateful.shown(run_available(stream), "event_id").collect()}
     assert got == {k: float(k) for k in range(100) if k % 20 > 14} | {200: 2.0}
+
+
+def test_status_of_tasks_that_share_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 1)
+    row = lambda i, t, s, p, m: (i, t, T0 + dt.timedelta(minutes=s), 0, p, m)
+    batches = [[row(t, t, 5, t, "view") for t in range(50)], [row(100 + t, t, t % 2 * 9, 100, "error" if t == 7 else "view") for t in range(50)], [row(300, 9, 0, None, "view")]]
+    stream = jobs.latest_status(stream_of(spark, str(tmp_path / "s"), batches, "event_id long, task_id long, ts timestamp, step_index int, progress long, message string"))
+    assert dealt(stream)
+    got = {x.task_id: (x.progress, x.status) for x in latest(run_available(stream, "update"), ["task_id", "step_index"]).collect()}
+    assert got == {t: (100, "error" if t == 7 else "completed") if t % 2 else (t, "in_progress" if t else "waiting") for t in range(50)}
