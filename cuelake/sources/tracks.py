@@ -34,7 +34,7 @@ def read_srt(tracks: DataFrame) -> DataFrame:
 def srt_plain_text(tracks: DataFrame) -> DataFrame:
     """(video_id, plain): the text lines alone, joined by spaces."""
     keep = lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^\d+$") & ~x.contains("-->")
-    return tracks.select("video_id", F.array_join(F.transform(F.filter(F.split("body", "\n"), keep), F.trim), " ").alias("plain"))
+    return tracks.select("video_id", F.array_join(F.transform(F.filter(F.split("body", "\n"), keep), lambda x: F.trim(x)), " ").alias("plain"))  # F.trim itself would get the index as what to trim
 
 
 def write_ass_events(cues: DataFrame, rtl: bool = False) -> DataFrame:

@@ -108,3 +108,11 @@ def test_streams_of_json_lines_go_on_after_a_restart(spark, tmp_path):
     assert stateful.admit_requests(usage).isStreaming
     with pytest.raises(ValueError):
         read_stream(spark, "usage", str(folder), "csv")
+
+
+def test_plain_text_keeps_what_stands_at_the_edges_of_a_line(spark):
+    from cuelake.sources.tracks import srt_plain_text
+
+    lines = ["0 zero 0", "1 at 171", "2 of 22", "3 and 3", "4", "a --> b"]
+    got = srt_plain_text(spark.createDataFrame([(1, "\n".join(lines))], "video_id long, body string")).first().plain
+    assert got == " ".join(lines[:4])
