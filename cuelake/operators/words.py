@@ -299,10 +299,20 @@ def cues_of(words: DataFrame, dashed: bool = True) -> DataFrame:
     """One row for each (video_id, cue_id) of words: start_ms, end_ms, text, and word_stats."""
     dash = F.coalesce(F.max("__dash"), F.lit(False)) if dashed else F.lit(False)
     flag = F.coalesce(F.max("__compromise"), F.lit(False)) if dashed else F.lit(False)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_ms", "pos", "w"))), lambda x: x["w"]), " ")
-    cues = words.groupBy("video_id", "cue_id").agg(F.min("s_ms").alias("start_ms"), F.greatest(F.max_by("e_ms", F.struct("s_ms", "pos")), F.min("s_ms")).alias("end_ms"), F.concat(F.when(dash, DASH).otherwise(""), text).alias("text"), flag.alias("compromise"))
-    stats = word_stats(words, ["video_id", "cue_id"])
-    return cues.join(stats, ["video_id", "cue_id"])
+    rows = F.array_sort(F.collect_list(F.struct("s_ms", "pos", "e_ms", "w")))
+    cues = words.groupBy("video_id", "cue_id").agg(rows.alias("__rows"), dash.alias("__dash"), flag.alias("compromise"))
+    start, end = F.col("__rows")[0]["s_ms"], F.element_at("__rows", -1)["e_ms"]
+    text = F.concat(F.when(F.col("__dash"), DASH).otherwise(""), F.array_join(F.col("__rows.w"), " "))
+    lasting = F.transform("__rows", lambda x: x["e_ms"] - x["s_ms"])
+    longest = F.aggregate(
+        lasting,
+        F.struct(F.lit(0).cast("bigint").alias("now"), F.lit(0).cast("bigint").alias("most")),
+        lambda r, d: F.struct(F.when(d < DEGENERATE_MS, r["now"] + 1).otherwise(0).alias("now"), F.greatest(r["most"], F.when(d < DEGENERATE_MS, r["now"] + 1).otherwise(0)).alias("most")),
+    )["most"]
+    return cues.select(
+        "video_id", "cue_id", start.alias("start_ms"), F.greatest(end, start).alias("end_ms"), text.alias("text"), "compromise",
+        F.size("__rows").cast("bigint").alias("words"), F.size(F.filter(lasting, lambda d: d < DEGENERATE_MS)).cast("bigint").alias("degenerate"), longest.alias("degenerate_run"), F.array_min(lasting).alias("min_word_dur_ms"),
+    )
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], max_chars: int) -> Iterator[Piece]:
@@ -389,15 +399,31 @@ def cues_in_one_pass(parts: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
 
     The windows behind ``parts`` have dealt the words by video, so nothing is shuffled here; a part and a group are held at a time.
     """
-    rows = parts.select("video_id", "part_id", "pos", "s_ms", "e_ms", "w", "turn", "dash", is_terminal(F.col("w")).alias("closes")).sortWithinPartitions("video_id", "s_ms", "pos")
     schema = StructType([parts.schema["video_id"], *StructType.fromDDL(_CUES).fields])
+    return _in_one_pass(parts, [_short(max_chars), _instant(), _floor(max_chars)], _finished, schema, max_chars)
+
+
+def groups_in_one_pass(parts: DataFrame, merges: tuple[str, ...] = (), max_chars: int = MAX_CHARS) -> DataFrame:
+    """Length split and some of the merges (``short``, ``instant``, ``floor``) of ``turn_groups``, in one pass like ``cues_in_one_pass``.
+
+    The rows are those of ``split_long``, ``group_summaries`` and the merges one after another.
+    """
+    known = {"short": _short(max_chars), "instant": _instant(), "floor": _floor(max_chars)}
+    pos = parts.schema["pos"].dataType.simpleString()
+    rest = f"start_ms bigint, end_ms bigint, chars int, sentences int, ends_q boolean, turn boolean, dash boolean, first_pos {pos}, last_pos {pos}, compromise boolean"
+    schema = StructType([parts.schema["video_id"], *StructType.fromDDL(rest).fields])
+    return _in_one_pass(parts, [known[m] for m in merges], lambda pieces: (p[: len(_FIELDS)] for p in pieces), schema, max_chars)
+
+
+def _in_one_pass(parts: DataFrame, rules: list[tuple], finished, schema: StructType, max_chars: int) -> DataFrame:
+    rows = parts.select("video_id", "part_id", "pos", "s_ms", "e_ms", "w", "turn", "dash", is_terminal(F.col("w")).alias("closes")).sortWithinPartitions("video_id", "s_ms", "pos")
     out = to_arrow_schema(schema)
 
     def run(batches):
         pieces: Iterator[Piece] = _pieces(batches, max_chars)
-        for rule in (_short(max_chars), _instant(), _floor(max_chars)):
+        for rule in rules:
             pieces = fold(pieces, *rule)
-        made = _finished(pieces)
+        made = finished(pieces)
         while some := list(islice(made, ROWS_OUT)):
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), out, strict=True)], schema=out)
 
