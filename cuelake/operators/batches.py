@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 import inspect
+import time
 from collections.abc import Callable
+from itertools import count, groupby
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from cuelake.operators.passes import ordered_pass
 
 TRANSIENT = ("429", "502", "503", "504", "timeout", "timed out", "connection", "network")
 
@@ -27,7 +33,6 @@ def with_retry(fn: Callable[[list[str], int], list[str]], attempts: int = 3, wai
 
     Nothing is remembered from one call to the next, so the result does not depend on what else a task has seen.
     """
-    import time
 
     def call(texts: list[str]):
         waited = 0.0
@@ -35,10 +40,10 @@ def with_retry(fn: Callable[[list[str], int], list[str]], attempts: int = 3, wai
             try:
                 return fn(texts, k), k, waited
             except Exception as e:
-                if k == attempts or not any(t in str(e).lower() for t in TRANSIENT):
+                pause = _pause(e, k, attempts, wait_s)
+                if pause is None:
                     e.attempts, e.waited_s = k, waited  # for a caller that goes on without this batch
                     raise
-                pause = wait_s * 2 ** (k - 1)
                 (sleep or time.sleep)(pause)
                 waited += pause
         raise AssertionError("unreachable")
@@ -46,6 +51,17 @@ def with_retry(fn: Callable[[list[str], int], list[str]], attempts: int = 3, wai
     return call
 
 
+def _pause(e: Exception, k: int, attempts: int, wait_s: float) -> float | None:
+    """Seconds to wait after the k-th attempt failed with ``e``, or none if it failed for good."""
+    if k == attempts or not any(t in str(e).lower() for t in TRANSIENT):
+        return None
+    return wait_s * 2 ** (k - 1)
+
+
+#: batches of a task that may wait for their next attempt while it goes on with others
+MOST_WAITING = 1000
+
+
 def map_batches(
     rows: DataFrame, fn: Callable | None = None, out_col: str = "result", concurrency: int | None = None, attempts: int = 3, wait_s: float = 1.0,
     services: dict[str, Callable] | None = None, default: str | None = None, service_col: str = "service", keep_failed: bool = False,
@@ -55,34 +71,61 @@ def map_batches(
     The function is ``fn``, or that of ``services`` which the batch names in ``service_col``; an unknown or null name calls
     ``default``.  It takes the texts, and a ``Call`` if it has a second parameter, and must return as many texts.  ``attempts``
     and ``waited_s`` say how often a batch was tried and how long it waited in between.  A batch that fails for good raises,
-    or with ``keep_failed`` keeps its source texts, ``failed`` being true, and costs no other batch.
+    or with ``keep_failed`` keeps its source texts, ``failed`` being true, and costs no other batch.  A task makes one call at a
+    time, and goes on with other batches while some wait for their next attempt.
     """
     if (fn is None) == (services is None) or (services is not None and default not in services):
         raise ValueError("give either fn, or services and the name of the default one")
     given = ["video_id", "batch", "pos", "text"]
+    known = {None: fn} if services is None else services
+    told = {name: len(inspect.signature(f).parameters) > 1 for name, f in known.items()}
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        name = None if services is None else pdf[service_col].iloc[0]
-        name = name if services is None or name in services else default
-        own = fn if services is None else services[name]
-        told = len(inspect.signature(own).parameters) > 1
-        video, batch = int(pdf["video_id"].iloc[0]), int(pdf["batch"].iloc[0])
-        source, failed = pdf["text"].tolist(), False
+    def one(video, batch, places, texts, name, k, waited):
+        """The rows of a batch after its k-th attempt, or the seconds until the next."""
+        failed = False
         try:
-            texts, tries, waited = with_retry(lambda t, k: own(t, Call(video, batch, k, name)) if told else own(t), attempts, wait_s)(source)
-            if len(texts) != len(pdf):
-                raise ValueError(f"{len(texts)} results for {len(pdf)} texts")
+            got = known[name](list(texts), Call(video, batch, k, name)) if told[name] else known[name](list(texts))
         except Exception as e:
+            pause = _pause(e, k, attempts, wait_s)
+            if pause is not None:
+                return None, pause
             if not keep_failed:
                 raise
-            texts, failed, tries, waited = source, True, getattr(e, "attempts", 1), getattr(e, "waited_s", 0.0)
-        return pdf[given].assign(**{out_col: texts, "attempts": tries, "waited_s": waited, "failed": failed})
+            got, failed = texts, True
+        if len(got) != len(texts):
+            if not keep_failed:
+                raise ValueError(f"{len(got)} results for {len(texts)} texts")
+            got, failed, k, waited = texts, True, 1, 0.0
+        return [(video, batch, p, t, g, k, waited, failed) for p, t, g in zip(places, texts, got, strict=True)], None
+
+    def rule(rows):
+        waiting, serial = [], count()
+        groups = groupby(rows, key=lambda r: r[:2])
+
+        def due(least: int):
+            """What is due of those that wait; it is slept until no more than ``least`` wait."""
+            while waiting and (len(waiting) > least or waiting[0][0] <= time.monotonic()):
+                at, _, own = heapq.heappop(waiting)
+                time.sleep(max(0.0, at - time.monotonic()))
+                yield from tried(own)
+
+        def tried(own):
+            made, pause = one(*own)
+            if made is None:
+                heapq.heappush(waiting, (time.monotonic() + pause, next(serial), (*own[:-2], own[-2] + 1, own[-1] + pause)))
+            else:
+                yield from made
+
+        for (video, batch), lines in groups:
+            _, _, places, texts, *names = zip(*lines, strict=True)
+            name = None if services is None else names[0][0] if names[0][0] in services else default
+            yield from tried((video, batch, places, texts, name, 1, 0.0))
+            yield from due(MOST_WAITING)
+        yield from due(0)
 
     dealt = rows.select(*given, *([service_col] if services is not None else []))
-    if concurrency:
-        dealt = dealt.repartition(concurrency, "video_id", "batch")
-    return dealt.groupBy("video_id", "batch").applyInPandas(one, f"video_id bigint, batch bigint, pos int, text string, {out_col} string, attempts int, waited_s double, failed boolean")
+    schema = StructType.fromDDL(f"video_id bigint, batch bigint, pos int, text string, {out_col} string, attempts int, waited_s double, failed boolean")
+    return ordered_pass(dealt, ["video_id", "batch"], ["pos"], rule, schema, concurrency)
 
 
 def measured(rows: DataFrame, fn: Callable[[float, float], float | None], out_col: str = "energy_db") -> DataFrame:

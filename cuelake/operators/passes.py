@@ -16,9 +16,9 @@ from pyspark.sql.types import StructType
 ROWS_OUT = 10_000
 
 
-def ordered_pass(df: DataFrame, keys: list[str], order: list[str], rule: Callable[[Iterator[tuple]], Iterator[tuple]], schema: StructType) -> DataFrame:
-    """``rule`` gets the rows of ``df`` as tuples, whole keys one after another, each in order, and yields rows of ``schema``."""
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+def ordered_pass(df: DataFrame, keys: list[str], order: list[str], rule: Callable[[Iterator[tuple]], Iterator[tuple]], schema: StructType, tasks: int | None = None) -> DataFrame:
+    """``rule`` gets the rows of ``df`` as tuples, whole keys one after another, each in order, and yields rows of ``schema``; with ``tasks`` in so many."""
+    ordered = df.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, *order)
     out = to_arrow_schema(schema)
 
     def run(batches):

@@ -19,6 +19,20 @@ def moved(df):
     return len(re.findall(r"Exchange (hash|range)", plan[1].split("== Initial Plan ==")[0])), plan[0].count("MapInArrow")
 
 
+def test_batches_go_on_while_others_wait(spark):
+    rows = spark.createDataFrame([(1, b, 0, f"t{b}") for b in range(100)], "video_id long, batch long, pos int, text string")
+
+    def late(texts, call):
+        if call.attempt < 3:
+            raise RuntimeError("HTTP 503")
+        return texts
+
+    began = time.time()
+    got = batches.map_batches(rows, late, wait_s=0.2, concurrency=1).collect()
+    assert time.time() - began < 30  # a hundred batches that wait 0.6 s each
+    assert len(got) == 100 and {(x.attempts, round(x.waited_s, 6), x.result == x.text) for x in got} == {(3, 0.6, True)}
+
+
 def test_groups_are_made_where_the_words_are(spark):
     for name in ("w03_split_long", "w04_merge_short", "w05_merge_same_instant", "w06_enforce_min_duration"):
         assert moved(registry.QUERIES[name](spark, SF)) == (1, 1), name
