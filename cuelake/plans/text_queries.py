@@ -144,7 +144,7 @@ with m as (select video_id, pos, pos * 4 as start_s, trim(replace(text, '[', '('
 select video_id, cast(k as integer) as pos, cast(start_s as bigint) as start_s, cast(end_s as bigint) as end_s, text from e""")
 def s07(spark, sf):
     line = F.concat(F.lit("["), stamp(F.col("pos") * 4), F.lit("] "), F.trim(F.replace("text", F.lit("["), F.lit("("))))
-    docs = B.segments(spark, sf).groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    docs = B.segments(spark, sf, dealt=True).groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
     return tracks.read_stamped_transcripts(docs.withColumn("duration_s", F.lit(1_000_000).cast("bigint")))
 
 

@@ -94,7 +94,8 @@ def read_stamped_transcripts(docs: DataFrame) -> DataFrame:
     A text without a mark is one segment; a blank segment goes, but its mark still ends the one before.
     """
     marks = F.regexp_extract_all("text", F.lit(MARK), 0)
-    rows = docs.select("video_id", "duration_s", F.col("text").alias("whole"), F.posexplode_outer(marks).alias("pos", "mark"))
+    whole = F.when(~F.col("text").rlike(MARK), F.col("text"))  # not beside each of its marks
+    rows = docs.select("video_id", "duration_s", whole.alias("whole"), F.posexplode_outer(marks).alias("pos", "mark"))
     start = clock_seconds(F.regexp_extract("mark", MARK, 1))
     order = Window.partitionBy("video_id").orderBy("pos")
     df = rows.withColumn("start_s", F.when(F.col("mark").isNotNull(), start).otherwise(0)).withColumn("__next", F.lead("start_s").over(order))

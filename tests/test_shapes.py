@@ -58,3 +58,11 @@ def test_cues_have_the_statistics_of_their_words(spark):
     names = ["video_id", "cue_id", "words", "degenerate", "degenerate_run", "min_word_dur_ms"]
     got, want = words.cues_of(grouped, dashed=False).select(*names), words.word_stats(grouped, ["video_id", "cue_id"]).select(*names)
     assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_transcript_is_not_carried_beside_each_of_its_marks(spark):
+    docs = spark.createDataFrame([(1, "[00:01] a [00:03] b", 9), (2, "plain", 9)], "video_id long, text string, duration_s long")
+    got = tracks.read_stamped_transcripts(docs)
+    assert sorted((x.video_id, x.pos, x.start_s, x.end_s, x.text) for x in got.collect()) == [(1, 0, 1, 3, "a"), (1, 1, 3, 8, "b"), (2, 0, 0, 9, "plain")]
+    assert "RLIKE" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert moved(registry.QUERIES["s07_stamped_transcripts"](spark, SF))[0] == 1
