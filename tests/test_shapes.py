@@ -19,6 +19,15 @@ def moved(df):
     return len(re.findall(r"Exchange (hash|range)", plan[1].split("== Initial Plan ==")[0])), plan[0].count("MapInArrow")
 
 
+def test_statistics_of_large_ids_and_without_durations(spark, tmp_path):
+    at = lambda k: dt.datetime(2024, 1, 1, 0, k)
+    big = (1 << 60) + 2
+    rows = [(big + k, at(k), 1, "click", None if k > 3 else 60.0, '{"k": 1}') for k in range(8)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["s03_save_stats"](spark, str(tmp_path)).collect()
+    assert sorted((x.task_id, x.created_at, x.total_duration) for x in got) == [(str(big // 2 + k), at(2 * k + 1), 60.0 if k < 2 else None) for k in range(4)]
+
+
 def test_batches_go_on_while_others_wait(spark):
     rows = spark.createDataFrame([(1, b, 0, f"t{b}") for b in range(100)], "video_id long, batch long, pos int, text string")
 
