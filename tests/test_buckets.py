@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from cuelake.sources.streams import latest, run_available
 from cuelake.streaming import jobs, stateful
 from tests.test_streams import END, T0, closed, stream_of
@@ -53,3 +55,27 @@ def test_status_of_tasks_that_share_a_bucket(spark, tmp_path, monkeypatch):
     assert dealt(stream)
     got = {x.task_id: (x.progress, x.status) for x in latest(run_available(stream, "update"), ["task_id", "step_index"]).collect()}
     assert got == {t: (100, "error" if t == 7 else "completed") if t % 2 else (t, "in_progress" if t else "waiting") for t in range(50)}
+
+
+def test_rows_reach_a_processor_as_frames(spark, tmp_path):
+    """Rows are packed before they are dealt, whatever their order, and rows without event time stay."""
+    schema = "task_id long, ts timestamp, event_id long, bytes long"
+    rows = [(t, None if k == 3 else T0 + dt.timedelta(seconds=(7 * k) % 11), 100 * t + k, k) for k in range(11) for t in range(6)]
+    stream = stateful.transfer_speed(stream_of(spark, str(tmp_path / "s"), [rows], schema))
+    assert "MapInArrow" in stream._jdf.queryExecution().analyzed().toString()
+    processor = stateful.InOrder("task_id bigint", "event_id bigint, bytes bigint", (), None, [], 0)
+    given = spark.createDataFrame(rows, schema).withColumn("__bucket", (F.col("task_id") % 2).cast("int"))
+    frames = given.coalesce(1).mapInArrow(stateful._framed(processor.schema), "__bucket int, ts timestamp, early bigint, frame binary").collect()
+    assert [x["__bucket"] for x in frames] == [0, 1] and {x.early for x in frames} == {stateful.NO_TIME}
+    assert {x.ts.replace(tzinfo=dt.timezone.utc) for x in frames} == {T0 + dt.timedelta(seconds=9)}
+    got = [r for x in frames for r in stateful._unpacked(x.frame).select(["task_id", "event_id", "bytes"]).to_pylist()]
+    assert sorted(tuple(r.values()) for r in got) == sorted((t, e, b) for t, _, e, b in rows)
+
+
+def test_late_rows_of_a_frame_are_left_out(spark, tmp_path):
+    """A row that the bucket is past doesn't come in with one in time that shares its frame."""
+    schema = "task_id long, event_id long, ts timestamp, tokens long"
+    at = lambda d: T0 + dt.timedelta(days=d)
+    batches = [[(1, 1, at(0), 5)], [(1, 2, at(10), 5)], [(1, 3, at(20), 5)], [(1, 4, at(1), 5), (1, 5, at(21), 5)], *([(END, END, at(d), 0)] for d in (9000, 9001, 9002))]
+    got = run_available(stateful.admit_requests(stream_of(spark, str(tmp_path / "s"), batches, schema))).where(f"task_id <> {END}").collect()
+    assert sorted(x.event_id for x in got) == [1, 2, 3, 5]
