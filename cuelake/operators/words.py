@@ -9,11 +9,10 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import namedtuple
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,9 +57,10 @@ def sentence_groups(words: DataFrame) -> DataFrame:
     In a video of eight words or more without any terminal, it ends before a pause of 350 ms.
     """
     order = _video().orderBy("s_ms", "pos")
-    timed = words.withColumn("__t", is_terminal(F.col("w"))).withColumn("__pause", F.lead("s_ms").over(order) - F.col("e_ms"))
-    # the windows over whole videos come behind the ordered one, whose order they keep, so words are sorted once
-    marked = timed.select("*", F.count("*").over(_video()).alias("__n"), F.max("__t").over(_video()).alias("__terminals"))
+    # windows over whole videos take the order of the others, so that all are one step and words are sorted once
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    timed = words.withColumn("__t", is_terminal(F.col("w")))
+    marked = timed.select("*", (F.lead("s_ms").over(order) - F.col("e_ms")).alias("__pause"), F.count("*").over(whole).alias("__n"), F.max("__t").over(whole).alias("__terminals"))
     ends = (F.col("__t") & (F.col("e_ms") - F.col("s_ms") >= DEGENERATE_MS)) | ((F.col("__n") >= 8) & ~F.col("__terminals") & F.coalesce(F.col("__pause") >= PAUSE_MS, F.lit(False)))
     return marked.withColumn("__end", ends).withColumn("sent_id", _running(F.col("__end"), order, BEFORE)).drop("__t", "__n", "__terminals", "__pause", "__end")
 
@@ -70,17 +70,22 @@ def turn_groups(sentences: DataFrame) -> DataFrame:
 
     Each later part opens a turn; a part that ends in ``?`` and the one after it carry the dash.
     """
-    order = Window.partitionBy("video_id", "sent_id").orderBy("s_ms", "pos")
-    parted = sentences.withColumn("__opens", F.coalesce(F.col("s_ms") - F.lag("e_ms").over(order) >= TURN_GAP_MS, F.lit(False)))
-    first = F.row_number().over(order) == 1
-    parted = parted.withColumn("part_id", _running(first | F.col("__opens"), _video().orderBy("s_ms", "pos")) - 1).withColumn("turn", F.col("__opens")).drop("__opens")
-    own = Window.partitionBy("video_id", "part_id")
-    parted = parted.withColumn("turn", F.max("turn").over(own)).withColumn("__q", F.last("w").over(own.orderBy("s_ms", "pos").rowsBetween(0, Window.unboundedFollowing)).endswith("?"))
-    parts = parted.withColumn("__lagq", F.lag("__q").over(_video().orderBy("s_ms", "pos"))).withColumn("__nextsent", F.lead("turn").over(_video().orderBy("s_ms", "pos"))).withColumn("__nextpart", F.lead("part_id").over(_video().orderBy("s_ms", "pos")))
-    at_end = F.col("__nextpart") != F.col("part_id")
-    opens_dash = F.max(F.coalesce(at_end & F.col("__nextsent") & F.col("__q"), F.lit(False))).over(own)
-    after_dash = F.col("turn") & F.coalesce(F.first("__lagq").over(own.orderBy("s_ms", "pos").rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
-    return parts.withColumn("dash", opens_dash | after_dash).drop("__q", "__lagq", "__nextsent", "__nextpart")
+    order = _video().orderBy("s_ms", "pos")  # of all windows but the last, as sentences and parts are runs of words
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    asks = F.coalesce(F.col("w").endswith("?"), F.lit(False))
+    before = sentences.select("*", F.lag("e_ms").over(order).alias("__e"), F.lag("sent_id").over(order).alias("__s"), F.coalesce(F.lag(asks).over(order), F.lit(False)).alias("__asked"))
+    head = F.coalesce(F.col("__s") != F.col("sent_id"), F.lit(True))
+    opened = before.withColumn("__head", head).withColumn("__opens", ~F.col("__head") & F.coalesce(F.col("s_ms") - F.col("__e") >= TURN_GAP_MS, F.lit(False)))
+    starts = F.col("__head") | F.col("__opens")
+    parts = opened.select(
+        *sentences.columns,
+        (_running(starts, order) - 1).alias("part_id"),
+        F.last(F.when(starts, F.col("__opens")), True).over(so_far).alias("turn"),
+        F.last(F.when(starts, F.col("__opens") & F.col("__asked")), True).over(so_far).alias("__after"),
+        (asks & F.coalesce(F.lead("__opens").over(order), F.lit(False))).alias("__before"),
+    )
+    opens_dash = F.max("__before").over(Window.partitionBy("video_id", "part_id").orderBy("s_ms", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return parts.withColumn("dash", opens_dash | F.col("__after")).drop("__after", "__before")
 
 
 def cuts(ends: list[int], commas: list[int], opening: int, max_chars: int) -> list[tuple[int, str]]:
@@ -315,8 +320,8 @@ def cues_of(words: DataFrame, dashed: bool = True) -> DataFrame:
     )
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], max_chars: int) -> Iterator[Piece]:
-    """The groups after the length split, from words in order; only the words of the last part are carried from batch to batch."""
+def _pieces(batches: Iterator[pa.RecordBatch], max_chars: int) -> Iterator[Group | Piece]:
+    """The groups after the length split, from words in order, with their words if those are there; only the words of the last part are carried from batch to batch."""
     held = None
     for b in (*_nonempty(batches), None):
         if b is None:
@@ -326,7 +331,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], max_chars: int) -> Iterator[Piece
         else:
             whole = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             end = None
-        video, part, pos, s, e, text, turn, dash, closes = whole.columns
+        video, part, pos, s, e, length, comma, asks, turn, dash, closes, *text = whole.columns
         ids, names = part.to_numpy(), video.dictionary_encode().indices.fill_null(-1).to_numpy()
         opens = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])]))
         if end is None:
@@ -334,10 +339,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], max_chars: int) -> Iterator[Piece
             held, opens = whole.slice(end), opens[:-1]
         if not end:
             continue
-        sizes = pc.utf8_length(text).to_numpy()[:end].astype(np.int64) + 1
-        turns, dashes, terminal = (c.to_numpy(zero_copy_only=False)[:end] for c in (turn, dash, closes))
-        starts, ends, texts = s.to_numpy()[:end], e.to_numpy()[:end], text.slice(0, end).to_pylist()
-        commas, stops = np.fromiter((t.endswith(",") for t in texts), bool, end), np.append(opens[1:], end)
+        sizes = length.to_numpy()[:end].astype(np.int64) + 1
+        turns, dashes, terminal, commas, questions = (c.to_numpy(zero_copy_only=False)[:end] for c in (turn, dash, closes, comma, asks))
+        starts, ends, stops = s.to_numpy()[:end], e.to_numpy()[:end], np.append(opens[1:], end)
         opening = np.where(dashes[opens], len(DASH), 0)
         first = [opens]
         for k in np.flatnonzero(np.add.reduceat(sizes, opens) - 1 + opening > max_chars).tolist():
@@ -350,11 +354,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], max_chars: int) -> Iterator[Piece
         own_dash = dashes[at] & whole_part
         chars = np.add.reduceat(sizes, at) - 1 + np.where(own_dash, len(DASH), 0)
         counted = np.add.reduceat(terminal.astype(np.int64), at)
-        lasting, places, videos = (ends - starts).tolist(), pos.to_numpy()[:end], video.slice(0, end).take(pa.array(at)).to_pylist()
-        for v, p, q, begin, stop, n, sentences, t, d, low, high in zip(
-            videos, at.tolist(), upto.tolist(), starts[at].tolist(), ends[upto - 1].tolist(), chars.tolist(), counted.tolist(), (turns[at] & whole_part).tolist(), own_dash.tolist(), places[at].tolist(), places[upto - 1].tolist(), strict=True
-        ):
-            yield Piece(v, begin, stop, n, sentences, texts[q - 1].endswith("?"), t, d, low, high, False, texts[p:q], lasting[p:q])
+        places, videos = pos.to_numpy()[:end], video.slice(0, end).take(pa.array(at)).to_pylist()
+        columns = (starts[at], ends[upto - 1], chars, counted, questions[upto - 1], turns[at] & whole_part, own_dash, places[at], places[upto - 1])
+        groups = zip(videos, *(c.tolist() for c in columns), repeat(False))
+        if not text:
+            yield from map(Group._make, groups)
+            continue
+        lasting, texts = (ends - starts).tolist(), text[0].slice(0, end).to_pylist()
+        for g, p, q in zip(groups, at.tolist(), upto.tolist(), strict=True):
+            yield Piece(*g, texts[p:q], lasting[p:q])
 
 
 def _nonempty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +408,7 @@ def cues_in_one_pass(parts: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     The windows behind ``parts`` have dealt the words by video, so nothing is shuffled here; a part and a group are held at a time.
     """
     schema = StructType([parts.schema["video_id"], *StructType.fromDDL(_CUES).fields])
-    return _in_one_pass(parts, [_short(max_chars), _instant(), _floor(max_chars)], _finished, schema, max_chars)
+    return _in_one_pass(parts, [_short(max_chars), _instant(), _floor(max_chars)], _finished, schema, max_chars, True)
 
 
 def groups_in_one_pass(parts: DataFrame, merges: tuple[str, ...] = (), max_chars: int = MAX_CHARS) -> DataFrame:
@@ -415,8 +423,11 @@ def groups_in_one_pass(parts: DataFrame, merges: tuple[str, ...] = (), max_chars
     return _in_one_pass(parts, [known[m] for m in merges], lambda pieces: (p[: len(_FIELDS)] for p in pieces), schema, max_chars)
 
 
-def _in_one_pass(parts: DataFrame, rules: list[tuple], finished, schema: StructType, max_chars: int) -> DataFrame:
-    rows = parts.select("video_id", "part_id", "pos", "s_ms", "e_ms", "w", "turn", "dash", is_terminal(F.col("w")).alias("closes")).sortWithinPartitions("video_id", "s_ms", "pos")
+def _in_one_pass(parts: DataFrame, rules: list[tuple], finished, schema: StructType, max_chars: int, worded: bool = False) -> DataFrame:
+    """``worded``: the groups have their words, which come into the pass only then."""
+    w = F.col("w")
+    needed = parts.select("video_id", "part_id", "pos", "s_ms", "e_ms", F.length(w).alias("length"), w.endswith(",").alias("comma"), w.endswith("?").alias("asks"), "turn", "dash", is_terminal(w).alias("closes"), *(["w"] if worded else []))
+    rows = needed.sortWithinPartitions("video_id", "part_id", "s_ms", "pos")  # the order of ``turn_groups``, so nothing is sorted again
     out = to_arrow_schema(schema)
 
     def run(batches):

@@ -47,6 +47,40 @@ def test_groups_are_made_where_the_words_are(spark):
         assert moved(registry.QUERIES[name](spark, SF)) == (1, 1), name
 
 
+def test_words_are_sorted_seldom(spark):
+    """By position for their times, by time for sentences and turns, and by part for the dash."""
+    for name in ("w02_turn_groups", "w03_split_long", "w05_merge_same_instant", "w10_spot_cues"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len(re.findall(r"\bSort \[", plan)) <= 3 + (name == "w10_spot_cues") and len(re.findall(r"\bWindow \[", plan)) <= 6, plan  # the cues' join with videos may sort once more
+
+
+def test_turns_of_parts_that_ask(spark):
+    """Sentences that end at a silence, parts within a sentence, questions at either, and videos of one word."""
+    said = {
+        1: [("so", 0, 100), ("you?", 200, 300), ("yes", 1000, 1100), ("no?", 1200, 1300), ("why.", 2000, 2100), ("end", 2900, 3000), ("it?", 3700, 3800)],
+        2: [("what?", 0, 100), ("what?", 900, 930), ("go", 1700, 1800), ("on", 2500, 2600)],
+        3: [("one?", 0, 10)],
+    }
+    rows = [(v, k, s, e, w) for v, x in said.items() for k, (w, s, e) in enumerate(x)]
+    got = words.turn_groups(words.sentence_groups(spark.createDataFrame(rows, "video_id long, pos int, s_ms long, e_ms long, w string")))
+    for v, x in said.items():
+        parts, sent = [], 0  # (sentence, turn, words)
+        for k, (w, s, e) in enumerate(x):
+            ended = k and w_before[-1] in ".!?" and e_before - s_before >= 50
+            sent += bool(ended)
+            if not k or ended:
+                parts.append((sent, False, [w]))
+            elif s - e_before >= 700:
+                parts.append((sent, True, [w]))
+            else:
+                parts[-1][2].append(w)
+            w_before, s_before, e_before = w, s, e
+        asks = [p[2][-1].endswith("?") for p in parts]
+        dash = [(asks[i] and i + 1 < len(parts) and parts[i + 1][1]) or (parts[i][1] and i > 0 and asks[i - 1]) for i in range(len(parts))]
+        want = [(s, i, t, bool(dash[i]), w) for i, (s, t, ws) in enumerate(parts) for w in ws]
+        assert [(r.sent_id, r.part_id, r.turn, r.dash, r.w) for r in got.where(f"video_id = {v}").orderBy("pos").collect()] == want
+
+
 def test_groups_in_one_pass_equal_the_steps(spark):
     parts = words.turn_groups(words.sentence_groups(bindings.words(spark, SF).where("video_id < 40"))).localCheckpoint()
     steps = words.group_summaries(words.split_long(parts))
