@@ -161,8 +161,14 @@ def condensation_check(df: DataFrame, original: str = "original", candidate: str
     end, own = F.right(o, F.lit(1)), F.right(c, F.lit(1))
     of = lambda mark, marks: (mark != "") & F.lit(marks).contains(mark)
     content = F.element_at(F.filter(x, lambda w: ~w.isin(*MAY_GO)), -1)
-    content = F.when(F.exists(x, lambda w: ~w.isin(*MAY_GO)), content)
-    lost = F.filter(x, lambda w: (w.isin(*MUST_STAY) | w.rlike(r"\p{Nd}")) & ~_has(y, w))
+    # a column of its own, or it would be found anew for each word it is compared with
+    d = d.withColumn("__content", F.when(F.exists(x, lambda w: ~w.isin(*MAY_GO)), content))
+    content = F.col("__content")
+    # what must stay is looked up in a set of the candidate's words in all their forms, as a long line may hold thousands of numbers
+    forms = F.concat(y, F.transform(y, lambda w: F.concat(F.lit(CONJUNCTION), w)), F.transform(F.filter(y, lambda w: w.startswith(CONJUNCTION)), lambda w: F.substr(w, F.lit(len(CONJUNCTION) + 1))))
+    d = d.withColumn("__stay", F.filter(x, lambda w: w.isin(*MUST_STAY) | w.rlike(r"\p{Nd}")))
+    d = d.withColumn("__lost", F.when(F.size("__stay") > 0, F.get(F.array_except("__stay", forms), F.lit(0))))
+    lost = F.col("__lost")
     reason = (
         F.when(c == "", "empty")
         .when(F.size(y) == 0, "no_words")
@@ -170,10 +176,10 @@ def condensation_check(df: DataFrame, original: str = "original", candidate: str
         .when(of(end, FINAL_MARKS) & (own != end) & ~((end == "…") & of(own, FINAL_MARKS)), "changed_mark")
         .when(of(end, CLOSING_MARKS) & ~of(own, CLOSING_MARKS), "lost_mark")
         .when(content.isNotNull() & ~_has(y, content), "lost_content")
-        .when(F.size(lost) > 0, F.when(F.get(lost, F.lit(0)).rlike(r"\p{Nd}"), "lost_number").otherwise("lost_negation"))
+        .when(lost.isNotNull(), F.when(lost.rlike(r"\p{Nd}"), "lost_number").otherwise("lost_negation"))
         .when(F.element_at(y, -1).isin(*WEAK_ENDS), "weak_end")
     )
-    return d.withColumn("reason", reason).drop("__o", "__c", "__x", "__y")
+    return d.withColumn("reason", reason).drop("__o", "__c", "__x", "__y", "__content", "__stay", "__lost")
 
 
 def transfer_speed(transfer: DataFrame, alpha: float = 0.3, min_interval_us: int = 2_000_000) -> DataFrame:

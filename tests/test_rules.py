@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -147,3 +148,14 @@ def test_transcript_marks(spark):
     assert [(x.start_s, x.text.split()[0]) for x in tracks.read_stamped_transcripts(d).orderBy("pos").collect()] == [(5, "a"), (12, "b"), (3607, "c")]
     e, bad = tracks.read_ranged_transcripts(spark.createDataFrame([(1, "[00:01 - 1:02:03] x\n[1:2 - 3:4] y\n[00:01-00:02]z")], "video_id long, text string"))
     assert [(x.start_s, x.end_s, x.text) for x in e.orderBy("entry").collect()] == [(1, 3723, "x"), (1, 2, "z")] and bad.count() == 1
+
+
+def test_condensation_of_a_long_line_of_numbers(spark):
+    """Each number is looked up, not compared with every word; a conjunction in front of either is no difference."""
+    n = 12_000
+    own = " ".join(f"{k}a" for k in range(n))
+    rows = [(0, f"{own} end", " ".join(f"ו{k}a" for k in range(n)) + " end"), (1, f"{own} end", " ".join(f"{k}b" for k in range(n)) + " end"), (2, "ו7 end", "7 end"), (3, "not 7 end", "7 end"), (4, "7 end", "ו7 end")]
+    began = time.time()
+    got = reflow.condensation_check(spark.createDataFrame(rows, "id long, original string, candidate string")).orderBy("id").collect()
+    assert [x.reason for x in got] == [None, "lost_number", None, "lost_negation", None]
+    assert time.time() - began < 20
