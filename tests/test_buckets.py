@@ -1,7 +1,9 @@
 """Keyed streams by buckets of keys: the state's key is no row's key, and many keys a bucket give what a state a key would."""
 
 import datetime as dt
+import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cuelake.sources.streams import latest, run_available
@@ -79,3 +81,22 @@ def test_late_rows_of_a_frame_are_left_out(spark, tmp_path):
     batches = [[(1, 1, at(0), 5)], [(1, 2, at(10), 5)], [(1, 3, at(20), 5)], [(1, 4, at(1), 5), (1, 5, at(21), 5)], *([(END, END, at(d), 0)] for d in (9000, 9001, 9002))]
     got = run_available(stateful.admit_requests(stream_of(spark, str(tmp_path / "s"), batches, schema))).where(f"task_id <> {END}").collect()
     assert sorted(x.event_id for x in got) == [1, 2, 3, 5]
+
+
+def test_newest_rows_of_a_bucket_are_found_by_arrays(spark):
+    r = random.Random(7)
+    step = stateful.Newest("task_id bigint, step_index int", "event_id bigint, progress bigint, error boolean", 0, sticky=("error",), every=True)
+    some = lambda n, most: None if r.random() < 0.1 else r.randrange(n, most)
+    rows = lambda n, low: [(some(0, 6), r.randrange(3), r.randrange(low, 9), some(0, 3), some(0, 3), r.choice([True, False, None])) for _ in range(n)]
+    table = lambda x: pa.table([pa.array(c, f.type) for c, f in zip(zip(*x, strict=True), step.schema, strict=True)], schema=step.schema) if x else step.schema.empty_table()
+    order = lambda x: [(c is not None, c or 0) for c in x[2:5]]
+    for n, m in [(1, 0), (1, 1), (40, 0), (40, 15), (3, 15)] * 5:
+        fresh, old = rows(n, 2), list({x[:2]: x for x in rows(m, 0)}.values())
+        best, told = step._merged(table(fresh), table(old))
+        want = {}
+        for is_new, x in [*((True, x) for x in fresh), *((False, x) for x in old)]:
+            was = want.get(x[:2], (None, x, None))
+            error = None if x[5] is None and was[2] is None else bool(x[5]) or bool(was[2])
+            want[x[:2]] = (is_new or bool(was[0]), max(was[1], x, key=order), error)
+        got = {x[:2]: (t, x) for x, t in zip(zip(*best.to_pydict().values(), strict=True), told.tolist(), strict=True)}
+        assert got == {k: (t, (*x[:5], e)) for k, (t, x, e) in want.items()}
