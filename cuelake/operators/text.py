@@ -257,17 +257,27 @@ def punctuation_health(segments: DataFrame) -> DataFrame:
 
 # The letters and marks of Hebrew typography and the shapes they act on.
 HEBREW, PREFIX_LETTERS, SOUND_LETTERS, ACRONYM_MARK, SOUND_MARK = "\u05d0-\u05ea\u05ef-\u05f2", "בהוכלמש", "גזצץ", "״", "׳"
-QUOTATION = rf'(?<![{HEBREW}\p{{L}}\p{{N}}_])([{PREFIX_LETTERS}]?)["{ACRONYM_MARK}]([^"{ACRONYM_MARK}\n]*[{HEBREW}][^"{ACRONYM_MARK}\n]*)["{ACRONYM_MARK}](?![{HEBREW}])'
+# what is quoted reaches to the next mark and is looked at twice at most, whether it has a Hebrew letter or is never closed
+QUOTATION = rf'(?<![{HEBREW}\p{{L}}\p{{N}}_])([{PREFIX_LETTERS}]?)["{ACRONYM_MARK}](?=[^"{ACRONYM_MARK}\n{HEBREW}]*+[{HEBREW}])([^"{ACRONYM_MARK}\n]*+)["{ACRONYM_MARK}](?![{HEBREW}])'
 ACRONYM, SOUND = rf'(?<=[{HEBREW}])"(?=[{HEBREW}])', rf"(?<=[{SOUND_LETTERS}])['’]"
 
 
+def _repaired(text: Column, marks: str, rule: str, mark: str) -> tuple[Column, Column]:
+    """(text after a rule, how often it was met); texts without any of the rule's marks are not searched."""
+    maybe = functools.reduce(lambda x, y: x | y, (text.contains(m) for m in marks))
+    met = F.when(maybe, F.regexp_count(text, F.lit(rule))).when(text.isNotNull(), 0)
+    return F.when(maybe, F.regexp_replace(text, rule, mark)).otherwise(text), met
+
+
 def repair_typography(df: DataFrame, col: str) -> DataFrame:
     """Hebrew typography: the same mark at both ends of a quoted Hebrew phrase, acronym marks between two letters, marks of
     foreign sounds; ``quotes``, ``acronyms`` and ``sounds`` count what each rule met."""
-    quoted = F.regexp_replace(col, QUOTATION, f"$1{ACRONYM_MARK}$2{ACRONYM_MARK}")
-    acronym = F.regexp_replace(quoted, ACRONYM, ACRONYM_MARK)
-    counts = {"quotes": F.regexp_count(col, F.lit(QUOTATION)), "acronyms": F.regexp_count(quoted, F.lit(ACRONYM)), "sounds": F.regexp_count(acronym, F.lit(SOUND))}
-    return df.withColumns({**counts, col: F.regexp_replace(acronym, SOUND, SOUND_MARK)})
+    quoted, quotes = _repaired(F.col(col), '"' + ACRONYM_MARK, QUOTATION, f"$1{ACRONYM_MARK}$2{ACRONYM_MARK}")
+    df = df.withColumns({"quotes": quotes, col: quoted})
+    acronym, acronyms = _repaired(F.col(col), '"', ACRONYM, ACRONYM_MARK)
+    df = df.withColumns({"acronyms": acronyms, col: acronym})
+    sound, sounds = _repaired(F.col(col), "'’", SOUND, SOUND_MARK)
+    return df.withColumns({"sounds": sounds, col: sound})
 
 
 #: a run: numeric signs, then from a left-to-right letter or digit to the last one before a right-to-left letter, then numeric signs

@@ -159,3 +159,11 @@ def test_condensation_of_a_long_line_of_numbers(spark):
     got = reflow.condensation_check(spark.createDataFrame(rows, "id long, original string, candidate string")).orderBy("id").collect()
     assert [x.reason for x in got] == [None, "lost_number", None, "lost_negation", None]
     assert time.time() - began < 20
+
+
+def test_a_quotation_that_is_never_closed_costs_no_square(spark):
+    line = '"' + "א" * 200_000
+    began = time.time()
+    got = text.repair_typography(spark.createDataFrame([(line,), ('ב"שלום" "abc" "x א" ד"ר ג\'',), (None,)], "t string"), "t").collect()
+    assert time.time() - began < 15
+    assert [tuple(x) for x in got] == [(line, 0, 0, 0), ('ב״שלום״ "abc" ״x א״ ד״ר ג׳', 2, 1, 1), (None, None, None, None)]
