@@ -115,15 +115,14 @@ def wrap_lines(cues: DataFrame, text_col: str = "text", limit: int | Column = LI
         score = F.abs(gap) + F.when(gap > 0, 3).otherwise(0) - F.when(top.rlike("[.?!]$"), 30).when(top.rlike("[,;:]$"), 12).otherwise(0)
         return F.struct(score.alias("score"), i.alias("i"), top.alias("top"), bottom.alias("bottom"))
 
-    def greedy(acc: Column, w: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (last == "") | (F.length(last) + 1 + F.length(w) <= limit)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.when(last == "", w).otherwise(F.concat(last, F.lit(" "), w))))).otherwise(F.concat(acc, F.array(w)))
-
-    df = cues.withColumn("__w", words)
-    whole = join(F.col("__w"))
-    options = F.when((F.size("__w") > 1) & (F.length(whole) <= 2 * limit + 1), F.transform(F.sequence(F.lit(1), F.size("__w") - 1), option)).otherwise(F.expr("array()").cast("array<struct<score:int,i:int,top:string,bottom:string>>"))
+    df = cues.withColumn("__w", words).withColumn("__whole", join(F.col("__w")))
+    whole = F.col("__whole")
+    long = F.length(whole)
+    options = F.when((F.size("__w") > 1) & (long > limit) & (long <= 2 * limit + 1), F.transform(F.sequence(F.lit(1), F.size("__w") - 1), option)).otherwise(F.expr("array()").cast("array<struct<score:int,i:int,top:string,bottom:string>>"))
     df = df.withColumn("__best", F.array_min(F.filter(options, lambda o: (F.length(o["top"]) <= limit) & (F.length(o["bottom"]) <= limit))))
-    hard = F.array_join(F.aggregate("__w", F.array(F.lit("")), greedy), "\n")
-    wrapped = F.when(F.length(whole) <= limit, whole).when(F.col("__best").isNotNull(), F.concat("__best.top", F.lit("\n"), "__best.bottom")).otherwise(hard)
-    return df.withColumn("wrapped", wrapped).drop("__w", "__best")
+    # greedy: as many words as fit, or one that does not, again and again; a line is looked at once
+    line = F.concat(F.lit("(?s)(.{1,"), F.greatest(F.lit(1), limit if isinstance(limit, Column) else F.lit(limit)).cast("string"), F.lit(r"}|[^ ]+)(?: |\z)"))
+    lines = F.regexp_replace(whole, line, F.lit("$1\n"))
+    hard = F.substring(lines, F.lit(1), F.length(lines) - 1)
+    wrapped = F.when(long <= limit, whole).when(F.col("__best").isNotNull(), F.concat("__best.top", F.lit("\n"), "__best.bottom")).otherwise(hard)
+    return df.withColumn("wrapped", wrapped).drop("__w", "__whole", "__best")
