@@ -313,14 +313,21 @@ def isolate_bidi(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.when(maybe, _isolated(F.when(maybe, F.col(col)))).otherwise(F.col(col)))
 
 
+_OLD_MARKS = frozenset("\u202a\u202b\u202c\u202d\u202e\u200e\u200f")
+#: white space of the Unicode tables and the four separators
+_SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 @F.pandas_udf(StructType([StructField("text", StringType()), StructField("rtl", BooleanType()), StructField("ltr", BooleanType())]))
 def _composed(text: pd.Series) -> pd.DataFrame:
     """The composed form of each text, and whether it has strong letters of either direction, old marks aside."""
-    rows = []
+    forms, rtl, ltr = [], [], []
     for t in text:
-        kinds = set() if t is None else {unicodedata.bidirectional(c) for c in t if not "\u202a" <= c <= "\u202e" and c not in "\u200e\u200f"}
-        rows.append((None if t is None else unicodedata.normalize("NFC", t), bool(kinds & {"R", "AL"}), "L" in kinds))
-    return pd.DataFrame(rows, columns=["text", "rtl", "ltr"])
+        kinds = set() if t is None else set(map(unicodedata.bidirectional, set(t) - _OLD_MARKS))
+        forms.append(None if t is None else unicodedata.normalize("NFC", t))
+        rtl.append(bool(kinds & {"R", "AL"}))
+        ltr.append("L" in kinds)
+    return pd.DataFrame({"text": forms, "rtl": rtl, "ltr": ltr})
 
 
 def mark_rtl(df: DataFrame, col: str) -> DataFrame:
@@ -330,16 +337,18 @@ def mark_rtl(df: DataFrame, col: str) -> DataFrame:
     of two Latin letters or digits and more are embedded left to right; a mark goes between a Hebrew letter and the stop
     behind it, and inside parentheses.  Only texts with characters beyond ASCII go through Python.
     """
-    raw = F.trim(F.regexp_replace(col, r"(?U)[\s\x1c-\x1f]+", " "))
-    beyond = raw.rlike(r"[^\x00-\x7F]")
-    df = df.withColumn("__raw", raw).withColumn("__c", _composed(F.when(beyond, raw)))
-    text = F.when(F.col("__raw").rlike(r"[^\x00-\x7F]"), F.col("__c.text")).otherwise(F.col("__raw"))
-    paired = F.regexp_replace(F.regexp_replace(text, '"([^"]*)"', "״$1״"), "'([^']*)'", "׳$1׳")
-    bare = F.regexp_replace(paired, "[\u064b-\u0652\u202a-\u202e\u200e\u200f]", "")
+    # each step is a column of its own, so none is done again for the next
+    df = df.withColumn("__raw", F.trim(F.regexp_replace(col, _SPACES, " "))).withColumn("__beyond", F.col("__raw").rlike(r"[^\x00-\x7F]"))
+    df = df.withColumn("__c", _composed(F.when(F.col("__beyond"), F.col("__raw"))))
+    df = df.withColumn("__text", F.when(F.col("__beyond"), F.col("__c.text")).otherwise(F.col("__raw")))
+    for mark, pair in (('"', "״$1״"), ("'", "׳$1׳")):
+        df = df.withColumn("__text", F.when(F.col("__text").contains(mark), F.regexp_replace("__text", f"{mark}([^{mark}]*+){mark}", pair)).otherwise(F.col("__text")))
+    df = df.withColumn("__text", F.regexp_replace("__text", "[\u064b-\u0652\u202a-\u202e\u200e\u200f]", ""))
+    bare = F.col("__text")
     rtl = F.coalesce(F.col("__c.rtl"), F.lit(False)) | bare.rlike("[״׳]")
     ltr = F.coalesce(F.col("__c.ltr"), F.lit(False)) | bare.rlike("[A-Za-z]")
     runs = F.regexp_replace(bare, r"[a-zA-Z0-9][a-zA-Z0-9\s\-_.,]*[a-zA-Z0-9]", "\u202a$0\u202c\u200e")
     whole = F.concat(F.lit("\u202b"), F.when(ltr, runs).otherwise(bare), F.lit("\u202c"))
     sticky = F.regexp_replace(whole, "([א-ת])([.!?:;,])", "$1\u200f$2")
-    inside = F.regexp_replace(sticky, r"\(([^)]*)\)", "(\u200f$1\u200f)")
-    return df.withColumn(col, F.when(bare != "", F.when(rtl, inside).otherwise(bare)).otherwise(bare)).drop("__raw", "__c")
+    inside = F.regexp_replace(sticky, r"\(([^)]*+)\)", "(\u200f$1\u200f)")
+    return df.withColumn(col, F.when((bare != "") & rtl, inside).otherwise(bare)).drop("__raw", "__beyond", "__c", "__text")

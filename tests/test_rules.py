@@ -167,3 +167,13 @@ def test_a_quotation_that_is_never_closed_costs_no_square(spark):
     got = text.repair_typography(spark.createDataFrame([(line,), ('ב"שלום" "abc" "x א" ד"ר ג\'',), (None,)], "t string"), "t").collect()
     assert time.time() - began < 15
     assert [tuple(x) for x in got] == [(line, 0, 0, 0), ('ב״שלום״ "abc" ״x א״ ד״ר ג׳', 2, 1, 1), (None, None, None, None)]
+
+
+def test_legacy_marks_look_up_each_letter_once(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(text.unicodedata, "bidirectional", lambda c, was=unicodedata.bidirectional: asked.append(c) or was(c))
+    import pandas as pd
+
+    got = text._composed.func(pd.Series(["שלום ‫OK" * 1000, None, "é" * 500 + "‏"]))
+    assert got["rtl"].tolist() == [True, False, False] and got["ltr"].tolist() == [True, False, True]
+    assert got["text"].tolist()[1:] == [None, "é" * 500 + "‏"] and len(asked) < 20
