@@ -46,8 +46,10 @@ def clean_words(raw: DataFrame) -> DataFrame:
 
     text = F.trim(F.coalesce(first("w", "word"), F.lit("")))
     start, end = first("s", "start").try_cast("double"), F.coalesce(first("e", "end"), first("s", "start")).try_cast("double")
-    ok = raw.select("video_id", "pos", text.alias("w"), start.alias("s"), end.alias("e")).where((F.col("w") != "") & F.col("s").isNotNull() & F.col("e").isNotNull() & ~F.isnan("s") & ~F.isnan("e"))
-    ms = ok.withColumn("s_ms", F.greatest(F.lit(0), F.bround(F.col("s") * 1000)).cast("bigint")).withColumn("e_ms", F.greatest(F.col("s_ms"), F.bround(F.col("e") * 1000).cast("bigint")))
+    ok = raw.select("video_id", "pos", text.alias("w"), start.alias("s"), end.alias("e")).where("w <> ''")
+    # neither null nor infinite nor NaN, which is above all numbers: asked once, since Spark puts what a column is made of into each condition on it
+    inf = F.lit(float("inf"))
+    ms = ok.where((F.abs("s") < inf) & (F.abs("e") < inf)).withColumn("s_ms", F.greatest(F.lit(0), F.bround(F.col("s") * 1000)).cast("bigint")).withColumn("e_ms", F.greatest(F.col("s_ms"), F.bround(F.col("e") * 1000).cast("bigint")))
     return ms.select("video_id", (F.row_number().over(_video().orderBy("s_ms", "pos")) - 1).alias("pos"), "s_ms", "e_ms", "w")
 
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from cuelake.operators import batches, words
 from cuelake.plans import bindings, registry
 from cuelake.sources import tracks
+from cuelake.operators import words as W
+from cuelake.sources.streams import run_available
+from cuelake.streaming import stateful
+from tests.test_streams import T0, stream_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,3 +113,21 @@ def test_a_transcript_is_not_carried_beside_each_of_its_marks(spark):
     assert sorted((x.video_id, x.pos, x.start_s, x.end_s, x.text) for x in got.collect()) == [(1, 0, 1, 3, "a"), (1, 1, 3, 8, "b"), (2, 0, 0, 9, "plain")]
     assert "RLIKE" in got._jdf.queryExecution().optimizedPlan().toString()
     assert moved(registry.QUERIES["s07_stamped_transcripts"](spark, SF))[0] == 1
+
+
+def test_times_are_read_once_for_each_word_that_is_kept_or_not(spark):
+    raw = spark.range(3).selectExpr("id as video_id", "0 as pos", "'w' as w", "cast(id / 7 as string) as s", "cast(id as string) as e")
+    plan = W.clean_words(raw)._jdf.queryExecution().optimizedPlan().toString()
+    conditions = [line for line in plan.split("\n") if "Filter" in line]
+    assert conditions and all(line.lower().count("isnan") == 0 for line in conditions)
+    rows = [(1, 0, "a", "0.5", "inf"), (1, 1, "b", "NaN", "1"), (1, 2, "c", "1", "nan"), (1, 3, "d", None, "1"), (1, 4, " ", "1", "2"), (1, 5, "e", "-inf", "x"), (1, 6, "f", "2", None), (1, 7, "g", "-3", "-1")]
+    got = W.clean_words(spark.createDataFrame(rows, "video_id int, pos int, w string, s string, e string")).collect()
+    assert sorted((x.w, x.s_ms) for x in got) == [("f", 2000), ("g", 0)]
+
+
+def test_speech_islands_are_made_before_they_are_dealt(spark, tmp_path):
+    rows = [(v, T0 + dt.timedelta(milliseconds=400 * k + 5000 * (k // 10))) for v in range(3) for k in range(40)]
+    stream = stateful.speech_islands(stream_of(spark, str(tmp_path / "s"), [rows, [(9, T0 + dt.timedelta(days=9))], [(9, T0 + dt.timedelta(days=19))]], "video_id long, ts timestamp"))
+    got = run_available(stream)
+    assert spark.conf.get("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition") == "true"
+    assert sorted((x.video_id, x.words) for x in got.where("video_id < 9").collect()) == [(v, 10) for v in range(3) for _ in range(4)]
