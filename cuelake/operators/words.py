@@ -53,18 +53,59 @@ def clean_words(raw: DataFrame) -> DataFrame:
     return ms.select("video_id", (F.row_number().over(_video().orderBy("s_ms", "pos")) - 1).alias("pos"), "s_ms", "e_ms", "w")
 
 
+def _marked(words: DataFrame, *more: Column) -> DataFrame:
+    """``words`` with what sentences depend on, and columns of other windows."""
+    order = _video().orderBy("s_ms", "pos")
+    # windows over whole videos take the order of the others, so that all are one step and words are sorted once
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    timed = words.withColumn("__t", is_terminal(F.col("w"))).withColumn("__closes", F.col("__t") & (F.col("e_ms") - F.col("s_ms") >= DEGENERATE_MS))
+    return timed.select("*", (F.lead("s_ms").over(order) - F.col("e_ms")).alias("__pause"), F.count("*").over(whole).alias("__n"), F.max("__t").over(whole).alias("__terminals"), *more)
+
+
+def _ends(closes: str, pause: str) -> Column:
+    """Whether a sentence ends between two words of ``_marked``: the first ``closes``, or a video without terminals has a ``pause`` there."""
+    return F.col(closes) | ((F.col("__n") >= 8) & ~F.col("__terminals") & F.coalesce(F.col(pause) >= PAUSE_MS, F.lit(False)))
+
+
 def sentence_groups(words: DataFrame) -> DataFrame:
     """``words`` with sent_id from 0: a group ends after a terminal word of at least 50 ms.
 
     In a video of eight words or more without any terminal, it ends before a pause of 350 ms.
     """
+    marked = _marked(words).withColumn("__end", _ends("__closes", "__pause"))
+    return marked.withColumn("sent_id", _running(F.col("__end"), _video().orderBy("s_ms", "pos"), BEFORE)).drop("__t", "__closes", "__n", "__terminals", "__pause", "__end")
+
+
+def sentence_spans(words: DataFrame) -> DataFrame:
+    """The groups of ``sentence_groups`` without their words: (video_id, cue_id from 1, start_ms, end_ms, first_pos, last_pos, chars).
+
+    ``chars`` is the length of the text.  A word knows by its neighbours whether it is the first or last of its group, so one step
+    looks at all words, which are not collected, and what follows at those at the edges.
+    """
     order = _video().orderBy("s_ms", "pos")
-    # windows over whole videos take the order of the others, so that all are one step and words are sorted once
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    timed = words.withColumn("__t", is_terminal(F.col("w")))
-    marked = timed.select("*", (F.lead("s_ms").over(order) - F.col("e_ms")).alias("__pause"), F.count("*").over(whole).alias("__n"), F.max("__t").over(whole).alias("__terminals"))
-    ends = (F.col("__t") & (F.col("e_ms") - F.col("s_ms") >= DEGENERATE_MS)) | ((F.col("__n") >= 8) & ~F.col("__terminals") & F.coalesce(F.col("__pause") >= PAUSE_MS, F.lit(False)))
-    return marked.withColumn("__end", ends).withColumn("sent_id", _running(F.col("__end"), order, BEFORE)).drop("__t", "__n", "__terminals", "__pause", "__end")
+    size = F.coalesce(F.length("w") + 1, F.lit(0))
+    marked = _marked(
+        words.withColumn("__size", size),
+        F.row_number().over(order).alias("__i"),
+        F.lag("__closes").over(order).alias("__closed"),
+        (F.col("s_ms") - F.lag("e_ms").over(order)).alias("__paused"),
+        F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"),
+    )
+    head = (F.col("__i") == 1) | F.coalesce(_ends("__closed", "__paused"), F.lit(False))
+    tail = (F.col("__i") == F.col("__n")) | F.coalesce(_ends("__closes", "__pause"), F.lit(False))
+    edges = marked.select("video_id", "pos", "s_ms", "e_ms", "__upto", "__size", head.alias("__head"), tail.alias("__tail")).where("__head or __tail")
+    # a group's rows are now its first and its last word, which may be one
+    last = lambda name: F.when(F.col("__tail"), F.col(name)).otherwise(F.lead(name).over(order))
+    spans = edges.select("*", _running(F.col("__head"), order).alias("cue_id"), last("e_ms").alias("__end"), last("pos").alias("last_pos"), last("__upto").alias("__whole")).where("__head")
+    chars = F.greatest(F.lit(0), F.col("__whole") - F.col("__upto") + F.col("__size") - 1).cast("int")
+    return spans.select("video_id", "cue_id", F.col("s_ms").alias("start_ms"), F.greatest("__end", "s_ms").alias("end_ms"), F.col("pos").alias("first_pos"), "last_pos", chars.alias("chars"))
+
+
+def texts_of(spans: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """``spans`` with text, cut from ``transcripts`` (video_id, said), which has each video once, with the word of position k as item k."""
+    first = F.col("first_pos").cast("int")
+    said = F.slice("said", first + 1, F.col("last_pos").cast("int") - first + 1)
+    return spans.join(transcripts.select("video_id", "said"), "video_id").withColumn("text", F.array_join(said, " ")).drop("said")
 
 
 def turn_groups(sentences: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.operators import layout
-from cuelake.operators import words as W
 from cuelake.plans import bindings as B
 from cuelake.plans import cue_queries, more_queries, stat_queries, stream_queries, text_queries
 
@@ -17,7 +16,7 @@ ORACLES = {**cue_queries.ORACLES, **stat_queries.ORACLES, **text_queries.ORACLES
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words to timed cues to reading speed: cues and the share within budget by language."""
     videos = B.videos(spark, sf_dir)
-    cues = W.lead_out(cue_queries.sentence_cues(spark, sf_dir)).withColumn("translated_text", F.lit(""))
+    cues = cue_queries.sentence_cues(spark, sf_dir).withColumn("translated_text", F.lit(""))
     report = layout.cps_report(layout.attach_layout(cues, videos))
     return report.join(videos.select("video_id", "source_lang"), "video_id").groupBy("source_lang").agg(F.count("*").alias("cues"), F.round(F.avg(F.col("ok").cast("double")), 4).alias("share_ok"), F.max("chars").alias("longest"))
 

@@ -1,6 +1,7 @@
 """What the plans of large queries move, and what their steps cost."""
 
 import datetime as dt
+import random
 import re
 import time
 
@@ -131,3 +132,37 @@ def test_speech_islands_are_made_before_they_are_dealt(spark, tmp_path):
     got = run_available(stream)
     assert spark.conf.get("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition") == "true"
     assert sorted((x.video_id, x.words) for x in got.where("video_id < 9").collect()) == [(v, 10) for v in range(3) for _ in range(4)]
+
+
+def test_spans_are_those_of_the_collected_words(spark):
+    """Over random videos, some without terminals and with pauses, of one word, of equal times, and of no id."""
+    r = random.Random(5)
+    rows = []
+    for v in [None, *range(60)]:
+        at, said = 0, ["a", "bc", "d,", "é"] if v is not None and v % 3 == 0 else ["a.", "bc", 'd?"', "é", "f!", ""]
+        for k in range(r.choice([1, 2, 7, 8, 9, 40])):
+            length = r.choice([0, 20, 49, 50, 300])
+            rows.append((v, k, at, at + length, r.choice(said)))
+            at += length + r.choice([0, 0, 100, 349, 350, 900])
+    table = spark.createDataFrame(rows, "video_id long, pos int, s_ms long, e_ms long, w string")
+    want = W.cues_of(W.sentence_groups(table).withColumn("cue_id", F.col("sent_id") + 1), dashed=False)
+    got = W.sentence_spans(table)
+    names = ["video_id", "cue_id", "start_ms", "end_ms"]
+    key = lambda x: (x[0] is None, *(y for y in x if y is not None))
+    assert sorted(map(tuple, got.select(*names, "chars").collect()), key=key) == sorted(map(tuple, want.select(*names, F.length("text")).collect()), key=key)
+    said = table.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("said"))
+    texts = W.texts_of(got, said).select(*names, "text")
+    assert sorted(map(tuple, texts.collect())) == sorted(map(tuple, want.where("video_id is not null").select(*names, "text").collect()))
+
+
+def test_words_of_sentence_cues_are_not_collected(spark):
+    for name in ("w08_lead_out", "w09_clamp_to_end"):
+        assert "collect_list" not in registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_sentence_cues_of_shared_and_missing_ids_are_whole(spark, tmp_path):
+    rows = [(1, "One two. Three four.", "en", "s", 20), (1, "Five.", "de", "s", 5), (None, "Six seven.", "en", "s", 10), (2, " ", "en", "s", 1), (3, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["w08_lead_out"](spark, str(tmp_path)).collect()
+    assert sorted(w for x in got for w in x.text.split()) == sorted("One two. Three four. Five. Six seven.".split())
+    assert [x.text for x in got if x.video_id is None] == ["Six seven."] and [x.text for x in got if x.video_id == 2] == [""]
