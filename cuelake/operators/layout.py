@@ -28,9 +28,9 @@ def video_layout(videos: DataFrame) -> DataFrame:
     return df.withColumn("cue_chars", F.col("line_chars") * CUE_LINES)
 
 
-def attach_layout(cues: DataFrame, videos: DataFrame) -> DataFrame:
-    """Each cue with its video's character budgets; Spark broadcasts the layout where its size allows."""
-    return cues.join(video_layout(videos).select("video_id", "line_chars", "cue_chars"), "video_id")
+def attach_layout(cues: DataFrame, videos: DataFrame, *more: str) -> DataFrame:
+    """Each cue with its video's character budgets and ``more`` of its columns; Spark broadcasts the layout where its size allows."""
+    return cues.join(video_layout(videos).select("video_id", "line_chars", "cue_chars", *more), "video_id")
 
 
 def measured_text(*columns: str) -> Column:
@@ -38,11 +38,15 @@ def measured_text(*columns: str) -> Column:
     return F.coalesce(*(F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns), F.lit(""))
 
 
-def cps_report(cues: DataFrame) -> DataFrame:
-    """Characters, seconds, characters a second (null without a duration) and whether the cue is within its budgets."""
-    chars, ms = F.length(measured_text("translated_text", "text")), F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
+def cps_report(cues: DataFrame, *more: str) -> DataFrame:
+    """Characters, seconds, characters a second (null without a duration), whether the cue is within its budgets, and ``more`` of its columns.
+
+    Cues that have ``chars``, counted before, need no text.
+    """
+    chars = F.col("chars") if "chars" in cues.columns else F.length(measured_text("translated_text", "text"))
+    ms = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
     ok = (chars <= F.col("cue_chars")) & ((ms <= 0) | (chars * 1000 <= READING_CPS * ms))
-    return cues.select("video_id", "cue_id", chars.alias("chars"), ms.alias("duration_ms"), F.when(ms > 0, F.round(chars * 1000 / ms, 2)).alias("cps"), ok.alias("ok"))
+    return cues.select("video_id", "cue_id", chars.alias("chars"), ms.alias("duration_ms"), F.when(ms > 0, F.round(chars * 1000 / ms, 2)).alias("cps"), ok.alias("ok"), *more)
 
 
 def budget(ms: Column, cue_chars: Column) -> Column:

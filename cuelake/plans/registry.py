@@ -16,9 +16,9 @@ ORACLES = {**cue_queries.ORACLES, **stat_queries.ORACLES, **text_queries.ORACLES
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words to timed cues to reading speed: cues and the share within budget by language."""
     videos = B.videos(spark, sf_dir)
-    cues = cue_queries.sentence_cues(spark, sf_dir).withColumn("translated_text", F.lit(""))
-    report = layout.cps_report(layout.attach_layout(cues, videos))
-    return report.join(videos.select("video_id", "source_lang"), "video_id").groupBy("source_lang").agg(F.count("*").alias("cues"), F.round(F.avg(F.col("ok").cast("double")), 4).alias("share_ok"), F.max("chars").alias("longest"))
+    cues = cue_queries.sentence_cues(spark, sf_dir, text=False)
+    report = layout.cps_report(layout.attach_layout(cues, videos, "source_lang"), "source_lang")
+    return report.groupBy("source_lang").agg(F.count("*").alias("cues"), F.round(F.avg(F.col("ok").cast("double")), 4).alias("share_ok"), F.max("chars").alias("longest"))
 
 
 QUERIES["flagship"] = flagship

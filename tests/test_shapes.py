@@ -156,7 +156,7 @@ def test_spans_are_those_of_the_collected_words(spark):
 
 
 def test_words_of_sentence_cues_are_not_collected(spark):
-    for name in ("w08_lead_out", "w09_clamp_to_end"):
+    for name in ("w08_lead_out", "w09_clamp_to_end", "flagship"):
         assert "collect_list" not in registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString(), name
 
 
@@ -166,3 +166,14 @@ def test_sentence_cues_of_shared_and_missing_ids_are_whole(spark, tmp_path):
     got = registry.QUERIES["w08_lead_out"](spark, str(tmp_path)).collect()
     assert sorted(w for x in got for w in x.text.split()) == sorted("One two. Three four. Five. Six seven.".split())
     assert [x.text for x in got if x.video_id is None] == ["Six seven."] and [x.text for x in got if x.video_id == 2] == [""]
+
+
+def test_reading_speed_takes_no_text_and_one_row_a_video(spark, tmp_path):
+    """Documents that share an id are one video, which the SQL's one join meets once for each of them."""
+    plan = registry.QUERIES["flagship"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin ", plan)) == 1 and "array_join" not in plan
+    rows = [(1, "One two. Three four.", "en", "s", 20), (1, "Five.", "de", "s", 5), (2, " ", "en", "s", 1), (None, "Six seven.", "en", "s", 10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    n = registry.QUERIES["w08_lead_out"](spark, str(tmp_path)).where("video_id = 1").count()
+    got = {x.source_lang: (x.cues, x.longest) for x in registry.QUERIES["flagship"](spark, str(tmp_path)).collect()}
+    assert got["de"][0] == n and got["en"][0] == n + 1
