@@ -6,6 +6,7 @@ import random
 import pytest
 
 from cuelake.operators import jobstats, text
+from cuelake.plans import registry
 from cuelake.sources import store
 
 SCHEMA = "task_id string, created_at timestamp, status string, transcription_model string, translation_service string"
@@ -44,6 +45,20 @@ def test_upserts_and_pruned_reads(spark, tmp_path):
     assert jobstats.latest_per_task(spark.createDataFrame([("q", None, "s", None, None)], SCHEMA)).first().date is not None
 
 
+def test_of_rows_of_one_time_the_first_wins(spark, tmp_path):
+    """Within an upsert and over two, whatever the other values are; as the SQL's engine takes a tie."""
+    at = [dt.datetime(2024, 1, 6, 0, 0, 0, 5)] * 2 + [dt.datetime(2024, 1, 6, 0, 0, 0, 6)] * 2
+    rows = [(2 * k + j, at[j + 1 if k > 5 else j], 3 * k, ("view", "error")[(k + j) % 2], (60.0, 70.0, 40.0)[(k // 2 + j) % 3], f'{{"k": {j}}}') for k in range(8) for j in range(2)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    won = [rows[2 * k + (k > 5)] for k in range(8)]
+    status = {"view": "running", "error": "failure"}
+    want = [(str(x[0] // 2), x[1], status[x[3]], x[4]) for x in won]
+    got = registry.QUERIES["s03_save_stats"](spark, str(tmp_path)).collect()
+    assert sorted((x.task_id, x.created_at, x.status, x.total_duration) for x in got) == sorted(want)
+    read = registry.QUERIES["s03_read_indexed"](spark, str(tmp_path)).collect()
+    assert sorted((x.task_id, x.status, x.translation_service) for x in read) == sorted((str(x[0] // 2), status[x[3]], "beta" if x[0] % 2 else "alpha") for x in won)
+
+
 def test_a_failed_commit_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "store")
     save(spark, path, [("a", day(1), "old", "m", "x"), ("b", day(2), "b", "m", "x")])
