@@ -31,6 +31,8 @@ from cuelake.llm.simhash import fingerprint_links, majority, shingle_hashes, sig
 
 #: the order of shingles is taken from about SAMPLE texts and names at most COMMON shingles; neither changes a result
 WIDTH, SIMILARITY, SAMPLE, COMMON, OFTEN, PARITY_BITS = 5, 0.8, 10_000, 50_000, 3, 9
+#: sets larger than this have a second bitmap, as the first is full
+MANY = 1024
 #: pairs that one task verifies with the same text
 PAIRS_A_PART = 2000
 
@@ -79,9 +81,18 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_parity(shingles: np.ndarray) -> np.ndarray:
+    """For sets of more than ``MANY`` shingles the same with about a place a shingle, by the lower bits: a bitmap's halves together are that of half the size."""
+    if len(shingles) <= MANY:
+        return np.zeros(0, np.int64)
+    size = 1 << len(shingles).bit_length()
+    odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def word_prints(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, h1, h2, fp, n, bits, prefix): 128-bit hash of the words in order, SimHash; number, parity bitmap and prefix of the shingles."""
-    schema = pa.schema([*arrow_schema("doc_id long,h1 long,h2 long,fp long,n long"), pa.field("bits", pa.list_(pa.int64())), pa.field("prefix", pa.list_(pa.int64()))])
+    """(doc_id, h1, h2, fp, n, bits, wide, prefix): 128-bit hash of the words in order, SimHash; number, parity bitmaps and prefix of the shingles."""
+    schema = pa.schema([*arrow_schema("doc_id long,h1 long,h2 long,fp long,n long"), *(pa.field(c, pa.list_(pa.int64())) for c in ("bits", "wide", "prefix"))])
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
     def run(batches):
@@ -92,12 +103,12 @@ def word_prints(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
                 h = xxhash.xxh3_128_intdigest(b" ".join(words))
                 hashes = list(shingle_hashes(words, width))
                 own = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
-                row = (doc_id, signed(h >> 64), signed(h & (1 << 64) - 1), signed(majority(iter(hashes))), len(own), parity(own), prefix_of(own, common.value, similarity).view(np.int64))
+                row = (doc_id, signed(h >> 64), signed(h & (1 << 64) - 1), signed(majority(iter(hashes))), len(own), parity(own), wide_parity(own), prefix_of(own, common.value, similarity).view(np.int64))
                 for name, x in zip(out, row, strict=True):
                     out[name].append(x)
             yield batch_of(schema, **out)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, fp bigint, n bigint, bits array<bigint>, prefix array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, fp bigint, n bigint, bits array<bigint>, wide array<bigint>, prefix array<bigint>")
 
 
 def _apart(x: Column, y: Column) -> Column:
@@ -105,6 +116,17 @@ def _apart(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
 
 
+def _apart_wide(x: Column, y: Column) -> Column:
+    """The same for wide bitmaps, a larger one folded; null if there are none or one is more than twice the other, whose sets are not compared."""
+
+    def folded(z: Column) -> Column:
+        half = F.shiftright(F.size(z), 1)
+        return F.zip_with(F.slice(z, F.lit(1), half), F.slice(z, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    n, m = F.size(x), F.size(y)
+    return F.when((n == 0) | (m == 0), None).when(n == m, _apart(x, y)).when(n == 2 * m, _apart(folded(x), y)).when(m == 2 * n, _apart(x, folded(y)))
+
+
 def _most(n: Column, m: Column, similarity: float) -> Column:
     """In how many shingles sets of these sizes may differ."""
     return (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
@@ -135,8 +157,11 @@ def crowded(rows: DataFrame) -> DataFrame:
     shared = materialize(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "shared")
     release(rows.sparkSession)
     inside = materialize(rows.join(shared, "shingle", "left_semi"), "inside")
+    discard(shared)
     release(rows.sparkSession)
-    return inside.join(inside.groupBy("shingle").agg(F.min("own").alias("head")), "shingle")
+    met = materialize(inside.join(inside.groupBy("shingle").agg(F.min("own").alias("head")), "shingle"), "buckets")
+    discard(inside)
+    return met
 
 
 def heads(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -145,21 +170,52 @@ def heads(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return pairs.select(F.col("own.rep").alias("a"), F.col("head.rep").alias("b")).distinct()
 
 
+def _room(x: str, y: str, similarity: float) -> Column:
+    """Whether two (rep, at) of a bucket can be similar enough by size and place: before a shingle they share no more than the places there, behind it than what is left."""
+    n = lambda s: F.col(f"{s}.at").bitwiseAND(F.lit((1 << 32) - 1))
+    pos = lambda s: F.shiftright(f"{s}.at", 32)
+    return F.least(pos(x), pos(y)) + F.least(n(x) - pos(x), n(y) - pos(y)) >= similarity / (1 + similarity) * (n(x) + n(y)) - 1e-6
+
+
+def _enough(meetings: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the pairs that can be similar enough by all shingles (a, at_a, b, at_b) that their prefixes share.
+
+    What two sets share beside these lies behind the last of them in both, and behind the end of one of the prefixes.
+    """
+    met = meetings.groupBy("a", "b").agg(F.count("*").alias("c"), *(f(f"at_{k}").alias(f"{name}_{k}") for name, f in (("first", F.min), ("last", F.max)) for k in "ab"))
+    n = {k: F.col(f"first_{k}").bitwiseAND(F.lit((1 << 32) - 1)) for k in "ab"}
+    left = lambda name, k: n[k] - F.shiftright(f"{name}_{k}", 32)
+    behind = {k: F.ceil(similarity * n[k] - 1e-9) - 1 for k in "ab"}  # as many as ``prefix_of`` leaves
+    shared = F.least(F.least(left("first", "a"), left("first", "b")), F.col("c") + F.least(left("last", "a") - 1, left("last", "b") - 1), F.col("c") + F.greatest(behind["a"], behind["b"]))
+    return met.where(shared >= similarity / (1 + similarity) * (n["a"] + n["b"]) - 1e-6).select("a", "b")
+
+
 def other_candidates(met: DataFrame, texts: DataFrame, groups: DataFrame, done: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of all texts of a bucket that stand in different groups, without those that are done."""
+    """Pairs (a, b) of all texts of a bucket that stand in different groups and share enough of their prefixes, without those that are done.
+
+    Long texts share some shingles with very many others, and their bitmaps are full; what they share in all tells them apart, so pairs do not
+    grow with the square of the texts.  Buckets of two are pairs as they are, and were met as heads; they only count.
+    """
     rows = met.select("shingle", "own", F.col("own.rep").alias("node")).join(groups, "node", "left").select("shingle", "own", F.coalesce("component", "node").alias("component"))
-    mixed = rows.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most and n > 2").select("shingle")
-    left = rows.join(mixed, "shingle", "left_semi").select("shingle", "own", "component", F.col("own.rep").alias("rep")).join(texts.select("rep", "n", "bits"), "rep").drop("rep")
+    ends = F.min("own.rep").alias("b"), F.min_by("own.at", "own.rep").alias("at_b"), F.max("own.rep").alias("a"), F.max_by("own.at", "own.rep").alias("at_a")
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), *ends).where("least < most")
+    mixed = materialize(mixed.drop("least", "most"), "mixed")
+    left = rows.join(mixed.where("n > 2").select("shingle"), "shingle", "left_semi").select("shingle", "own", "component", F.col("own.rep").alias("rep")).join(texts.select("rep", "n", "bits"), "rep").drop("rep")
     right = left.select("shingle", F.col("own").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"))
-    near = (F.col("own.rep") > F.col("other.rep")) & (F.col("component") != F.col("other_component")) & _possible("own", "other", similarity)
+    near = (F.col("own.rep") > F.col("other.rep")) & (F.col("component") != F.col("other_component")) & _room("own", "other", similarity)
     near &= _apart(F.col("bits"), F.col("other_bits")) <= _most(F.col("n"), F.col("other_n"), similarity)
-    return left.join(right, "shingle").where(near).select(F.col("own.rep").alias("a"), F.col("other.rep").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    meetings = left.join(right, "shingle").where(near).select(F.col("own.rep").alias("a"), F.col("own.at").alias("at_a"), F.col("other.rep").alias("b"), F.col("other.at").alias("at_b"))
+    pairs = _enough(meetings.unionByName(mixed.where("n = 2").select("a", "at_a", "b", "at_b")), similarity)
+    found = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    discard(mixed)
+    return found
 
 
 def within(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose bitmaps leave room for that similarity."""
-    x, y = (texts.select(F.col("rep").alias(k), F.struct("n", "bits").alias(f"of_{k}")) for k in "ab")
-    near = _apart(F.col("of_a.bits"), F.col("of_b.bits")) <= _most(F.col("of_a.n"), F.col("of_b.n"), similarity)
+    x, y = (texts.select(F.col("rep").alias(k), F.struct("n", "bits", "wide").alias(f"of_{k}")) for k in "ab")
+    most = _most(F.col("of_a.n"), F.col("of_b.n"), similarity)
+    near = (_apart(F.col("of_a.bits"), F.col("of_b.bits")) <= most) & F.coalesce(_apart_wide(F.col("of_a.wide"), F.col("of_b.wide")) <= most, F.lit(True))
     return pairs.join(x, "a").join(y, "b").where(near).select("a", "b").distinct()
 
 
@@ -210,7 +266,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, similarity: float
     """
     prints = materialize(word_prints(docs.where("doc_id is not null"), width, similarity), "words")
     classes = materialize(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    own = F.struct("fp", "n", "bits", "prefix")
+    own = F.struct("fp", "n", "bits", "wide", "prefix")
     texts = prints.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min_by(own, F.struct("h1", "h2")).alias("own"))
     texts = materialize(texts.select("rep", "own.*"), "texts")
     wide, prints = prints, materialize(prints.select("doc_id", "h1", "h2"), "names")  # prefixes are in ``texts`` alone from here on
@@ -223,19 +279,22 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, similarity: float
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
         sets = materialize(shingle_sets(chosen, width), "sets")
+        release(spark)
         out = materialize(verified(pairs, sets, similarity), "links")
         discard(sets)
         discard(pairs)
         release(spark)
         return out
 
-    met = materialize(crowded(buckets(texts)), "buckets")
+    met = crowded(buckets(texts))
+    whole, texts = texts, materialize(texts.drop("prefix"), "texts")
+    discard(whole)
     release(spark)
     first = materialize(simhash_pairs(texts).union(heads(met, similarity)).distinct(), "pairs")
     release(spark)
     links = links_of(first)
     groups = materialize(connected_components(links), "groups")
-    rest = materialize(other_candidates(met, texts, groups, first, similarity), "pairs")
+    rest = other_candidates(met, texts, groups, first, similarity)
     if not rest.isEmpty():
         groups = connected_components(links.unionByName(links_of(rest)))
     for x in (met, first, rest, texts):

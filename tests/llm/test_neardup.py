@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import Row
 
 from cuelake.llm import neardup
@@ -54,6 +55,39 @@ def test_cut_and_lengthened_copies(spark):
     assert check(spark, [" ".join(t) for t in texts]) >= 80
 
 
+def test_long_texts_that_share_a_passage_are_no_candidates(spark, monkeypatch):
+    """Their short bitmaps are full, so what they share of their prefixes tells them apart; a true pair at 0.8 still is one, of different sizes too."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    monkeypatch.setattr(neardup, "common_shingles", lambda *_: none)  # no shingle is known to be common
+    r = random.Random(24)
+    passage = words(r, 80)
+    texts = [words(r, r.randrange(1300, 1700)) + passage for _ in range(40)]
+    own = words(r, 1500) + passage
+    texts += [own, changed(r, own, 32), own[:-300], words(r, 300) + own]
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    prints = neardup.word_prints(rows).withColumnRenamed("doc_id", "rep").cache()
+    met = neardup.crowded(neardup.buckets(prints))
+    nothing = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "a long, b long")
+    found = {(x.a, x.b) for x in neardup.other_candidates(met, prints, *nothing).collect()}
+    sets = [neardup.shingles_of(" ".join(t).encode().split(), neardup.WIDTH) for t in texts]
+    alike = {(a, b) for a in range(len(texts)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    assert len(alike) >= 3 and alike <= found and len(found) <= len(alike) + 10
+    every = spark.createDataFrame([(a, b) for a in range(len(texts)) for b in range(a)], "a long, b long")
+    assert alike <= {(x.a, x.b) for x in neardup.within(every, prints).collect()} <= alike | {(a, b) for a in range(40, 44) for b in range(40, a)}
+
+
+def test_wide_bitmaps_bound_the_difference(spark):
+    r = np.random.default_rng(25)
+    some = r.integers(0, 1 << 63, 6000).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, 6000).astype(np.uint64)
+    x, y = np.unique(some[:4000]), np.unique(some[200:4200])  # of one size and of two
+    assert len(neardup.wide_parity(x[: neardup.MANY])) == 0
+    for a, b in ((x, y), (x, y[:3800]), (np.unique(some[:5000]), x), (np.unique(some), x)):
+        rows = spark.createDataFrame([(neardup.wide_parity(a).tolist(), neardup.wide_parity(b).tolist())] * 2, "x array<bigint>, y array<bigint>")
+        for p, q in ("xy", "yx"):
+            got = rows.select(neardup._apart_wide(rows[p], rows[q])).first()[0]
+            assert 0 < got <= len(np.setxor1d(a, b))
+
+
 def test_texts_of_one_id_are_documents_of_their_own(spark):
     r = random.Random(23)
     x, b, c = (words(r, 100) for _ in range(3))
