@@ -25,7 +25,7 @@ from cuelake.llm.common import arrow_schema, batch_of, materialize
 
 LENGTH, END_ID, DIMS, BITS, FEATURES = 2048, 1, 3, 10, 64
 #: entries of a worker's cache of words; it starts anew when full
-CACHE_WORDS, ROWS_AT_ONCE, BYTES_AT_ONCE = 1_000_000, 4000, 12 << 20
+CACHE_WORDS, ROWS_AT_ONCE, BYTES_AT_ONCE = 300_000, 4000, 12 << 20
 SEQUENCES_A_RANGE = 1 << 40
 #: a range is a task; more of them are made where shuffle partitions would hold more ids than this
 IDS_A_RANGE = 1 << 25
