@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,38 @@ def test_spotter_equals_the_batch_form(spark, tmp_path, terminals):
     assert sorted(tuple(x)[:6] for x in got) == sorted(map(tuple, groups.collect()))
 
 
+def test_words_in_arrays_are_words(spark, tmp_path):
+    """A row of many words gives what rows of one word do; stretches meet across rows, batches and files."""
+    r = random.Random(13)
+    rows = []
+    for video in range(9):
+        at = 0
+        for pos in range(r.choice([1, 5, 40])):
+            at += r.choice([10, 400, 700, 701, 2000])
+            rows.append((video, pos, at, at + r.choice([20, 60]), r.choice(["word", "so.", "end!"]), T0 + dt.timedelta(milliseconds=at)))
+    schema, many = "video_id long, pos long, s_ms long, e_ms long, w string, ts timestamp", "video_id long, pos array<long>, s_ms array<long>, e_ms array<long>, w array<string>, ts array<timestamp>"
+    cut = [[x for x in rows if x[0] == v and x[1] % 3 // 2 == k] for v in range(9) for k in range(2)]  # a video's rows interleave
+    lists = [(own[0][0], *(list(c) for c in list(zip(*own, strict=True))[1:])) for own in cut if own]
+    mark = lambda d: (END, 0, 0, 1, "", T0 + d)
+    ones, arrays = closed([rows], mark), closed([lists], lambda d: (END, *([x] for x in mark(d)[1:])))
+    for name, make in (("spot", stateful.spot), ("islands", lambda x: stateful.speech_islands(x.select("video_id", "ts")))):
+        got = [sorted(tuple(x)[: len(x) - 1] for x in run_available(make(stream_of(spark, str(tmp_path / f"{name}{k}"), b, s))).where(f"video_id <> {END}").collect()) for k, (b, s) in enumerate([(ones, schema), (arrays, many)])]
+        assert got[0] == got[1] and len(got[0]) > 9
+
+
+def test_frames_hold_what_came_to_a_bucket(monkeypatch):
+    """One frame a bucket and task, however often rows are packed, until much is held."""
+    monkeypatch.setattr(stateful, "FRAME_ROWS", 50)
+    schema = pa.schema([("video_id", pa.int64()), ("at", pa.int64()), ("pos", pa.int64())])
+    batches = [pa.RecordBatch.from_pydict({"__bucket": pa.array([k % 3 for k in range(50)], pa.int32()), "ts": pa.array(range(b * 50, b * 50 + 50), pa.timestamp("us", "UTC")), "video_id": pa.array([k % 3 for k in range(50)]), "pos": pa.array([b] * 50)}) for b in range(20)]
+    frames = [x for b in stateful._framed(schema)(iter(batches)) for x in b.to_pylist()]
+    assert len(frames) == 3 and sorted(x["early"] for x in frames) == [0, 1, 2]
+    rows = [stateful._unpacked(x["frame"]) for x in frames]
+    assert sum(x.num_rows for x in rows) == 1000 and {x["pos"].to_pylist()[-1] for x in rows} == {19}
+    monkeypatch.setattr(stateful, "HELD_BYTES", 1)
+    assert len([x for b in stateful._framed(schema)(iter(batches)) for x in b.to_pylist()]) == 60
+
+
 def test_status_ignores_late_arrivals(spark, tmp_path):
     schema = "event_id long, task_id long, ts timestamp, step_index int, progress long, message string"
     a = [(5, 1, T0 + dt.timedelta(minutes=5), 0, 100, "view")]
